@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import mixing, ogg, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_line_quality": quality.op6_line_quality,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_ogg_media": ogg.op9_ogg_media,
+        "op10_warc_zstd": warc.op10_warc_zstd,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**mixing.SQL, **quality.SQL}
+    return {**mixing.SQL, **quality.SQL, **warc.SQL}

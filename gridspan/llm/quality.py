@@ -17,22 +17,26 @@ CLOSING = ".!?:;,\"')]}…”»"
 SHORT_LINE = 4
 NAV_MARKS, NAV_LEAST = "|>»•", 3
 SHOUTS = 3
+SYMBOL_PERCENT = 10
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here", "sign up for", "log in to", "share on facebook", "follow us on", "lorem ipsum", "back to top")
 LOST_PERCENT = 50
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, failed_lines long"
 
+_SYMBOLS = SYMBOLS.decode()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
 def line_fails(line: str, n_words: int) -> bool:
-    """Whether a line with words is furniture: navigation, boilerplate, shouting, or a stub without closing punctuation."""
+    """Whether a line with words is furniture: navigation, boilerplate, shouting, symbols, or a stub without closing punctuation."""
     body = line.strip(" \t\v\f\r")
     if n_words < SHORT_LINE and body[-1:] not in CLOSING:
         return True
     if sum(map(body.count, NAV_MARKS)) >= NAV_LEAST or body.count("!!") >= SHOUTS:
         return True
+    if 100 * sum(map(body.count, _SYMBOLS)) > SYMBOL_PERCENT * len(body):
+        return True
     low = body.lower()
     return any(p in low for p in BOILERPLATE)
 
@@ -159,6 +163,7 @@ WITH base AS (
   SELECT row_id, line, chars, (n < {SHORT_LINE} AND NOT contains('{CLOSING.replace("'", "''")}', right(body, 1)))
       OR length(regexp_replace(body, '[^{NAV_MARKS}]', '', 'g')) >= {NAV_LEAST}
       OR (length(body) - length(replace(body, '!!', ''))) / 2 >= {SHOUTS}
+      OR 100 * length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) > {SYMBOL_PERCENT} * length(body)
       OR {_PHRASES.replace("low", "lower(body)")} AS bad
   FROM worded WHERE n > 0
 ), by_line AS (
