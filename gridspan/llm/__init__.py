@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, quality, warc
+from . import mixing, ogg, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op6_line_quality": quality.op6_line_quality,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_ogg_media": ogg.op9_ogg_media,
