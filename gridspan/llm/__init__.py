@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, quality, secrets, warc
+from . import mixing, ogg, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_line_quality": quality.op6_line_quality,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_ogg_media": ogg.op9_ogg_media,
