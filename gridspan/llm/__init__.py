@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, quality, secrets, seed_extend, suffixes, warc
+from . import minhash, mixing, ogg, packing, quality, secrets, seed_extend, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_order_minhash": minhash.op3_order_minhash,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_seed_extend": seed_extend.op5_seed_extend,
         "op6_line_quality": quality.op6_line_quality,
