@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, ogg, packing, quality, secrets, seed_extend, suffixes, warc
+from . import language, minhash, mixing, ogg, packing, quality, secrets, seed_extend, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_seed_extend": seed_extend.op5_seed_extend,
         "op6_line_quality": quality.op6_line_quality,
+        "op7_unigram_langid": language.op7_unigram_langid,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_ogg_media": ogg.op9_ogg_media,
         "op10_warc_zstd": warc.op10_warc_zstd,
