@@ -203,6 +203,7 @@ def contexts(joined: DataFrame, kind: Symbols) -> DataFrame:
             if not mine:
                 continue
             doc, tie, piece = int(doc_ids[i]), int(ties[i]), buf[off[i] : off[i + 1]]
+            places: dict[int, dict[int, bytes]] = {}
             if words:
                 start, end, _ = find_words(piece, np.array([0, len(piece)]))
                 prefix = word_prefix(span_hashes(piece, start, end))
@@ -229,8 +230,14 @@ def contexts(joined: DataFrame, kind: Symbols) -> DataFrame:
                     first = seen.setdefault(own, (doc, tie, s + j))
                     if first[0] < doc or not kind.by_document and first != (doc, tie, s + j):
                         out.append((hash_of(b"%d %d" % (doc, s + j)), doc, tie, s + j, 1, None))
+                    elif words:
+                        places.setdefault(own, {})[s + j] = one_
                     else:
                         out.append((own, doc, tie, s + j, 1, one_))
+            # what a document repeats itself is one row with all its places
+            for own, starts in places.items():
+                at_, (one_, *_) = sorted(starts), starts.values()
+                out.append((own, doc, tie, at_[0], 1, one_ + np.array(at_[1:], np.int32).tobytes()))
         if not out:
             return None
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -254,6 +261,8 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
     come in groups and, within a group, in the order of places, whether an earlier one equals it.
     """
 
+    width = 8 if kind.name == "words" else 1
+
     def decide(rows: list[tuple]) -> pa.RecordBatch | None:
         out = [(doc, tie, start, kind.length) for _, doc, tie, start, _, payload in rows if payload is None]
         rows = [r for r in rows if r[5] is not None]
@@ -261,7 +270,7 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
             keys = np.array([r[0] for r in rows])
             n = np.array([r[4] for r in rows])
             group = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
-            hit = covered_stretches([r[5] for r in rows], n, group, np.array([r[1] for r in rows]))
+            hit = covered_stretches([r[5][: 8 * r[4]] for r in rows] if width == 8 else [r[5] for r in rows], n, group, np.array([r[1] for r in rows]))
             row = np.repeat(np.arange(len(rows)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = np.flatnonzero(hit)
@@ -270,15 +279,15 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
                 first = np.flatnonzero(new)
                 last = np.concatenate([first[1:] - 1, [len(at) - 1]])
                 for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True):
-                    _, doc, tie, start, _, _ = rows[row[a]]
+                    _, doc, tie, start, many, payload = rows[row[a]]
                     out.append((doc, tie, start + int(step[a]), b - a + kind.length))
+                    if width == 8 and len(payload) > 8 * many:
+                        out += [(doc, tie, x, kind.length) for x in np.frombuffer(payload[8 * many :], np.int32).tolist()]
         if not out:
             return None
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "tie", "start", "length"])
 
-    width = 8 if kind.name == "words" else 1
-
     def run(batches):
         with np.errstate(over="ignore"):
             rows: list[tuple] = []
