@@ -39,7 +39,7 @@ HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.004, 16
 AT_ONCE = 150_000
 
 NO_ID = -(1 << 63)
-SEEDS = "anchor long, context long, doc long, tie int, pos int, state int"
+SEEDS = "anchor long, context long, doc long, tie int, start int, n int, state int"
 CONTEXTS = "key long, doc long, tie int, start int, n int, payload binary"
 SPANS = "doc long, tie int, start int, length int"
 
@@ -54,8 +54,9 @@ class Symbols:
     by_document: bool
 
     @property
-    def reach(self) -> int:
-        return self.length - self.gram
+    def width(self) -> int:
+        """Grams of a stretch."""
+        return self.length - self.gram + 1
 
 
 @dataclass
@@ -86,24 +87,35 @@ def sequences(kind: Symbols, buf: np.ndarray, off: np.ndarray) -> Iterator[Seque
                 yield Sequence(np.array([a]), np.array([0, hi - lo]), lo, (c, c + SLICE), lambda s, e, p=prefix: byte_spans(p, s, e))
 
 
-def find_seeds(kind: Symbols, seq: Sequence) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, anchor hash, context hash) of each anchor."""
+def find_seeds(kind: Symbols, seq: Sequence) -> tuple[np.ndarray, ...]:
+    """(document, first stretch, number of stretches, anchor hash, context hash) of each anchor.
+
+    A stretch belongs to the anchor that winnowing picks for it, so that each is dealt with
+    once; those of an anchor follow one another, and its context is what they span.
+    """
     off = seq.offsets
     n = int(off[-1])
     none = np.zeros(0, np.int64)
     if n < kind.length:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     at = np.arange(n - kind.gram + 1)
     which = np.repeat(np.arange(len(off) - 1), np.diff(off))
     hashes = seq.spans(at, at + kind.gram)
     valid = at + kind.length <= off[which[: len(at)] + 1]
-    a = winnow(hashes, valid, kind.reach + 1)
+    a, keys = winnow(hashes, valid, kind.width)
+    d, key = which[a], keys[a]
+    # of two neighbours the smaller one has all stretches that hold it
+    same = d[1:] == d[:-1]
+    last = np.concatenate([np.where(same, np.where(key[:-1] < key[1:], a[:-1], a[1:] - kind.width), a[:-1]), a[-1:]])
+    last = np.minimum(last, off[d + 1] - kind.length)
+    first = np.maximum(off[d], a - kind.width + 1)
+    first[1:] = np.where(same, np.maximum(first[1:], last[:-1] + 1), first[1:])
+    keep = last >= first
     if seq.core is not None:
-        a = a[(a + seq.base >= seq.core[0]) & (a + seq.base < seq.core[1])]
-    d = which[a]
-    s, e = np.maximum(off[d], a - kind.reach), np.minimum(off[d + 1], a + kind.length)
-    context = mixed(seq.spans(s, e) ^ mixed((a - s).astype(np.uint64)))
-    return seq.docs[d], a - off[d] + seq.base, hashes[a], context
+        keep &= (a + seq.base >= seq.core[0]) & (a + seq.base < seq.core[1])
+    a, d, first, last = a[keep], d[keep], first[keep], last[keep]
+    context = mixed(seq.spans(first, last + kind.length) ^ mixed((a - first).astype(np.uint64)))
+    return seq.docs[d], first - off[d] + seq.base, last - first + 1, hashes[a], context
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,7 +136,7 @@ def seeds(rows: DataFrame, kind: Symbols, hot: list[int]) -> DataFrame:
         found = [find_seeds(kind, s) for s in sequences(kind, buf, off)]
         if not found:
             return None
-        d, pos, anchor, context = map(np.concatenate, zip(*found, strict=True))
+        d, pos, many, anchor, context = map(np.concatenate, zip(*found, strict=True))
         if not len(d):
             return None
         doc, tie = doc_ids[d], ties[d]
@@ -146,7 +158,7 @@ def seeds(rows: DataFrame, kind: Symbols, hot: list[int]) -> DataFrame:
         again = order[later]
         state[again] = 2
         anchor[again] = mixed(anchor[again] ^ mixed(doc[again].astype(np.uint64) + pos[again].astype(np.uint64)))  # to any task
-        return pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(doc), pa.array(tie.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(state)], names=["anchor", "context", "doc", "tie", "pos", "state"])
+        return pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(doc), pa.array(tie.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(state)], names=[x.split()[0] for x in SEEDS.split(", ")])
 
     return by_batch(rows.select("doc", "tie", "text"), one, SEEDS)
 
@@ -160,17 +172,17 @@ def hot_anchors(rows: DataFrame, kind: Symbols) -> list[int]:
 
 
 def matched(rows: DataFrame, kind: Symbols) -> DataFrame:
-    """``doc, tie, covered, need``: anchors whose whole context is covered, and those whose context is to be settled."""
-    order = ["doc"] if kind.by_document else ["doc", "tie", "pos"]
+    """``doc, tie, covered, need``: contexts that are covered whole, and those to be settled."""
+    order = ["doc"] if kind.by_document else ["doc", "tie", "start"]
     found = seeds(rows, kind, hot_anchors(rows, kind)).repartition("anchor")
     by_anchor = Window.partitionBy("anchor")
     ranked = found.withColumn("first", (F.rank().over(Window.partitionBy("anchor", "context").orderBy(*order)) == 1) & (F.col("state") < 2))
-    ranked = ranked.withColumns({"n": F.sum(F.col("first").cast("int")).over(by_anchor), "docs_differ": F.min("doc").over(by_anchor) < F.max("doc").over(by_anchor)})
-    several = (F.col("n") > 1) & (F.col("docs_differ") if kind.by_document else F.lit(True)) | (F.col("state") == 1)
-    wide = (F.col("n") > WIDE) | (F.col("state") == 1)
+    ranked = ranked.withColumns({"firsts": F.sum(F.col("first").cast("int")).over(by_anchor), "docs_differ": F.min("doc").over(by_anchor) < F.max("doc").over(by_anchor)})
+    several = (F.col("firsts") > 1) & (F.col("docs_differ") if kind.by_document else F.lit(True)) | (F.col("state") == 1)
+    wide = (F.col("firsts") > WIDE) | (F.col("state") == 1)
     kept = ranked.withColumn("is_need", F.col("first") & several).filter(~F.col("first") | F.col("is_need"))
-    picked = kept.select("doc", "tie", "pos", "is_need", F.when(F.col("is_need"), F.col("anchor")).alias("key"), wide.alias("wide"))
-    return picked.groupBy("doc", "tie").agg(F.collect_set(F.when(~F.col("is_need"), F.col("pos"))).alias("covered"), F.collect_set(F.when(F.col("is_need"), F.struct("pos", "key", "wide"))).alias("need"))
+    whole = F.struct("start", (F.col("n") + F.lit(kind.length - 1)).alias("length"))
+    return kept.groupBy("doc", "tie").agg(F.collect_set(F.when(~F.col("is_need"), whole)).alias("covered"), F.collect_set(F.when(F.col("is_need"), F.struct("start", "n", F.col("anchor").alias("key"), wide.alias("wide")))).alias("need"))
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
@@ -193,11 +205,11 @@ def contexts(joined: DataFrame, kind: Symbols) -> DataFrame:
         at, items = _lists(batch, "need")
         if not len(items):
             return None
-        pos, key, wide = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        starts, many, key, wide = (items.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(4))
         doc_ids, ties = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
         out: list[tuple] = []
         seen: dict[int, tuple] = {}
-        order = np.lexsort((ties, doc_ids)) if wide.any() else np.arange(len(doc_ids))
+        order = np.lexsort((ties, doc_ids)) if any(wide) else np.arange(len(doc_ids))
         for i in order.tolist():
             mine = range(int(at[i]), int(at[i + 1]))
             if not mine:
@@ -207,36 +219,38 @@ def contexts(joined: DataFrame, kind: Symbols) -> DataFrame:
             if words:
                 start, end, _ = find_words(piece, np.array([0, len(piece)]))
                 prefix = word_prefix(span_hashes(piece, start, end))
-                n = len(start)
             else:
-                raw, n = piece.tobytes(), len(piece)
-            for k in sorted(mine, key=pos.__getitem__):
-                p = int(pos[k])
-                s, e = max(0, p - kind.reach), min(n, p + size)
-                many = min(p, e - size) - s + 1
-                if many <= 0:
-                    continue
+                raw = piece.tobytes()
+            for k in sorted(mine, key=starts.__getitem__):
+                s, n = starts[k], many[k]
                 if words:
-                    begins = np.arange(s, s + many)
+                    begins = np.arange(s, s + n)
                     payload = word_spans(prefix, begins, begins + size).tobytes()
                 else:
-                    payload = raw[s:e]
+                    payload = raw[s : s + n - 1 + size]
                 if not wide[k]:
-                    out.append((int(key[k]), doc, tie, s, many, payload))
+                    out.append((key[k], doc, tie, s, n, payload))
                     continue
-                for j in range(many):
+                run = 0  # stretches in a row that the batch has seen
+                for j in range(n):
                     one_ = payload[8 * j : 8 * j + 8] if words else payload[j : j + size]
                     own = int.from_bytes(one_, "little", signed=True) if words else hash_of(one_)
                     first = seen.setdefault(own, (doc, tie, s + j))
                     if first[0] < doc or not kind.by_document and first != (doc, tie, s + j):
-                        out.append((hash_of(b"%d %d" % (doc, s + j)), doc, tie, s + j, 1, None))
-                    elif words:
+                        run += 1
+                        continue
+                    if run:
+                        out.append((hash_of(b"%d %d" % (doc, s + j)), doc, tie, s + j - run, run, None))
+                        run = 0
+                    if words:
                         places.setdefault(own, {})[s + j] = one_
                     else:
                         out.append((own, doc, tie, s + j, 1, one_))
+                if run:
+                    out.append((hash_of(b"%d %d" % (doc, s + n)), doc, tie, s + n - run, run, None))
             # what a document repeats itself is one row with all its places
-            for own, starts in places.items():
-                at_, (one_, *_) = sorted(starts), starts.values()
+            for own, found in places.items():
+                at_, (one_, *_) = sorted(found), found.values()
                 out.append((own, doc, tie, at_[0], 1, one_ + np.array(at_[1:], np.int32).tobytes()))
         if not out:
             return None
@@ -264,7 +278,7 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
     width = 8 if kind.name == "words" else 1
 
     def decide(rows: list[tuple]) -> pa.RecordBatch | None:
-        out = [(doc, tie, start, kind.length) for _, doc, tie, start, _, payload in rows if payload is None]
+        out = [(doc, tie, start, n - 1 + kind.length) for _, doc, tie, start, n, payload in rows if payload is None]
         rows = [r for r in rows if r[5] is not None]
         if rows:
             keys = np.array([r[0] for r in rows])
@@ -294,12 +308,8 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
             held = 0
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if rows and row[:3] == rows[-1][:3] and (known := rows[-1][3] + rows[-1][4] - row[3]) > 0:
-                        if known >= row[4]:
-                            continue
-                        # contexts of one document overlap: a place is settled once
-                        key, doc, tie, start, n, payload = row
-                        row = (key, doc, tie, start + known, n - known, payload[known * width :])
+                    if rows and row[:4] == rows[-1][:4]:
+                        continue  # one row of the input twice
                     if held >= AT_ONCE and row[0] != rows[-1][0]:
                         out = decide(rows)
                         if out is not None:
@@ -314,24 +324,24 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
 
 
 def marked(docs: DataFrame, kind: Symbols, covered_stretches, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, covered, spans`` of every row: anchors whose context is covered, and covered spans."""
+    """``doc_id, text, spans`` of every row: the spans that are covered, in symbols."""
     spark = ready(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     at = scratch(spark, "repeats")
     matched(rows, kind).write.parquet(f"{at}/matched")
-    match = spark.read.schema("doc long, tie int, covered array<int>, need array<struct<pos:int,key:long,wide:boolean>>").parquet(f"{at}/matched")
+    span = "array<struct<start:int,length:int>>"
+    match = spark.read.schema(f"doc long, tie int, covered {span}, need array<struct<start:int,n:int,key:long,wide:boolean>>").parquet(f"{at}/matched")
     by_doc = rows.repartition("doc", "tie")
     need = match.filter(F.size("need") > 0).select("doc", "tie", "need")
     settle(contexts(by_doc.join(need, ["doc", "tie"]), kind), kind, covered_stretches).groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "length")).alias("spans")).write.parquet(f"{at}/spans")
-    spans = spark.read.schema("doc long, tie int, spans array<struct<start:int,length:int>>").parquet(f"{at}/spans")
+    spans = spark.read.schema(f"doc long, tie int, spans {span}").parquet(f"{at}/spans")
     both = match.select("doc", "tie", "covered").join(spans, ["doc", "tie"], "full")
-    return by_doc.join(both, ["doc", "tie"], "left").select("doc_id", "text", F.coalesce("covered", F.array().cast("array<int>")).alias("covered"), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
-
+    none = F.array().cast(span)
+    return by_doc.join(both, ["doc", "tie"], "left").select("doc_id", "text", F.concat(F.coalesce("covered", none), F.coalesce("spans", none)).alias("spans"))
 
-def marks(kind: Symbols, batch: pa.RecordBatch, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of all covered spans of row i, in symbols; n: how many the document has."""
-    pos = batch.column("covered")[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-    more = batch.column("spans")[i].values
-    start, length = (more.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-    return np.concatenate([np.maximum(0, pos - kind.reach), start]), np.concatenate([np.minimum(n, pos + kind.length), start + length])
 
+def marks(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the covered spans of row i, in symbols."""
+    spans = batch.column("spans")[i].values
+    start, length = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+    return start, start + length

@@ -52,7 +52,7 @@ def drop_repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         out = []
         for i, text in enumerate(batch.column("text").cast(pa.binary())):
             words = text.as_py().split()  # cuts bytes at the six ASCII characters
-            start, end = marks(kind, batch, i, len(words))
+            start, end = marks(batch, i)
             n = len(words)
             if len(start):
                 words = [w for w, gone in zip(words, covered(start, end, n).tolist(), strict=True) if not gone]

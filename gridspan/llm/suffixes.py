@@ -103,7 +103,7 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         out = []
         for i, text in enumerate(batch.column("text").cast(pa.binary())):
             raw = text.as_py()
-            start, end = marks(kind, batch, i, len(raw))
+            start, end = marks(batch, i)
             if len(start):
                 gone = covered(start, end, len(raw))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
