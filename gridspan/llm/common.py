@@ -27,6 +27,9 @@ IS_SPACE[list(SPACES)] = True
 #: Bytes hashed at a time; bounds the scratch memory of a batch.
 SLICE = 1 << 20
 
+#: Bytes of an Arrow batch: a worker holds a few times that.
+BATCH_BYTES = 16 << 20
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD_MULTIPLIER = 0xD1342543DE82EF95
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,6 +55,7 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
