@@ -6,6 +6,7 @@ numpy passes instead of a Python loop over characters.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -210,14 +211,33 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], e[np.concatenate([first[1:] - 1, [len(s) - 1]])]
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow of a function over batches; a worker gives back the memory that its task used."""
+
+    def tidy(batches):
+        with np.errstate(over="ignore"):
+            yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_batch(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with a function from RecordBatch to RecordBatch (or None)."""
+    """in_arrow with a function from RecordBatch to RecordBatch (or None)."""
 
     def run(batches):
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                out = function(batch)
-                if out is not None:
-                    yield out
+        for batch in batches:
+            out = function(batch)
+            if out is not None:
+                yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, doc_rows, ready, table
+from .common import by_batch, doc_rows, in_arrow, ready, table
 
 # Fixed values of the format and of the stored payload.
 CAPTURE = b"OggS"
@@ -225,7 +225,7 @@ def ogg_packets(media: DataFrame, id_col: str, content_col: str) -> DataFrame:
                     cols = [pa.array([r[k] for r in part], schema.field(k).type) for k in range(6)]
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0).slice(i, 1)] * len(part)), *cols], names=["id", *schema.names])
 
-    return media.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).mapInArrow(run, f"id {kind}, serial long, number long, granule long, seconds double, data binary, problem string")
+    return in_arrow(media.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")), run, f"id {kind}, serial long, number long, granule long, seconds double, data binary, problem string")
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

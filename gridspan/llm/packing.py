@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_rows, ready, scratch, table
+from .common import doc_rows, in_arrow, ready, scratch, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return doc_rows(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return in_arrow(doc_rows(docs, id_col, text_col), run, PIECES)
 
 
 # -- the linear program -----------------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import IS_SPACE, by_batch, doc_rows, find_words, groups_of, merged, mixed, per_doc, ready, span_hashes, table, utf8
+from .common import IS_SPACE, by_batch, doc_rows, find_words, groups_of, in_arrow, merged, mixed, per_doc, ready, span_hashes, table, utf8
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -135,7 +135,7 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs``, unchanged and with all columns, that pass every rule."""
     ready(docs.sparkSession)
     both = docs.withColumns({"__id": docs[id_col].cast("long"), "__text": docs[text_col].cast("string")})
-    return both.mapInArrow(lambda batches: (_clean(b) for b in batches), both.schema).select(*[f"`{c}`" for c in docs.columns])
+    return in_arrow(both, lambda batches: (_clean(b) for b in batches), both.schema).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import winnow
-from .common import SLICE, by_batch, byte_prefix, byte_spans, find_words, groups_of, mixed, ready, scratch, span_hashes, utf8, word_prefix, word_spans
+from .common import SLICE, by_batch, byte_prefix, byte_spans, find_words, groups_of, in_arrow, mixed, ready, scratch, span_hashes, utf8, word_prefix, word_spans
 
 #: Contexts of one anchor that are settled together; beyond, stretches are grouped by content.
 WIDE = 2000
@@ -320,7 +320,7 @@ def settle(found: DataFrame, kind: Symbols, covered_stretches: Callable[[list[by
             if rows and (out := decide(rows)) is not None:
                 yield out
 
-    return found.repartition("key").sortWithinPartitions("key", "doc", "tie", "start").mapInArrow(run, SPANS)
+    return in_arrow(found.repartition("key").sortWithinPartitions("key", "doc", "tie", "start"), run, SPANS)
 
 
 def marked(docs: DataFrame, kind: Symbols, covered_stretches, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

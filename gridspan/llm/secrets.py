@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, doc_rows, ready, table
+from .common import by_batch, doc_rows, in_arrow, ready, table
 
 # Fixed values of the base scan: letters of the key words in either case, all else as it is.
 ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -158,7 +158,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 new.append(redacted(text, spans) if spans else text)
             yield batch.set_column(batch.num_columns - 1, "__text", pa.array(new, pa.string()))
 
-    out = one.mapInArrow(run, one.schema)
+    out = in_arrow(one, run, one.schema)
     changed = ~F.col("__text").eqNullSafe(F.col(f"`{text_col}`"))
     columns = []
     for c in docs.columns:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, scratch, table
+from .common import in_arrow, ready, scratch, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that carries an archive's dictionary
@@ -164,7 +164,7 @@ def write_archives(planned: DataFrame) -> DataFrame:
         if records:
             yield flush()
 
-    return planned.mapInArrow(run, ARCHIVES)
+    return in_arrow(planned, run, ARCHIVES)
 
 
 def _page_of(record_id: str) -> int | None:
@@ -198,7 +198,7 @@ def read_archives(archives: DataFrame, id_col: str = "archive_id", content_col:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    return archives.select(F.col(id_col).cast("string").alias("__name"), F.col(content_col).alias("__content")).mapInArrow(run, RECORDS)
+    return in_arrow(archives.select(F.col(id_col).cast("string").alias("__name"), F.col(content_col).alias("__content")), run, RECORDS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
