@@ -52,7 +52,10 @@ def _with_lanes_of(schedules: DataFrame, education: str, credits: list[int]) ->
     own = F.filter("lanes", lambda x: x["education"] == education)
     lower = F.filter("lanes", lambda x: x["place"] < EDUCATION_ORDER[education])
     wanted = F.array(*[F.lit(c).cast("int") for c in credits])
-    out = schedules.withColumns({"__own": own, "__had": F.transform(own, lambda x: x["credits"]), "__lower": _best(lower)}).withColumn("__wanted", F.array_except(wanted, "__had"))
+    had = F.transform(own, lambda x: x["credits"])
+    # what is used several times comes out of a generator, for the planner would write it out each time
+    helped = F.struct(own.alias("__own"), had.alias("__had"), _best(lower).alias("__lower"), F.array_except(wanted, had).alias("__wanted"))
+    out = schedules.select(*SCHEDULE, "lanes", F.inline(F.array(helped)))
 
     def lane(c: Column) -> Column:
         below = F.filter("__own", lambda x: x["credits"] < c)
@@ -64,7 +67,7 @@ def _with_lanes_of(schedules: DataFrame, education: str, credits: list[int]) ->
 
     fits = (F.size("__own") > 0) | F.col("__lower").isNotNull()
     new = F.when(fits, F.transform("__wanted", lane)).otherwise(F.filter("lanes", lambda x: F.lit(False)))
-    return out.withColumn("lanes", F.concat("lanes", new)).drop("__own", "__had", "__wanted", "__lower")
+    return out.select(*SCHEDULE, F.explode(F.array(F.concat("lanes", new))).alias("lanes"))
 
 
 def spread(schedules: DataFrame, max_step: int) -> DataFrame:

@@ -561,10 +561,10 @@ def rank_ramp(spark, sf_dir):
     return compare.colours(_compared(spark, sf_dir)).select("rank", "district_id", F.round("position", 6).alias("position"), "red", "green", "blue")
 
 
-@query(f"WITH {CELLS} SELECT education, credits, step, CAST(min(salary) AS DOUBLE) AS min_salary, CAST(max(salary) AS DOUBLE) AS max_salary, round(avg(CAST(salary AS DOUBLE)), 2) AS avg_salary, CAST(round(median(CAST(salary AS DOUBLE)) * 200) AS BIGINT) AS median_half_cents, count(*) AS n FROM cells GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT education, credits, step, CAST(min(salary) AS DOUBLE) AS min_salary, CAST(max(salary) AS DOUBLE) AS max_salary, CAST(sum(salary * 100) AS BIGINT) AS total_cents, CAST(round(median(CAST(salary AS DOUBLE)) * 200) AS BIGINT) AS median_half_cents, count(*) AS n FROM cells GROUP BY ALL")
 def heat_stats_median(spark, sf_dir):
     out = compare.statistics(fixtures.cells(spark, sf_dir), "education", "credits", "step")
-    return out.select("education", "credits", "step", money("min_salary"), money("max_salary"), F.round("avg_salary", 2).alias("avg_salary"), F.round(F.col("median_salary") * 200).cast("long").alias("median_half_cents"), "n")
+    return out.select("education", "credits", "step", money("min_salary"), money("max_salary"), F.round(F.col("avg_salary") * F.col("n") * 100).cast("long").alias("total_cents"), F.round(F.col("median_salary") * 200).cast("long").alias("median_half_cents"), "n")
 
 
 @query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells ORDER BY cells.salary DESC, school_year, district_id, period, education, credits, step LIMIT 25")

@@ -28,7 +28,7 @@ def district_file(spark: SparkSession, path: str) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(kind).alias("kind"), F.coalesce(c, F.array().cast(f"array<{SOURCE_DISTRICT}>")).alias("list")) for k, (c, kind) in enumerate(CATEGORIES.items())])
     rows = raw.select(F.explode(parts).alias("p")).select("p.no", "p.kind", F.posexplode("p.list").alias("pos", "d"))
     name = F.trim("d.district")
-    return rows.filter(name != "").select((F.col("no") * 1_000_000 + F.col("pos")).alias("pos"), name.alias("name"), F.coalesce("d.address", F.lit("")).alias("main_address"), F.coalesce("d.district_url", F.lit("")).alias("district_url"), F.coalesce(F.lower("d.type"), "kind").alias("district_type"), F.filter(F.transform(F.coalesce("d.members", F.array().cast("array<string>")), F.trim), lambda t: t != "").alias("towns"))
+    return rows.filter(name != "").select((F.col("no") * 1_000_000 + F.col("pos")).alias("pos"), name.alias("name"), F.coalesce("d.address", F.lit("")).alias("main_address"), F.coalesce("d.district_url", F.lit("")).alias("district_url"), F.coalesce(F.lower("d.type"), "kind").alias("district_type"), F.filter(F.transform(F.coalesce("d.members", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "").alias("towns"))
 
 
 def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
