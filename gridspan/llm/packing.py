@@ -19,8 +19,9 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and parts of chunks, whose ids a worker keeps.
 CACHED = 400_000
-#: Rounds of multiplicative weights, their step, and the share of the best price that a pattern needs.
-ROUNDS, STEP, NEAR_BEST = 40, 0.02, 0.998
+#: Rounds of multiplicative weights, and pairs of their step and the share of the best price that a pattern needs.
+ROUNDS = 40
+SETTINGS = ((0.02, 0.998), (0.3, 0.95))
 BUCKETS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -146,7 +147,7 @@ def _pattern(last: np.ndarray, room: int, first: int) -> dict[int, int]:
     return found
 
 
-def fractional_patterns(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, near_best: float = NEAR_BEST) -> list[tuple[dict[int, int], float]]:
+def fractional_patterns(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = SETTINGS[0][0], near_best: float = SETTINGS[0][1]) -> list[tuple[dict[int, int], float]]:
     """A near-optimal solution of the configuration program: (pattern, how many sequences have it).
 
     Every length's count is to be covered by the patterns that hold it. A length's weight
@@ -209,16 +210,29 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[in
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns and numbers that hold every piece exactly once: the program rounded down, the rest by best fit."""
-    left = counts.astype(np.int64).copy()
-    out = []
-    for pattern, x in sorted(fractional_patterns(counts, capacity), key=lambda p: -p[1]):
-        n = min(int(x + 1e-9), *(int(left[length]) // m for length, m in pattern.items()))
-        if n > 0:
-            for length, m in pattern.items():
-                left[length] -= n * m
-            out.append((pattern, n))
-    return out + best_fit(left, capacity)
+    """Patterns and numbers that hold every piece exactly once: the program rounded down, the rest by best fit.
+
+    Rounding loses where short pieces are spent on each other that long ones will need. So
+    the program is solved with SETTINGS and rounded with all its patterns, and with those
+    only that hold a piece of a quarter or half of the capacity; the fewest sequences win.
+    """
+    best: list[tuple[dict[int, int], int]] = []
+    fewest = -1
+    for step, near_best in SETTINGS:
+        patterns = sorted(fractional_patterns(counts, capacity, step=step, near_best=near_best), key=lambda p: -p[1])
+        for least in (1, capacity // 4, capacity // 2):
+            left, out = counts.astype(np.int64).copy(), []
+            for pattern, x in patterns:
+                n = min(int(x + 1e-9), *(int(left[length]) // m for length, m in pattern.items()))
+                if n > 0 and max(pattern) >= least:
+                    for length, m in pattern.items():
+                        left[length] -= n * m
+                    out.append((pattern, n))
+            out += best_fit(left, capacity)
+            total = sum(n for _, n in out)
+            if fewest < 0 or total < fewest:
+                best, fewest = out, total
+    return best
 
 
 # -- on Spark ---------------------------------------------------------------------------------

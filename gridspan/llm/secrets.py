@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -22,23 +24,30 @@ KINDS = ("assign", "access", "hex", "novel")
 
 # Parameters of the novelty scan.
 #: A candidate is a run of these characters, of this length, and has a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "auth", "bearer", "signature")
-#: Characters before and after a candidate that prime the dictionary; sensitive words are sought in those before.
+#: Characters before and after a candidate that it is measured against, and characters from a sensitive word to it.
 BEFORE, AFTER = 256, 128
 NEAR = 48
-#: Compressed bytes a character that count as incompressible: random letters and digits need 0.75.
-LEAST_RATE = 0.6
-IDENTIFIERS = " ".join(
+#: Compressed bytes a character that count as incompressible: identifiers of words need 0.2 to 0.7, random hex 0.8 to 0.9, random letters and digits 0.9 to 1.
+LEAST_RATE = 0.8
+IDENTIFIERS = (
     "public private protected static final class function return const let var import export default async await def self None True False null true false "
     "string String integer boolean object Object value values key keys name names id ids index item items list array map config configuration settings options params "
     "request response header headers body content type length size count total result results error errors message status code data user users account client server "
     "session cookie url uri path file files directory host port database query table column row rows insert update delete select from where order group by limit "
-    "password passwd secret token access_token refresh_token api_key apikey client_secret client_id access_key private_key public_key credentials authorization bearer signature "
-    "https://www.example.com/ http://localhost:8080/ application/json text/html utf-8 Content-Type Authorization: Bearer "
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 0123456789abcdef".split(" ")
-).encode()
-LEVEL = 3
+    "password passwd secret token access refresh api apikey client credentials authorization bearer signature private public "
+    "https www example com http localhost application json text html utf Content Type Authorization Bearer"
+).split()
+PROSE = (
+    "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their "
+    "said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its "
+    "who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good "
+    "new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take "
+    "why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own "
+    "under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world"
+).split()
+LEVEL, DICTIONARY_BYTES, SAMPLES = 3, 8192, 3000
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
@@ -64,15 +73,27 @@ def _place(span: tuple[int, int, str]) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
-    """Compressed bytes a character that the candidate adds to its surroundings.
+@functools.lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    """Primed with a dictionary trained on made-up identifiers, code and prose, always the same.
 
-    The dictionary holds common identifiers and the text around the candidate; the frame
-    that an empty input makes is taken off.
+    Besides strings to refer to, such a dictionary has codes for letters, without which short
+    texts aren't compressed at all.
     """
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    tool = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return (len(tool.compress(candidate.encode())) - len(tool.compress(b""))) / max(1, len(candidate))
+    rng = random.Random(1)
+    samples = []
+    for _ in range(SAMPLES):
+        words = rng.choices(rng.choice((IDENTIFIERS, PROSE)), k=rng.randint(2, 5))
+        joined_by = ("_".join(words), "".join(w.capitalize() for w in words), "-".join(words), " ".join(words) + ". ", ".".join(words) + str(rng.randint(0, 2030)))
+        samples.append(rng.choice(joined_by).encode())
+    primed = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def novelty(candidate: str, before: str, after: str) -> float:
+    """Compressed bytes a character that the candidate adds to its surroundings, under the primed dictionary."""
+    tool, b, a = _compressor(), before.encode(), after.encode()
+    return (len(tool.compress(b + candidate.encode() + a)) - len(tool.compress(b + a))) / max(1, len(candidate))
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

@@ -38,3 +38,51 @@ def repeated_windows(docs, length=50):
         kept = [w for w, g in zip(words, gone) if not g]
         out[doc] = (len(words), sum(gone), sha(" ".join(kept).encode()))
     return out
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def near_classes(docs, least=0.8):
+    """docs: (doc_id, text). doc_id -> smallest id of its class, by comparing all pairs."""
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, ta) in enumerate(docs):
+        for b, tb in docs[:i]:
+            wa, wb = WORDS.findall(ta or ""), WORDS.findall(tb or "")
+            same = (ta or "") == (tb or "")
+            if same or wa and wb and distance(wa, wb) <= (1 - least) * max(len(wa), len(wb)) + 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d, _ in docs}
+
+
+def base_secrets(text):
+    out = []
+    for kind, pattern, group, least in (("assign", r"(?ai)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?((?-i:[A-Za-z0-9+/_.=-]+))", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)):
+        out += [(m.start(), ["assign", "access", "hex"].index(kind), m.end(), kind) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return [(s, e, k) for s, _, e, k in sorted(out)]
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    words = WORDS.findall(text)
+    windows = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    gone = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(8)}
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(gone), n < 20 or 100 * len(gone) > 30 * n
