@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, ready, scratch, table
 
 SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2.0
 SEED = "mix"
@@ -49,6 +49,20 @@ def source_targets(sized: DataFrame, share: float = SHARE, weights: Sequence[flo
     )
 
 
+def written_targets(sized: DataFrame, share: float, weights: Sequence[float], most: float) -> DataFrame:
+    """source_targets as a written table: ``mixed_source, source_size, target, mix_rate``.
+
+    A row per source, read back with its size known: the planner broadcasts it while that is
+    below ``spark.sql.autoBroadcastJoinThreshold``, so that documents aren't shuffled by a hot
+    source, and joins by shuffle beyond.
+    """
+    spark = ready(sized.sparkSession)
+    place = scratch(spark, "targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    source_targets(sized, share, weights, most).select(F.col("source").alias("mixed_source"), "source_size", "target", rate.alias("mix_rate")).coalesce(1).write.parquet(place)
+    return spark.read.schema("mixed_source string, source_size long, target double, mix_rate double").parquet(place)
+
+
 def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
     whole = F.floor(rate)
     return (whole + F.when(draw(key, seed) < rate - whole, 1).otherwise(0)).cast("int")
@@ -63,15 +77,13 @@ def mix_sources(docs: DataFrame, share: float = SHARE, weights: Sequence[float]
     target 0 and no copies. Rows with one id are drawn alike, a null id like any other; an
     empty table gives no rows. Other columns are not read.
 
-    Only sums by source meet in one place: they are aggregated before the shuffle, and the
-    join with them splits a hot source (adaptive join) or needs no shuffle at all.
+    Only sums by source meet in one place: they are aggregated before the shuffle.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(sized, share, weights, most).withColumnRenamed("source", "mixed_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = written_targets(sized, share, weights, most)
     return (
         sized.join(targets, F.col("source").eqNullSafe(F.col("mixed_source")))
-        .withColumn("copies", copies(rate, F.col("doc_id"), seed))
+        .withColumn("copies", copies(F.col("mix_rate"), F.col("doc_id"), seed))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
@@ -82,7 +94,7 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, weights: Sequence[flo
     The rows stay where they are read; only the sums by source are joined to them.
     """
     sized = docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(sized, share, weights, most).select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__mix_rate"))
+    targets = written_targets(sized, share, weights, most).select(F.col("mixed_source").alias("__mix_source"), F.col("mix_rate").alias("__mix_rate"))
     return (
         docs.join(targets, docs[source_col].cast("string").eqNullSafe(F.col("__mix_source")))
         .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__mix_rate"), docs[id_col], seed))))
