@@ -182,12 +182,21 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, path: str | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, probabilities) from ``sample`` rows of each language, picked by a hash of their id.
 
-    Only rows outside the held-out third with a language and a text are picked. The picked
-    ids, ``sample`` a language, are a bounded list; the driver gets the words of those rows, counted.
+    Only rows outside the held-out third with a language and a text are picked: of each
+    language those of smallest draw. Its rows are counted first, so that some four times the
+    sample, and not all of a language, meet to be ranked. The picked ids, ``sample`` a
+    language, are a bounded list; the driver gets the words of those rows, counted.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(place)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
+    # a row's draw in [0, 1); per language, draws below some four times the wanted share hold the smallest ones
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    counts = rows.groupBy("lang").count().collect()
+    if not counts:
+        return [], np.zeros((1, 0))
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 4 * sample / n))])[F.col("lang")]
+    place = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    few = rows.select("doc_id", "lang", draw.alias("draw")).filter(F.coalesce("draw", F.lit(0.0)) < share + F.lit(1e-12))
+    picked = few.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= sample).select("doc_id", "lang").distinct()
     chosen = rows.join(F.broadcast(picked), ["doc_id", "lang"])
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count().collect()
     langs = sorted({r["lang"] for r in words})
