@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import importable
+
 LANE = re.compile(r"\b(?:(BA|MA|B|M)(?:\s*\+\s*(\d+))?|(DOC|PHD|EDD))\b", re.I)
 MARKER = re.compile(r"^\d{1,2}(?:[-/]\d{1,2})?$")
 AMOUNT = re.compile(r"^\$?\d[\d,]*(?:\.\d{1,2})?$")
@@ -88,4 +90,5 @@ def parse_tables(docs: DataFrame, parser=rows_of, id_col: str = "doc_id", text_c
             out = [(doc, lane, step, salary, pos) for doc, text in zip(frame[id_col], frame[text_col], strict=True) for pos, (lane, step, salary) in enumerate(parser(text))]
             yield pd.DataFrame(out, columns=["doc_id", "lane", "step", "salary", "pos"])
 
+    importable(docs.sparkSession)
     return docs.select(id_col, text_col).mapInPandas(run, PARSED)
