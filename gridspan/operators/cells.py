@@ -118,3 +118,35 @@ def highlight(filled: DataFrame, education: str, credits: int, step: int) -> Dat
     at = filled.filter((F.col("education") == education) & (F.col("credits") == credits) & (F.col("step") == step))
     root = lambda name: F.when(F.col("is_calculated"), F.col(f"is_calculated_from.{name}")).otherwise(F.col(name))
     return at.select(*SCHEDULE, root("education").alias("education"), root("credits").alias("credits"), root("step").alias("step"), "salary")
+
+
+def copy_lane(cells: DataFrame, old: tuple[str, int], new: tuple[str, int]) -> DataFrame:
+    """Adds a lane with another one's values; cells that the new lane has already stay."""
+    at = lambda lane: (F.col("education") == lane[0]) & (F.col("credits") == lane[1])
+    copied = cells.filter(at(old)).withColumns({"education": F.lit(new[0]), "credits": F.lit(new[1]).cast("int")})
+    have = cells.filter(at(new)).select(*SCHEDULE, "step")
+    return cells.unionByName(copied.join(have, [*SCHEDULE, "step"], "left_anti"))
+
+
+def relabel_lane(cells: DataFrame, old: tuple[str, int], new: tuple[str, int]) -> DataFrame:
+    hit = (F.col("education") == old[0]) & (F.col("credits") == old[1])
+    return cells.withColumns({"education": F.when(hit, new[0]).otherwise(F.col("education")), "credits": F.when(hit, new[1]).otherwise(F.col("credits")).cast("int")})
+
+
+def delete_lane(cells: DataFrame, lane: tuple[str, int]) -> DataFrame:
+    return cells.filter((F.col("education") != lane[0]) | (F.col("credits") != lane[1]))
+
+
+def check_lane(education: str, credits: int, step: int, max_step: int, credits_on_offer: list[int]) -> None:
+    """Parameters of a comparison against the maxima; ValueError says what is wrong."""
+    if education not in EDUCATION_ORDER:
+        raise ValueError(f"education must be one of {', '.join(EDUCATION_ORDER)}")
+    if not 1 <= step <= max_step:
+        raise ValueError(f"step must be from 1 to {max_step}")
+    if credits not in credits_on_offer:
+        raise ValueError(f"credits must be one of {', '.join(map(str, sorted(credits_on_offer)))}")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON object."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))

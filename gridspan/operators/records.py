@@ -67,10 +67,9 @@ def split_valid(records: DataFrame, errors: Column) -> tuple[DataFrame, DataFram
 def match_names(names: DataFrame, districts: DataFrame, name: str = "name") -> DataFrame:
     """``district_id`` and ``match`` (exact, partial, none) for each distinct name.
 
-    Equal after folding; for the others the first district, by its place, whose name contains
-    the name or is contained in it. The pairing for partial matches is by shared words, as a
-    hash join: of two names one containing the other share the first or the last word of the
-    shorter, unless it is cut inside words, which only unmatched leftovers compare.
+    Equal after folding; for the others the first district, by id, whose name contains the
+    name or is contained in it. Equal names meet in a hash join; only names without an equal
+    are compared with every district, which is why distinct names come first.
     """
     key = F.lower(F.trim(F.col(name)))
     want = names.select(F.col(name).alias("given"), key.alias("key")).distinct()
@@ -78,7 +77,6 @@ def match_names(names: DataFrame, districts: DataFrame, name: str = "name") -> D
     first = have.groupBy("own").agg(F.min("district_id").alias("district_id"))
     exact = want.join(first, F.col("key") == F.col("own"), "left").select("given", "key", "district_id")
     rest = exact.filter("district_id IS NULL AND key <> ''").select("given", "key")
-    # what is left is few names against a dimension: a nested-loop join of the short side
     contains = rest.join(have, F.col("own").contains(F.col("key")) | F.col("key").contains(F.col("own")))
     partial = contains.groupBy("given").agg(F.min("district_id").alias("partial_id"))
     return exact.join(partial, "given", "left").select(F.col("given").alias("name"), F.coalesce("district_id", "partial_id").alias("district_id"), F.when(F.col("district_id").isNotNull(), "exact").when(F.col("partial_id").isNotNull(), "partial").otherwise("none").alias("match"))

@@ -38,10 +38,10 @@ def to_records(tables: DataFrame, lanes: DataFrame) -> DataFrame:
     Each row is unpivoted against the header by place; labels find their lane in ``lanes``
     (label, education, credits); unknown labels and values out of range are dropped.
     """
-    rows = tables.select("doc_id", F.col("rows")[0].alias("header"), F.posexplode(F.slice("rows", 2, 100000)).alias("row_no", "row"))
+    rows = tables.select("doc_id", F.col("rows")[0].alias("header"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_no", "row"))
     cells = rows.select("doc_id", "row_no", F.col("row")[0].alias("step_text"), F.posexplode(F.arrays_zip(F.col("header").alias("label"), F.col("row").alias("value"))).alias("col_no", "cell")).filter("col_no > 0")
     parsed = cells.select("doc_id", "row_no", "col_no", extract_step(F.col("step_text")).alias("step"), F.upper(F.trim("cell.label")).alias("label"), parse_salary(F.col("cell.value")).alias("salary"))
-    return parsed.filter("step IS NOT NULL AND salary IS NOT NULL").join(F.broadcast(lanes), "label").select("doc_id", "education", "credits", "step", "salary", (F.col("row_no") * 1000 + F.col("col_no")).alias("pos"))
+    return parsed.filter("step IS NOT NULL AND salary IS NOT NULL").join(F.broadcast(lanes), "label").select("doc_id", "education", "credits", "step", "salary", F.struct("row_no", "col_no").alias("pos"))
 
 
 def block_grids(blocks: DataFrame, least_cells: int = 10) -> DataFrame:
@@ -67,3 +67,33 @@ def deduped_headers(headers: DataFrame) -> DataFrame:
 
     n = F.row_number().over(Window.partitionBy("table_id", "label").orderBy("pos")) - 1
     return headers.withColumn("n", n).select("table_id", "pos", F.when(F.col("n") > 0, F.concat_ws("_", "label", F.col("n").cast("string"))).otherwise(F.col("label")).alias("label"))
+
+
+def without_multipliers(rows: Column) -> Column:
+    """Of header pairs MULTIPLIER and salary only the salary columns stay, in all rows."""
+    header = F.transform(rows[0], lambda c: F.upper(F.trim(c)))
+    return F.transform(rows, lambda row: F.filter(row, lambda c, i: ~F.coalesce(F.get(header, i).contains("MULTIPLIER"), F.lit(False))))
+
+
+def alias_pairs(docs: DataFrame) -> DataFrame:
+    """Alias lines ``NAME = LANE`` of texts, ``doc_id, alias, lane``; the first definition counts."""
+    from pyspark.sql import Window
+
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    pattern = r"(?i)^\s*([A-Z][A-Z0-9 ]*?)\s*=\s*((?:BA|MA|B|M|DOC|CAGS)(?:\s*\+\s*\d+)?)\s*$"
+    named = lines.filter(F.col("line").rlike(pattern)).select("doc_id", "pos", F.upper(F.regexp_extract("line", pattern, 1)).alias("alias"), F.upper(F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\s", "")).alias("lane"))
+    first = Window.partitionBy("doc_id", "alias").orderBy("pos")
+    return named.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", "alias", "lane")
+
+
+def is_text(pages: DataFrame, first: int = 3, least: int = 100) -> DataFrame:
+    """Whether documents are text and not images: enough characters on their first pages."""
+    length = F.sum(F.when(F.col("page_no") <= first, F.length(F.trim("text"))))
+    return pages.groupBy("doc_id").agg((F.coalesce(length, F.lit(0)) > least).alias("is_text"))
+
+
+def table_year(first_cell: Column, page_year: Column) -> Column:
+    """A year named in a table's first cell, else the page's; two digits alone are a step, not a year."""
+    from ..functions.scalars import UNKNOWN, school_year
+
+    return F.coalesce(F.nullif(school_year(first_cell, two_digits=False), F.lit(UNKNOWN)), page_year)

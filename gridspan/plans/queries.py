@@ -602,6 +602,56 @@ def page_signal(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), scalars.has_salary_signal(F.col("html")).alias("signal"))
 
 
+@query(f"""WITH {CELLS}, c AS (SELECT district_id, school_year, period, 'M' AS education, CAST(15 AS INTEGER) AS credits, step, salary FROM cells WHERE education = 'B' AND credits = 15),
+a AS (SELECT * FROM cells UNION ALL SELECT c.* FROM c ANTI JOIN (SELECT * FROM cells WHERE education = 'M' AND credits = 15) h USING (district_id, school_year, period, step)),
+r AS (SELECT * REPLACE (CASE WHEN education = 'D' AND credits = 40 THEN 45 ELSE credits END AS credits) FROM a) SELECT education, CAST(credits AS INTEGER) AS credits, count(*) AS n, CAST(sum(salary) AS DOUBLE) AS total FROM r WHERE NOT (education = 'B' AND credits = 0) GROUP BY ALL""")
+def lane_edits(spark, sf_dir):
+    edited = grid.copy_lane(fixtures.cells(spark, sf_dir), ("B", 15), ("M", 15))
+    edited = grid.delete_lane(grid.relabel_lane(edited, ("D", 40), ("D", 45)), ("B", 0))
+    return edited.groupBy("education", "credits").agg(F.count(F.lit(1)).alias("n"), F.sum("salary").cast("double").alias("total"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'number' WHEN 2 THEN '' WHEN 3 THEN 'high' ELSE 'number' END AS errors FROM part")
+def edit_checks(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    text = F.when(k == 0, "999.5").when(k == 1, "12.345").when(k == 2, "50000.25").when(k == 3, "600000").otherwise("abc")
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", F.filter(checks.edit_errors(text), lambda e: ~((k == 1) & (e != "number")))).alias("errors"))
+
+
+@query("WITH r AS (SELECT l_suppkey AS doc_id, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem) SELECT doc_id, l_orderkey, l_linenumber, l_partkey FROM r WHERE n <= 3")
+def preview_records(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), "l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("pos"))
+    return records.preview(rows, 3, "doc_id").drop("pos")
+
+
+@query("WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no FROM conversations) SELECT conv_id AS doc_id, coalesce(sum(CASE WHEN page_no <= 3 THEN length(trim(text)) END), 0) > 100 AS is_text FROM p GROUP BY 1")
+def text_or_image(spark, sf_dir):
+    from pyspark.sql import Window
+
+    pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page_no"), "text")
+    return tables.is_text(pages)
+
+
+@query("""WITH h AS (SELECT p_partkey // 10 AS table_id, p_partkey % 10 AS pos, p_type AS label FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY table_id, label ORDER BY pos) - 1 AS n FROM h)
+SELECT table_id, pos, CASE WHEN n > 0 THEN label || '_' || n ELSE label END AS label FROM n""")
+def header_dedupe(spark, sf_dir):
+    return tables.deduped_headers(read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("table_id"), (F.col("p_partkey") % 10).alias("pos"), F.col("p_type").alias("label")))
+
+
+@query("SELECT s_suppkey AS doc_id, 'LANE ' || (s_suppkey % 7) AS alias, 'BA+' || (s_suppkey % 60) AS lane FROM supplier")
+def alias_map(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("notes\n lane "), (k % 7).cast("string"), F.lit(" = ba + "), (k % 60).cast("string"), F.lit("\nLANE "), (k % 7).cast("string"), F.lit(" = MA\n"))
+    return tables.alias_pairs(read(spark, sf_dir, "supplier").select(k.alias("doc_id"), text.alias("text")))
+
+
+@query(f"WITH {DISTRICTS} SELECT district_id, array_to_string(list_filter(towns[2:], lambda t: false), ',') AS added, CASE WHEN len(towns) > 0 THEN towns[1] ELSE '' END AS removed FROM districts")
+def towns_diff(spark, sf_dir):
+    rows = fixtures.districts(spark, sf_dir)
+    change = districts.towns_changed(F.col("towns"), F.slice("towns", F.lit(2), F.greatest(F.size("towns"), F.lit(1))))
+    return rows.select("district_id", change.alias("c")).select("district_id", F.concat_ws(",", "c.added").alias("added"), F.concat_ws(",", "c.removed").alias("removed"))
+
+
 # -- streams, in their batch form -------------------------------------------------------------
 
 

@@ -179,3 +179,19 @@ def test_ocr_blocks(spark):
         blocks += [(f"c{i}", "CELL", i // 2 + 1, i % 2 + 1, None, [("CHILD", [f"w{i}a", f"w{i}b"])]), (f"w{i}a", "WORD", None, None, f"a{i}", None), (f"w{i}b", "WORD", None, None, "z", None)]
     rows = tables.block_grids(spark.createDataFrame(blocks, OCR_BLOCKS)).first()["rows"]
     assert rows[0] == ["a0 z", "a1 z"] and len(rows) == 5
+
+
+def test_tables_and_years(spark):
+    rows = spark.createDataFrame([([["STEP", "MULTIPLIER", "BA", "Multiplier", "MA"], ["1", "1.0", "40,000", "1.1", "44,000"]],)], "rows array<array<string>>")
+    assert rows.select(tables.without_multipliers(F.col("rows"))).first()[0] == [["STEP", "BA", "MA"], ["1", "40,000", "44,000"]]
+    cells = spark.createDataFrame([("2024-2025", "x"), ("15", "2020-2021")], "cell string, year string")
+    assert [r[0] for r in cells.select(tables.table_year(F.col("cell"), F.col("year"))).collect()] == ["2024-2025", "2020-2021"]
+
+
+def test_parameters():
+    from gridspan.operators.cells import check_lane
+
+    check_lane("M", 30, 5, 15, [0, 30])
+    for bad in (("X", 30, 5), ("M", 31, 5), ("M", 30, 16)):
+        with pytest.raises(ValueError):
+            check_lane(*bad, 15, [0, 30])
