@@ -135,6 +135,15 @@ def test_near_duplicates(spark, texts):
     assert got[7] == got[8] == 1 and got[3] == got[2]
 
 
+def test_near_duplicates_of_hot_texts(spark, texts, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_LEAST", 1)
+    monkeypatch.setattr(minhash, "HOT_SHARE", 0.0)
+    rows = [*texts, *((300 + i, texts[0][1]) for i in range(9))]
+    got = {r.doc: r for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert {d: r.class_id for d, r in got.items()} == brute.near_classes(rows)
+    assert got[305].n_copies == 11 and got[305].n_links == got[1].n_links
+
+
 def test_near_duplicates_keep_one(spark, texts):
     docs = frame(spark, [*texts, (1, texts[0][1]), (None, texts[0][1] + " more"), (None, "alone")])
     out = minhash.keep_one(docs)
