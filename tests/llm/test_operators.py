@@ -80,16 +80,24 @@ def test_repeated_and_null_rows(spark, texts):
     assert got == [("1", 120), ("1", 120), ("2", 0), ("None", 0)]
 
 
-def test_long_text_in_parts(spark, monkeypatch):
-    from gridspan.llm import common
+def test_long_text_in_parts(monkeypatch):
+    """A document over the slice size is cut into parts that find the same stretches."""
+    rng = random.Random(1)
+    raw = np.frombuffer("".join(rng.choice("abcdefgh ") for _ in range(60_000)).encode(), np.uint8)
+    kind = repeats.Symbols("bytes", 100, 24, False)
+    off = np.array([0, len(raw)])
+
+    def found():
+        with np.errstate(over="ignore"):
+            parts = [repeats.find_seeds(kind, s) for s in repeats.sequences(kind, raw, off)]
+        return len(parts), sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts, strict=True)), strict=True))
 
+    whole = found()
     monkeypatch.setattr(repeats, "SLICE", 4096)
-    rng = random.Random(1)
-    long = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
-    rows = [(1, long), (2, long[5000:9000] + "#" + long[20000:20150])]
-    del common
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.drop_repeated_strings(frame(spark, rows)).collect()}
-    assert got == brute.repeated_strings(rows)
+    cut = found()
+    assert whole[0] == 1 and cut[0] > 10 and cut[1] == whole[1]
+    covered = sorted((start, start + n) for _, start, n, _, _ in whole[1])
+    assert covered[0][0] == 0 and covered[-1][1] == len(raw) - 99 and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
 
 
 def test_longest_previous_factors():
