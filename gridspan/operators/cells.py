@@ -150,3 +150,18 @@ def check_lane(education: str, credits: int, step: int, max_step: int, credits_o
 def as_json(rows: DataFrame) -> DataFrame:
     """Each row as one JSON object."""
     return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def edit_counts(cells: DataFrame) -> DataFrame:
+    """Edited and calculated cells per schedule, from flags ``is_edited`` and ``is_calculated``."""
+    return cells.groupBy(*SCHEDULE).agg(F.count_if("is_edited").alias("edited"), F.count_if(F.col("is_calculated") & ~F.col("is_edited")).alias("calculated"), F.count(F.lit(1)).alias("n"))
+
+
+def new_schedules(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """Of wanted schedules (district, year, period) those that don't exist yet."""
+    return wanted.join(cells.select(*SCHEDULE), SCHEDULE, "left_anti")
+
+
+def year_options(start: Column, n: int = 3) -> Column:
+    """School years from a starting year on, as an array of texts."""
+    return F.transform(F.sequence(start, start + (n - 1)), lambda y: F.concat_ws("-", y.cast("string"), (y + 1).cast("string")))

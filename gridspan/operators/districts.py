@@ -111,3 +111,8 @@ def tooltip(towns: DataFrame, districts: DataFrame, shown: int = 5) -> DataFrame
     """The first districts of each town, and how many more there are."""
     index = districts.select("name", F.explode("towns").alias("t")).groupBy(fold("t").alias("key")).agg(F.array_sort(F.collect_set("name")).alias("names"))
     return towns.withColumn("key", fold("town")).join(index, "key", "left").select("town", F.coalesce(F.slice("names", 1, shown), F.array().cast("array<string>")).alias("names"), F.greatest(F.coalesce(F.size("names"), F.lit(0)) - shown, F.lit(0)).alias("more"))
+
+
+def match_count(rows: DataFrame, types: list[str] | None = None, ids: list | None = None, towns: list[str] | None = None) -> DataFrame:
+    """How many districts a custom filter leaves."""
+    return custom_filter(rows, types, ids, towns).agg(F.count_distinct("district_id").alias("n"))

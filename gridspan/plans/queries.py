@@ -611,6 +611,23 @@ def lane_edits(spark, sf_dir):
     return edited.groupBy("education", "credits").agg(F.count(F.lit(1)).alias("n"), F.sum("salary").cast("double").alias("total"))
 
 
+@query(f"WITH {DISTRICTS} SELECT count(DISTINCT district_id) AS n FROM districts WHERE district_type IN ('municipal', 'charter') AND (district_id IN (1, 2, 3, 4, 5) OR list_contains(towns, (SELECT max(c_name) FROM customer WHERE c_nationkey = 1)))")
+def filter_match_count(spark, sf_dir):
+    town = read(spark, sf_dir, "customer").filter("c_nationkey = 1").agg(F.max("c_name")).first()[0]
+    return districts.match_count(fixtures.districts(spark, sf_dir), ["municipal", "charter"], [1, 2, 3, 4, 5], [town] if town else None)
+
+
+@query(f"WITH {CELLS} SELECT district_id, school_year, period, CAST(count_if(step % 3 = 0) AS BIGINT) AS edited, CAST(count_if(step % 2 = 0 AND step % 3 <> 0) AS BIGINT) AS calculated, count(*) AS n FROM cells GROUP BY ALL")
+def edit_counts(spark, sf_dir):
+    return grid.edit_counts(fixtures.cells(spark, sf_dir).withColumns({"is_edited": F.col("step") % 3 == 0, "is_calculated": F.col("step") % 2 == 0}))
+
+
+@query(f"WITH {CELLS}, y AS (SELECT s_suppkey AS district_id, CAST(2001 + k AS VARCHAR) || '-' || CAST(2002 + k AS VARCHAR) AS school_year, 'Full Year' AS period FROM supplier, range(0, 3) t(k)) SELECT y.* FROM y ANTI JOIN cells USING (district_id, school_year, period)")
+def schedules_to_add(spark, sf_dir):
+    wanted = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("district_id"), F.explode(grid.year_options(F.lit(2001))).alias("school_year"), F.lit("Full Year").alias("period"))
+    return grid.new_schedules(wanted, fixtures.cells(spark, sf_dir))
+
+
 @query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'number' WHEN 2 THEN '' WHEN 3 THEN 'high' ELSE 'number' END AS errors FROM part")
 def edit_checks(spark, sf_dir):
     k = F.col("p_partkey") % 5
