@@ -262,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += length * m
         first += n
     slots = spark.createDataFrame(rows, "__length long, __from long, __n long, __m long, __first long, __at long")
-    # each length's slots as one sorted array: a rank is found by binary search in it, without a range join
+    # each length's slots as one array, in which a rank finds its own without a range join; patterns, and so slots, are bounded by lengths and rounds
     by_length = slots.groupBy("__length").agg(F.sort_array(F.collect_list(F.struct("__from", "__n", "__m", "__first", "__at"))).alias("__slots"))
     within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = bucketed.withColumn("__rank", F.row_number().over(within) - 1).join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("before"))

@@ -6,6 +6,8 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -24,7 +26,10 @@ KINDS = ("assign", "access", "hex", "novel")
 
 # Parameters of the novelty scan.
 #: A candidate is a run of these characters, of this length, and has a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: Longer runs are measured in parts of so many characters: the dictionary's codes serve a short text, a long one gets codes of its own that make random letters look less novel.
+PART = re.compile(r"[A-Za-z0-9+/_=-]{1,512}")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "auth", "bearer", "signature")
 #: Characters before and after a candidate that it is measured against, and characters from a sensitive word to it.
 BEFORE, AFTER = 256, 128
@@ -103,22 +108,36 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
         low = re.sub(r"[A-Z]+", lambda m: m[0].lower(), text)
     if not any(k in low for k in SENSITIVE):
         return []
-    found = []
+    starts, ends = [a for a, _, _ in known], list(accumulate((b for _, b, _ in known), max))
+    found, done = [], 0
     for at in sorted({m.end() for k in SENSITIVE for m in re.finditer(re.escape(k), low)}):
-        for m in CANDIDATE.finditer(text, at, min(len(text), at + NEAR + 4096)):
-            if m.start() > at + NEAR:
-                break
-            s, e = m.span()
-            if e - s > 4000 or any(a < e and s < b for a, b, _ in known) or (s, e, "novel") in found:
-                continue
-            body = m[0]
-            if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
+        for m in CANDIDATE.finditer(text, max(at, done), at + NEAR + SHORTEST):
+            s = m.start()
+            before = bisect_left(starts, PART.match(text, s).end())
+            if before and ends[before - 1] > s:  # a known form covers some of it
                 continue
-            if novelty(body, text[max(0, s - BEFORE) : s], text[e : e + AFTER]) >= LEAST_RATE:
+            e = novel_until(text, s)
+            if e > s:
                 found.append((s, e, "novel"))
+                done = e
     return found
 
 
+def novel_until(text: str, start: int) -> int:
+    """Where the incompressible run from ``start`` ends, whatever its length; ``start`` if there is none."""
+    at = start
+    while part := PART.match(text, at):
+        body, end = part[0], part.end()
+        if at > start and len(body) < SHORTEST:  # what is left over of a longer run
+            return end
+        if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
+            break
+        if novelty(body, text[max(0, at - BEFORE) : at], text[end : end + AFTER]) < LEAST_RATE:
+            break
+        at = end
+    return at
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each in order."""
     base = base_spans(text)

@@ -128,6 +128,18 @@ def test_novelty():
     assert secrets.redacted(leak, secrets.scan(leak)[1]) == "Authorization: Bearer [NOVEL] and nothing more"
 
 
+def test_novelty_of_long_runs():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.choice(letters) for _ in range(9_003))
+    text = f"the private key {key} ends here"
+    assert secrets.scan(text)[1] == [(16, 16 + len(key), "novel")]
+    # a run of sensitive words alone is measured part by part and is no secret
+    assert secrets.scan("token1" * 3_000)[1] == []
+    many = " ".join(f"secret {i:06d} token: abcdef{i:06d}" for i in range(3_000))
+    assert len(secrets.base_spans(many)) == 3_000 and secrets.scan(many)[0] == secrets.scan(many)[1]
+
+
 def test_redaction_keeps_columns(spark, texts):
     docs = frame(spark, [*texts, (None, None)])
     out = secrets.redact_secrets(docs, length_col="n_chars")
