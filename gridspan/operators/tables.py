@@ -97,3 +97,9 @@ def table_year(first_cell: Column, page_year: Column) -> Column:
     from ..functions.scalars import UNKNOWN, school_year
 
     return F.coalesce(F.nullif(school_year(first_cell, two_digits=False), F.lit(UNKNOWN)), page_year)
+
+
+def unmapped_labels(tables: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Header labels that stand for no lane, ``doc_id, pos, label``: what to_records leaves out, for a reviewer."""
+    labels = tables.select("doc_id", F.posexplode(F.col("rows")[0]).alias("pos", "label")).filter("pos > 0").withColumn("label", F.upper(F.trim("label")))
+    return labels.filter("label <> ''").join(F.broadcast(lanes.select("label")), "label", "left_anti").select("doc_id", "pos", "label")

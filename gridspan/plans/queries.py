@@ -576,8 +576,8 @@ def top_k(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    """A table per supplier: a header of lanes, then a row per part size with three salaries."""
-    part = read(spark, sf_dir, "part").filter("p_size <= 40").groupBy((F.col("p_partkey") % 20).alias("doc_id"), "p_size").agg(F.max("p_retailprice").alias("v"))
+    """Twenty tables: a header of lanes, then a row per part size with three salaries; steps over 35 are for the parser to drop."""
+    part = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 20).alias("doc_id"), "p_size").agg(F.max("p_retailprice").alias("v"))
     cell = lambda k: F.concat(F.lit("$"), F.format_number(F.col("v") * 30 + k * 500, 0))
     row = F.struct("p_size", F.array(F.concat(F.lit("Step "), F.col("p_size").cast("string")), cell(0), cell(1), cell(2)).alias("r"))
     body = part.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("body"))
@@ -718,3 +718,113 @@ def progress_running(spark, sf_dir):
 def single_flight(spark, sf_dir):
     events = fixtures.job_events(spark, sf_dir)
     return jobs.may_start(events.select("job_id").distinct(), events)
+
+
+# -- text and small functions -----------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN length(CAST(l_partkey AS VARCHAR)) >= 3 THEN CAST(l_partkey AS VARCHAR) ELSE lpad(CAST(l_partkey AS VARCHAR), 3, '0') END AS padded,
+lpad(CAST(9999999999 - CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) AS VARCHAR), 10, '0') AS sort_key FROM lineitem""")
+def salary_keys(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.pad_number(F.col("l_partkey"), 3).alias("padded"), scalars.salary_key(F.col("l_extendedprice")).alias("sort_key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) IN (7, 9) THEN year(o_orderdate) || '-' || (year(o_orderdate) + 1) END AS effective,
+CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS INTEGER) AS current_start FROM orders""")
+def effective_years(spark, sf_dir):
+    text = F.concat(F.lit("Effective "), F.date_format("o_orderdate", "MMMM"), F.lit(" 1, "), F.year("o_orderdate").cast("string"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalars.effective_year(text).alias("effective"), scalars.current_start(F.col("o_orderdate")).cast("int").alias("current_start"))
+
+
+_CELL_TEXTS = ("STEP 1", "years", "12-13", "$45,000", "BA+15", "n/a", "", "Steps:", "7")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {list(_CELL_TEXTS)!r}[p_partkey % {len(_CELL_TEXTS)} + 1] AS x FROM part)
+SELECT p_partkey, x = '$45,000' AS salary, x IN ('12-13', '7') AS marker, x IN ('STEP 1', 'years', 'Steps:') AS header, x IN ('years', 'BA+15', 'n/a') AS lane_token FROM t""")
+def cell_tests(spark, sf_dir):
+    x = F.element_at(F.array(*map(F.lit, _CELL_TEXTS)), (F.col("p_partkey") % len(_CELL_TEXTS) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", scalars.is_salary(x).alias("salary"), scalars.is_step_marker(x).alias("marker"), scalars.is_step_header(x).alias("header"), scalars.is_lane_token(x).alias("lane_token"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type || '|' || p_size ELSE replace(p_type, ' ', '|') END AS tokens FROM part""")
+def row_tokens(spark, sf_dir):
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  "), "p_brand", F.lit("   "), "p_type", F.lit("\t"), F.col("p_size").cast("string"))).otherwise(F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", scalars.split_tokens(line)).alias("tokens"))
+
+
+@query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS name FROM customer")
+def file_names(spark, sf_dir):
+    path = F.concat(F.lit("contracts/2020/"), F.lower("c_mktsegment"), F.lit("_schedule_"), F.col("c_custkey").cast("string"), F.lit(".pdf"))
+    return read(spark, sf_dir, "customer").select("c_custkey", scalars.district_of_file(path).alias("name"))
+
+
+@query("SELECT p_partkey, CAST(nullif(p_size % 40, 0) AS INTEGER) AS value FROM part")
+def roman_numbers(spark, sf_dir):
+    tens, ones = F.array(*map(F.lit, ("", "x", "xx", "xxx"))), F.array(*map(F.lit, ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")))
+    n = (F.col("p_size") % 40).cast("int")
+    return read(spark, sf_dir, "part").select("p_partkey", scalars.roman(F.concat(F.get(tens, F.floor(n / 10).cast("int")), F.get(ones, n % 10))).alias("value"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) * 100 AS BIGINT) AS n FROM orders)
+SELECT o_orderkey, CAST(n // 100000 AS VARCHAR) || lpad(CAST(n // 100 % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') AS repaired, CAST(greatest(1, least(20, o_orderkey % 40 - 5)) AS INTEGER) AS step FROM c""")
+def point_repair(spark, sf_dir):
+    n = (F.col("o_totalprice").cast("decimal(14,2)") * 100).cast("long")
+    digits = lambda c, w: F.lpad(c.cast("long").cast("string"), w, "0")
+    text = F.concat_ws(".", F.floor(n / 100_000).cast("string"), digits(F.floor(n / 100) % 1000, 3), digits(n % 100, 2))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalars.repair_points(text).alias("repaired"), scalars.clamp_step(F.col("o_orderkey") % 40 - 5, F.lit(20)).cast("int").alias("step"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 9 IN (0, 1, 4, 6, 7) AS should FROM orders")
+def period_should(spark, sf_dir):
+    k = F.col("o_orderkey") % 9
+    p = F.when(k == 0, "FY").when(k == 1, "full_year").when(k == 2, " ").when(k == 3, F.lit(None)).when(k == 4, "Full-Year").when(k == 5, "10-month").when(k == 6, "FULLYEAR").when(k == 7, "fy").otherwise("Full Year")
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalars.should_normalize_period(p).alias("should"))
+
+
+@query("SELECT s_suppkey AS doc_id, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AS structure FROM supplier")
+def table_structure(spark, sf_dir):
+    k = F.col("s_suppkey")
+    row = F.array(F.when(k % 3 == 0, "Step").otherwise("x"), F.when(k % 2 == 0, "ba").otherwise("1"))
+    rows = F.array(F.array(F.lit("title"), F.lit("BA")), row)
+    return read(spark, sf_dir, "supplier").select(k.alias("doc_id"), tables.has_structure(rows).alias("structure"))
+
+
+@query("SELECT s_suppkey AS doc_id, 'STEP,BA,MA;' || s_suppkey || ',a,c' AS rows FROM supplier")
+def multiplier_columns(spark, sf_dir):
+    header = F.array(*map(F.lit, (" step", "BA", "Multiplier", "MA ")))
+    rows = F.array(header, F.array(F.col("s_suppkey").cast("string"), F.lit("a"), F.lit("1.05"), F.lit("c")))
+    kept = tables.without_multipliers(tables.trimmed(rows))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.array_join(F.transform(kept, lambda r: F.array_join(r, ",")), ";").alias("rows")).withColumn("rows", F.replace("rows", F.lit("step"), F.lit("STEP")))
+
+
+@query("SELECT s_suppkey AS doc_id, CAST(part AS INTEGER) AS part, CASE part WHEN 0 THEN 'STEP,BA;' || s_suppkey || ',b' ELSE 'Step,MA,DOC;2,m,' END AS rows FROM supplier, range(0, 2) t(part)")
+def side_tables(spark, sf_dir):
+    rows = F.array(F.array(*map(F.lit, ("STEP", "BA", "Step", "MA", "DOC"))), F.array(F.col("s_suppkey").cast("string"), F.lit("b"), F.lit("2"), F.lit("m")))
+    cut = tables.split_on_steps(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), rows.alias("rows")))
+    return cut.select("doc_id", F.col("part").cast("int").alias("part"), F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";").alias("rows"))
+
+
+@query("SELECT p_partkey AS doc_id, CAST(2 AS INTEGER) AS pos, upper(p_type) AS label FROM part")
+def unmapped_headers(spark, sf_dir):
+    rows = F.array(F.array(F.lit("STEP"), F.lit(" ma+30"), F.col("p_type"), F.lit("")))
+    return tables.unmapped_labels(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), rows.alias("rows")), lanes.lane_table(spark))
+
+
+@query(f"WITH {CELLS} SELECT district_id, CAST(count(*) AS INTEGER) AS records_count, CAST(max(salary) AS DOUBLE) AS highest, min(school_year) AS first_year FROM cells GROUP BY 1")
+def backup_documents(spark, sf_dir):
+    from ..sources import writers
+
+    made = writers.as_backups(fixtures.cells(spark, sf_dir).withColumn("district_name", F.col("district_id").cast("string")), "2024-01-01")
+    return made.select("district_id", "records_count", F.array_max("records.salary").alias("highest"), F.array_min("records.school_year").alias("first_year"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey * 10 > (SELECT 5 * max(o_orderkey) FROM orders)")
+def expiry(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") * 10).alias("ttl"))
+    return jobs.unexpired(rows, 5 * (rows.agg(F.max("o_orderkey")).first()[0] or 0)).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'old,done' ELSE 'done' END WHEN o_orderkey % 2 = 0 THEN 'old' ELSE '' END AS results FROM orders")
+def result_append(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("old"))).alias("results"))
+    return jobs.append_result(rows, "1-URGENT", F.lit("done")).select("o_orderkey", F.concat_ws(",", "results").alias("results"))
