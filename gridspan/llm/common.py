@@ -76,6 +76,16 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def by_place(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns c0, c1, ..., and those names of the wanted columns.
+
+    What keeps all columns works on these, so that no name can clash or hold odd characters;
+    ``toDF(*docs.columns)`` names them back.
+    """
+    names = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(w.lower())}" for w in wanted]
+
+
 def unsigned(c: Column) -> Column:
     """A non-negative long from a hash."""
     return c.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ready, scratch, table
+from .common import WORD_PATTERN, by_place, ready, scratch, table
 
 SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2.0
 SEED = "mix"
@@ -93,12 +93,14 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, weights: Sequence[flo
 
     The rows stay where they are read; only the sums by source are joined to them.
     """
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = written_targets(sized, share, weights, most).select(F.col("mixed_source").alias("__mix_source"), F.col("mix_rate").alias("__mix_rate"))
+    plain, (key, text, source) = by_place(docs, id_col, text_col, source_col)
+    sized = plain.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    targets = written_targets(sized, share, weights, most).select("mixed_source", "mix_rate")
     return (
-        docs.join(targets, docs[source_col].cast("string").eqNullSafe(F.col("__mix_source")))
-        .withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("__mix_rate"), docs[id_col], seed))))
-        .select(*[docs[c] for c in docs.columns])
+        plain.join(targets, F.col(source).cast("string").eqNullSafe(F.col("mixed_source")))
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("mix_rate"), F.col(key), seed))))
+        .drop("mixed_source", "mix_rate", "copy")
+        .toDF(*docs.columns)
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import IS_SPACE, by_batch, doc_rows, find_words, groups_of, in_arrow, merged, mixed, per_doc, ready, span_hashes, table, utf8
+from .common import IS_SPACE, by_batch, by_place, doc_rows, find_words, groups_of, in_arrow, merged, mixed, per_doc, ready, span_hashes, table, utf8
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -125,17 +126,18 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return by_batch(doc_rows(docs, id_col, text_col), _judge, SCHEMA)
 
 
-def _clean(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    verdict = _judge(pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__text")], names=["doc_id", "text"]))
-    keep = verdict.column("kept")
-    return batch.filter(keep)
-
-
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged and with all columns, that pass every rule."""
     ready(docs.sparkSession)
-    both = docs.withColumns({"__id": docs[id_col].cast("long"), "__text": docs[text_col].cast("string")})
-    return in_arrow(both, lambda batches: (_clean(b) for b in batches), both.schema).select(*[f"`{c}`" for c in docs.columns])
+    plain, (own_id, own_text) = by_place(docs, id_col, text_col)
+    both = plain.select("*", F.col(own_id).cast("long").alias("id"), F.col(own_text).cast("string").alias("text"))
+
+    def clean(batches):
+        for batch in batches:
+            verdict = _judge(pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["doc_id", "text"]))
+            yield batch.filter(verdict.column("kept"))
+
+    return in_arrow(both, clean, both.schema).drop("id", "text").toDF(*docs.columns)
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, doc_rows, in_arrow, ready, table
+from .common import by_batch, by_place, doc_rows, in_arrow, ready, table
 
 # Fixed values of the base scan: letters of the key words in either case, all else as it is.
 ASSIGN = re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -187,28 +187,24 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     ``length_col``, if given, is set to the new length of changed texts; all else is kept.
     """
     ready(docs.sparkSession)
-    one = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    wanted = [text_col] if length_col is None else [text_col, length_col]
+    plain, (own_text, *own_length) = by_place(docs, *wanted)
+    one = plain.withColumn("text", F.col(own_text).cast("string"))
 
     def run(batches):
         for batch in batches:
             new = []
-            for text in batch.column("__text"):
+            for text in batch.column("text"):
                 text = text.as_py()
                 spans = scan(text)[1] if text else []
                 new.append(redacted(text, spans) if spans else text)
-            yield batch.set_column(batch.num_columns - 1, "__text", pa.array(new, pa.string()))
+            yield batch.set_column(batch.num_columns - 1, "text", pa.array(new, pa.string()))
 
     out = in_arrow(one, run, one.schema)
-    changed = ~F.col("__text").eqNullSafe(F.col(f"`{text_col}`"))
-    columns = []
-    for c in docs.columns:
-        value = F.col(f"`{c}`")
-        if c == text_col:
-            value = F.col("__text")
-        elif c == length_col:
-            value = F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(value)
-        columns.append(value.alias(c))
-    return out.select(*columns)
+    for c in own_length:
+        changed = ~F.col("text").eqNullSafe(F.col(own_text))
+        out = out.withColumn(c, F.when(changed, F.length("text").cast(out.schema[c].dataType)).otherwise(F.col(c)))
+    return out.withColumn(own_text, F.col("text")).drop("text").toDF(*docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

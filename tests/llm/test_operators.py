@@ -368,6 +368,17 @@ def test_warc_damage():
     assert warc.parse_record(records[9].replace(b"xxxxxxxxx", b"xxxxyxxxx"))[2]
 
 
+@pytest.mark.parametrize("stage", [quality.keep_documents, minhash.keep_one, secrets.redact_secrets, mixing.mixed_documents])
+def test_stages_leave_columns_of_any_name_alone(spark, texts, stage):
+    """Columns that bear the names an operator uses itself, or odd ones, come out as they went in."""
+    names = ["id_", "text_", "_text_", "doc", "digest", "n", "class_id", "mixed_source", "mix_rate", "mix_copy", "size", "a.b", "c`d", "with space"]
+    docs = frame(spark, [*texts, (1, texts[0][1]), (None, None)]).select("doc_id", "text", "source", *[F.concat(F.lit(f"{x}:"), F.col("doc_id").cast("string")).alias(x) for x in names])
+    out = stage(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[x] == (None if r.doc_id is None else f"{x}:{r.doc_id}") for r in rows for x in names)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     for made in (suffixes.drop_repeated_strings(docs), seed_extend.drop_repeated_windows(docs), minhash.near_duplicates(docs), minhash.keep_one(docs), secrets.scan_secrets(docs), secrets.redact_secrets(docs), quality.judge_documents(docs), quality.keep_documents(docs), mixing.mix_sources(docs), mixing.mixed_documents(docs), packing.pack_documents(docs), ogg.media_digests(ogg.stored_texts(docs)), language.identify(docs, *language.learn(docs))):

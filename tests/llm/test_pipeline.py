@@ -3,11 +3,12 @@
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridspan.llm import mixing, packing, quality, secrets
 from tests.llm import brute
-from tests.llm.test_operators import SF, check_packing
+from tests.llm.test_operators import SF, check_packing, frame, texts  # noqa: F401
 
 
 def near(rows):
@@ -65,3 +66,17 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_odd_tables(spark, tmp_path, texts):
+    """Nulls in every column, repeated rows and a column of a clashing name; then no rows at all."""
+    docs = frame(spark, [*texts, (1, texts[0][1]), (None, None), (None, texts[10][1]), (400, texts[10][1])]).withColumn("digest", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    check_packing(rows)
+    ids = {r.doc_id for r in rows}
+    assert len(ids & {1, 7, 8}) == 1 and not ids & {2, 3, 4, 9, 10}
+    # a text of a null id comes before its copies
+    assert not ids & {11, 400}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
