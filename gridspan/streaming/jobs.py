@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import importable
+
 TERMINAL = ("completed", "failed", "deleted")
 #: Days that finished jobs are remembered.
 KEEP_DAYS = 30
@@ -45,7 +47,12 @@ STATE = "status string, processed long, succeeded long, failed long"
 
 
 def live_state(events: DataFrame, keep: str = "30 days") -> DataFrame:
-    """Streaming: the state of each job after each batch of its events; jobs are forgotten after ``keep`` without one."""
+    """Streaming: the state of each job after each batch of its events; jobs are forgotten after ``keep`` without one.
+
+    The time is wall time, for which Spark runs batches without data. A run with ``availableNow``
+    ends only where ``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
+    """
+    importable(events.sparkSession)
     ms = int(keep.split()[0]) * 86_400_000
 
     def step(key: tuple, frames, state: GroupState):

@@ -16,7 +16,9 @@ def streamed(spark, tmp_path, rows, make, mode, name):
     rows.repartition(3).write.parquet(place)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
     query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"{name}-checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    ended = query.awaitTermination(60)
+    query.stop()
+    assert ended
     return spark.table(name)
 
 
@@ -42,7 +44,11 @@ def test_first_seen(spark, tmp_path):
 
 def test_live_state_counts_all_events(spark, tmp_path):
     rows = fixtures.job_events(spark, SF)
-    got = streamed(spark, tmp_path, rows, lambda d: jobs.live_state(d), "update", "state_stream")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        got = streamed(spark, tmp_path, rows, lambda d: jobs.live_state(d), "update", "state_stream")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     most = {r.job_id: r.m for r in got.groupBy("job_id").agg(F.max("processed").alias("m")).collect()}
     assert most == {r.job_id: r["count"] for r in rows.groupBy("job_id").count().collect()}
 
