@@ -14,6 +14,10 @@ GRAM, SIMILARITY = 5, 0.8
 SKETCHES, TOGETHER = 20, 2
 #: Parts of a bucket that are linked separately first.
 SALTS = 16
+#: Members of an open bucket that meet all others in the first round, and by how much more in each further one.
+PIVOTS, MORE_PIVOTS = 16, 8
+#: An open bucket of more members is joined in so many parts.
+OPEN_LEAST, OPEN_PARTS = 256, 64
 #: A text counts as hot from this share of all rows on, and this number; its rows are joined in so many parts.
 HOT_SHARE, HOT_LEAST, HOT_PARTS = 0.001, 1000, 64
 
@@ -160,10 +164,9 @@ def sketched(rows: DataFrame) -> DataFrame:
 def candidate_pairs(sketches: DataFrame) -> DataFrame:
     """``a, b`` with a < b: each node with the first of its bucket, not all pairs.
 
-    A near pair shares a large part of its sketches: its nodes meet as first and later one in
-    some bucket, or over nodes near to both. A bucket is dealt with in SALTS parts and then
-    over the parts' first nodes, so that one that holds a large share of all nodes is not one
-    task's.
+    A bucket is dealt with in SALTS parts and then over the parts' first nodes, so that one
+    that holds a large share of all nodes is not one task's. What the first does not link,
+    ``linked_buckets`` goes on with.
     """
 
     def heads(rows: DataFrame, *by: str) -> DataFrame:
@@ -174,8 +177,8 @@ def candidate_pairs(sketches: DataFrame) -> DataFrame:
     return parts.select("node", "head").unionByName(firsts.select("node", "head")).filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose words align: ``a, b, similarity``. Texts travel as hashes of their words."""
+def words_table(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, words`` of every node of some pair, as a written table: texts travel as hashes of their words."""
 
     def words_of(batch):
         buf, off = utf8(batch.column("text"))
@@ -187,23 +190,84 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> Da
             out += [raw[4 * s : 4 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], names=["node", "words"])
 
+    spark = rows.sparkSession
+    place = scratch(spark, "words")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    by_batch(rows.select("doc", "text").hint("merge").join(wanted, "doc", "left_semi"), words_of, "node long, words binary").write.parquet(place)
+    return spark.read.schema("node long, words binary").parquet(place)
+
+
+def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose words align: ``a, b, similarity``."""
+
     def align(batch):
         a, b = batch.column("words_a"), batch.column("words_b")
         found = [alignment_similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), least) for x, y in zip(a, b, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    # only nodes of some pair go on; the join by b comes last, for a may be the first of very many
-    spark = rows.sparkSession
-    place = scratch(spark, "words")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    by_batch(rows.select("doc", "text").hint("merge").join(wanted, "doc", "left_semi"), words_of, "node long, words binary").write.parquet(place)
-    words = spark.read.schema("node long, words binary").parquet(place)
+    # the join by b comes last, for a may be the first of very many
     size_a, size_b = F.octet_length("words_a"), F.octet_length("words_b")
     both = pairs.hint("merge").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").hint("merge").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
     near = both.filter(F.least(size_a, size_b) >= F.lit(least) * F.greatest(size_a, size_b))
     return by_batch(near.select("a", "b", "words_a", "words_b"), align, "a long, b long, similarity double").filter(F.col("similarity") >= least)
 
 
+def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(edges, labels): the verified pairs and the components, ``node, label``, that they make.
+
+    Two nodes that share a bucket and are near end in one component. First each node meets
+    the first of its bucket. A bucket whose members are of several components then is open:
+    in each round a growing share of its members, its pivots, meet all members of other
+    components that have not been pivots, until all have been or one component holds them.
+    Pairs that met before, and pairs whose lengths rule them out, are not made. Rounds grow
+    with the logarithm of the largest open bucket; each is a written table.
+    """
+    spark = rows.sparkSession
+    place = scratch(spark, "links")
+    pair, edge = "a long, b long", "a long, b long, similarity double"
+    sketches.write.parquet(f"{place}/sketches")
+    sketches = spark.read.schema("key long, node long").parquet(f"{place}/sketches")
+    candidate_pairs(sketches).write.parquet(f"{place}/pairs/k=0")
+    met = spark.read.schema(pair).parquet(f"{place}/pairs/k=0")
+    words = words_table(met, rows)
+    verified(met, words, least).write.parquet(f"{place}/edges/k=0")
+    edges = spark.read.schema(edge).parquet(f"{place}/edges/k=0")
+    labels = components(edges.select("a", "b"))
+
+    # every member of a bucket of two or more is in some pair
+    sizes = words.select("node", F.octet_length("words").alias("size")).distinct()
+    named = lambda members: members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = lambda members: members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    shared = named(sketches.join(sizes, "node"))
+    share = F.xxhash64("node", F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    shared.drop("label").join(split(shared).select("key", "n"), "key").withColumn("share", share).write.parquet(f"{place}/open")
+    members = spark.read.schema("key long, node long, size int, n long, share double").parquet(f"{place}/open")
+    most = members.agg(F.max("n")).first()[0] or 0
+    k, before, pivots = 1, 0, PIVOTS
+    while before < most:
+        # members of a share below before / n have met all others of their bucket
+        rest = named(members.filter(F.col("share") * F.col("n") >= before))
+        rest = rest.join(split(rest).select("key"), "key")
+        wide = F.col("n") > OPEN_LEAST
+        part = F.when(wide, F.pmod(F.xxhash64("node"), F.lit(OPEN_PARTS)).cast("int")).otherwise(F.lit(0))
+        parts = F.when(wide, F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        some = rest.filter(F.col("share") * F.col("n") < pivots).select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("size").alias("p_size"), F.explode(parts).alias("part"))
+        alike = F.least("size", "p_size") >= F.lit(least) * F.greatest("size", "p_size")
+        crossed = rest.withColumn("part", part).join(some, ["key", "part"]).filter((F.col("label") != F.col("p_label")) & alike)
+        fresh = crossed.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        fresh.join(met, ["a", "b"], "left_anti").write.parquet(f"{place}/pairs/k={k}")
+        new = spark.read.schema(pair).parquet(f"{place}/pairs/k={k}")
+        if not new.isEmpty():
+            verified(new, words, least).write.parquet(f"{place}/edges/k={k}")
+            found = spark.read.schema(edge).parquet(f"{place}/edges/k={k}")
+            met = met.unionByName(new)
+            if not found.isEmpty():
+                edges = edges.unionByName(found)
+                labels = components(edges.select("a", "b"))
+        k, before, pivots = k + 1, pivots, pivots * MORE_PIVOTS
+    return edges, labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
@@ -234,8 +298,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     """``doc, digest, class_id, n_links, n_copies`` of every document.
 
     ``class_id`` is the smallest document of the class: documents joined by equal texts or by
-    verified links. ``n_links``: verified links of the text to other texts; ``n_copies``: rows
-    with the very same text. A link's texts are at least ``least`` alike by alignment of words.
+    verified links. ``n_links``: verified links of the text to other texts, of the pairs that
+    were compared; ``n_copies``: rows with the very same text. A link's texts are at least ``least`` alike by alignment of words.
 
     Null and empty texts are copies of each other and near nothing else. A null id gives way
     to a negative number made from the text. Rows of one id are one document and share a
@@ -243,13 +307,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     """
     spark = ready(docs.sparkSession)
     rows = identified(docs, id_col, text_col)
-    place = scratch(spark, "links")
-    candidate_pairs(sketched(rows)).write.parquet(f"{place}/pairs")
-    pairs = spark.read.schema("a long, b long").parquet(f"{place}/pairs")
-    verified(pairs, rows, least).write.parquet(f"{place}/edges")
-    edges = spark.read.schema("a long, b long, similarity double").parquet(f"{place}/edges")
+    place = scratch(spark, "classes")
+    edges, labels = linked_buckets(sketched(rows), rows, least)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = components(edges.select("a", "b")).join(degree, "node")
+    linked = labels.join(degree, "node")
     ids = rows.select("doc", "digest")
     ids.groupBy("digest").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").write.parquet(f"{place}/copies")
     copies = spark.read.schema("digest long, node long, copies long").parquet(f"{place}/copies")

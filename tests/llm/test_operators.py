@@ -175,6 +175,28 @@ def test_near_duplicates_keep_one(spark, texts):
     assert 7 not in ids and 8 not in ids
 
 
+@pytest.mark.parametrize("rounds", [False, True])
+def test_near_duplicates_whose_first_of_bucket_is_not_near(spark, monkeypatch, rounds):
+    """A template heads every bucket of the texts made from it, and is near to none of them."""
+    if rounds:
+        for name in ("PIVOTS", "OPEN_LEAST"):
+            monkeypatch.setattr(minhash, name, 1)
+        monkeypatch.setattr(minhash, "MORE_PIVOTS", 2)
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    template = words(300)
+    rows = [(1, " ".join(template))]
+    for i in range(4):
+        tail = words(100)
+        other = [x if j % 5 else f"{x}z" for j, x in enumerate(tail)]
+        rows += [(10 + i, " ".join(template + tail)), (30 + i, " ".join(template + other))]
+    got = {r.doc: r for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert {d: r.class_id for d, r in got.items()} == brute.near_classes(rows) == {1: 1} | {10 + i + j: 10 + i for i in range(4) for j in (0, 20)}
+    assert got[1].n_links == 0 and all(r.n_links == 1 for d, r in got.items() if d > 1)
+    # a text alone with the template in all its buckets
+    assert {r.doc_id for r in minhash.keep_one(frame(spark, [r for r in rows if r[0] in (1, 10, 30)])).collect()} == {1, 10}
+
+
 def test_banded_distance():
     rng = np.random.default_rng(0)
     for _ in range(300):
