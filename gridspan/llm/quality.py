@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, by_batch, by_place, doc_rows, find_words, groups_of, in_arrow, merged, mixed, per_doc, ready, span_hashes, table, utf8
+from .common import IS_SPACE, WORD_PATTERN, by_batch, by_place, doc_rows, find_words, groups_of, in_arrow, merged, mixed, per_doc, ready, span_hashes, table, utf8
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -24,6 +26,7 @@ LOST_PERCENT = 50
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, failed_lines long"
 
+_WORDS = re.compile(WORD_PATTERN)
 _SYMBOLS = SYMBOLS.decode()
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -42,6 +45,11 @@ def line_fails(line: str, n_words: int) -> bool:
     return any(p in low for p in BOILERPLATE)
 
 
+def without_furniture(text: str) -> str:
+    """The text without the lines that fail; lines without words stay."""
+    return "\n".join(x for x in text.split("\n") if not (words := len(_WORDS.findall(x))) or not line_fails(x, words))
+
+
 def _sorted_twins(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that puts equal (doc, hash) side by side, and whether each, in that order, equals the one before."""
     key = hashes ^ mixed(doc.astype(np.uint64) + np.uint64(0x51ED270B))
@@ -140,6 +148,31 @@ def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return in_arrow(both, clean, both.schema).drop("id", "text").toDF(*docs.columns)
 
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of ``keep_documents`` without the lines that fail: the others joined by newlines.
+
+    ``length_col``, if given, is set to the new length of changed texts; all else is kept.
+    """
+    ready(docs.sparkSession)
+    wanted = [id_col, text_col] if length_col is None else [id_col, text_col, length_col]
+    plain, (own_id, own_text, *own_length) = by_place(docs, *wanted)
+    both = plain.select("*", F.col(own_id).cast("long").alias("id"), F.col(own_text).cast("string").alias("text"))
+
+    def clean(batches):
+        for batch in batches:
+            verdict = _judge(pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text")], names=["doc_id", "text"]))
+            stay = batch.filter(verdict.column("kept"))
+            failed = verdict.filter(verdict.column("kept")).column("failed_lines").to_pylist()
+            new = [without_furniture(t.as_py()) if n else t.as_py() for t, n in zip(stay.column("text"), failed, strict=True)]
+            yield stay.set_column(stay.num_columns - 1, "text", pa.array(new, pa.string()))
+
+    out = in_arrow(both, clean, both.schema)
+    for c in own_length:
+        changed = ~F.col("text").eqNullSafe(F.col(own_text).cast("string"))
+        out = out.withColumn(c, F.when(changed, F.length("text").cast(out.schema[c].dataType)).otherwise(F.col(c)))
+    return out.withColumn(own_text, F.col("text")).drop("id", "text").toDF(*docs.columns)
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 

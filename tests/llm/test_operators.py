@@ -272,6 +272,22 @@ def test_quality(spark, texts):
     assert out.schema == docs.schema and {r.doc_id for r in out.collect()} == {d for d, r in got.items() if r.kept}
 
 
+def test_cleaned_text(spark, texts):
+    """Of a kept document the failing lines go, and only they; the digest of op6 counts what went."""
+    first, second, third = (" ".join(f"{x}{i}" for i in range(12)) + "." for x in ("one", "two", "three"))
+    made = [(501, f"Home | News | Sport | Shop\n{first}\n\n{second}\nMenu\nClick here to see all that there is.\n{third}"), (502, f"{first}\n{second}"), (503, f"Menu\n{'Shop | ' * 40}\n{first}")]
+    docs = frame(spark, [*texts, *made, (None, None)])
+    out = quality.clean_documents(docs, length_col="n_chars")
+    assert out.columns == docs.columns
+    got, whole = ({r.doc_id: r for r in d.collect()} for d in (out, quality.keep_documents(docs)))
+    lost = {r.doc_id: r.lost_chars for r in quality.judge_documents(docs).collect()}
+    solid = lambda t: len("".join(t.split()))
+    assert got.keys() == whole.keys() and {501, 502} <= got.keys() and 503 not in got
+    assert got[501].text == f"{first}\n\n{second}\n{third}" and got[501].n_chars == len(got[501].text)
+    assert got[502] == whole[502]
+    assert all(solid(whole[d].text) - solid(r.text) == lost[d] for d, r in got.items())
+
+
 def test_line_rules():
     assert quality.line_fails("Home | News | Sport | Shop", 7) and quality.line_fails("Click here to see all that there is.", 8)
     assert quality.line_fails("WIN!! NOW!! HERE!! and more", 5) and quality.line_fails("Menu", 1)
