@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -210,6 +211,42 @@ def highlight_lookup(spark, sf_dir):
     return grid.highlight(whole, "M", 30, 4).withColumn("salary", money())
 
 
+# The same over the whole grid.
+
+
+def _whole(name):
+    return re.sub(r"\bthin\b", "cells", SQL[name].replace(THIN, CELLS))
+
+
+def _whole_fill(spark, sf_dir):
+    cells = fixtures.cells(spark, sf_dir)
+    return cells, fill.fill_grid(cells, *fill.combos_of(cells))
+
+
+@query(_whole("fill_right"))
+def fill_right_whole(spark, sf_dir):
+    cells, rows = _whole_fill(spark, sf_dir)
+    have = cells.select("district_id", "school_year", "period", "education", "credits").distinct()
+    return _filled(rows.join(have, ["district_id", "school_year", "period", "education", "credits"], "left_anti"))
+
+
+@query(_whole("fill_full"))
+def fill_full_whole(spark, sf_dir):
+    return _filled(_whole_fill(spark, sf_dir)[1])
+
+
+@query(_whole("fill_counts_by_source"))
+def fill_counts_by_source_whole(spark, sf_dir):
+    return fill_full_whole(spark, sf_dir).groupBy("education", "root_education").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district_id", "school_year", "period").alias("schedules"))
+
+
+@query(_whole("highlight_lookup"))
+def highlight_lookup_whole(spark, sf_dir):
+    cells, rows = _whole_fill(spark, sf_dir)
+    whole = cells.select("*", F.lit(False).alias("is_calculated")).unionByName(rows, allowMissingColumns=True)
+    return grid.highlight(whole, "M", 30, 4).withColumn("salary", money())
+
+
 # -- schedules and metadata -------------------------------------------------------------------
 
 

@@ -39,3 +39,16 @@ def test_query_equals_its_sql(spark, sql, name):
 def test_queries_without_sql_have_rows(spark):
     for name in QUERIES.keys() - SQL.keys():
         assert QUERIES[name](spark, SF).count() > 0, name
+
+
+def test_fill_of_the_whole_grid(spark):
+    """Every missing lane is filled from the whole grid, and what is filled within lanes is what ``fill_down`` fills."""
+    lane = ["district_id", "school_year", "period", "education", "credits"]
+    real = {tuple(r) for r in QUERIES["cells_base"](spark, SF).select(*lane).distinct().collect()}
+    missing = {(*s, *c) for s in {x[:3] for x in real} for c in {x[3:] for x in real}} - real
+    right, full, down = ({tuple(r) for r in QUERIES[q](spark, SF).select(*lane, "step", "root_education", "root_credits", "root_step").collect()} for q in ("fill_right_whole", "fill_full_whole", "fill_down"))
+    assert {r[:5] for r in right} == missing and len(missing) == 1313
+    assert full == right | down
+    counts = {(r.education, r.root_education): r.n for r in QUERIES["fill_counts_by_source_whole"](spark, SF).collect()}
+    assert sum(counts.values()) == len(full)
+    assert QUERIES["highlight_lookup_whole"](spark, SF).count() == len({x[:3] for x in real})
