@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_batch, covered, ready, table
-from .repeats import Symbols, marked, marks
+from .repeats import Group, Symbols, marked, marks
 
 LENGTH = 100
 #: Bytes of an anchor. Each string of LENGTH bytes holds one; longer anchors repeat less by chance and are denser.
@@ -47,46 +47,58 @@ def _smaller_before(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
     at = np.arange(n) - 1
     least = shared.copy()
     todo = np.flatnonzero(at >= 0)
-    todo = todo[place[at[todo]] > place[todo]]
-    while len(todo):  # skip, with the places in between, to where the larger one points
+    todo = todo[place[at[todo]] >= place[todo]]
+    while len(todo):  # skip, with the places in between, to where that one points
         over = at[todo]
         least[todo] = np.minimum(least[todo], least[over])
         at[todo] = at[over]
         todo = todo[at[todo] >= 0]
-        todo = todo[place[at[todo]] > place[todo]]
+        todo = todo[place[at[todo]] >= place[todo]]
     return np.where(at >= 0, least, 0)
 
 
-def longest_previous_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix, the longest prefix, of ``length`` at most, that an earlier suffix of its group has too.
+def longest_shared(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in their order: the most that each shares with one of a smaller place.
 
-    The earlier suffix with the longest such prefix is, in suffix order, the nearest before
-    or after that has a smaller place.
+    ``shared`` is what each shares with the one before it. The nearest of smaller place before
+    and after share the most.
     """
+    before = _smaller_before(place, shared)
+    # the same from the other end: what a suffix shares with the next is what the next shares with it
+    after = _smaller_before(place[::-1].copy(), np.concatenate([[0], shared[1:][::-1]]))[::-1]
+    return np.maximum(before, after)
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix, the longest prefix, of ``length`` at most, that an earlier suffix of its group has too."""
     if not len(starts):
         return np.zeros(0, np.int64)
     order, shared = suffix_order(data, starts, group, length)
-    before = _smaller_before(order, shared)
-    # the same from the other end: what a suffix shares with the next is what the next shares with it
-    after = _smaller_before(order[::-1].copy(), np.concatenate([[0], shared[1:][::-1]]))[::-1]
     out = np.empty(len(starts), np.int64)
-    out[order] = np.maximum(before, after)
+    out[order] = longest_shared(order, shared)
     return out
 
 
 def earlier_strings(length: int = LENGTH):
-    """For settle(): the strings whose longest previous factor is the whole string."""
+    """For settle(): runs of strings whose longest previous factor is the whole string."""
 
-    def covered_stretches(payloads: list[bytes], n: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(b"".join(payloads), np.uint8)
-        begin = np.cumsum([0, *map(len, payloads[:-1])])
-        starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return longest_previous_factors(data, starts, np.repeat(group, n), length) >= length
+    def covered_runs(found: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = found.stretches
+        data = np.frombuffer(b"".join(found.payloads), np.uint8)
+        begin = np.cumsum([0, *map(len, found.payloads[:-1])])
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.flatnonzero(longest_previous_factors(data, begin[row] + step, found.key[row], length) >= length)
+        if not len(at):
+            return at, at, at
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(row[at]) > 0)]))
+        last = np.concatenate([new[1:] - 1, [len(at) - 1]])
+        return row[at[new]], step[at[new]], at[last] - at[new] + length
 
-    return covered_stretches
+    return covered_runs
 
 
-def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, fold: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, binary, if asked for) of every row.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a document of
@@ -94,10 +106,10 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     id stands before all others. Rows with one id and one text are one document and get the
     same result; rows with one id and different texts come in the order of their checksums.
     Strings are judged on the input. Matches are cut at bytes, so kept bytes may not be UTF-8.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns are not read. ``fold`` is that of ``marked``.
     """
     kind = Symbols("bytes", length, gram, False)
-    rows = marked(docs, kind, earlier_strings(length), id_col, text_col)
+    rows = marked(docs, kind, earlier_strings(length), id_col, text_col, fold)
 
     def one(batch):
         out = []

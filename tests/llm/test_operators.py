@@ -55,23 +55,67 @@ def test_suffix_dedup(spark, texts):
     assert got == brute.repeated_strings(texts)
 
 
-def test_suffix_dedup_splits_wide_anchors_alike(spark, texts, monkeypatch):
-    monkeypatch.setattr(repeats, "WIDE", 1)
-    monkeypatch.setattr(repeats, "HOT_LEAST", 1)
-    monkeypatch.setattr(repeats, "HOT_SAMPLE", 2)
+@pytest.mark.parametrize("wide, share", [(1, 2.0), (0, 2.0), (2000, 0.0), (1, 0.1)])
+def test_wide_and_hot_keys_are_cut_alike(spark, texts, monkeypatch, wide, share):
+    """Contexts in parts and in single stretches, cut when found or when fetched, give the same spans."""
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
+    monkeypatch.setattr(repeats, "HOT_SAMPLE", 1)
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.drop_repeated_strings(frame(spark, texts)).collect()}
     assert got == brute.repeated_strings(texts)
     got = {r.doc_id: tuple(r)[1:] for r in seed_extend.drop_repeated_windows(frame(spark, texts)).collect()}
     assert got == brute.repeated_windows(texts)
 
 
+def test_equal_contexts_need_not_be_settled(spark, texts):
+    """What is dropped because it equals an earlier context goes through the factors, or extensions, to the same result."""
+    for operator in (suffixes.drop_repeated_strings, seed_extend.drop_repeated_windows):
+        plain, whole = (sorted(map(repr, operator(frame(spark, texts), fold=fold).collect())) for fold in (True, False))
+        assert plain == whole
+
+
+def test_rows_of_contexts_grow_with_the_input(spark):
+    """A line in all documents, five times the documents: not much more than five times the rows to be settled."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    line = words(18)
+    rows = [(i, f"{words(30)} {line} {words(30)}") for i in range(2000)]
+    kind = repeats.Symbols("bytes", 100, 24, False)
+    made = []
+    for n in (400, 2000):
+        docs = repeats.keyed(frame(spark, rows[:n]), "doc_id", "text")
+        match = repeats.matched(docs, kind).filter(F.size("need") > 0).select("doc", "tie", "need")
+        made.append(repeats.contexts(docs.join(match, ["doc", "tie"]), kind).count())
+    assert 0 < made[1] <= 8 * made[0] and made[1] <= 2000 * 30
+
+
+def test_maximal_repeats():
+    """Extensions of one seed: to the ends of what an earlier document shares, whatever another shares further left."""
+    w = lambda a, b, x="w": [f"{x}{i}" for i in range(a, b)]
+    seed = w(0, 4, "s")
+    contexts = [
+        (1, w(0, 6, "p") + seed + w(0, 3, "q") + w(0, 3, "a")),
+        (2, w(0, 2, "b") + w(2, 6, "p") + seed + w(0, 6, "q")),
+        (3, w(0, 6, "p") + seed + w(0, 6, "q")),
+        (3, w(0, 6, "p") + seed + w(0, 6, "q")),
+    ]
+    group = repeats.Group([" ".join(c).encode() for _, c in contexts], np.full(4, 7), np.full(4, 6), np.zeros(4, np.int64), np.array([d for d, _ in contexts]))
+    with np.errstate(over="ignore"):
+        found = seed_extend.maximal_repeats(10)(group)
+    # of 3: p0..q2 as in 1, and p2..q5 as in 2; of 2: p2..q2 as in 1; not 3 in itself
+    assert sorted(zip(*(x.tolist() for x in found), strict=True)) == [(1, 2, 11), (2, 0, 13), (2, 2, 14), (3, 0, 13), (3, 2, 14)]
+
+
 def test_seed_extend(spark, texts):
     got = {r.doc_id: tuple(r)[1:] for r in seed_extend.drop_repeated_windows(frame(spark, texts)).collect()}
     assert got == brute.repeated_windows(texts)
 
 
 def test_repeated_and_null_rows(spark, texts):
-    """Rows with one id and text are one document; null ids stand first."""
+    """Rows with one id and text are one document; null ids stand first; texts of one id come in the order of their checksums."""
+    two = sorted((zlib.crc32(t.encode()), t) for t in (texts[0][1], texts[0][1] + " more"))
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.drop_repeated_strings(frame(spark, [(1, two[0][1]), (1, two[1][1])])).collect()}
+    assert got == {(1, len(two[0][1].encode())): 0, (1, len(two[1][1].encode())): len(texts[0][1].encode())}
     rows = [(1, texts[0][1]), (1, texts[0][1]), (None, texts[0][1]), (2, "short")]
     got = sorted((repr(r.doc_id), r.n_removed) for r in suffixes.drop_repeated_strings(frame(spark, rows)).collect())
     n = len(texts[0][1].encode())
@@ -96,7 +140,7 @@ def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 4096)
     cut = found()
     assert whole[0] == 1 and cut[0] > 10 and cut[1] == whole[1]
-    covered = sorted((start, start + n) for _, start, n, _, _ in whole[1])
+    covered = sorted((start, start + (shape & 4095)) for _, start, shape, *_ in whole[1])
     assert covered[0][0] == 0 and covered[-1][1] == len(raw) - 99 and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
 
 
