@@ -1,7 +1,24 @@
-"""Order MinHash near-duplicates: k-mers in text order as sketches, banded alignment as proof."""
+"""Order MinHash near-duplicates: k-mers in text order as sketches, banded alignment as proof.
+
+Two texts meet where a sketch of theirs is equal: in a bucket. What shares a bucket is then
+compared to the end, without making a row for every pair:
+
+1. Each text meets the first of its bucket; links that alignment proves make the first classes.
+2. A bucket whose texts are still of several classes is open. Its texts are dealt out in blocks,
+   and each pair of blocks is compared in one task, which returns only the links it finds: pairs
+   of one class are passed over, and so are those that lengths or the words that they have in
+   common, whatever their order, rule out. All other pairs are aligned.
+
+Texts whose lengths are too different are never near; so a bucket is divided by bands of length,
+in which each text stands in its own and in the next one down.
+"""
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,34 +28,76 @@ from .common import by_batch, by_place, find_words, groups_of, in_arrow, mixed,
 
 #: Words of a k-mer, least similarity, sketches, and k-mers of a sketch.
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, TOGETHER = 20, 2
-#: Parts of a bucket that are linked separately first.
-SALTS = 16
-#: Members of an open bucket that meet all others in the first round, and by how much more in each further one.
-PIVOTS, MORE_PIVOTS = 16, 8
-#: An open bucket of more members is joined in so many parts.
-OPEN_LEAST, OPEN_PARTS = 256, 64
+SKETCHES, TOGETHER = 60, 2
+#: Texts of fewer words also have sketches of single words, for few k-mers outlive an edit.
+SHORT, SHORT_SKETCHES, SHORT_TOGETHER = 80, 20, 3
+#: Bytes and texts of a block of an open bucket.
+BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 2000
+#: Counters that the words of a text are hashed to, to bound what two texts have in common.
+COUNTERS = 256
 #: A text counts as hot from this share of all rows on, and this number; its rows are joined in so many parts.
 HOT_SHARE, HOT_LEAST, HOT_PARTS = 0.001, 1000, 64
 
 NO_ID = -(1 << 62)
 
 
-def order_sketches(buf: np.ndarray, off: np.ndarray, gram: int = GRAM, sketches: int = SKETCHES, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashes): for each document with a word, ``sketches`` hashes of its Order MinHash.
+def _picked(values: np.ndarray, begin: np.ndarray, n: np.ndarray, sketches: int, together: int, seed: int) -> np.ndarray:
+    """[document, sketch]: hashes of the ``together`` values of smallest hash of each document, in the order of the text.
+
+    A hash carries its place in the low bits, so that the least one also says where it is.
+    """
+    bits = np.uint64(max(20, int(len(values)).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(len(values), dtype=np.uint64)
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rng = np.random.default_rng(seed)
+    flips, factors = rng.integers(1, 2**63, (2, sketches), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(begin), sketches), np.uint64)
+    h = np.empty(len(values), np.uint64)
+    for j in range(sketches):
+        np.bitwise_xor(values, flips[j], out=h)
+        h *= factors[j]
+        h &= ~mask
+        h |= place
+        found = []
+        for i in range(together):
+            at = (np.minimum.reduceat(h, begin) & mask).astype(np.int64)
+            found.append(np.where(n > i, at, -1))  # a document of fewer values has none left
+            h[at[n > i]] = most
+        own = np.full(len(begin), flips[j], np.uint64)
+        for at in np.sort(np.stack(found), axis=0):
+            own = mixed(own * np.uint64(0x2545F4914F6CDD1D) + np.where(at >= 0, values[np.maximum(at, 0)], 0))
+        out[:, j] = own
+    return out
+
+
+def _labelled(kmer: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers, each with how often it occurred before in its document."""
+    key = mixed(kmer) ^ mixed(doc.astype(np.uint64) + np.uint64(0x1234567))
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    label = np.empty(len(key), np.uint64)
+    label[order] = np.arange(len(key)) - lead
+    return mixed(kmer + mixed(label + np.uint64(0x51)))
+
+
+def order_sketches(buf: np.ndarray, off: np.ndarray, gram: int = GRAM, sketches: int = SKETCHES, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents with a word, their words, hashes, offsets of each document's hashes): Order MinHash sketches.
 
     K-mers are labelled with how often they occurred before, so that repeats differ. For each
     sketch the ``together`` labelled k-mers of smallest hash are taken and hashed in the order
-    of the text. A document of fewer words than a k-mer has one k-mer: all its words.
+    of the text. A document of fewer words than a k-mer has one k-mer: all its words. One of
+    fewer than SHORT words also has sketches of SHORT_TOGETHER words.
     """
     start, end, first = find_words(buf, off)
     words = np.diff(first)
     docs = np.flatnonzero(words)
     if not len(docs):
-        return docs, np.zeros((0, sketches), np.uint64)
+        return docs, docs, np.zeros(0, np.uint64), np.zeros(1, np.int64)
     hashes = span_hashes(buf, start, end)
-    short = words[docs] < gram
-    n = np.where(short, 1, words[docs] - gram + 1)
+    size = words[docs]
+    n = np.maximum(1, size - gram + 1)
     begin = np.cumsum(n) - n
     doc = np.repeat(np.arange(len(docs)), n)
     at = np.arange(len(doc)) - np.repeat(begin, n) + np.repeat(first[docs], n)
@@ -47,68 +106,97 @@ def order_sketches(buf: np.ndarray, off: np.ndarray, gram: int = GRAM, sketches:
     kmer = np.zeros(len(at), np.uint64)
     for i in range(gram):
         kmer = kmer * np.uint64(0x9E3779B97F4A7C15) + np.where(at + i < last, padded[at + i], 0)
-    # the occurrence number of a k-mer within its document
-    key = mixed(kmer) ^ mixed(doc.astype(np.uint64) + np.uint64(0x1234567))
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    label = np.empty(len(key), np.uint64)
-    label[order] = np.arange(len(key)) - lead
-    labelled = mixed(kmer + mixed(label + np.uint64(0x51)))
-    out = np.empty((len(docs), sketches), np.uint64)
-    most = np.uint64(0xFFFFFFFFFFFFFFFF)
-    seeds = np.random.default_rng(7).integers(1, 2**63, sketches, dtype=np.uint64)
-    for j in range(sketches):
-        h = mixed(labelled ^ seeds[j])
-        picked = []
-        for _ in range(together):
-            least = np.minimum.reduceat(h, begin)
-            hit = np.flatnonzero(h == np.repeat(least, n))
-            d = doc[hit]
-            place = np.full(len(docs), -1)
-            place[d[::-1]] = hit[::-1]
-            picked.append(np.where(least == most, -1, place))
-            h[place[place >= 0]] = most
-        places = np.sort(np.stack(picked), axis=0)
-        own = np.full(len(docs), seeds[j], np.uint64)
-        for p in places:
-            own = mixed(own * np.uint64(0x2545F4914F6CDD1D) + np.where(p >= 0, labelled[np.maximum(p, 0)], 0))
-        out[:, j] = own
-    return docs, out
-
+    long_ = _picked(_labelled(kmer, doc), begin, n, sketches, together, 7)
+    few = np.flatnonzero(size < SHORT)
+    counts = np.full(len(docs), sketches)
+    counts[few] += SHORT_SKETCHES
+    ends = np.cumsum(counts)
+    out = np.empty(int(ends[-1]), np.uint64)
+    out[((ends - counts)[:, None] + np.arange(sketches)).ravel()] = long_.ravel()
+    if len(few):
+        m = size[few]
+        to = np.cumsum(m) - m
+        of = np.repeat(np.arange(len(few)), m)
+        own = hashes[np.arange(len(of)) - to[of] + first[docs[few]][of]]
+        short = _picked(_labelled(own, of), to, m, SHORT_SKETCHES, SHORT_TOGETHER, 11)
+        out[((ends[few] - SHORT_SKETCHES)[:, None] + np.arange(SHORT_SKETCHES)).ravel()] = short.ravel()
+    return docs, size, out, np.concatenate([[0], ends])
+
+
+class Places:
+    """Where each word of a text stands, as bits of a window of it, in memory that grows with the text.
+
+    A frequent word, of which there are few, has a bit for each place of the text; the bits of
+    any other are set from the list of its places.
+    """
 
-def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    def __init__(self, words: list[int], width: int):
+        self.width, self.full = width, (1 << width) - 1
+        self.at: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            self.at.setdefault(w, []).append(i)
+        self.bits: dict[int, int] = {}
+        often = max(64, len(words) // 512)
+        for w, places in self.at.items():
+            if len(places) > often:
+                raw = np.zeros(len(words), np.uint8)
+                raw[places] = 1
+                self.bits[w] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+
+    def window(self, word: int, shift: int) -> int:
+        """Bit i: whether the word stands at place shift + i."""
+        bits = self.bits.get(word)
+        if bits is not None:
+            return (bits >> shift if shift >= 0 else bits << -shift) & self.full
+        places = self.at.get(word)
+        if places is None:
+            return 0
+        if len(places) == 1:
+            i = places[0] - shift
+            return 1 << i if 0 <= i < self.width else 0
+        near = places[bisect_left(places, shift) : bisect_left(places, shift + self.width)]
+        if len(near) < 8:
+            found = 0
+            for p in near:
+                found |= 1 << (p - shift)
+            return found
+        raw = bytearray(self.width // 8 + 1)
+        for p in near:
+            raw[(p - shift) >> 3] |= 1 << ((p - shift) & 7)
+        return int.from_bytes(raw, "little")
+
+
+def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two sequences, or most + 1 if it is more: bit-parallel alignment in a band.
 
     A column of the band, 2 most + 1 cells, is two integers: where the next cell is one more,
     and where one less. It moves down its diagonal with each symbol of the shorter sequence,
-    and along the last row at the end. Pairs that differ in more symbols than allowed,
-    whatever their order, are turned away first.
+    and along the last row at the end. What both begin or end with is left out first. Memory
+    grows with the sequences and not with their product.
     """
     if len(a) < len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if n - m > most:
+    if len(a) - len(b) > most:
         return most + 1
+    first, last = 0, len(b)
+    while first < last and a[first] == b[first]:
+        first += 1
+    while last > first and a[last - 1 + len(a) - len(b)] == b[last - 1]:
+        last -= 1
+    a, b = a[first : last + len(a) - len(b)], b[first:last]
+    n, m = len(a), len(b)
+    if not m:
+        return n
     limit, most = most, min(most, n)
-    both, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    in_a = np.zeros(len(both), np.int64)
-    found, own = np.unique(a, return_counts=True)
-    in_a[np.searchsorted(both, found)] = own
-    if n - int(np.minimum(in_a, counts - in_a).sum()) > most:
-        return limit + 1
     if not most:
-        return int(not np.array_equal(a, b))
+        return 1
     width = 2 * most + 1
     full, top, side = (1 << width) - 1, 1 << (width - 1), 1 << (width - 2)
-    where: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
+    where = Places(a, width)
     more, less, distance, shift = full << (width - most - 1) & full, 0, most, most + 1 - width
     hopeless = most + m - (n - most)
-    for i, x in enumerate(b.tolist()):
-        hit = where.get(x, 0)
-        hit = (hit >> shift if shift >= 0 else hit << -shift) & full
+    for i, x in enumerate(b):
+        hit = where.window(x, shift)
         same = ((((hit & more) + more) ^ more) | hit | less) & full
         up, down = less | full & ~(same | more), same & more
         if i < n - most:
@@ -123,11 +211,17 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return distance if distance <= most else limit + 1
 
 
-def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
+def alignment_similarity(a: list, b: list, least: float) -> float:
     """1 - edit distance / longer length, in words; 0 if below ``least``."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
-    distance = banded_distance(a, b, most)
+    numbers: dict = {}
+    x, y = ([numbers.setdefault(w, len(numbers)) for w in words] for words in (a, b))
+    # words that the longer one has more often, whatever their order, are one edit each
+    counts = np.bincount(x, minlength=len(numbers)) - np.bincount(y, minlength=len(numbers))
+    if max(int(counts[counts > 0].sum()), -int(counts[counts < 0].sum())) > most:
+        return 0.0
+    distance = banded_distance(x, y, most)
     return 0.0 if distance > most else 1 - distance / longer if longer else 1.0
 
 
@@ -142,130 +236,164 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """``key, node``: the sketches of every different text, under the smallest document that has it.
-
-    Copies have one digest and the same sketches; they are reduced to the first before the shuffle.
-    """
+    """``digest, doc, size, keys``: the sketches of every different text of a batch, under its first document there."""
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                buf, off = utf8(batch.column("text"))
                 docs, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "digest"))
+                order = np.lexsort((docs, digests))
+                again = np.zeros(len(docs), bool)
+                again[order[1:]] = digests[order][1:] == digests[order][:-1]
+                stay = np.flatnonzero(~again)
+                buf, off = utf8(batch.column("text").take(pa.array(stay)))
                 for a, b in groups_of(off):
-                    which, hashes = order_sketches(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                    which, size, keys, at = order_sketches(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                     if len(which):
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64).ravel()), pa.array(np.repeat(digests[a:b][which], SKETCHES)), pa.array(np.repeat(docs[a:b][which], SKETCHES))], names=["key", "digest", "doc"])
-
-    found = in_arrow(rows.select("doc", "digest", "text"), run, "key long, digest long, doc long")
-    return found.groupBy("key", "digest").agg(F.min("doc").alias("node")).select("key", "node")
+                        own = stay[a:b][which]
+                        yield pa.RecordBatch.from_arrays([pa.array(digests[own]), pa.array(docs[own]), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.astype(np.int64)))], names=["digest", "doc", "size", "keys"])
 
+    return in_arrow(rows.select("doc", "digest", "text"), run, "digest long, doc long, size int, keys array<long>")
 
-def candidate_pairs(sketches: DataFrame) -> DataFrame:
-    """``a, b`` with a < b: each node with the first of its bucket, not all pairs.
-
-    A bucket is dealt with in SALTS parts and then over the parts' first nodes, so that one
-    that holds a large share of all nodes is not one task's. What the first does not link,
-    ``linked_buckets`` goes on with.
-    """
-
-    def heads(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.withColumn("head", F.first("node").over(Window.partitionBy(*by).orderBy("node")))
 
-    parts = heads(sketches.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "key", "salt")
-    firsts = heads(parts.filter("head = node").select("key", "node"), "key")
-    return parts.select("node", "head").unionByName(firsts.select("node", "head")).filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+def bucket_members(sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``key, band, node, size, digest``: the texts of every bucket that has several, twice each, by bands of length."""
+    by_key = Window.partitionBy("key")
+    rows = sketches.select(F.explode("keys").alias("key"), "digest", "doc", "size").repartition("key")
+    shared = rows.withColumn("several", F.min("digest").over(by_key) < F.max("digest").over(by_key)).filter("several")
+    nodes = shared.groupBy("key", "digest").agg(F.min("doc").alias("node"), F.first("size").alias("size"))
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * math.log(1 / least))).cast("int")
+    return nodes.select(F.explode(F.array(band, band - 1)).alias("band"), "key", "node", "size", "digest")
 
 
-def words_table(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``node, words`` of every node of some pair, as a written table: texts travel as hashes of their words."""
+def first_pairs(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``a, b`` with a < b: each text with the first of its bucket and band."""
+    first = members.groupBy("key", "band").agg(F.min(F.struct("node", "size")).alias("head"))
+    alike = F.least("size", "head.size") >= F.lit(least) * F.greatest("size", "head.size")
+    return members.join(first, ["key", "band"]).filter((F.col("head.node") < F.col("node")) & alike).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
 
-    def words_of(batch):
-        buf, off = utf8(batch.column("text"))
-        out = []
-        for a, b in groups_of(off):
-            piece = buf[off[a] : off[b]]
-            start, end, first = find_words(piece, off[a : b + 1] - off[a])
-            raw = (span_hashes(piece, start, end) >> np.uint64(32)).astype(np.uint32).tobytes()
-            out += [raw[4 * s : 4 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], names=["node", "words"])
 
+def texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node, text`` of every text that shares a bucket, as a written table."""
     spark = rows.sparkSession
-    place = scratch(spark, "words")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    by_batch(rows.select("doc", "text").hint("merge").join(wanted, "doc", "left_semi"), words_of, "node long, words binary").write.parquet(place)
-    return spark.read.schema("node long, words binary").parquet(place)
+    place = scratch(spark, "texts")
+    wanted = members.select(F.col("node").alias("doc"), "digest").distinct()
+    rows.hint("merge").join(wanted, ["doc", "digest"], "left_semi").select(F.col("doc").alias("node"), "text").dropDuplicates(["node", "text"]).write.parquet(place)
+    return spark.read.schema("node long, text string").parquet(place)
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose words align: ``a, b, similarity``."""
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose words align: ``a, b``."""
 
     def align(batch):
-        a, b = batch.column("words_a"), batch.column("words_b")
-        found = [alignment_similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), least) for x, y in zip(a, b, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+        x, y = batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())
+        near = [alignment_similarity(p.as_py().split(), q.as_py().split(), least) >= least for p, q in zip(x, y, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     # the join by b comes last, for a may be the first of very many
-    size_a, size_b = F.octet_length("words_a"), F.octet_length("words_b")
-    both = pairs.hint("merge").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a").hint("merge").join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    near = both.filter(F.least(size_a, size_b) >= F.lit(least) * F.greatest(size_a, size_b))
-    return by_batch(near.select("a", "b", "words_a", "words_b"), align, "a long, b long, similarity double").filter(F.col("similarity") >= least)
+    both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return by_batch(both.select("a", "b", "text_a", "text_b"), align, "a long, b long")
+
+
+def _word_counts(texts: list[list[bytes]]) -> np.ndarray:
+    """[text, counter]: how many words of each text are hashed to each counter."""
+    joined = b" ".join(b" ".join(t) for t in texts)
+    buf = np.frombuffer(joined, np.uint8)
+    start, end, _ = find_words(buf, np.array([0, len(buf)]))
+    slot = (span_hashes(buf, start, end) >> np.uint64(32)).astype(np.int64) % COUNTERS
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(text * COUNTERS + slot, minlength=len(texts) * COUNTERS).reshape(len(texts), COUNTERS).astype(np.int32)
+
+
+def links_of(nodes: list[int], labels: list[int], texts: list[list[bytes]], block: np.ndarray, blocks: tuple[int, int], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Links that join all near texts of two blocks, or of one with itself, that are of different classes.
+
+    Two texts have no more words in common than their counts have, counter by counter; where
+    that is too little they aren't near. The others are aligned, the most alike first, unless
+    links have joined their classes by then.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    size = np.array([len(t) for t in texts])
+    counts = _word_counts(texts)
+    of = np.array(labels)
+    here, there = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[1])
+    for i in here.tolist():
+        others = there[there > i] if blocks[0] == blocks[1] else there
+        need = least * np.maximum(size[others], size[i]) - 1e-9
+        others = others[(of[others] != of[i]) & (np.minimum(size[others], size[i]) >= need)]
+        if not len(others):
+            continue
+        common = np.minimum(counts[others], counts[i]).sum(axis=1)
+        fits = common >= least * np.maximum(size[others], size[i]) - 1e-9
+        others, common = others[fits], common[fits]
+        for k in others[np.argsort(-common, kind="stable")].tolist():
+            if nodes[i] != nodes[k] and (x := find(labels[i])) != (y := find(labels[k])) and alignment_similarity(texts[i], texts[k], least) >= least:
+                root[max(x, y)] = min(x, y)
+                yield min(nodes[i], nodes[k]), max(nodes[i], nodes[k])
+
+
+def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links between texts of different classes that share a bucket and a band.
+
+    Buckets with the same texts are looked at once. A bucket's texts are dealt out in blocks of
+    BLOCK_BYTES and BLOCK_TEXTS about; a task compares two blocks.
+    """
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    length = F.sum(F.col("size").cast("long") * 8)
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    groups = named.groupBy("key", "band").agg(mark.alias("mark"), F.min("label").alias("lo"), F.max("label").alias("hi"), length.alias("bytes"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    some = groups.groupBy("mark").agg(F.min(F.struct("key", "band", "n", "bytes")).alias("g")).select("g.*")
+    blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS))).cast("int")
+    dealt = named.join(some.select("key", "band", blocks.alias("blocks")), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    parts = dealt.select("key", "band", "block", "node", "label", F.explode(others).alias("at")).select("key", "band", "at.i", "at.j", "block", "node", "label")
+    with_text = parts.hint("merge").join(texts, "node")
+
+    def run(batches):
+        own, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] != own:
+                    yield from compared(own, rows)
+                    own, rows = row[:4], []
+                rows.append(row[4:])
+        yield from compared(own, rows)
+
+    def compared(own, rows):
+        if len({r[2] for r in rows}) > 1:
+            found = list(links_of([r[1] for r in rows], [r[2] for r in rows], [r[3].encode().split() for r in rows], np.array([r[0] for r in rows]), own[2:], least))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    place = ["key", "band", "i", "j"]
+    return in_arrow(with_text.select(*place, "block", "node", "label", "text").repartition(*place).sortWithinPartitions(*place, "node"), run, "a long, b long").distinct()
 
 
 def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(edges, labels): the verified pairs and the components, ``node, label``, that they make.
-
-    Two nodes that share a bucket and are near end in one component. First each node meets
-    the first of its bucket. A bucket whose members are of several components then is open:
-    in each round a growing share of its members, its pivots, meet all members of other
-    components that have not been pivots, until all have been or one component holds them.
-    Pairs that met before, and pairs whose lengths rule them out, are not made. Rounds grow
-    with the logarithm of the largest open bucket; each is a written table.
+    """(edges, labels): verified links ``a, b``, and the components ``node, label`` that they make.
+
+    Two texts that share a bucket and are near always end in one component.
     """
     spark = rows.sparkSession
     place = scratch(spark, "links")
-    pair, edge = "a long, b long", "a long, b long, similarity double"
-    sketches.write.parquet(f"{place}/sketches")
-    sketches = spark.read.schema("key long, node long").parquet(f"{place}/sketches")
-    candidate_pairs(sketches).write.parquet(f"{place}/pairs/k=0")
-    met = spark.read.schema(pair).parquet(f"{place}/pairs/k=0")
-    words = words_table(met, rows)
-    verified(met, words, least).write.parquet(f"{place}/edges/k=0")
-    edges = spark.read.schema(edge).parquet(f"{place}/edges/k=0")
-    labels = components(edges.select("a", "b"))
-
-    # every member of a bucket of two or more is in some pair
-    sizes = words.select("node", F.octet_length("words").alias("size")).distinct()
-    named = lambda members: members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = lambda members: members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    shared = named(sketches.join(sizes, "node"))
-    share = F.xxhash64("node", F.lit(11)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    shared.drop("label").join(split(shared).select("key", "n"), "key").withColumn("share", share).write.parquet(f"{place}/open")
-    members = spark.read.schema("key long, node long, size int, n long, share double").parquet(f"{place}/open")
-    most = members.agg(F.max("n")).first()[0] or 0
-    k, before, pivots = 1, 0, PIVOTS
-    while before < most:
-        # members of a share below before / n have met all others of their bucket
-        rest = named(members.filter(F.col("share") * F.col("n") >= before))
-        rest = rest.join(split(rest).select("key"), "key")
-        wide = F.col("n") > OPEN_LEAST
-        part = F.when(wide, F.pmod(F.xxhash64("node"), F.lit(OPEN_PARTS)).cast("int")).otherwise(F.lit(0))
-        parts = F.when(wide, F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1))).otherwise(F.array(F.lit(0)))
-        some = rest.filter(F.col("share") * F.col("n") < pivots).select("key", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("size").alias("p_size"), F.explode(parts).alias("part"))
-        alike = F.least("size", "p_size") >= F.lit(least) * F.greatest("size", "p_size")
-        crossed = rest.withColumn("part", part).join(some, ["key", "part"]).filter((F.col("label") != F.col("p_label")) & alike)
-        fresh = crossed.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        fresh.join(met, ["a", "b"], "left_anti").write.parquet(f"{place}/pairs/k={k}")
-        new = spark.read.schema(pair).parquet(f"{place}/pairs/k={k}")
-        if not new.isEmpty():
-            verified(new, words, least).write.parquet(f"{place}/edges/k={k}")
-            found = spark.read.schema(edge).parquet(f"{place}/edges/k={k}")
-            met = met.unionByName(new)
-            if not found.isEmpty():
-                edges = edges.unionByName(found)
-                labels = components(edges.select("a", "b"))
-        k, before, pivots = k + 1, pivots, pivots * MORE_PIVOTS
-    return edges, labels
+    edge = "a long, b long"
+    bucket_members(sketches, least).write.parquet(f"{place}/members")
+    members = spark.read.schema("band int, key long, node long, size int, digest long").parquet(f"{place}/members")
+    texts = texts_of(members, rows)
+    verified(first_pairs(members, least), texts, least).write.parquet(f"{place}/edges/k=0")
+    labels = components(spark.read.schema(edge).parquet(f"{place}/edges/k=0"))
+    open_links(members, labels, texts, least).write.parquet(f"{place}/edges/k=1")
+    edges = spark.read.schema(edge).parquet(f"{place}/edges/k=0", f"{place}/edges/k=1").distinct()
+    if spark.read.schema(edge).parquet(f"{place}/edges/k=1").isEmpty():
+        return edges, labels
+    return edges, components(edges)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,7 +427,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
     ``class_id`` is the smallest document of the class: documents joined by equal texts or by
     verified links. ``n_links``: verified links of the text to other texts, of the pairs that
-    were compared; ``n_copies``: rows with the very same text. A link's texts are at least ``least`` alike by alignment of words.
+    were aligned; ``n_copies``: rows with the very same text. A link's texts are at least ``least`` alike by alignment of words.
 
     Null and empty texts are copies of each other and near nothing else. A null id gives way
     to a negative number made from the text. Rows of one id are one document and share a

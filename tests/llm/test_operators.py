@@ -219,13 +219,10 @@ def test_near_duplicates_keep_one(spark, texts):
     assert 7 not in ids and 8 not in ids
 
 
-@pytest.mark.parametrize("rounds", [False, True])
-def test_near_duplicates_whose_first_of_bucket_is_not_near(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("blocks", [2000, 2])
+def test_near_duplicates_whose_first_of_bucket_is_not_near(spark, monkeypatch, blocks):
     """A template heads every bucket of the texts made from it, and is near to none of them."""
-    if rounds:
-        for name in ("PIVOTS", "OPEN_LEAST"):
-            monkeypatch.setattr(minhash, name, 1)
-        monkeypatch.setattr(minhash, "MORE_PIVOTS", 2)
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", blocks)
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
     template = words(300)
@@ -241,12 +238,54 @@ def test_near_duplicates_whose_first_of_bucket_is_not_near(spark, monkeypatch, r
     assert {r.doc_id for r in minhash.keep_one(frame(spark, [r for r in rows if r[0] in (1, 10, 30)])).collect()} == {1, 10}
 
 
+def test_recall_by_similarity():
+    """Share of made pairs that meet in a bucket, by similarity and length: words replaced at random places."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+
+    def recall(n, similarity, pairs=120):
+        texts = []
+        for _ in range(pairs):
+            one = rng.choices(vocabulary, k=n)
+            two = one[:]
+            for i in rng.sample(range(n), int((1 - similarity) * n + 1e-9)):
+                two[i] = rng.choice(vocabulary) + "x"
+            texts += [" ".join(one).encode(), " ".join(two).encode()]
+        with np.errstate(over="ignore"):
+            _, _, keys, at = minhash.order_sketches(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        own = [set(keys[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+        return sum(bool(own[2 * i] & own[2 * i + 1]) for i in range(pairs)) / pairs
+
+    for n in (6, 12, 30, 60, 100, 400):
+        found = {s: recall(n, s) for s in (0.8, 0.82, 0.84, 0.86, 0.9, 0.95)}
+        assert found[0.8] >= 0.75 and found[0.82] >= 0.85 and found[0.9] >= 0.98, (n, found)
+        assert sum(found[s] for s in (0.8, 0.82, 0.84, 0.86)) / 4 >= 0.9, (n, found)
+
+
+def test_alignment_of_long_texts():
+    """A pair of 200 000 words each, all different: time and memory grow with the text and the band."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    one = list(range(200_000))
+    two = [x if rng.random() > 0.02 else -x - 1 for x in one]
+    tracemalloc.start()
+    assert 0.97 < minhash.alignment_similarity(one, two, 0.95) < 0.99
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_banded_distance():
     rng = np.random.default_rng(0)
     for _ in range(300):
-        a, b = (rng.integers(0, 4, rng.integers(0, 25)).astype(np.uint32) for _ in range(2))
+        a, b = (rng.integers(0, int(rng.integers(1, 9)), rng.integers(0, 25)).tolist() for _ in range(2))
         most = int(rng.integers(0, 30))
-        assert minhash.banded_distance(a, b, most) == min(brute.distance(a.tolist(), b.tolist()), most + 1)
+        assert minhash.banded_distance(a, b, most) == min(brute.distance(a, b), most + 1)
+    # frequent words as bits, others as places
+    for _ in range(10):
+        a = rng.choice([*[0] * 9, *range(1, 40)], 400).tolist()
+        b = [x for x in a if rng.random() > 0.1]
+        assert minhash.banded_distance(a, b, 90) == min(brute.distance(a, b), 91)
 
 
 def test_components(spark):
