@@ -6,6 +6,7 @@ import functools
 import re
 import zlib
 from array import array
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and parts of chunks, whose ids a worker keeps.
 CACHED = 400_000
-#: Rounds of multiplicative weights, and pairs of their step and the share of the best price that a pattern needs.
-ROUNDS = 40
-SETTINGS = ((0.02, 0.998), (0.3, 0.95))
+#: The program is solved to this gap between its value and a dual bound, or in so many rounds, or until so many have brought no better value.
+GAP, ROUNDS, PATIENCE = 0.01, 30, 6
+#: Steps of the weights: for what a round leaves behind, and for what the best pattern with a length lacks; what patterns may lack.
+STEP, ASCENT, NEAR_BEST = 0.01, 0.5, 0.003
+#: How far a round covers lengths ahead, in rounds: as a rule, and where nothing else fills a pattern.
+AHEAD, FAR_AHEAD = 0.05, 2.0
 BUCKETS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -118,70 +122,99 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 # -- the linear program -----------------------------------------------------------------------
 
 
-def _price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best value of a pattern for each room, and the length that it takes last: knapsack, any number of each length."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for length, worth in zip(lengths.tolist(), value.tolist(), strict=True):
-        at = length
-        while at <= capacity:  # a block at a time, so that a length may be taken again
-            stop = min(at + length, capacity + 1)
-            with_it = best[at - length : stop - length] + worth
-            better = with_it > best[at:stop]
-            if better.any():
-                best[at:stop][better] = with_it[better]
-                last[at:stop][better] = length
-            at = stop
-    return best, last
-
-
-def _pattern(last: np.ndarray, room: int, first: int) -> dict[int, int]:
-    """``first`` and what the knapsack puts beside it."""
-    found = {first: 1}
-    room -= first
-    while room > 0:
-        if last[room]:
-            found[int(last[room])] = found.get(int(last[room]), 0) + 1
-            room -= int(last[room])
-        else:
-            room -= 1
-    return found
+def _price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """The best value of a pattern for each room: knapsack by dynamic programming, any number of each length."""
+    best = np.zeros(capacity + 1)
+    for length, worth in zip(lengths[::-1].tolist(), value[::-1].tolist(), strict=True):
+        if 2 * length > capacity:
+            np.maximum(best[length:], best[: capacity + 1 - length] + worth, out=best[length:])
+        else:  # rooms of one remainder as columns: a length is taken again from row to row
+            rows = -(-(capacity + 1) // length)
+            table = np.full(rows * length, -1.0)
+            table[: capacity + 1] = best
+            paid = worth * np.arange(rows)[:, None]
+            best = (np.maximum.accumulate(table.reshape(rows, length) - paid, axis=0) + paid).ravel()[: capacity + 1]
+    return best
+
+
+@dataclass
+class Cover:
+    """A solution of the configuration program: numbers of patterns that cover every count, their sum, and a bound on any such sum."""
 
+    patterns: dict[tuple[tuple[int, int], ...], float]
+    value: float
+    bound: float
+    rounds: int
 
-def fractional_patterns(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = SETTINGS[0][0], near_best: float = SETTINGS[0][1]) -> list[tuple[dict[int, int], float]]:
-    """A near-optimal solution of the configuration program: (pattern, how many sequences have it).
 
-    Every length's count is to be covered by the patterns that hold it. A length's weight
-    starts as its share of the capacity, the prices of a program without waste, and is
-    multiplied down as its count gets covered. A round prices all patterns by one knapsack
-    over the weights, and for every length not yet covered takes the best pattern that holds
-    it, if its price is near the best of all; patterns of a round share what they all need.
+def fractional_cover(counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, rounds: int = ROUNDS) -> Cover:
+    """The configuration program by multiplicative weights: the fewest patterns, in fractions, that hold all counts.
+
+    Each length has a weight, at first its share of the capacity. A round prices all patterns
+    by one knapsack over the weights. The counts, divided by the best price, are a bound: no
+    solution is less. Then the round covers every count once more, with patterns that hold a
+    length not yet covered and are filled at nearly the best price, by the lengths least
+    covered so far. What it covers ahead is not covered in the next round, so that the mean of
+    the rounds, a cover itself, gets better. Weights are multiplied up for lengths that no
+    round's patterns fill up by themselves, and for those whose best pattern is below the best
+    price, which raises the bound. It ends when value and bound are within ``gap``, or
+    after ``rounds``, or PATIENCE of them without a better value; the solution says how far they are apart.
     """
-    lengths = np.flatnonzero(counts)
-    lengths = lengths[(lengths > 0) & (lengths <= capacity)]
+    lengths = np.flatnonzero(counts[: capacity + 1])
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        return Cover({}, 0.0, 0.0, 0)
     need = counts[lengths].astype(float)
-    place = np.zeros(capacity + 1, np.int64)
-    place[lengths] = np.arange(len(lengths))
-    left = need.copy()
-    total: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
-        open_ = left > 1e-6 * need
-        if not open_.any():
+    log, covered = np.zeros(len(lengths)), np.zeros(len(lengths))
+    found: dict[tuple[tuple[int, int], ...], float] = {}
+    mass, bound, best_cover = 0.0, 0.0, Cover({}, np.inf, 0.0, 0)
+    for t in range(1, rounds + 1):
+        weight = lengths / capacity * np.exp(log)
+        best = _price(lengths, weight, capacity)
+        top = best[capacity]
+        bound = max(bound, float((need * weight).sum() / top))
+        behind = covered.copy()
+        for i in range(len(lengths) - 1, -1, -1):
+            behind[i] = covered[i]
+            while covered[i] < t - 1e-9:
+                pattern = _filled(i, lengths, weight, best, covered, t, NEAR_BEST * top)
+                much = min([(t - covered[i]) * need[i] / pattern[i], *((max(t + AHEAD, covered[j] + AHEAD) - covered[j]) * need[j] / m for j, m in pattern.items() if j != i)])
+                key = tuple(sorted((int(lengths[j]), m) for j, m in pattern.items()))
+                found[key] = found.get(key, 0.0) + much
+                mass += much
+                for j, m in pattern.items():
+                    covered[j] += m * much / need[j]
+        value = mass / covered.min()
+        if value < best_cover.value:
+            best_cover = Cover({p: x / covered.min() for p, x in found.items()}, value, bound, t)
+        best_cover.bound = bound
+        if best_cover.value <= (1 + gap) * bound or t - best_cover.rounds >= PATIENCE:
             break
-        price = np.where(open_, lengths / capacity * np.exp(step * (left / need - left.sum() / need.sum())), 0.0)
-        order = np.flatnonzero(open_)[::-1]
-        best, last = _price(lengths[order], price[order], capacity)
-        worth = np.where(open_, price + best[capacity - lengths], 0.0)
-        patterns = sorted({tuple(sorted(_pattern(last, capacity, int(x)).items())) for x in lengths[worth >= near_best * worth.max()]})
-        held = np.zeros(len(lengths))
-        for p in patterns:
-            for x, n in p:
-                held[place[x]] += n
-        share = {p: min(left[place[x]] / held[place[x]] for x, _ in p) for p in patterns}
-        for p, much in share.items():
-            total[p] = total.get(p, 0.0) + much
-            for x, n in p:
-                left[place[x]] -= n * much
-    return [(dict(p), x) for p, x in total.items()]
+        log += STEP * np.clip(t - behind, -1, 1) + ASCENT * np.minimum((top - weight - best[capacity - lengths]) / weight, 1)
+    return best_cover
+
+
+def _filled(first: int, lengths: np.ndarray, weight: np.ndarray, best: np.ndarray, covered: np.ndarray, t: int, slack: float) -> dict[int, int]:
+    """A pattern with ``first`` that lacks ``slack`` of the best price at most, or as little as can be; the least covered lengths first."""
+    pattern, room = {first: 1}, len(best) - 1 - int(lengths[first])
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        lacks = best[room] - (weight[:k] + best[room - lengths[:k]])
+        for most in (t + AHEAD, t + FAR_AHEAD):
+            open_ = covered[:k] < most - 1e-9
+            wanted = np.where(open_ & (lacks <= slack), covered[:k], np.inf)
+            j = int(wanted.argmin())
+            if wanted[j] < np.inf:
+                break
+        else:
+            wanted = np.where(covered[:k] < t + AHEAD - 1e-9, lacks, np.inf)
+            j = int(wanted.argmin())
+            if wanted[j] == np.inf:
+                break
+        slack = max(slack - max(float(lacks[j]), 0.0), 0.0)
+        pattern[j] = pattern.get(j, 0) + 1
+        room -= int(lengths[j])
+    return pattern
 
 
 def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -209,29 +242,50 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[in
     return out
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Patterns and numbers that hold every piece exactly once: the program rounded down, the rest by best fit.
+def rounded(patterns: dict[tuple[tuple[int, int], ...], float], counts: np.ndarray, share: float, up: float, least: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole numbers of patterns that hold no more than the counts, and what they leave: the largest first.
+
+    ``share`` of each number is taken, all that fit if it is infinite; a fraction of ``up`` or more counts as one. Patterns
+    without a piece of ``least`` tokens are left out.
+    """
+    left, out = counts.astype(np.int64).copy(), []
+    for pattern, x in sorted(patterns.items(), key=lambda p: (-p[1], p[0])):
+        n = min(int(min(share * x, 1e15) + 1 - up + 1e-9), *(int(left[length]) // m for length, m in pattern))
+        if n > 0 and pattern[-1][0] >= least:
+            for length, m in pattern:
+                left[length] -= n * m
+            out.append((dict(pattern), n))
+    return out, left
+
+
+@dataclass
+class Packing:
+    """Patterns and numbers that hold every piece once; how many sequences the program gave; its value and bound."""
+
+    patterns: list[tuple[dict[int, int], int]]
+    sequences: int
+    from_program: int
+    value: float
+    bound: float
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> Packing:
+    """The program's solution in whole sequences, and what rounding leaves by best fit.
 
     Rounding loses where short pieces are spent on each other that long ones will need. So
-    the program is solved with SETTINGS and rounded with all its patterns, and with those
-    only that hold a piece of a quarter or half of the capacity; the fewest sequences win.
+    several shares of the solution are taken, with all patterns and with those only that hold
+    a long piece; the fewest sequences win, and of equals those with most from the program.
+    Best fit alone is among them.
     """
-    best: list[tuple[dict[int, int], int]] = []
-    fewest = -1
-    for step, near_best in SETTINGS:
-        patterns = sorted(fractional_patterns(counts, capacity, step=step, near_best=near_best), key=lambda p: -p[1])
-        for least in (1, capacity // 4, capacity // 2):
-            left, out = counts.astype(np.int64).copy(), []
-            for pattern, x in patterns:
-                n = min(int(x + 1e-9), *(int(left[length]) // m for length, m in pattern.items()))
-                if n > 0 and max(pattern) >= least:
-                    for length, m in pattern.items():
-                        left[length] -= n * m
-                    out.append((pattern, n))
-            out += best_fit(left, capacity)
-            total = sum(n for _, n in out)
-            if fewest < 0 or total < fewest:
-                best, fewest = out, total
+    cover = fractional_cover(counts, capacity)
+    best: Packing | None = None
+    for share, up, least in [*((s, u, x) for s in (np.inf, 1.0, 0.5, 0.25) for u in (1.0, 0.5, 1e-6) for x in (1, capacity // 2)), (0.0, 1.0, 1)]:
+        out, left = rounded(cover.patterns, counts, share, up, least)
+        own = sum(n for _, n in out)
+        out += best_fit(left, capacity)
+        total = sum(n for _, n in out)
+        if best is None or (total, -own) < (best.sequences, -best.from_program):
+            best = Packing(out, total, own, cover.value, cover.bound)
     return best
 
 
@@ -254,7 +308,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[length] = n
     rows, first = [], 0
     begun: dict[int, int] = {}
-    for pattern, n in solve(counts, capacity):
+    for pattern, n in solve(counts, capacity).patterns:
         at = 0
         for length, m in sorted(pattern.items(), reverse=True):
             rows.append((length, begun.get(length, 0), n * m, m, first, at))

@@ -328,19 +328,64 @@ def test_packing(spark, texts):
     assert have[None] == [(0, 0, 1, zlib.crc32(b"\0\0\0\0"))]
 
 
-def test_solver_is_near_the_bound():
-    rng = np.random.default_rng(3)
+def histogram(*lengths):
     counts = np.zeros(2049, np.int64)
-    np.add.at(counts, rng.integers(1, 1500, 20_000), 1)
-    found = packing.solve(counts)
-    held = np.zeros(2049, np.int64)
-    for pattern, n in found:
-        assert sum(x * m for x, m in pattern.items()) <= 2048
+    np.add.at(counts, np.concatenate([np.atleast_1d(x) for x in lengths]), 1)
+    return counts
+
+
+def check_solution(counts, capacity=2048):
+    found = packing.solve(counts, capacity)
+    held = np.zeros(len(counts), np.int64)
+    for pattern, n in found.patterns:
+        assert n > 0 and sum(x * m for x, m in pattern.items()) <= capacity
         for x, m in pattern.items():
             held[x] += n * m
-    assert (held == counts).all()
-    assert sum(n for _, n in found) <= 1.01 * (counts * np.arange(2049)).sum() / 2048
-    assert packing.solve(np.zeros(2049, np.int64)) == []
+    assert (held == counts).all() and found.sequences == sum(n for _, n in found.patterns)
+    return found
+
+
+@pytest.mark.parametrize("least, most, n, gap", [(1, 1500, 20_000, 0.015), (700, 1400, 20_000, 0.01), (30, 2048, 3_000, 0.011)])
+def test_program_is_solved(least, most, n, gap):
+    """The fractional solution covers all counts; its value lies within the gap of its dual bound."""
+    counts = histogram(np.random.default_rng(3).integers(least, most, n))
+    cover = packing.fractional_cover(counts)
+    held = np.zeros(2049)
+    for pattern, x in cover.patterns.items():
+        assert sum(length * m for length, m in pattern) <= 2048
+        for length, m in pattern:
+            held[length] += m * x
+    assert (held >= counts * (1 - 1e-9)).all()
+    volume = (counts * np.arange(2049)).sum() / 2048
+    assert volume - 1e-6 <= cover.bound <= cover.value <= (1 + gap) * cover.bound
+    assert sum(cover.patterns.values()) == pytest.approx(cover.value)
+    found = check_solution(counts)
+    assert cover.bound - 1e-6 <= found.sequences <= sum(n for _, n in packing.best_fit(counts))
+
+
+def test_program_beats_best_fit():
+    """Best fit puts 1044 and 553 together; the program puts 1044, 532 and 472, and 553, 553, 471 and 471."""
+    counts = histogram(*(np.full(600, x) for x in (1044, 532, 472, 553, 471)))
+    assert sum(n for _, n in packing.best_fit(counts)) == 1100
+    found = check_solution(counts)
+    assert found.sequences == 900 and found.from_program >= 890 and found.bound == pytest.approx(900, rel=0.01)
+
+
+def test_solver_of_few_pieces():
+    assert packing.solve(np.zeros(2049, np.int64)).patterns == []
+    assert check_solution(histogram([2048])).sequences == 1
+    assert check_solution(histogram([1, 1, 2047, 2047])).sequences == 2
+
+
+def test_prices():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(1, 40), 6, replace=False))
+        value = rng.random(6)
+        best = [0.0] * 61
+        for room in range(1, 61):
+            best[room] = max([best[room - 1], *(best[room - x] + v for x, v in zip(lengths, value) if x <= room)])
+        assert np.allclose(packing._price(lengths, value, 60), best)
 
 
 def test_quality(spark, texts):
