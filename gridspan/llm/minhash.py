@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SKETCHES, TOGETHER = 60, 2
 #: Texts of fewer words also have sketches of single words, for few k-mers outlive an edit.
 SHORT, SHORT_SKETCHES, SHORT_TOGETHER = 80, 20, 3
 #: Bytes and texts of a block of an open bucket.
-BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 2000
-#: Counters that the words of a text are hashed to, to bound what two texts have in common.
+BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 1000
+#: Counters that the words of a text are hashed to, for a first bound on what two texts have in common.
 COUNTERS = 256
 #: A text counts as hot from this share of all rows on, and this number; its rows are joined in so many parts.
 HOT_SHARE, HOT_LEAST, HOT_PARTS = 0.001, 1000, 64
@@ -257,13 +258,17 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def bucket_members(sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``key, band, node, size, digest``: the texts of every bucket that has several, twice each, by bands of length."""
+    """``key, band, upper, node, size, digest``: the texts of every bucket that has several, by bands of length.
+
+    Each text stands in its own band and, as ``upper``, in the next one down.
+    """
     by_key = Window.partitionBy("key")
     rows = sketches.select(F.explode("keys").alias("key"), "digest", "doc", "size").repartition("key")
     shared = rows.withColumn("several", F.min("digest").over(by_key) < F.max("digest").over(by_key)).filter("several")
     nodes = shared.groupBy("key", "digest").agg(F.min("doc").alias("node"), F.first("size").alias("size"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * math.log(1 / least))).cast("int")
-    return nodes.select(F.explode(F.array(band, band - 1)).alias("band"), "key", "node", "size", "digest")
+    places = F.array(F.struct(band.alias("band"), F.lit(False).alias("upper")), F.struct((band - 1).alias("band"), F.lit(True).alias("upper")))
+    return nodes.select(F.explode(places).alias("p"), "key", "node", "size", "digest").select("key", "p.band", "p.upper", "node", "size", "digest")
 
 
 def first_pairs(members: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -295,22 +300,41 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return by_batch(both.select("a", "b", "text_a", "text_b"), align, "a long, b long")
 
 
-def _word_counts(texts: list[list[bytes]]) -> np.ndarray:
-    """[text, counter]: how many words of each text are hashed to each counter."""
-    joined = b" ".join(b" ".join(t) for t in texts)
-    buf = np.frombuffer(joined, np.uint8)
-    start, end, _ = find_words(buf, np.array([0, len(buf)]))
-    slot = (span_hashes(buf, start, end) >> np.uint64(32)).astype(np.int64) % COUNTERS
-    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    return np.bincount(text * COUNTERS + slot, minlength=len(texts) * COUNTERS).reshape(len(texts), COUNTERS).astype(np.int32)
-
-
-def links_of(nodes: list[int], labels: list[int], texts: list[list[bytes]], block: np.ndarray, blocks: tuple[int, int], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
-    """Links that join all near texts of two blocks, or of one with itself, that are of different classes.
-
-    Two texts have no more words in common than their counts have, counter by counter; where
-    that is too little they aren't near. The others are aligned, the most alike first, unless
-    links have joined their classes by then.
+@dataclass
+class Member:
+    """A text of an open bucket: its block, whether it is of the upper band, and all open buckets that it is in."""
+
+    node: int
+    label: int
+    block: int
+    upper: bool
+    buckets: list[int]
+    words: list[bytes]
+
+
+def _numbered(members: list[Member]) -> tuple[list[list[int]], np.ndarray, np.ndarray, np.ndarray]:
+    """(the words of each as numbers, [text, counter] counts, numbers of words with their occurrence end to end, offsets)."""
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in m.words] for m in members]
+    flat = np.fromiter((w for own in words for w in own), np.int64)
+    off = np.cumsum([0, *map(len, words)])
+    text = np.repeat(np.arange(len(words)), np.diff(off))
+    counts = np.bincount(text * COUNTERS + flat % COUNTERS, minlength=len(words) * COUNTERS).reshape(len(words), COUNTERS).astype(np.int32)
+    order = np.lexsort((flat, text))
+    new = np.concatenate([[True], (np.diff(text[order]) > 0) | (np.diff(flat[order]) > 0)])
+    occurrence = np.empty(len(flat), np.int64)
+    occurrence[order] = np.arange(len(flat)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    _, labelled = np.unique(flat * (int(occurrence.max()) + 1) + occurrence, return_inverse=True)
+    return words, counts, labelled, off
+
+
+def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Links that join all near texts of two blocks of a bucket, or of one with itself, that are of different classes.
+
+    A pair is looked at in the first bucket that it shares, and in the band of its shorter
+    text. Two texts are near only if they have enough words in common, whatever their order:
+    counted first by counters and then one by one. Others are aligned, the most alike first,
+    unless links have joined their classes by then.
     """
     root: dict[int, int] = {}
 
@@ -320,60 +344,82 @@ def links_of(nodes: list[int], labels: list[int], texts: list[list[bytes]], bloc
             x = up
         return x
 
-    size = np.array([len(t) for t in texts])
-    counts = _word_counts(texts)
-    of = np.array(labels)
+    words, counts, labelled, off = _numbered(members)
+    size, block, upper = np.diff(off), np.array([m.block for m in members]), np.array([m.upper for m in members])
+    label, node = np.array([m.label for m in members]), np.array([m.node for m in members])
+    sharing: dict[int, list[int]] = {}
+    for i, m in enumerate(members):
+        for k in m.buckets:
+            if k < bucket:
+                sharing.setdefault(k, []).append(i)
+    together = {k: np.array(v) for k, v in sharing.items() if len(v) > 1}
+    own = np.zeros(int(labelled.max()) + 1 if len(labelled) else 1, bool)
     here, there = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[1])
     for i in here.tolist():
         others = there[there > i] if blocks[0] == blocks[1] else there
+        fits = (label[others] != label[i]) & (node[others] != node[i]) & ~(upper[others] & upper[i])
         need = least * np.maximum(size[others], size[i]) - 1e-9
-        others = others[(of[others] != of[i]) & (np.minimum(size[others], size[i]) >= need)]
+        fits &= np.minimum(size[others], size[i]) >= need
+        if not fits.any():
+            continue
+        before = [together[k] for k in members[i].buckets if k in together]
+        if before:
+            met = np.zeros(len(members), bool)
+            met[np.concatenate(before)] = True
+            fits &= ~met[others]
+        others, need = others[fits], need[fits]
+        fits = np.minimum(counts[others], counts[i]).sum(axis=1) >= need
+        others, need = others[fits], need[fits]
         if not len(others):
             continue
-        common = np.minimum(counts[others], counts[i]).sum(axis=1)
-        fits = common >= least * np.maximum(size[others], size[i]) - 1e-9
+        own[labelled[off[i] : off[i + 1]]] = True
+        at = np.concatenate([np.arange(off[k], off[k + 1]) for k in others.tolist()])
+        common = np.add.reduceat(own[labelled[at]].astype(np.int64), np.cumsum(size[others]) - size[others])
+        own[labelled[off[i] : off[i + 1]]] = False
+        fits = common >= need
         others, common = others[fits], common[fits]
         for k in others[np.argsort(-common, kind="stable")].tolist():
-            if nodes[i] != nodes[k] and (x := find(labels[i])) != (y := find(labels[k])) and alignment_similarity(texts[i], texts[k], least) >= least:
+            x, y = find(int(label[i])), find(int(label[k]))
+            most = int((1 - least) * max(size[i], size[k]) + 1e-9)
+            if x != y and banded_distance(words[i], words[k], most) <= most:
                 root[max(x, y)] = min(x, y)
-                yield min(nodes[i], nodes[k]), max(nodes[i], nodes[k])
+                yield min(members[i].node, members[k].node), max(members[i].node, members[k].node)
 
 
 def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a, b``: links between texts of different classes that share a bucket and a band.
 
-    Buckets with the same texts are looked at once. A bucket's texts are dealt out in blocks of
-    BLOCK_BYTES and BLOCK_TEXTS about; a task compares two blocks.
+    Of buckets with the same texts one is looked at. A bucket's texts are dealt out in blocks of
+    about BLOCK_BYTES and BLOCK_TEXTS; a task compares two blocks.
     """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    length = F.sum(F.col("size").cast("long") * 8)
-    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
-    groups = named.groupBy("key", "band").agg(mark.alias("mark"), F.min("label").alias("lo"), F.max("label").alias("hi"), length.alias("bytes"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    some = groups.groupBy("mark").agg(F.min(F.struct("key", "band", "n", "bytes")).alias("g")).select("g.*")
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", "upper")).alias("x"))
+    groups = named.groupBy("key", "band").agg(mark.alias("mark"), F.min("upper").alias("all_upper"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("n")).filter("lo < hi AND NOT all_upper")
     blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS))).cast("int")
-    dealt = named.join(some.select("key", "band", blocks.alias("blocks")), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    some = groups.groupBy("mark").agg(F.min(F.struct("key", "band", "n", "bytes")).alias("g")).select("g.*").select("key", "band", F.xxhash64("key", "band").alias("bucket"), blocks.alias("blocks"))
+    dealt = named.join(some, ["key", "band"]).select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label")
+    in_buckets = dealt.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(texts, "node")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    parts = dealt.select("key", "band", "block", "node", "label", F.explode(others).alias("at")).select("key", "band", "at.i", "at.j", "block", "node", "label")
-    with_text = parts.hint("merge").join(texts, "node")
+    parts = dealt.hint("merge").join(in_buckets, "node").select("bucket", F.explode(others).alias("at"), "node", "label", "block", "upper", "buckets", "text").select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "buckets", "text")
 
     def run(batches):
         own, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:4] != own:
+                if row[:3] != own:
                     yield from compared(own, rows)
-                    own, rows = row[:4], []
-                rows.append(row[4:])
+                    own, rows = row[:3], []
+                rows.append(Member(*row[3:8], row[8].encode().split()))
         yield from compared(own, rows)
 
     def compared(own, rows):
-        if len({r[2] for r in rows}) > 1:
-            found = list(links_of([r[1] for r in rows], [r[2] for r in rows], [r[3].encode().split() for r in rows], np.array([r[0] for r in rows]), own[2:], least))
+        if len({r.label for r in rows}) > 1:
+            found = list(links_of(rows, own[0], own[1:], least))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    place = ["key", "band", "i", "j"]
-    return in_arrow(with_text.select(*place, "block", "node", "label", "text").repartition(*place).sortWithinPartitions(*place, "node"), run, "a long, b long").distinct()
+    place = ["bucket", "i", "j"]
+    return in_arrow(parts.repartition(*place).sortWithinPartitions(*place, "node"), run, "a long, b long").distinct()
 
 
 def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +431,7 @@ def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARI
     place = scratch(spark, "links")
     edge = "a long, b long"
     bucket_members(sketches, least).write.parquet(f"{place}/members")
-    members = spark.read.schema("band int, key long, node long, size int, digest long").parquet(f"{place}/members")
+    members = spark.read.schema("key long, band int, upper boolean, node long, size int, digest long").parquet(f"{place}/members")
     texts = texts_of(members, rows)
     verified(first_pairs(members, least), texts, least).write.parquet(f"{place}/edges/k=0")
     labels = components(spark.read.schema(edge).parquet(f"{place}/edges/k=0"))
