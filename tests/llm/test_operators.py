@@ -472,6 +472,18 @@ def test_mixing(spark, texts):
     assert sorted(map(repr, mixing.mix_sources(docs).collect())) == sorted(map(repr, rows))
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "equal rows"])
+def test_mixing_comes_near_its_targets_without_ids(spark, ids):
+    """Rows of no id, of one id, and all equal: each source within a twentieth of its target, in the table and in the mix."""
+    rows = [(None if ids == "null" else 1, "same words " * 40 if ids == "equal rows" else f"{i} " + "word " * (i % 90), f"s{min(i % 9, 3)}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    mix = {r.source: r.n for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert len(found) == 4 and all(abs(r.taken - r.target) <= 0.05 * r.target for r in found)
+    assert all(abs(mix[r.source] - r.target) <= 0.05 * r.target for r in found)
+    assert sorted(map(repr, mixing.mix_sources(docs).collect())) == sorted(map(repr, mixing.mix_sources(docs.repartition(3)).collect()))
+
+
 def test_ogg(spark, texts):
     out = {r.doc_id: r for r in ogg.media_digests(ogg.stored_texts(frame(spark, texts))).collect()}
     for doc, text in texts:
