@@ -436,22 +436,55 @@ def test_language(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = language.Pieces(["a", "b", "ab", "ba", "aba"])
-    chances = np.array([[0.2], [0.1], [0.3], [0.15], [0.25], [0.0]])
-    value = dict(zip(["a", "b", "ab", "ba", "aba"], chances[:5, 0], strict=True))
+    pieces = language.Pieces(["a", "b", "ab", "ba", "aba", "abcdefghijk"])
+    chances = np.array([[0.2, 0.1], [0.1, 0.2], [0.3, 0.1], [0.15, 0.3], [0.2, 0.2], [0.05, 0.1], [0.0, 0.0]])
 
-    def every(word):
-        if not word:
-            return 1.0
-        got = sum(value.get(word[:k], 0) * every(word[k:]) for k in range(1, len(word) + 1))
-        return got + language.UNKNOWN * every(word[1:])
+    def every(word, lang, value={}):
+        best = [1.0]
+        for j in range(1, len(word) + 1):
+            best.append(best[j - 1] * language.UNKNOWN + sum(best[j - k] * dict(zip(["a", "b", "ab", "ba", "aba", "abcdefghijk"], chances[:, lang])).get(word[j - k : j], 0) for k in range(1, min(11, j) + 1)))
+        return best[-1]
 
-    words = ["ab", "aba", "bab", "abab", "c"]
+    words = ["ab", "aba", "bab", "abab", "c", "cabcdefghijka", "ab" * 15, "ab" * 16, "ba" * 40, "abx" * 12]
     points = language.codes("".join(words))
     end = np.cumsum([len(w) for w in words])
     with np.errstate(over="ignore"):
         logs = language.log_chances(pieces, points, end - [len(w) for w in words], end, chances)
-    assert np.allclose(np.exp(logs[:, 0]), [every(w) for w in words])
+    assert np.allclose(logs, [[np.log(every(w, lang)) for lang in range(2)] for w in words])
+
+
+def test_long_runs_are_scored_whole(monkeypatch):
+    """Cut or not, scaled or not: the sum of a run does not depend on where it is held; kept scores are the same."""
+    rng = random.Random(6)
+    vocabulary = language.vocabulary()
+    assert vocabulary.longest > 8
+    with np.errstate(over="ignore"):
+        chances = np.random.default_rng(0).random((vocabulary.size + 1, 3)) / vocabulary.size
+        chances[-1] = 0
+        run = language.codes("".join(rng.choices("abcdefghij", k=300)))
+        assert np.allclose(language.forward_long(vocabulary, run, chances, 4096), language.forward_long(vocabulary, run, chances, 7))
+        short = run[: language.BLOCK]
+        assert np.allclose(language.forward_long(vocabulary, short, chances), language.log_chances(vocabulary, short, np.array([0]), np.array([len(short)]), chances)[0])
+        kept = language.Scores(3)
+        texts = ["some words and more words", "words and " + "x" * 500, "other words"]
+        whole = language.score_texts(vocabulary, chances, texts)[0]
+        again = np.concatenate([language.score_texts(vocabulary, chances, [t], kept)[0] for t in texts])
+        assert np.allclose(whole, again) and len(kept.hashes) == 6
+        monkeypatch.setattr(language, "KEPT", 2)
+        few = language.Scores(3)
+        assert np.allclose(whole, np.concatenate([language.score_texts(vocabulary, chances, [t], few)[0] for t in texts])) and len(few.hashes) == 2
+
+
+def test_language_of_rows_without_ids(spark):
+    """Rows without ids, or of one id, neither fill the sample nor are left out of it; repeated rows count once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    bare = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    held = docs.filter(language.held_out(F.col("doc_id"))).collect()
+    for more in (docs.unionByName(bare.crossJoin(spark.range(6)).drop("id")), bare, docs.unionByName(docs.withColumn("doc_id", F.lit(2)))):
+        langs, chances = language.learn(more, sample=50)
+        assert langs == sorted({r.lang for r in docs.collect()})
+        got = {r.doc_id: r.lang_pred for r in language.identify(docs, langs, chances).collect()}
+        assert sum(got[r.doc_id] == r.lang for r in held) >= 0.95 * len(held)
 
 
 def test_mixing(spark, texts):
