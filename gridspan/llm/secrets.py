@@ -28,14 +28,17 @@ KINDS = ("assign", "access", "hex", "novel")
 #: A candidate is a run of these characters, of this length, and has a digit and a letter.
 SHORTEST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-#: Longer runs are measured in parts of so many characters: the dictionary's codes serve a short text, a long one gets codes of its own that make random letters look less novel.
-PART = re.compile(r"[A-Za-z0-9+/_=-]{1,512}")
+#: Longer runs are measured in parts of so many characters, for in a long text random letters get codes of their own and look less novel.
+PART = re.compile(r"[A-Za-z0-9+/_=-]{1,128}")
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api key", "access key", "private key", "credential", "auth", "bearer", "signature")
-#: Characters before and after a candidate that it is measured against, and characters from a sensitive word to it.
+#: Characters before and after a candidate that it is measured against: a sensitive word in any of them is its context.
 BEFORE, AFTER = 256, 128
-NEAR = 48
-#: Compressed bytes a character that count as incompressible: identifiers of words need 0.2 to 0.7, random hex 0.8 to 0.9, random letters and digits 0.9 to 1.
-LEAST_RATE = 0.8
+WORDS = re.compile("|".join(map(re.escape, SENSITIVE)))
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+\Z")
+#: Compressed bytes a character that count as incompressible: random letters, digits or hex digits need 0.8 to 1.2, identifiers and paths made of words 0.4 to 0.75.
+LEAST_RATE = 0.77
+#: The same for the parts of a run after the first, which may be longer.
+MORE_RATE = 0.7
 IDENTIFIERS = (
     "public private protected static final class function return const let var import export default async await def self None True False null true false "
     "string String integer boolean object Object value values key keys name names id ids index item items list array map config configuration settings options params "
@@ -52,7 +55,9 @@ PROSE = (
     "why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own "
     "under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world"
 ).split()
-LEVEL, DICTIONARY_BYTES, SAMPLES = 3, 8192, 3000
+#: Identifiers and words that stand before all surroundings, for short ones to be compressed as a part of longer ones are.
+PRIMER = " ".join([*IDENTIFIERS, *PROSE, *(w.capitalize() for w in PROSE)]).encode()
+LEVEL, DICTIONARY_BYTES, SAMPLES = 9, 16384, 6000
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
@@ -89,16 +94,17 @@ def _compressor() -> zstandard.ZstdCompressor:
     samples = []
     for _ in range(SAMPLES):
         words = rng.choices(rng.choice((IDENTIFIERS, PROSE)), k=rng.randint(2, 5))
-        joined_by = ("_".join(words), "".join(w.capitalize() for w in words), "-".join(words), " ".join(words) + ". ", ".".join(words) + str(rng.randint(0, 2030)))
+        joined_by = ("_".join(words), "".join(w.capitalize() for w in words), "-".join(words), "/".join(words), " ".join(words) + ". ", ".".join(words) + str(rng.randint(0, 2030)))
         samples.append(rng.choice(joined_by).encode())
     primed = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Compressed bytes a character that the candidate adds to its surroundings, under the primed dictionary."""
-    tool, b, a = _compressor(), before.encode(), after.encode()
-    return (len(tool.compress(b + candidate.encode() + a)) - len(tool.compress(b + a))) / max(1, len(candidate))
+    """Compressed bytes a character that the candidate adds to its surroundings, or to the identifiers alone if that is less, under the primed dictionary."""
+    tool, c = _compressor(), candidate.encode()
+    added = min(len(tool.compress(b + c + a)) - len(tool.compress(b + a)) for b, a in ((PRIMER + before.encode(), after.encode()), (PRIMER, b"")))
+    return added / max(1, len(candidate))
 
 
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -106,23 +112,51 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length; then only ASCII is folded
         low = re.sub(r"[A-Z]+", lambda m: m[0].lower(), text)
-    if not any(k in low for k in SENSITIVE):
+    if not WORDS.search(low):
         return []
     starts, ends = [a for a, _, _ in known], list(accumulate((b for _, b, _ in known), max))
-    found, done = [], 0
-    for at in sorted({m.end() for k in SENSITIVE for m in re.finditer(re.escape(k), low)}):
-        for m in CANDIDATE.finditer(text, max(at, done), at + NEAR + SHORTEST):
-            s = m.start()
-            before = bisect_left(starts, PART.match(text, s).end())
-            if before and ends[before - 1] > s:  # a known form covers some of it
-                continue
-            e = novel_until(text, s)
-            if e > s:
-                found.append((s, e, "novel"))
-                done = e
+    found, looked = [], 0
+    for at, to in _contexts(low):
+        for m in CANDIDATE.finditer(text, _run_start(text, at, looked)):
+            if m.start() >= to:
+                break
+            looked, s = m.end(), m.start()
+            while s < min(looked, to):  # part by part, until one is new
+                part = PART.match(text, s).end()
+                before = bisect_left(starts, part)
+                e = novel_until(text, s) if part > at and looked - s >= SHORTEST and not (before and ends[before - 1] > s) else s
+                if e > s:
+                    found.append((s, e, "novel"))
+                s = max(e, part)
     return found
 
 
+def _contexts(low: str) -> list[tuple[int, int]]:
+    """Where candidates of a sensitive context lie: from AFTER before such a word to BEFORE behind it, in disjoint stretches."""
+    out: list[list[int]] = []
+    for m in WORDS.finditer(low):
+        at, to = max(0, m.start() - AFTER), m.end() + BEFORE
+        if out and at <= out[-1][1]:
+            out[-1][1] = to
+        else:
+            out.append([at, to])
+    return [(a, b) for a, b in out]
+
+
+def _run_start(text: str, at: int, least: int) -> int:
+    """Where the run of candidate characters around a place begins, not before ``least``."""
+    back = 64
+    while at > least:
+        first = max(least, at - back)
+        tail = RUN.search(text, first, at)
+        if tail is None:
+            return at
+        if tail.start() > first or first == least:
+            return tail.start()
+        back *= 2
+    return max(at, least)
+
+
 def novel_until(text: str, start: int) -> int:
     """Where the incompressible run from ``start`` ends, whatever its length; ``start`` if there is none."""
     at = start
@@ -132,7 +166,7 @@ def novel_until(text: str, start: int) -> int:
             return end
         if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
             break
-        if novelty(body, text[max(0, at - BEFORE) : at], text[end : end + AFTER]) < LEAST_RATE:
+        if novelty(body, text[max(0, at - BEFORE) : at], text[end : end + AFTER]) < (MORE_RATE if at > start else LEAST_RATE):
             break
         at = end
     return at

@@ -172,6 +172,33 @@ def test_novelty():
     assert secrets.redacted(leak, secrets.scan(leak)[1]) == "Authorization: Bearer [NOVEL] and nothing more"
 
 
+def made_strings(n):
+    """(random keys, identifiers, words, dates and versions that are no keys), n of each."""
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = []
+    while len(keys) < n:
+        key = "".join(rng.choices(rng.choice((letters, letters + "+/", letters[26:], "0123456789ABCDEF")), k=rng.randint(24, 60)))
+        if any(c.isdigit() for c in key) and any(c.isalpha() for c in key):
+            keys.append(key)
+    words = [w for w in secrets.PROSE if len(w) > 3]
+    plain = []
+    for _ in range(n):
+        some = rng.choices(words, k=rng.randint(4, 7))
+        plain.append(rng.choice(("_".join(some) + str(rng.randint(1, 99)), "".join(w.capitalize() for w in some) + "V2", "/".join(some) + "/2024", "-".join(some) + "-1")))
+    return keys, plain
+
+
+def test_precision_and_recall_of_novelty():
+    """Random keys, on either side of a sensitive word and away from it, against identifiers in the same places."""
+    keys, plain = made_strings(300)
+    around = ("the password is {} as agreed", "{} is the password", '{{"value": "{}", "name": "api key"}}', "# {}\nthis is the secret of the service", "Credentials:\n  first entry of the table below, see the notes on page two\n  {}")
+    hit = lambda x, i: any(k == "novel" for *_, k in secrets.scan(around[i % len(around)].format(x))[1])
+    caught, wrong = sum(hit(k, i) for i, k in enumerate(keys)), sum(hit(x, i) for i, x in enumerate(plain))
+    assert caught >= 0.95 * len(keys) and wrong <= 0.02 * len(plain), (caught, wrong)
+    assert not any(secrets.scan(f"nothing to see here {k} at all")[1] for k in keys if not secrets.base_spans(k))
+
+
 def test_novelty_of_long_runs():
     rng = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
