@@ -14,8 +14,8 @@ from gridspan.llm.common import ready, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and don't lose too much text to bad lines."""
-    return quality.keep_documents(docs)
+    """Documents that pass the base rules and don't lose too much text to bad lines, without those lines."""
+    return quality.clean_documents(docs, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
