@@ -386,15 +386,29 @@ def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least:
                 yield min(members[i].node, members[k].node), max(members[i].node, members[k].node)
 
 
+def with_partners(named: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``named`` that some other of their bucket and band can be near to: of another class, and long or short enough.
+
+    Pairs of two ``upper`` texts belong to the next band.
+    """
+    of = lambda f, c, upper: f(F.when(F.col("upper") == F.lit(upper), F.col(c)))
+    ends = named.groupBy("key", "band").agg(*[of(f, c, u).alias(f"{n}_{c}_{'up' if u else 'low'}") for n, f in (("min", F.min), ("max", F.max)) for c in ("label", "size") for u in (False, True)])
+    differs = lambda part: (F.col(f"min_label_{part}") != F.col("label")) | (F.col(f"max_label_{part}") != F.col("label"))
+    fits = F.lit(least - 1e-9)
+    low = differs("low") | (differs("up") & (F.col("size") >= fits * F.col("min_size_up")))
+    up = differs("low") & (F.col("max_size_low") >= fits * F.col("size"))
+    return named.join(ends, ["key", "band"]).filter(F.when(F.col("upper"), up).otherwise(low)).select(*named.columns)
+
+
 def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a, b``: links between texts of different classes that share a bucket and a band.
 
     Of buckets with the same texts one is looked at. A bucket's texts are dealt out in blocks of
     about BLOCK_BYTES and BLOCK_TEXTS; a task compares two blocks.
     """
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = with_partners(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), least)
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", "upper")).alias("x"))
-    groups = named.groupBy("key", "band").agg(mark.alias("mark"), F.min("upper").alias("all_upper"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("n")).filter("lo < hi AND NOT all_upper")
+    groups = named.groupBy("key", "band").agg(mark.alias("mark"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS))).cast("int")
     some = groups.groupBy("mark").agg(F.min(F.struct("key", "band", "n", "bytes")).alias("g")).select("g.*").select("key", "band", F.xxhash64("key", "band").alias("bucket"), blocks.alias("blocks"))
     dealt = named.join(some, ["key", "band"]).select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label")
