@@ -1,49 +1,97 @@
-"""Lane labels: their spelling and the lane that each stands for."""
+"""Lane labels: how they are written and the lane that each stands for."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Ways to write the three educations; credits go with the plus sign.
-SPELLINGS = [("B.A.", "BA"), ("M.A.", "MA"), ("BACCALAUREATE", "BA"), ("BACHELORS", "BA"), ("BACHELOR", "BA"), ("MASTERS", "MA"), ("MASTER", "MA"), ("DOCTORATE", "DOC"), ("DOCTORAL", "DOC")]
+from .scalars import roman
+
+# Ways to write each education, the credits that lanes have, and the lanes that
+# numbers stand for (LANE 1, PAY SCALE 1, LEVEL 1 or I, and so on).
+WRITTEN = {
+    "BA": ("B.A.", "BACCALAUREATE", "BACHELOR'S", "BACHELORS", "BACHELOR", "BA", "B"),
+    "MA": ("M.A.", "MASTER'S", "MASTERS", "MASTER", "MA", "M"),
+    "DOC": ("DOCTORATE", "DOCTORAL", "DOC", "EDD", "PHD", "DR"),
+    "CAGS": ("CAGS",),
+}
+LANES = {"BA": ("B", 0), "MA": ("M", 0), "DOC": ("D", 0), "CAGS": ("M", 60)}
 CREDITS = (0, 10, 15, 20, 30, 36, 40, 45, 60, 75, 90)
-TOKEN = r"(?:BA|MA|B|M)(?:\+[0-9]+)?|CAGS|DOC|DR|EDD|PHD"
+NUMBERED = (("B", 0), ("B", 15), ("B", 30), ("M", 0), ("M", 15), ("M", 30), ("M", 45), ("M", 60))
+DEGREE_TEXT = {"B": "Bachelor's", "M": "Master's", "D": "Doctorate"}
 
+# The grammar of a label, in capitals: an education, DEGREE or not, and credits behind a sign (in
+# brackets or not, a 1 perhaps read as L or I) or right behind it. It reads alike in Java and Python.
+EDUCATION = "|".join(f"({'|'.join(x.replace('.', '[.]') for x in names)})" for names in WRITTEN.values())
+LABEL = rf"(?<![A-Z0-9])(?:{EDUCATION})(?:\s*DEGREE)?(?:\s*[-+:–—]\s*[(]?\s*([0-9LI][0-9]?)\s*[)]?|([0-9]{{1,2}}))?(?![A-Z0-9])"
+SIGNED, BARE = len(WRITTEN) + 1, len(WRITTEN) + 2
+#: A number that stands for a lane: with a word before it, or a roman one alone or in brackets behind a B or M.
+NUMBER = r"^\s*(?:(?:LANE|PAY\s*SCALE|LEVEL)\s*([0-9]+|[IVX]+)|(?:B\.?A?\.?|M\.?A\.?)?\s*[(]([IVX]+)[)]|([IVX]+))\s*$"
 
-def normalize_education(label: Column) -> Column:
-    """A label in capitals with one spelling for each education, blanks gone, dashes as plus."""
-    out = F.upper(F.trim(label))
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.coalesce(F.regexp_replace(F.regexp_replace(out, r"'?S\b", ""), r"[ ]", "").alias("x"), F.lit(""))
+
+def _education(label: Column) -> Column:
+    """The name in WRITTEN of the education that a label begins with."""
+    return F.coalesce(*[F.when(F.regexp_extract(label, LABEL, k + 1) != "", F.lit(name)) for k, name in enumerate(WRITTEN)])
+
+
+def _credits(label: Column) -> Column:
+    """The credits of a label as text, blank if it names none."""
+    return F.translate(F.concat(F.regexp_extract(label, LABEL, SIGNED), F.regexp_extract(label, LABEL, BARE)), "LI", "11")
 
 
 def lane_tokens(text: Column) -> Column:
-    """The lane labels in a line, in order: ``BA, BA+15, MA``."""
-    out = F.upper(F.trim(text))
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, r"\+\s*\((\d+)\)", "+$1")
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[-–—]", "+"), r"\s*\+\s*", "+"), r"[^A-Z0-9+ ]", " ")
-    out = F.regexp_replace(out, r"\b(BA|MA|B|M)(\d{1,2})\b", "$1+$2")
-    return F.regexp_extract_all(out, F.lit(rf"\b({TOKEN})\b"), F.lit(1))
+    """The lane labels in a line, in order and one spelling: ``BA, BA+15, MA``."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(LABEL), F.lit(0))
+    return F.transform(found, lambda x: F.concat_ws("+", _education(x), F.nullif(_credits(x), F.lit(""))))
 
 
-def lane_table(spark: SparkSession) -> DataFrame:
-    """Label to lane: every spelling of an education with every number of credits."""
-    rows = []
-    for letter, names in (("B", ("B", "BA")), ("M", ("M", "MA")), ("D", ("D", "DOC"))):
-        for name in names:
-            rows.append((name, letter, 0))
-            rows += [(f"{name}{sign}{c}", letter, c) for c in CREDITS for sign in ("+", "")]
-    rows += [(name, "D", 0) for name in ("DR", "EDD", "PHD", "DOCTORATE")] + [("CAGS", "M", 60)]
-    return spark.createDataFrame(rows, "label string, education string, credits int").distinct()
+def lane_key(label: Column) -> Column:
+    """One spelling of a label: ``BA+15``, or ``LANE4`` for a number; null if it is neither."""
+    number = _number(label)
+    return F.when(number.isNotNull(), F.concat(F.lit("LANE"), number.cast("string"))).otherwise(F.get(lane_tokens(label), F.lit(0)))
+
+
+def _number(label: Column) -> Column:
+    upper = F.upper(label)
+    text = F.coalesce(*[F.nullif(F.regexp_extract(upper, NUMBER, k), F.lit("")) for k in (1, 2, 3)])
+    return F.coalesce(text.try_cast("int"), roman(text))
+
+
+def normalize_education(label: Column) -> Column:
+    """A label in capitals with one spelling of its education; others only lose their blanks."""
+    return F.coalesce(F.get(lane_tokens(label), F.lit(0)), F.replace(F.upper(F.trim(label)), F.lit(" "), F.lit("")), F.lit(""))
+
+
+def _lane(education: str, credits: int) -> Column:
+    return F.struct(F.lit(education).alias("education"), F.lit(credits).cast("int").alias("credits"))
 
 
 def lane_of(label: Column) -> Column:
-    """struct(education, credits) of one label, or null: the rule that lane_table spells out."""
-    token = F.get(lane_tokens(label), F.lit(0))
-    letter = F.when(token.rlike("^B"), "B").when(token.rlike("^M"), "M").when(token == "CAGS", "M").otherwise("D")
-    credits = F.when(token == "CAGS", 60).otherwise(F.coalesce(F.regexp_extract(token, r"\+([0-9]+)", 1).try_cast("int"), F.lit(0)))
-    return F.when(token.isNotNull(), F.struct(letter.alias("education"), credits.cast("int").alias("credits")))
+    """struct(education, credits) of one label, or null."""
+    name = _education(F.get(F.regexp_extract_all(F.upper(label), F.lit(LABEL), F.lit(0)), F.lit(0)))
+    credits = _credits(F.upper(label)).try_cast("int")
+    named = F.lit(None)
+    for known, (education, own) in LANES.items():
+        named = F.when(name == known, F.struct(F.lit(education).alias("education"), F.coalesce(credits, F.lit(own)).cast("int").alias("credits"))).otherwise(named)
+    number = _number(label)
+    return F.coalesce(F.when(number.isNotNull(), F.get(F.array(*[_lane(*x) for x in NUMBERED]), number - 1)), F.when(number.isNull(), named))
+
+
+def lane_text(education: Column, credits: Column) -> Column:
+    """``Master's +30`` for people to read; an unknown education stays as it is."""
+    name = education
+    for letter, text in DEGREE_TEXT.items():
+        name = F.when(education == letter, text).otherwise(name)
+    return F.when(credits > 0, F.concat(name, F.lit(" +"), credits.cast("string"))).otherwise(name)
+
+
+def lane_table(spark: SparkSession) -> DataFrame:
+    """Label to lane: every spelling of an education with every number of credits, and the numbered lanes."""
+    rows = []
+    for name, (letter, own) in LANES.items():
+        for text in WRITTEN[name]:
+            rows.append((text, letter, own))
+            if letter != "D" and name != "CAGS":
+                rows += [(f"{text}{sign}{c}", letter, c) for c in CREDITS for sign in ("+", "") if "." not in text]
+    rows += [(f"{word}{k + 1}", *lane) for word in ("LANE", "PAYSCALE", "LEVEL") for k, lane in enumerate(NUMBERED)]
+    return spark.createDataFrame(rows, "label string, education string, credits int").distinct()

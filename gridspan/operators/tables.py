@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lanes import lane_of, lane_tokens
 from ..functions.scalars import extract_step, parse_salary
 
 
@@ -32,16 +33,30 @@ def split_on_steps(tables: DataFrame) -> DataFrame:
     return parts.select(*[c for c in tables.columns if c != "rows"], "part", cut.alias("rows"))
 
 
-def to_records(tables: DataFrame, lanes: DataFrame) -> DataFrame:
+def _resolved(labels: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """``labels`` (doc_id, label, ...) with ``lane``: what a document's own alias says, else what the label itself stands for."""
+    if aliases is None:
+        return labels.withColumn("lane", lane_of(F.col("label")))
+    own = aliases.select("doc_id", alias_name(F.col("alias")).alias("__alias"), F.col("lane").alias("__text"))
+    joined = labels.withColumn("__alias", alias_name(F.col("label"))).join(own, ["doc_id", "__alias"], "left")
+    return joined.withColumn("lane", lane_of(F.coalesce("__text", "label"))).drop("__alias", "__text")
+
+
+def alias_name(label: Column) -> Column:
+    return F.regexp_replace(F.upper(F.trim(label)), r"\s+", "")
+
+
+def to_records(tables: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Records of tables whose first row is the header and first column the step.
 
-    Each row is unpivoted against the header by place; labels find their lane in ``lanes``
-    (label, education, credits); unknown labels and values out of range are dropped.
+    Each row is unpivoted against the header by place. A label stands for the lane that an
+    alias of its document names (``aliases``: doc_id, alias, lane), else for its own; unknown
+    labels and values out of range are dropped.
     """
     rows = tables.select("doc_id", F.col("rows")[0].alias("header"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_no", "row"))
     cells = rows.select("doc_id", "row_no", F.col("row")[0].alias("step_text"), F.posexplode(F.arrays_zip(F.col("header").alias("label"), F.col("row").alias("value"))).alias("col_no", "cell")).filter("col_no > 0")
     parsed = cells.select("doc_id", "row_no", "col_no", extract_step(F.col("step_text")).alias("step"), F.upper(F.trim("cell.label")).alias("label"), parse_salary(F.col("cell.value")).alias("salary"))
-    return parsed.filter("step IS NOT NULL AND salary IS NOT NULL").join(F.broadcast(lanes), "label").select("doc_id", "education", "credits", "step", "salary", F.struct("row_no", "col_no").alias("pos"))
+    return _resolved(parsed.filter("step IS NOT NULL AND salary IS NOT NULL"), aliases).filter("lane IS NOT NULL").select("doc_id", "lane.education", "lane.credits", "step", "salary", F.struct("row_no", "col_no").alias("pos"))
 
 
 def block_grids(blocks: DataFrame, least_cells: int = 10) -> DataFrame:
@@ -76,12 +91,16 @@ def without_multipliers(rows: Column) -> Column:
 
 
 def alias_pairs(docs: DataFrame) -> DataFrame:
-    """Alias lines ``NAME = LANE`` of texts, ``doc_id, alias, lane``; the first definition counts."""
+    """Alias lines of texts, ``NAME = LANE`` or with a colon or dash, as ``doc_id, alias, lane``; the first definition counts.
+
+    The lane is the first that is named behind the sign; a name that is a lane itself is no alias.
+    """
     from pyspark.sql import Window
 
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    pattern = r"(?i)^\s*([A-Z][A-Z0-9 ]*?)\s*=\s*((?:BA|MA|B|M|DOC|CAGS)(?:\s*\+\s*\d+)?)\s*$"
-    named = lines.filter(F.col("line").rlike(pattern)).select("doc_id", "pos", F.upper(F.regexp_extract("line", pattern, 1)).alias("alias"), F.upper(F.regexp_replace(F.regexp_extract("line", pattern, 2), r"\s", "")).alias("lane"))
+    pattern = r"(?i)^\s*([A-Z][A-Z0-9 ]*?)\s*(?:=|:|\s[-–—])\s*(.+?)\s*$"
+    parts = lines.filter(F.col("line").rlike(pattern)).select("doc_id", "pos", F.upper(F.regexp_extract("line", pattern, 1)).alias("alias"), F.regexp_extract("line", pattern, 2).alias("text"))
+    named = parts.select("doc_id", "pos", "alias", F.get(lane_tokens(F.col("text")), F.lit(0)).alias("lane"), F.get(lane_tokens(F.col("alias")), F.lit(0)).alias("own")).filter("lane IS NOT NULL AND own IS NULL")
     first = Window.partitionBy("doc_id", "alias").orderBy("pos")
     return named.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", "alias", "lane")
 
@@ -99,7 +118,7 @@ def table_year(first_cell: Column, page_year: Column) -> Column:
     return F.coalesce(F.nullif(school_year(first_cell, two_digits=False), F.lit(UNKNOWN)), page_year)
 
 
-def unmapped_labels(tables: DataFrame, lanes: DataFrame) -> DataFrame:
+def unmapped_labels(tables: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Header labels that stand for no lane, ``doc_id, pos, label``: what to_records leaves out, for a reviewer."""
     labels = tables.select("doc_id", F.posexplode(F.col("rows")[0]).alias("pos", "label")).filter("pos > 0").withColumn("label", F.upper(F.trim("label")))
-    return labels.filter("label <> ''").join(F.broadcast(lanes.select("label")), "label", "left_anti").select("doc_id", "pos", "label")
+    return _resolved(labels.filter("label <> ''"), aliases).filter("lane IS NULL").select("doc_id", "pos", "label")

@@ -624,7 +624,7 @@ def _tables(spark, sf_dir):
 @query("""WITH p AS (SELECT p_partkey % 20 AS doc_id, p_size, max(p_retailprice) AS v FROM part WHERE p_size <= 35 GROUP BY ALL), r AS (SELECT doc_id, p_size AS step, e AS education, c AS credits, floor(v * 30 + k * 500 + 0.5) AS salary FROM p, (VALUES ('B', 0, 0), ('B', 15, 1), ('M', 0, 2)) t(e, c, k))
 SELECT doc_id, education, credits, step, salary FROM r WHERE salary BETWEEN 20000 AND 200000""")
 def table_unpivot(spark, sf_dir):
-    return tables.to_records(tables.split_on_steps(_tables(spark, sf_dir)), lanes.lane_table(spark)).drop("pos").withColumn("salary", money())
+    return tables.to_records(tables.split_on_steps(_tables(spark, sf_dir))).drop("pos").withColumn("salary", money())
 
 
 @query()
@@ -844,7 +844,7 @@ def side_tables(spark, sf_dir):
 @query("SELECT p_partkey AS doc_id, CAST(2 AS INTEGER) AS pos, upper(p_type) AS label FROM part")
 def unmapped_headers(spark, sf_dir):
     rows = F.array(F.array(F.lit("STEP"), F.lit(" ma+30"), F.col("p_type"), F.lit("")))
-    return tables.unmapped_labels(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), rows.alias("rows")), lanes.lane_table(spark))
+    return tables.unmapped_labels(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), rows.alias("rows")))
 
 
 @query(f"WITH {CELLS} SELECT district_id, CAST(count(*) AS INTEGER) AS records_count, CAST(max(salary) AS DOUBLE) AS highest, min(school_year) AS first_year FROM cells GROUP BY 1")
