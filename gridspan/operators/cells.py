@@ -42,6 +42,24 @@ def schedule_of(cells: DataFrame, district_id, year: str | None = None) -> DataF
     return out.filter(F.col("school_year").startswith(year)) if year else out
 
 
+def cell_at(cells: DataFrame, district_id, year: str, period: str, education: str, credits: int, step: int) -> DataFrame:
+    """The one cell of a full key, or no row; every part of the key reaches the scan."""
+    key = {"district_id": district_id, "school_year": year, "period": period, "education": education, "credits": credits, "step": step}
+    out = cells
+    for c, value in key.items():
+        out = out.filter(F.col(c) == value)
+    return out.limit(1)
+
+
+def catalogue_of(cells: DataFrame, year: str | None = None) -> DataFrame:
+    """The schedules that there are, in order; ValueError if none is of the year that is asked for."""
+    out = cells.filter(F.col("school_year") == year) if year else cells
+    found = out.select("school_year", "period").distinct()
+    if year and found.isEmpty():
+        raise ValueError(f"no schedules for {year}")
+    return found.orderBy(*schedule_order())
+
+
 def nested_schedules(cells: DataFrame) -> DataFrame:
     """One row per schedule with its cells as a sorted array."""
     return cells.groupBy(*SCHEDULE).agg(F.array_sort(F.collect_list(F.struct("education", "credits", "step", "salary"))).alias("cells"), F.count(F.lit(1)).alias("n_cells"))

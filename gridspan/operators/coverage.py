@@ -30,6 +30,11 @@ def report(cells: DataFrame) -> DataFrame:
     return cells.groupBy("school_year", "period").agg(F.count_distinct("district_id").alias("districts"), F.count_distinct("education", "credits").alias("lanes"), F.count(F.lit(1)).alias("cells"))
 
 
+def combos(cells: DataFrame) -> DataFrame:
+    """The lanes that each year and period has, as a sorted set."""
+    return cells.groupBy("school_year", "period").agg(F.array_sort(F.collect_set(F.concat_ws("+", "education", F.col("credits").cast("string")))).alias("combos"))
+
+
 def record_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("district_id").agg(F.count(F.lit(1)).alias("records"), F.array_sort(F.collect_set("school_year")).alias("years"))
 

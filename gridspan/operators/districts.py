@@ -65,8 +65,7 @@ def search(districts: DataFrame, query: str) -> DataFrame:
 def page(rows: DataFrame, offset: int, limit: int, most: int | None = None) -> DataFrame:
     """A slice of ordered rows, ``total`` being the number of all rows (or of the first ``most``)."""
     counted = rows.limit(most) if most is not None else rows
-    total = counted.count()
-    return counted.offset(offset).limit(limit).withColumn("total", F.lit(total).cast("long"))
+    return counted.offset(offset).limit(limit).withColumn("total", counted.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def type_place(kind: Column | str = "district_type") -> Column:
@@ -81,9 +80,17 @@ def by_type_and_name(districts: DataFrame) -> DataFrame:
     return districts.withColumn("place", type_place()).orderBy("place", "name", "district_id")
 
 
-def custom_filter(rows: DataFrame, types: list[str] | None = None, ids: list | None = None, towns: list[str] | None = None) -> DataFrame:
-    """Rows of a type that are picked by id or by a town; without picks all of the type."""
+def custom_filter(rows: DataFrame, types: list[str] | None = None, ids: list | None = None, towns: list[str] | DataFrame | None = None) -> DataFrame:
+    """Rows of a type that are picked by id or by a town; without picks all of the type.
+
+    Many towns come as a table with a column ``town``, to be joined.
+    """
     out = rows.filter(F.col("district_type").isin(*types)) if types else rows
+    if isinstance(towns, DataFrame):
+        wanted = towns.select(fold("town").alias("__key")).distinct()
+        hit = out.select("district_id", F.explode("towns").alias("__town")).withColumn("__key", fold("__town")).join(wanted, "__key", "left_semi").select("district_id").distinct().withColumn("__hit", F.lit(True))
+        found = out.join(hit, "district_id", "left")
+        return found.filter(F.col("__hit").isNotNull() | (F.col("district_id").isin(*ids) if ids else F.lit(False))).select(*rows.columns)
     if not ids and not towns:
         return out
     picked = F.col("district_id").isin(*ids) if ids else F.lit(False)
@@ -103,7 +110,20 @@ def towns_changed(old: Column, new: Column) -> Column:
     return F.struct(F.array_except(new, old).alias("added"), F.array_except(old, new).alias("removed"))
 
 
+def replace_towns(districts: DataFrame, new: DataFrame) -> DataFrame:
+    """The town lists of ``new`` (district_id, towns) in place of the old ones; blank towns go, of equal ones the first stays."""
+    folded = F.transform(F.filter("new.towns", lambda t: F.trim(t) != ""), lambda t: F.trim(t))
+    own = new.alias("new").select("new.district_id", F.array_distinct(folded).alias("__towns"))
+    joined = districts.join(own, "district_id", "left")
+    return joined.withColumn("towns", F.coalesce("__towns", "towns")).select(*districts.columns)
+
+
+def without_town(towns: Column, town: Column) -> Column:
+    return F.filter(towns, lambda t: t != F.trim(town))
+
+
 def with_town(towns: Column, town: Column) -> Column:
+    """A town put at the end, trimmed, unless it is there or blank."""
     return F.when(F.trim(town) == "", towns).otherwise(F.array_union(towns, F.array(F.trim(town))))
 
 

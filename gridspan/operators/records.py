@@ -68,8 +68,9 @@ def match_names(names: DataFrame, districts: DataFrame, name: str = "name") -> D
     """``district_id`` and ``match`` (exact, partial, none) for each distinct name.
 
     Equal after folding; for the others the first district, by id, whose name contains the
-    name or is contained in it. Equal names meet in a hash join; only names without an equal
-    are compared with every district, which is why distinct names come first.
+    name or is contained in it. Equal names meet in a hash join. One text can only contain
+    another if it has the other's rarest run of GRAM letters, so the others meet by these and
+    are compared then.
     """
     key = F.lower(F.trim(F.col(name)))
     want = names.select(F.col(name).alias("given"), key.alias("key")).distinct()
@@ -77,11 +78,38 @@ def match_names(names: DataFrame, districts: DataFrame, name: str = "name") -> D
     first = have.groupBy("own").agg(F.min("district_id").alias("district_id"))
     exact = want.join(first, F.col("key") == F.col("own"), "left").select("given", "key", "district_id")
     rest = exact.filter("district_id IS NULL AND key <> ''").select("given", "key")
-    contains = rest.join(have, F.col("own").contains(F.col("key")) | F.col("key").contains(F.col("own")))
+    named = have.filter("own <> ''")
+    often = named.select(F.explode(F.array_distinct(_grams("own"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    inside = _rarest(rest, "key", often).join(named.select("district_id", "own", F.explode(F.array_distinct(_grams("own"))).alias("gram")), "gram").filter(F.col("own").contains(F.col("key")))
+    around = rest.select("given", "key", F.explode(F.array_distinct(_grams("key"))).alias("gram")).join(_rarest(named, "own", often), "gram").filter(F.col("key").contains(F.col("own")))
+    contains = inside.select("given", "district_id").unionByName(around.select("given", "district_id"))
     partial = contains.groupBy("given").agg(F.min("district_id").alias("partial_id"))
     return exact.join(partial, "given", "left").select(F.col("given").alias("name"), F.coalesce("district_id", "partial_id").alias("district_id"), F.when(F.col("district_id").isNotNull(), "exact").when(F.col("partial_id").isNotNull(), "partial").otherwise("none").alias("match"))
 
 
+GRAM = 4
+
+
+def _grams(text: str) -> Column:
+    """All runs of GRAM characters; of a shorter text, all of its runs, so that it is found whole in any other."""
+    run = lambda size: F.transform(F.sequence(F.lit(1), F.length(text) - F.lit(size - 1)), lambda i: F.substring(F.col(text), i, F.lit(size)))
+    shorter = [F.when(F.length(text) >= k, run(k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)]
+    return F.concat(*shorter)
+
+
+def _rarest(rows: DataFrame, text: str, often: DataFrame) -> DataFrame:
+    """``rows`` with ``gram``: the run of GRAM characters, or all of a shorter text, that the fewest texts have."""
+    size = F.least(F.length(text), F.lit(GRAM))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(F.col(text), i, size)))
+    each = rows.withColumn("gram", F.explode(own)).join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return each.groupBy(*rows.columns).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
+def match_totals(matches: DataFrame) -> DataFrame:
+    """How many names were matched, by kind of match, and how many were not."""
+    return matches.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("match") == "exact").alias("exact"), F.count_if(F.col("match") == "partial").alias("partial"), F.count_if(F.col("match") == "none").alias("unmatched"))
+
+
 def import_districts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert by folded name; of incoming rows with one name the first counts. ``status`` says what happens to each."""
     key = lambda d: d.withColumn("key", F.lower(F.trim("name")))

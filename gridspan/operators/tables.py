@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lanes import lane_of, lane_tokens
+from ..functions.lanes import LABEL, lane_of, lane_tokens
 from ..functions.scalars import extract_step, parse_salary
 
 
@@ -100,7 +100,7 @@ def alias_pairs(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     pattern = r"(?i)^\s*([A-Z][A-Z0-9 ]*?)\s*(?:=|:|\s[-–—])\s*(.+?)\s*$"
     parts = lines.filter(F.col("line").rlike(pattern)).select("doc_id", "pos", F.upper(F.regexp_extract("line", pattern, 1)).alias("alias"), F.regexp_extract("line", pattern, 2).alias("text"))
-    named = parts.select("doc_id", "pos", "alias", F.get(lane_tokens(F.col("text")), F.lit(0)).alias("lane"), F.get(lane_tokens(F.col("alias")), F.lit(0)).alias("own")).filter("lane IS NOT NULL AND own IS NULL")
+    named = parts.select("doc_id", "pos", "alias", F.get(lane_tokens(F.col("text")), F.lit(0)).alias("lane"), F.col("alias").rlike(f"^(?:{LABEL})$").alias("own")).filter("lane IS NOT NULL AND NOT own")
     first = Window.partitionBy("doc_id", "alias").orderBy("pos")
     return named.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", "alias", "lane")
 

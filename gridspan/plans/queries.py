@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, lanes, scalars
@@ -130,11 +130,6 @@ def lane_resolution_all(spark, sf_dir):
     return compare.resolve_lanes(targets, combos)
 
 
-@query(f"WITH r AS ({_compare_sql()}) SELECT CAST(count_if(credits = 30) AS BIGINT) AS exact, CAST(count_if(credits <> 30) AS BIGINT) AS fallback FROM r")
-def match_counts(spark, sf_dir):
-    return _compared(spark, sf_dir).agg(F.count_if(F.col("credits") == 30).alias("exact"), F.count_if(F.col("credits") != 30).alias("fallback"))
-
-
 # -- fill -------------------------------------------------------------------------------------
 
 _DOWN = """
@@ -342,10 +337,15 @@ def search_name(spark, sf_dir):
     return districts.search(fixtures.districts(spark, sf_dir), "00000001").select("district_id", "name", "source")
 
 
-@query(f"WITH {DISTRICTS}, t AS (SELECT min(u) AS town FROM (SELECT unnest(towns) AS u FROM districts)) SELECT district_id, name, CAST(2 AS INTEGER) AS source FROM districts, t WHERE list_contains(towns, t.town)")
+@query(f"""WITH {DISTRICTS}, t AS (SELECT min(u) AS town FROM (SELECT unnest(towns) AS u FROM districts)), n AS (SELECT district_id, CASE WHEN district_id % 3 = 0 THEN 'School of ' || upper(town) ELSE name END AS name, towns, town FROM districts, t),
+f AS (SELECT district_id, name, CAST(CASE WHEN contains(lower(name), lower(town)) THEN 1 ELSE 2 END AS INTEGER) AS source FROM n WHERE contains(lower(name), lower(town)) OR list_contains(towns, town)) SELECT *, row_number() OVER (ORDER BY source, lower(name), district_id) AS place FROM f""")
 def search_union(spark, sf_dir):
-    town = fixtures.districts(spark, sf_dir).select(F.explode("towns").alias("town")).agg(F.min("town")).first()[0]
-    return districts.search(fixtures.districts(spark, sf_dir), town.upper()).select("district_id", "name", "source")
+    """Districts that are named after a town, then those that have it."""
+    rows = fixtures.districts(spark, sf_dir)
+    town = rows.select(F.explode("towns").alias("town")).agg(F.min("town")).first()[0]
+    named = rows.withColumn("name", F.when(F.col("district_id") % 3 == 0, F.concat(F.lit("School of "), F.lit(town.upper()))).otherwise(F.col("name")))
+    found = districts.search(named, town.upper())
+    return found.select("district_id", "name", "source", F.row_number().over(Window.orderBy("source", F.lower("name"), "district_id")).cast("long").alias("place"))
 
 
 @query(f"WITH {DISTRICTS} SELECT district_id, name FROM districts WHERE list_contains(towns, (SELECT min(c_name) FROM customer WHERE c_nationkey = 3))")
@@ -371,7 +371,7 @@ def town_index(spark, sf_dir):
 
 @query(f"WITH {DISTRICTS}, r AS ({_compare_sql()}), k AS (SELECT r.rank, r.district_id FROM r JOIN districts d USING (district_id) WHERE d.district_type = 'municipal' AND (district_id IN (1, 2, 3) OR len(list_filter(d.towns, lambda t: lower(t) LIKE '%1')) > 0)) SELECT CAST(row_number() OVER (ORDER BY rank) AS INTEGER) AS rank, district_id FROM k")
 def custom_filter(spark, sf_dir):
-    names = [r[0] for r in read(spark, sf_dir, "customer").filter("c_name LIKE '%1'").select("c_name").collect()]
+    names = read(spark, sf_dir, "customer").filter("c_name LIKE '%1'").select(F.col("c_name").alias("town"))
     return districts.reranked(districts.custom_filter(_compared(spark, sf_dir), ["municipal"], [1, 2, 3], names)).select("rank", "district_id")
 
 
@@ -384,20 +384,19 @@ def town_tooltip(spark, sf_dir):
 # -- coverage ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name, district_type FROM districts WHERE district_type IN ('municipal', 'regional_academic') AND district_id NOT IN (SELECT district_id FROM cells WHERE school_year = '1995-1996' AND period = '10-month' AND credits = 40)")
+@query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name, district_type FROM districts WHERE district_type IN ('municipal', 'regional_academic') AND district_id NOT IN (SELECT district_id FROM cells WHERE school_year = '1995-1996' AND period = '10-month')")
 def missing_contracts(spark, sf_dir):
-    return coverage.missing_contracts(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir).filter("credits = 40"), "1995-1996", "10-month").select("district_id", "name", "district_type")
+    return coverage.missing_contracts(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1995-1996", "10-month").select("district_id", "name", "district_type")
 
 
-@query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name FROM districts WHERE district_id IN (SELECT district_id FROM cells WHERE school_year = '1996-1997' AND period = 'Full Year' AND credits = 40 AND step = 1)")
+@query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name FROM districts WHERE district_id IN (SELECT district_id FROM cells WHERE school_year = '1996-1997' AND period = 'Full Year')")
 def available_semi(spark, sf_dir):
-    cells = fixtures.cells(spark, sf_dir).filter("credits = 40 AND step = 1")
-    return coverage.present(fixtures.districts(spark, sf_dir), cells, "1996-1997", "Full Year").select("district_id", "name")
+    return coverage.present(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1996-1997", "Full Year").select("district_id", "name")
 
 
-@query(f"WITH {CELLS}, {DISTRICTS}, h AS (SELECT DISTINCT district_id FROM cells WHERE school_year = '1995-1996' AND credits = 40 AND step = 2) SELECT district_type, count(*) AS n, count(h.district_id) AS with_data, count(*) - count(h.district_id) AS missing FROM districts LEFT JOIN h USING (district_id) GROUP BY 1")
+@query(f"WITH {CELLS}, {DISTRICTS}, h AS (SELECT DISTINCT district_id FROM cells WHERE school_year = '1995-1996') SELECT district_type, count(*) AS n, count(h.district_id) AS with_data, count(*) - count(h.district_id) AS missing FROM districts LEFT JOIN h USING (district_id) GROUP BY 1")
 def type_breakdown(spark, sf_dir):
-    return coverage.by_type(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir).filter("credits = 40 AND step = 2"), "1995-1996")
+    return coverage.by_type(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1995-1996")
 
 
 @query(f"WITH {CELLS} SELECT school_year, period, count(DISTINCT district_id) AS districts, count(DISTINCT (education, credits)) AS lanes, count(*) AS cells FROM cells GROUP BY ALL")
@@ -557,10 +556,12 @@ def contract_sync(spark, sf_dir):
     return apply.set_contracts(rows, rows.filter("district_id % 3 = 0").select("name")).select("district_id", "contract_pdf", "status")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'name_missing,type' ELSE 'name_missing' END WHEN o_orderkey % 7 = 0 THEN 'type' ELSE '' END AS errors FROM orders")
+@query("SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'name_missing' END, CASE WHEN o_orderkey % 5 = 1 THEN 'name_long' END, CASE WHEN o_orderkey % 3 = 0 THEN 'address_long' END, CASE WHEN o_orderkey % 4 = 0 THEN 'url' END, CASE WHEN o_orderkey % 6 = 0 THEN 'many_towns' END, CASE WHEN o_orderkey % 6 = 1 THEN 'town_long' END, CASE WHEN o_orderkey % 7 = 0 THEN 'type' END) AS errors FROM orders")
 def validate_rejects(spark, sf_dir):
-    k = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 == 0, " ").otherwise("Name").alias("name"), F.lit("").alias("main_address"), F.lit("https://example.com").alias("district_url"), F.array(F.lit("Town")).alias("towns"), F.when(k % 7 == 0, "castle").otherwise("Charter").alias("district_type"))
+    """Rows that break every rule, alone and together."""
+    k, x = F.col("o_orderkey"), lambda n: F.repeat(F.lit("x"), n)
+    towns = F.when(k % 6 == 0, F.transform(F.sequence(F.lit(1), F.lit(51)), lambda i: i.cast("string"))).when(k % 6 == 1, F.array(x(101))).otherwise(F.array(F.lit("Town"), F.lit(" ")))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 == 0, " ").when(k % 5 == 1, x(256)).otherwise("Name").alias("name"), F.when(k % 3 == 0, x(501)).otherwise("").alias("main_address"), F.when(k % 4 == 0, "ftp://a b").otherwise("https://example.com").alias("district_url"), towns.alias("towns"), F.when(k % 7 == 0, "castle").otherwise("Charter").alias("district_type"))
     return rows.select("o_orderkey", F.concat_ws(",", checks.district_errors()).alias("errors"))
 
 
@@ -627,14 +628,7 @@ def table_unpivot(spark, sf_dir):
     return tables.to_records(tables.split_on_steps(_tables(spark, sf_dir))).drop("pos").withColumn("salary", money())
 
 
-@query()
-def text_table_rows(spark, sf_dir):
-    """The same tables as text, parsed line by line."""
-    text = F.array_join(F.transform("rows", lambda r: F.replace(F.array_join(r, "  "), F.lit("Step "), F.lit(""))), "\n")
-    return parsing.parse_tables(_tables(spark, sf_dir).select("doc_id", text.alias("text")))
-
-
-@query("SELECT page_id AS doc_id, regexp_matches(html, '(?i)(SALARY|COMPENSATION|TEACHERS?|SCHEDULE|STEP|APPENDIX\\s+A)') AS signal FROM pages")
+@query("SELECT page_id AS doc_id, regexp_matches(html, '" + scalars.SIGNALS + "') AS signal FROM pages")
 def page_signal(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), scalars.has_salary_signal(F.col("html")).alias("signal"))
 
@@ -699,14 +693,14 @@ def alias_map(spark, sf_dir):
     return tables.alias_pairs(read(spark, sf_dir, "supplier").select(k.alias("doc_id"), text.alias("text")))
 
 
-@query(f"WITH {DISTRICTS} SELECT district_id, array_to_string(list_filter(towns[2:], lambda t: false), ',') AS added, CASE WHEN len(towns) > 0 THEN towns[1] ELSE '' END AS removed FROM districts")
+@query(f"""WITH {DISTRICTS}, p AS (SELECT a.district_id, a.towns AS old, coalesce(b.towns, []) AS new FROM districts a LEFT JOIN districts b ON b.district_id = a.district_id + 4)
+SELECT district_id, array_to_string(list_filter(new, lambda t: NOT list_contains(old, t)), ',') AS added, array_to_string(list_filter(old, lambda t: NOT list_contains(new, t)), ',') AS removed FROM p""")
 def towns_diff(spark, sf_dir):
-    rows = fixtures.districts(spark, sf_dir)
-    change = districts.towns_changed(F.col("towns"), F.slice("towns", F.lit(2), F.greatest(F.size("towns"), F.lit(1))))
-    return rows.select("district_id", change.alias("c")).select("district_id", F.concat_ws(",", "c.added").alias("added"), F.concat_ws(",", "c.removed").alias("removed"))
-
-
-# -- streams, in their batch form -------------------------------------------------------------
+    """Each district's towns against those of the fourth next."""
+    old = fixtures.districts(spark, sf_dir).select("district_id", F.col("towns").alias("old"))
+    new = old.select((F.col("district_id") - 4).alias("district_id"), F.col("old").alias("new"))
+    change = districts.towns_changed(F.col("old"), F.coalesce("new", F.array().cast("array<string>")))
+    return old.join(new, "district_id", "left").select("district_id", change.alias("c")).select("district_id", F.array_join("c.added", ",").alias("added"), F.array_join("c.removed", ",").alias("removed"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, user_id AS client, event_type AS route_class, count(*) AS n, greatest(count(*) - 100, 0) AS rejected FROM events GROUP BY ALL")
@@ -865,3 +859,6 @@ def expiry(spark, sf_dir):
 def result_append(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("old"))).alias("results"))
     return jobs.append_result(rows, "1-URGENT", F.lit("done")).select("o_orderkey", F.concat_ws(",", "results").alias("results"))
+
+
+from . import extraction  # noqa: E402, F401  its queries are added to QUERIES and SQL

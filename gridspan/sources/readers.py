@@ -31,6 +31,21 @@ def district_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(name != "").select((F.col("no") * 1_000_000 + F.col("pos")).alias("pos"), name.alias("name"), F.coalesce("d.address", F.lit("")).alias("main_address"), F.coalesce("d.district_url", F.lit("")).alias("district_url"), F.coalesce(F.lower("d.type"), "kind").alias("district_type"), F.filter(F.transform(F.coalesce("d.members", F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "").alias("towns"))
 
 
+def mixed_items(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The three kinds of items of one mixed table, told by the prefix of their sort key: districts, towns and schedules.
+
+    The lines are JSON objects with PK and SK; other kinds are left out. One scan each: the
+    prefix reaches the reader, and only the columns of a kind are parsed.
+    """
+    items = spark.read.schema("PK string, SK string, name string, district_type string, town_name string, school_year string, period string, education string, credits int, step int, salary double").json(path)
+    district = F.substring_index("PK", "#", -1).alias("district_id")
+    return {
+        "districts": items.filter("SK = 'METADATA'").select(district, "name", "district_type"),
+        "towns": items.filter(F.col("SK").startswith("TOWN#")).select(district, F.coalesce("town_name", F.substring_index("SK", "#", -1)).alias("town")),
+        "cells": items.filter(F.col("SK").startswith("SCHEDULE#")).select(district, "school_year", "period", "education", "credits", "step", F.col("salary").cast("decimal(12,2)").alias("salary")),
+    }
+
+
 def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """Files below a folder with their size and time; their content is not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")

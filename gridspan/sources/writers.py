@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
-    """Partitioned by school year and sorted by lane and step, so that a comparison reads a few row groups."""
-    cells.repartition("school_year").sortWithinPartitions("education", "credits", "step").write.mode("overwrite").partitionBy("school_year").parquet(path)
+def write_cells(cells: DataFrame, path: str, buckets: int = 16) -> None:
+    """Partitioned by school year and sorted by lane and step, so that a comparison reads a few row groups.
+
+    A year is written by ``buckets`` tasks, dealt by district.
+    """
+    cells.repartition("school_year", F.pmod(F.xxhash64("district_id"), F.lit(buckets))).sortWithinPartitions("education", "credits", "step").write.mode("overwrite").partitionBy("school_year").parquet(path)
 
 
 def replace_partitions(cells: DataFrame, path: str) -> None:

@@ -43,7 +43,32 @@ def append_result(jobs: DataFrame, job_id: str, result) -> DataFrame:
     return jobs.withColumn("results", F.when(F.col("job_id") == job_id, F.array_append(F.coalesce("results", F.array().cast("array<string>")), result)).otherwise(F.col("results")))
 
 
-STATE = "status string, processed long, succeeded long, failed long"
+def running(events: DataFrame) -> DataFrame:
+    """The current state of jobs that haven't ended."""
+    return latest(events).filter(~F.col("status").isin(*TERMINAL))
+
+
+def archived(events: DataFrame) -> DataFrame:
+    """The last state of jobs that have ended: what is archived and removed from the running ones, by one more event."""
+    return latest(events).filter(F.col("status").isin(*TERMINAL))
+
+
+def status_of(events: DataFrame, job_id) -> DataFrame:
+    """A job's state: the running one if there is one, else the archived one; no row if it was deleted or never was."""
+    return latest(events.filter(F.col("job_id") == job_id)).filter("status <> 'deleted'")
+
+
+def delete_jobs(events: DataFrame, gone: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with a ``deleted`` one for each job of ``gone`` that there is, the files of those jobs to be removed).
+
+    ``files`` has job_id and path. Jobs that are deleted already, or unknown, stay as they are.
+    """
+    there = latest(events).filter("status <> 'deleted'").join(gone.select("job_id"), "job_id", "left_semi")
+    ends = there.select("job_id", (F.col("seq") + 1).alias("seq"), F.lit("deleted").alias("status"), "ts")
+    return events.unionByName(ends, allowMissingColumns=True), files.join(there.select("job_id"), "job_id", "left_semi")
+
+
+STATE = "status string, seq long, processed long, succeeded long, failed long"
 
 
 def live_state(events: DataFrame, keep: str = "30 days") -> DataFrame:
@@ -59,28 +84,46 @@ def live_state(events: DataFrame, keep: str = "30 days") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        status, processed, succeeded, failed = state.get if state.exists else ("pending", 0, 0, 0)
+        status, last, processed, succeeded, failed = state.get if state.exists else ("pending", -1, 0, 0, 0)
         for frame in frames:
             for row in frame.sort_values("seq").itertuples():
-                if status not in TERMINAL:
-                    status = row.status
+                if row.seq > last:  # as in latest(): the event of the highest number counts
+                    status, last = row.status, int(row.seq)
                 processed, succeeded, failed = processed + 1, succeeded + int(row.succeeded), failed + int(row.failed)
-        state.update((status, processed, succeeded, failed))
+        state.update((status, last, processed, succeeded, failed))
         state.setTimeoutDuration(ms)
         yield pd.DataFrame([(key[0], status, processed, succeeded, failed)], columns=["job_id", "status", "processed", "succeeded", "failed"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, f"job_id long, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, processed long, succeeded long, failed long", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_queue(messages: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, dead: str, checkpoint: str):
+def run_queue(messages: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, dead: str, checkpoint: str, attempts: int = 3):
     """Streaming: valid messages go through ``work`` to ``done``, others to ``dead``.
 
-    The checkpoint is what redelivers after a crash; files are appended once per batch id.
+    ``work`` may give a column ``error``: messages with one are tried again, ``attempts``
+    times in all, and are dead then, with the error and the number of attempts. What has an
+    error harms no other message. The checkpoint is what redelivers after a crash; each
+    attempt of a batch is a folder that is overwritten.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        work(rows.filter("ok")).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-        rows.filter(~F.col("ok")).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        spark = rows.sparkSession
+        rows.filter(~F.col("ok")).withColumns({"error": F.lit("unreadable"), "attempts": F.lit(0)}).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}/attempt=0")
+        left = rows.filter("ok")
+        for k in range(1, attempts + 1):
+            result = work(left)
+            if "error" not in result.columns:
+                result = result.withColumn("error", F.lit(None).cast("string"))
+            tried = f"{checkpoint}-tried/batch={batch_id}/attempt={k}"
+            result.write.mode("overwrite").parquet(tried)
+            result = spark.read.schema(result.schema).parquet(tried)
+            result.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{done}/batch={batch_id}/attempt={k}")
+            bad = result.filter("error IS NOT NULL")
+            if bad.isEmpty():
+                break
+            left = bad.select(*rows.columns)
+            if k == attempts:
+                bad.withColumn("attempts", F.lit(k)).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}/attempt={k}")
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -40,8 +40,8 @@ def _counted(grouped, by: list[str]) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "total")
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """One event per key while the watermark remembers it."""
+def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """One event per key: as a stream the first to come while the watermark remembers it, as a table the first by ``order``."""
     if events.isStreaming:
         return watermarked(events, late).dropDuplicatesWithinWatermark(keys)
-    return events.dropDuplicates(keys)
+    return events.groupBy(*keys).agg(F.min_by(F.struct(*events.columns), F.struct(*order)).alias("e")).select("e.*")

@@ -195,3 +195,29 @@ def test_parameters():
     for bad in (("X", 30, 5), ("M", 31, 5), ("M", 30, 16)):
         with pytest.raises(ValueError):
             check_lane(*bad, 15, [0, 30])
+
+
+def test_pasted_grids():
+    text = "Teachers\nStep Bachelors Other Masters + 30\n1 40,000 1 41,000\n2 42,000\n3 43,000 2\n44,000\n"
+    assert list(parsing.grid_of(text)) == [("B+0", 1, 40000), ("M+30", 1, 41000), ("M+30", 2, 42000), ("B+0", 3, 43000), ("M+30", 3, 44000)]
+    assert list(parsing.grid_of("")) == list(parsing.grid_of(None)) == list(parsing.grid_of("1 40,000")) == []
+    assert parsing.lanes_in("I  II  IV  BA-L5 MASTER'S DEGREE (30) Lane 8") == ["B+0", "B+15", "M+0", "B+15", "M+0", "M+60"]
+
+
+def test_catalogue_and_cells_by_key(spark):
+    from gridspan.operators import cells as own
+
+    cells = grid(spark, ("B", 0, 1, 50000), ("B", 0, 2, 51000))
+    row = cells.first()
+    assert own.cell_at(cells, row.district_id, row.school_year, row.period, "B", 0, 2).first().salary == 51000
+    assert own.cell_at(cells, row.district_id, row.school_year, row.period, "B", 0, 9).isEmpty()
+    assert own.catalogue_of(cells, row.school_year).count() == 1
+    with pytest.raises(ValueError):
+        own.catalogue_of(cells, "1900-1901")
+
+
+def test_names_of_any_length(spark):
+    have = spark.createDataFrame([(1, "Ab"), (2, "Abcd Hills"), (3, "Xy"), (4, "")], "district_id long, name string")
+    names = spark.createDataFrame([("hills",), ("the xy town",), ("a",), ("q",), ("",), (None,), ("AB",)], "name string")
+    got = {r.name: (r.district_id, r.match) for r in records.match_names(names, have).collect()}
+    assert got["hills"] == (2, "partial") and got["the xy town"] == (3, "partial") and got["a"] == (1, "partial") and got["AB"] == (1, "exact") and got["q"] == (None, "none")

@@ -51,6 +51,8 @@ def test_live_state_counts_all_events(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     most = {r.job_id: r.m for r in got.groupBy("job_id").agg(F.max("processed").alias("m")).collect()}
     assert most == {r.job_id: r["count"] for r in rows.groupBy("job_id").count().collect()}
+    last = {r.job_id: r.status for r in got.groupBy("job_id").agg(F.max_by("status", "processed").alias("status")).collect()}
+    assert last == {r.job_id: r.status for r in jobs.latest(rows).collect()}
 
 
 def test_queue_puts_bad_messages_aside(spark, tmp_path):
@@ -62,6 +64,23 @@ def test_queue_puts_bad_messages_aside(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dead")).first().body == "nonsense"
 
 
+def test_queue_tries_three_times(spark, tmp_path):
+    """A message that fails twice is done in the end, one that always fails is dead after three attempts, others are not held up."""
+    spark.createDataFrame([(f'{{"job_id": "{i}"}}',) for i in range(4)], "body string").write.parquet(str(tmp_path / "in"))
+    stream = readers.messages(spark.readStream.schema("body string").parquet(str(tmp_path / "in")))
+    calls = []
+
+    def work(rows):
+        calls.append(rows.count())
+        failing = (F.col("job_id") == "3") | (F.col("job_id") == "2") & F.lit(len(calls) < 3)
+        return rows.withColumn("error", F.when(failing, "no text"))
+
+    jobs.run_queue(stream, work, str(tmp_path / "done"), str(tmp_path / "dead"), str(tmp_path / "cp")).awaitTermination(60)
+    assert calls == [4, 2, 2]
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "done")).collect()) == ["0", "1", "2"]
+    assert [(r.job_id, r.error, r.attempts) for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "dead")).filter("ok").collect()] == [("3", "no text", 3)]
+
+
 def test_cache(spark):
     now = [0.0]
     cache = jobs.TimedCache(spark, 60, lambda: now[0])
@@ -86,3 +105,15 @@ def test_files(spark, tmp_path):
     assert readers.backups(spark, str(tmp_path / "backups")).count() == cells.count()
     assert readers.listing(spark, str(tmp_path / "backups"), ".json").count() >= 1
     assert readers.texts(spark, str(tmp_path / "districts.json")).count() == 1
+
+
+def test_mixed_items_and_features(spark, tmp_path):
+    lines = [{"PK": "DISTRICT#7", "SK": "METADATA", "name": "A", "district_type": "charter"}, {"PK": "DISTRICT#7", "SK": "TOWN#X", "town_name": "X"}, {"PK": "DISTRICT#7", "SK": "SCHEDULE#2020-2021#Full Year#EDU#B#CR#000#STEP#01", "school_year": "2020-2021", "period": "Full Year", "education": "B", "credits": 0, "step": 1, "salary": 50000.5}, {"PK": "METADATA#MAX", "SK": "GLOBAL"}]
+    (tmp_path / "items.json").write_text("\n".join(map(json.dumps, lines)))
+    items = readers.mixed_items(spark, str(tmp_path / "items.json"))
+    assert [tuple(r) for r in items["districts"].collect()] == [("7", "A", "charter")] and [tuple(r) for r in items["towns"].collect()] == [("7", "X")]
+    assert float(items["cells"].first().salary) == 50000.5 and items["cells"].count() == 1
+    (tmp_path / "towns.json").write_text(json.dumps({"features": [{"properties": {"TOWN": t}} for t in "XY"]}))
+    assert [r.town for r in readers.town_features(spark, str(tmp_path / "towns.json")).collect()] == ["X", "Y"]
+    (tmp_path / "records.json").write_text(json.dumps([{"district_id": "7", "step": 3, "salary": 40000.129}]))
+    assert str(readers.records(spark, str(tmp_path / "records.json")).first().salary) == "40000.13"
