@@ -124,12 +124,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url"
     """``page_id, uri, payload, digest, n_bytes, refers_to`` of every page; refers_to is null for a response.
 
     Of pages with one payload of at least ``least`` bytes, the smallest id is the response.
-    Digests are aggregated before the shuffle; only digests of several pages are joined back,
-    by an inner-unique side, so that a payload of a third of the pages is split like any skewed join.
+    Digests are aggregated before the shuffle; those of several pages are a written table of a
+    row each. The planner broadcasts it while it is small, so that payloads stay where they
+    are, and joins by shuffle beyond, where it splits a digest that very many pages have.
     """
     data = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(uri_col).cast("string"), F.lit("")).alias("uri"), data.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long")})
     firsts = keyed.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("first_digest"), "first_id")
+    place = scratch(pages.sparkSession, "firsts")
+    firsts.write.parquet(place)
+    firsts = pages.sparkSession.read.schema("first_digest string, first_id long").parquet(place)
     return keyed.join(firsts, F.col("digest") == F.col("first_digest"), "left").select("page_id", "uri", "payload", "digest", "n_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
