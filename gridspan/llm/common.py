@@ -34,6 +34,8 @@ BATCH_BYTES = 16 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _WORD_MULTIPLIER = 0xD1342543DE82EF95
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Folders of written tables.
+_scratch: list[str] = []
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,7 +47,9 @@ def ready(spark: SparkSession) -> SparkSession:
     """Makes this package importable in Python workers and sets a checkpoint folder where none is set.
 
     On a cluster the package is installed or sent with ``--py-files``; the path entry
-    below serves local sessions.  The folder of ``spark.checkpoint.dir`` always wins.
+    below serves local sessions. The folder of ``spark.checkpoint.dir`` always wins; without
+    one a local session gets a temporary folder, and a cluster, whose machines don't share
+    any, an error.
     """
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
@@ -53,6 +57,8 @@ def ready(spark: SparkSession) -> SparkSession:
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in [*paths, root] if p)
     if shared_folder(spark) is None:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
@@ -60,6 +66,11 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether all executors are in one process of this machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder that driver and executors share, or None where the session names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -68,7 +79,18 @@ def shared_folder(spark: SparkSession) -> str | None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for a written table."""
     ready(spark)
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(made)
+    return made
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the tables that operators have written so far, when their results are no longer needed; how many folders went."""
+    gone = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

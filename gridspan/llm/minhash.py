@@ -36,8 +36,8 @@ SHORT, SHORT_SKETCHES, SHORT_TOGETHER = 80, 20, 3
 BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 1000
 #: Counters that the words of a text are hashed to, for a first bound on what two texts have in common.
 COUNTERS = 256
-#: A text counts as hot from this share of all rows on, and this number; its rows are joined in so many parts.
-HOT_SHARE, HOT_LEAST, HOT_PARTS = 0.001, 1000, 64
+#: A text counts as hot if this share of all rows or more have it, which 1 / HOT_SHARE texts can at most; its rows are joined in so many parts.
+HOT_SHARE, HOT_PARTS = 0.001, 64
 
 NO_ID = -(1 << 62)
 
@@ -507,7 +507,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     ids.groupBy("digest").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").write.parquet(f"{place}/copies")
     copies = spark.read.schema("digest long, node long, copies long").parquet(f"{place}/copies")
     # texts of a large share of all rows, of which there are few, are joined in HOT_PARTS parts
-    hot = [r[0] for r in copies.filter(F.col("copies") >= max(HOT_LEAST, HOT_SHARE * docs.count())).select("digest").collect()]
+    hot = [r[0] for r in copies.filter(F.col("copies") >= HOT_SHARE * docs.count()).select("digest").collect()]
     is_hot = F.col("digest").isin(hot) if hot else F.lit(False)
     parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     of_copies = copies.join(linked, "node", "left").select("digest", F.col("node").alias("copy_node"), "copies", F.col("label").alias("copy_label"), F.col("links").alias("copy_links"), F.explode(parts).alias("part"))

@@ -227,7 +227,6 @@ def test_near_duplicates(spark, texts):
 
 
 def test_near_duplicates_of_hot_texts(spark, texts, monkeypatch):
-    monkeypatch.setattr(minhash, "HOT_LEAST", 1)
     monkeypatch.setattr(minhash, "HOT_SHARE", 0.0)
     rows = [*texts, *((300 + i, texts[0][1]) for i in range(9))]
     got = {r.doc: r for r in minhash.near_duplicates(frame(spark, rows)).collect()}
@@ -628,3 +627,12 @@ def test_ten_queries():
     names = llm.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(llm.oracle_sql()) <= set(names)
+
+
+def test_folders(spark):
+    """A cluster needs a shared folder; written tables go when they are told to."""
+    from gridspan.llm import common
+
+    assert all(map(common.is_local, ("local", "local[4]", "local[*]"))) and not any(map(common.is_local, ("local-cluster[2,1,1024]", "spark://host:7077", "yarn")))
+    mixing.mix_sources(frame(spark, [(1, "one two")])).collect()
+    assert common.drop_scratch(spark) > 0 and common.drop_scratch(spark) == 0
