@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from ..operators import cells as grid
 from ..operators import compare, coverage, districts, fill, parsing, records, tables
 from ..streaming import jobs, windows
 from . import apply, fixtures
-from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, THIN, read
+from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,8 +143,8 @@ down AS (SELECT *,
   v AS (PARTITION BY district_id, school_year, period, education, credits ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 _ROOTS = """
 levels AS (SELECT * FROM (VALUES ('B', 1), ('M', 2), ('D', 3)) t(education, place)),
-combos AS (SELECT DISTINCT education, credits FROM thin),
-keys AS (SELECT DISTINCT district_id, school_year, period FROM thin),
+combos AS (SELECT DISTINCT education, credits FROM cells),
+keys AS (SELECT DISTINCT district_id, school_year, period FROM cells),
 reals AS (SELECT l.*, place FROM lanes l JOIN levels USING (education)),
 gaps AS (SELECT k.*, c.education, c.credits, v.place FROM keys k, combos c JOIN levels v USING (education) ANTI JOIN lanes l ON l.district_id = k.district_id AND l.school_year = k.school_year AND l.period = k.period AND l.education = c.education AND l.credits = c.credits),
 same AS (SELECT g.*, r.education AS root_e, r.credits AS root_c, row_number() OVER (PARTITION BY g.district_id, g.school_year, g.period, g.education, g.credits ORDER BY r.credits < g.credits DESC, CASE WHEN r.credits < g.credits THEN -r.credits ELSE r.credits END) AS n
@@ -175,69 +174,31 @@ def fill_down(spark, sf_dir):
     return _filled(fill.fill_down(cells, top))
 
 
-def _thin_fill(spark, sf_dir):
-    cells = fixtures.thin_cells(spark, sf_dir)
-    _, combos = fill.combos_of(cells)
-    top = fixtures.cells(spark, sf_dir).agg(F.max("step")).first()[0]
-    return cells, fill.fill_grid(cells, top, combos)
+def _grid_fill(spark, sf_dir):
+    cells = fixtures.cells(spark, sf_dir)
+    return cells, fill.fill_grid(cells, *fill.combos_of(cells))
 
 
-@query(f"WITH {THIN}, {_DOWN.format(source='thin')}, {_ROOTS} {_SHOW.format(e='root_e', c='root_c', source='filled')}")
+@query(f"WITH {CELLS}, {_DOWN.format(source='cells')}, {_ROOTS} {_SHOW.format(e='root_e', c='root_c', source='filled')}")
 def fill_right(spark, sf_dir):
-    cells, rows = _thin_fill(spark, sf_dir)
+    cells, rows = _grid_fill(spark, sf_dir)
     have = cells.select("district_id", "school_year", "period", "education", "credits").distinct()
     return _filled(rows.join(have, ["district_id", "school_year", "period", "education", "credits"], "left_anti"))
 
 
-@query(f"WITH {THIN}, {_DOWN.format(source='thin')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')}) SELECT * FROM every")
+@query(f"WITH {CELLS}, {_DOWN.format(source='cells')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')}) SELECT * FROM every")
 def fill_full(spark, sf_dir):
-    return _filled(_thin_fill(spark, sf_dir)[1])
+    return _filled(_grid_fill(spark, sf_dir)[1])
 
 
-@query(f"WITH {THIN}, {_DOWN.format(source='thin')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')}) SELECT education, root_education, count(*) AS n, count(DISTINCT (district_id, school_year, period)) AS schedules FROM every GROUP BY ALL")
+@query(f"WITH {CELLS}, {_DOWN.format(source='cells')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')}) SELECT education, root_education, count(*) AS n, count(DISTINCT (district_id, school_year, period)) AS schedules FROM every GROUP BY ALL")
 def fill_counts_by_source(spark, sf_dir):
-    return _filled(_thin_fill(spark, sf_dir)[1]).groupBy("education", "root_education").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district_id", "school_year", "period").alias("schedules"))
+    return _filled(_grid_fill(spark, sf_dir)[1]).groupBy("education", "root_education").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district_id", "school_year", "period").alias("schedules"))
 
 
-@query(f"WITH {THIN}, {_DOWN.format(source='thin')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')} UNION ALL SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE), education, credits, step FROM thin) SELECT district_id, school_year, period, root_education AS education, root_credits AS credits, CAST(root_step AS INTEGER) AS step, salary FROM every WHERE education = 'M' AND credits = 30 AND step = 4")
+@query(f"WITH {CELLS}, {_DOWN.format(source='cells')}, {_ROOTS}, every AS ({_SHOW.format(e='root_e', c='root_c', source='filled')} UNION ALL {_SHOW.format(e='education', c='credits', source='down WHERE salary IS NULL')} UNION ALL SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE), education, credits, step FROM cells) SELECT district_id, school_year, period, root_education AS education, root_credits AS credits, CAST(root_step AS INTEGER) AS step, salary FROM every WHERE education = 'M' AND credits = 30 AND step = 4")
 def highlight_lookup(spark, sf_dir):
-    cells, rows = _thin_fill(spark, sf_dir)
-    whole = cells.select("*", F.lit(False).alias("is_calculated")).unionByName(rows, allowMissingColumns=True)
-    return grid.highlight(whole, "M", 30, 4).withColumn("salary", money())
-
-
-# The same over the whole grid.
-
-
-def _whole(name):
-    return re.sub(r"\bthin\b", "cells", SQL[name].replace(THIN, CELLS))
-
-
-def _whole_fill(spark, sf_dir):
-    cells = fixtures.cells(spark, sf_dir)
-    return cells, fill.fill_grid(cells, *fill.combos_of(cells))
-
-
-@query(_whole("fill_right"))
-def fill_right_whole(spark, sf_dir):
-    cells, rows = _whole_fill(spark, sf_dir)
-    have = cells.select("district_id", "school_year", "period", "education", "credits").distinct()
-    return _filled(rows.join(have, ["district_id", "school_year", "period", "education", "credits"], "left_anti"))
-
-
-@query(_whole("fill_full"))
-def fill_full_whole(spark, sf_dir):
-    return _filled(_whole_fill(spark, sf_dir)[1])
-
-
-@query(_whole("fill_counts_by_source"))
-def fill_counts_by_source_whole(spark, sf_dir):
-    return fill_full_whole(spark, sf_dir).groupBy("education", "root_education").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("district_id", "school_year", "period").alias("schedules"))
-
-
-@query(_whole("highlight_lookup"))
-def highlight_lookup_whole(spark, sf_dir):
-    cells, rows = _whole_fill(spark, sf_dir)
+    cells, rows = _grid_fill(spark, sf_dir)
     whole = cells.select("*", F.lit(False).alias("is_calculated")).unionByName(rows, allowMissingColumns=True)
     return grid.highlight(whole, "M", 30, 4).withColumn("salary", money())
 

@@ -6,6 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from gridspan.plans import fixtures
 from gridspan.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -46,9 +47,19 @@ def test_fill_of_the_whole_grid(spark):
     lane = ["district_id", "school_year", "period", "education", "credits"]
     real = {tuple(r) for r in QUERIES["cells_base"](spark, SF).select(*lane).distinct().collect()}
     missing = {(*s, *c) for s in {x[:3] for x in real} for c in {x[3:] for x in real}} - real
-    right, full, down = ({tuple(r) for r in QUERIES[q](spark, SF).select(*lane, "step", "root_education", "root_credits", "root_step").collect()} for q in ("fill_right_whole", "fill_full_whole", "fill_down"))
+    right, full, down = ({tuple(r) for r in QUERIES[q](spark, SF).select(*lane, "step", "root_education", "root_credits", "root_step").collect()} for q in ("fill_right", "fill_full", "fill_down"))
     assert {r[:5] for r in right} == missing and len(missing) == 1313
     assert full == right | down
-    counts = {(r.education, r.root_education): r.n for r in QUERIES["fill_counts_by_source_whole"](spark, SF).collect()}
+    counts = {(r.education, r.root_education): r.n for r in QUERIES["fill_counts_by_source"](spark, SF).collect()}
     assert sum(counts.values()) == len(full)
-    assert QUERIES["highlight_lookup_whole"](spark, SF).count() == len({x[:3] for x in real})
+    assert QUERIES["highlight_lookup"](spark, SF).count() == len({x[:3] for x in real})
+
+
+@pytest.mark.parametrize("name", ["fill_right", "fill_full", "fill_counts_by_source", "highlight_lookup"])
+def test_fill_of_a_sparse_grid(spark, sql, monkeypatch, name):
+    """The same over a grid in which whole educations are missing."""
+    monkeypatch.setattr(fixtures, "cells", lambda spark, sf_dir, whole=fixtures.cells: whole(spark, sf_dir).filter(fixtures.SPARSE))
+    text = SQL[name].replace(fixtures.CELLS, fixtures.CELLS.replace("cells AS (", "every_cell AS (") + f", cells AS (SELECT * FROM every_cell WHERE {fixtures.SPARSE.replace(' div ', ' // ')})")
+    want = sql.sql(text)
+    rows = [tuple(plain(r[c]) for c in want.columns) for r in QUERIES[name](spark, SF).collect()]
+    assert rows and sorted(rows, key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
