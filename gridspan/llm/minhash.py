@@ -409,13 +409,14 @@ def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: f
     spark = members.sparkSession
     place = scratch(spark, "open")
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    with_partners(labelled, least).select(F.xxhash64("key", "band").alias("bucket"), "upper", "node", "size", "label").write.parquet(place)
-    named = spark.read.schema("bucket long, upper boolean, node long, size int, label long").parquet(place)
+    with_partners(labelled, least).select(F.xxhash64("key", "band").alias("bucket"), "upper", "node", "size", "label").write.parquet(f"{place}/named")
+    named = spark.read.schema("bucket long, upper boolean, node long, size int, label long").parquet(f"{place}/named")
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", "upper")).alias("x"))
     groups = named.groupBy("bucket").agg(mark.alias("mark"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS))).cast("int")
     some = groups.groupBy("mark").agg(F.min(F.struct("bucket", "n", "bytes")).alias("g")).select("g.*").select("bucket", blocks.alias("blocks"))
-    dealt = named.join(some, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label")
+    named.join(some, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label").write.parquet(f"{place}/dealt")
+    dealt = spark.read.schema("bucket long, blocks int, block int, upper boolean, node long, label long").parquet(f"{place}/dealt")
     in_buckets = dealt.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(texts, "node")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     parts = dealt.hint("merge").join(in_buckets, "node").select("bucket", F.explode(others).alias("at"), "node", "label", "block", "upper", "buckets", "text").select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "buckets", "text")
