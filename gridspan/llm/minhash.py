@@ -464,27 +464,30 @@ def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARI
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
-    Each round a node takes the smallest label of its neighbours and then the label of that
-    label, so that rounds grow with the logarithm of a path's length; it ends when nothing
-    changes. Every round is a written table in the shared folder.
+    Edges are turned into stars in turns: each node's larger neighbours are linked to the
+    smallest of it and its neighbours, then its smaller ones and itself to the smallest of
+    those. Edges soon are about as many as nodes; it ends when nothing changes, and every
+    node is then linked to the smallest of its component. Every turn is a written table.
     """
     spark = edges.sparkSession
     place = scratch(spark, "components")
-    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
-    both.write.parquet(f"{place}/edges")
-    both = spark.read.schema("a long, b long").parquet(f"{place}/edges")
-    labels, k = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("changed", F.lit(True)), 0
+    kept, k, before = edges.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).filter("high > low").distinct(), 0, None
     while True:
-        labels.write.parquet(f"{place}/{k}")
-        labels = spark.read.schema("node long, label long, changed boolean").parquet(f"{place}/{k}")
-        if labels.filter("changed").isEmpty():
-            return labels.select("node", "label")
-        now = labels.select("node", "label")
-        offered = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("offer"))
-        taken = now.join(offered.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("via"))
-        jump = now.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        labels = taken.join(jump, "via").select("node", F.least("via", "beyond").alias("label"), "was").select("node", "label", (F.col("label") != F.col("was")).alias("changed"))
-        k += 1
+        kept.write.parquet(f"{place}/{k}")
+        kept = spark.read.schema("high long, low long").parquet(f"{place}/{k}")
+        now = tuple(kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low"))).first())
+        if now == before:
+            roots = kept.select(F.col("low").alias("node"), F.col("low").alias("label")).distinct()
+            return kept.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(roots)
+        both = kept.select(F.explode(F.array(F.struct(F.col("high").alias("node"), F.col("low").alias("other")), F.struct(F.col("low").alias("node"), F.col("high").alias("other")))).alias("e")).select("e.node", "e.other")
+        least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
+        large = both.filter("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
+        large.write.parquet(f"{place}/{k}-large")
+        large = spark.read.schema("high long, low long").parquet(f"{place}/{k}-large")
+        first = large.groupBy("high").agg(F.min("low").alias("least"))
+        linked = large.join(first, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        kept = linked.unionByName(first.select("high", F.col("least").alias("low"))).distinct()
+        before, k = now, k + 1
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

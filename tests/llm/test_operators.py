@@ -315,9 +315,18 @@ def test_banded_distance():
 
 
 def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102)], "a long, b long")
-    got = {r.node: r.label for r in minhash.components(edges).collect()}
-    assert set(got[i] for i in range(1, 41)) == {1} and got[102] == 100
+    """A path, a star, a clique and random edges, against a plain search."""
+    rng = random.Random(2)
+    made = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100)] + [(200, 201 + i) for i in range(9)] + [(rng.randint(300, 400), rng.randint(300, 400)) for _ in range(60)]
+    edges = spark.createDataFrame(made, "a long, b long")
+    root = {x: x for e in made for x in e}
+    for _ in root:
+        for a, b in made:
+            root[a] = root[b] = min(root[a], root[b])
+    got = minhash.components(edges).collect()
+    want = {x: r for x, r in root.items() if any(x in e for e in made if e[0] != e[1])}
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+    assert minhash.components(edges.limit(0)).count() == 0
 
 
 def check_packing(rows, capacity=2048):
