@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, minhash, mixing, ogg, packing, quality, secrets, seed_extend, suffixes, warc
+from . import codes, language, middle, minhash, mixing, ogg, packing, quality, runs, secrets, seed_extend, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_ogg_media": ogg.op9_ogg_media,
         "op10_warc_zstd": warc.op10_warc_zstd,
+        "op11_fill_in_middle": middle.op11_fill_in_middle,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_addressable_codes": codes.op13_addressable_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**mixing.SQL, **quality.SQL, **warc.SQL}
+    return {**mixing.SQL, **quality.SQL, **warc.SQL, **middle.SQL}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,3 +87,54 @@ def quality(text):
     lines = [x for x in text.split("\n") if WORDS.search(x)]
     n = len(words)
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(gone), n < 20 or 100 * len(gone) > 30 * n
+
+
+def middle(doc, text, seed=42, cut=50, suffix_first=80):
+    """(n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    n, digest = len(units), sha(f"{seed}:{'' if doc is None else doc}".encode())
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, mid, suffix = ("".join(units[x:y]) for x, y in ((0, a), (a, b), (b, n)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= cut:
+        return n, "plain", None, None, text
+    if h[3] % 100 < suffix_first:
+        return n, "spm", len(prefix), len(mid), f"<S>{suffix}<P>{prefix}<M>{mid}"
+    return n, "psm", len(prefix), len(mid), f"<P>{prefix}<S>{suffix}<M>{mid}"
+
+
+def runs(words, times=4, least=6):
+    """(start, length, smallest period) of every run, by trying all periods."""
+    n, found = len(words), {}
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= times * q and j > i:
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return [(i, j - i, q) for (i, j), q in sorted(found.items()) if j - i >= max(least, times * q)]
+
+
+def planted(doc, text):
+    words, h = WORDS.findall(text or ""), zlib.crc32(("" if doc is None else str(doc)).encode())
+    g, n = h // 10, len(words)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def periodic(doc, text):
+    """The row of op12 without its id."""
+    words = planted(doc, text)
+    found = runs(words)
+    gone = {k for i, n, q in found for k in range(i + q, i + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else None
+    lines = "".join(f"{i},{n},{q}\n" for i, n, q in sorted(found, key=lambda r: (r[0], r[2])))
+    shown = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return len(found), *shown, sha(lines.encode()), sha(" ".join(w for k, w in enumerate(words) if k not in gone).encode())
