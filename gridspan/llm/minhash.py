@@ -302,13 +302,14 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 @dataclass
 class Member:
-    """A text of an open bucket: its block, whether it is of the upper band, and all open buckets that it is in."""
+    """A text of an open bucket: its block, whether it is of the upper band, and the open buckets that it is in, of its own band and as an upper one."""
 
     node: int
     label: int
     block: int
     upper: bool
-    buckets: list[int]
+    own: list[int]
+    above: list[int]
     words: list[bytes]
 
 
@@ -331,8 +332,8 @@ def _numbered(members: list[Member]) -> tuple[list[list[int]], np.ndarray, np.nd
 def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
     """Links that join all near texts of two blocks of a bucket, or of one with itself, that are of different classes.
 
-    A pair is looked at in the first bucket that it shares, and in the band of its shorter
-    text. Two texts are near only if they have enough words in common, whatever their order:
+    A pair is looked at in the first bucket that it shares and in which it is not two upper
+    texts: those meet in their own band. Two texts are near only if they have enough words in common, whatever their order:
     counted first by counters and then one by one. Others are aligned, the most alike first,
     unless links have joined their classes by then.
     """
@@ -347,12 +348,15 @@ def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least:
     words, counts, labelled, off = _numbered(members)
     size, block, upper = np.diff(off), np.array([m.block for m in members]), np.array([m.upper for m in members])
     label, node = np.array([m.label for m in members]), np.array([m.node for m in members])
-    sharing: dict[int, list[int]] = {}
+    lower: dict[int, list[int]] = {}
+    uppers: dict[int, list[int]] = {}
     for i, m in enumerate(members):
-        for k in m.buckets:
-            if k < bucket:
-                sharing.setdefault(k, []).append(i)
-    together = {k: np.array(v) for k, v in sharing.items() if len(v) > 1}
+        for found, buckets in ((lower, m.own), (uppers, m.above)):
+            for k in buckets:
+                if k < bucket:
+                    found.setdefault(k, []).append(i)
+    own_of, upper_of = ({k: np.array(v) for k, v in found.items()} for found in (lower, uppers))
+    none = np.zeros(0, np.int64)
     own = np.zeros(int(labelled.max()) + 1 if len(labelled) else 1, bool)
     here, there = np.flatnonzero(block == blocks[0]), np.flatnonzero(block == blocks[1])
     for i in here.tolist():
@@ -362,11 +366,14 @@ def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least:
         fits &= np.minimum(size[others], size[i]) >= need
         if not fits.any():
             continue
-        before = [together[k] for k in members[i].buckets if k in together]
-        if before:
-            met = np.zeros(len(members), bool)
-            met[np.concatenate(before)] = True
-            fits &= ~met[others]
+        # in an earlier bucket an own text met all others, an upper one the own ones
+        met = np.zeros(len(members), bool)
+        for k in members[i].own:
+            met[own_of.get(k, none)] = True
+            met[upper_of.get(k, none)] = True
+        for k in members[i].above:
+            met[own_of.get(k, none)] = True
+        fits &= ~met[others]
         others, need = others[fits], need[fits]
         fits = np.minimum(counts[others], counts[i]).sum(axis=1) >= need
         others, need = others[fits], need[fits]
@@ -417,9 +424,10 @@ def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: f
     some = groups.groupBy("mark").agg(F.min(F.struct("bucket", "n", "bytes")).alias("g")).select("g.*").select("bucket", blocks.alias("blocks"))
     named.join(some, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label").write.parquet(f"{place}/dealt")
     dealt = spark.read.schema("bucket long, blocks int, block int, upper boolean, node long, label long").parquet(f"{place}/dealt")
-    in_buckets = dealt.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(texts, "node")
+    of_band = lambda upper: F.collect_set(F.when(F.col("upper") == F.lit(upper), F.col("bucket")))
+    in_buckets = dealt.groupBy("node").agg(of_band(False).alias("own"), of_band(True).alias("above")).join(texts, "node")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    parts = dealt.hint("merge").join(in_buckets, "node").select("bucket", F.explode(others).alias("at"), "node", "label", "block", "upper", "buckets", "text").select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "buckets", "text")
+    parts = dealt.hint("merge").join(in_buckets, "node").select("bucket", F.explode(others).alias("at"), "node", "label", "block", "upper", "own", "above", "text").select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "own", "above", "text")
 
     def run(batches):
         own, rows = None, []
@@ -428,7 +436,7 @@ def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: f
                 if row[:3] != own:
                     yield from compared(own, rows)
                     own, rows = row[:3], []
-                rows.append(Member(*row[3:8], row[8].encode().split()))
+                rows.append(Member(*row[3:9], row[9].encode().split()))
         yield from compared(own, rows)
 
     def compared(own, rows):

@@ -264,6 +264,26 @@ def test_near_duplicates_whose_first_of_bucket_is_not_near(spark, monkeypatch, b
     assert {r.doc_id for r in minhash.keep_one(frame(spark, [r for r in rows if r[0] in (1, 10, 30)])).collect()} == {1, 10}
 
 
+@pytest.mark.parametrize("seed, blocks, shorter", [(1, 1000, 20), (2, 1000, 20), (3, 17, 20), (4, 1000, 0), (5, 40, 45)])
+def test_no_link_is_lost_across_an_edge_of_bands(spark, monkeypatch, seed, blocks, shorter):
+    """Pairs among many unlike texts with one long beginning, of lengths on either side of a band's edge: all that share a sketch are joined."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", blocks)
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    edge = 0.8 ** -(0.9999 * int(np.log(400) / -np.log(0.8)))  # about where a band of length begins
+    beginning = words(int(edge * 0.7))
+    tail = int(edge - len(beginning)) + 10
+    rows, pairs = [], []
+    for i in range(40):
+        one = words(tail - shorter * (i % 2))
+        two = [w if j % 4 else w + "x" for j, w in enumerate(one)]
+        rows += [(1000 + i, " ".join(beginning + one)), (2000 + i, " ".join(beginning + two))]
+        pairs.append((1000 + i, 2000 + i))
+    rows += [(i, " ".join(beginning + words(tail - shorter * (i % 2)))) for i in range(1, 100)]
+    got = {r.doc: r.class_id for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {d: d for d in range(1, 100)} | {d: a for a, b in pairs for d in (a, b)}
+
+
 def test_recall_by_similarity():
     """Share of made pairs that meet in a bucket, by similarity and length: words replaced at random places."""
     rng = random.Random(3)
