@@ -29,7 +29,7 @@ from .common import by_batch, by_place, find_words, groups_of, in_arrow, mixed,
 
 #: Words of a k-mer, least similarity, sketches, and k-mers of a sketch.
 GRAM, SIMILARITY = 5, 0.8
-SKETCHES, TOGETHER = 60, 2
+SKETCHES, TOGETHER = 84, 2
 #: Texts of fewer words also have sketches of single words, for few k-mers outlive an edit.
 SHORT, SHORT_SKETCHES, SHORT_TOGETHER = 80, 20, 3
 #: Bytes and texts of a block of an open bucket.
@@ -472,10 +472,11 @@ def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARI
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
-    Edges are turned into stars in turns: each node's larger neighbours are linked to the
-    smallest of it and its neighbours, then its smaller ones and itself to the smallest of
-    those. Edges soon are about as many as nodes; it ends when nothing changes, and every
-    node is then linked to the smallest of its component. Every turn is a written table.
+    Edges are turned into stars in turns: the larger neighbours of a node that has a smaller
+    one are linked to the least of those too, then each node's smaller neighbours and itself to
+    the smallest of them. Edges soon are about as many as nodes; it ends when nothing
+    changes, and every node is then linked to the smallest of its component. What is linked
+    to one smallest node already goes through no join. Every turn is a written table.
     """
     spark = edges.sparkSession
     place = scratch(spark, "components")
@@ -487,13 +488,12 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             roots = kept.select(F.col("low").alias("node"), F.col("low").alias("label")).distinct()
             return kept.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(roots)
-        both = kept.select(F.explode(F.array(F.struct(F.col("high").alias("node"), F.col("low").alias("other")), F.struct(F.col("low").alias("node"), F.col("high").alias("other")))).alias("e")).select("e.node", "e.other")
-        least = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
-        large = both.filter("other > node").join(least, "node").select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
-        large.write.parquet(f"{place}/{k}-large")
-        large = spark.read.schema("high long, low long").parquet(f"{place}/{k}-large")
-        first = large.groupBy("high").agg(F.min("low").alias("least"))
-        linked = large.join(first, "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        least = kept.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "node")
+        raised = kept.join(least, F.col("low") == F.col("node")).select("high", F.col("least").alias("low"))
+        kept.unionByName(raised).distinct().write.parquet(f"{place}/{k}-raised")
+        large = spark.read.schema("high long, low long").parquet(f"{place}/{k}-raised")
+        first = large.groupBy("high").agg(F.min("low").alias("least"), F.max("low").alias("most"))
+        linked = large.join(first.filter("least < most"), "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
         kept = linked.unionByName(first.select("high", F.col("least").alias("low"))).distinct()
         before, k = now, k + 1
 
