@@ -31,8 +31,8 @@ HEAD = struct.Struct("<4sIQQ")
 BLOCK = 512
 
 END_ID = 2
-#: Ids of a file, after which the next document begins another.
-FILE_IDS = 4 << 20
+#: Ids of a file, after which the next document begins another, and bytes of a row group of written files.
+FILE_IDS, GROUP_BYTES = 1 << 20, 16 << 20
 #: Tokens looked up in one row.
 WANTED = 1 << 16
 
@@ -152,15 +152,15 @@ class Codes:
 def token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``part, seq, n_docs, n_ids, content``: files of the documents' ids in order of (part, seq), documents in order of id.
 
-    One shuffle deals texts out by ranges of id; texts of one id are in order of their hash and
-    text, so that an id that many rows have is dealt out too. Null ids stand first, a null
+    One shuffle deals texts out by ranges of id; texts of one id are in order of their hash, so
+    that an id that many rows have is dealt out too. Null ids stand first, a null
     text is the end id alone, and equal rows stand side by side. A file ends with the document
     that makes it ``file_ids`` long, so a worker holds one file. An empty table gives no files.
     """
     ready(docs.sparkSession)
     order = ["doc_id", "tie"]
     rows = doc_rows(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("content", pa.binary())])
 
     def run(batches):
@@ -169,21 +169,21 @@ def token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
         encoder, part, seq = _encoder(path or public_tokenizers.path(TOKENIZER)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        doc_ids, texts, size = [], [], 0
+        doc_ids, lengths, held = [], [], bytearray()
 
         def file():
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            content = encode_file(doc_ids, np.array([len(t) // 4 for t in texts], np.int64), ids)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "content": [content]}, kinds)
+            content, n_ids = encode_file(doc_ids, np.array(lengths, np.int64), np.frombuffer(bytes(held), "<u4")), len(held) // 4
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [n_ids], "content": [content]}, kinds)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 doc_ids.append(doc)
-                texts.append(encoder.encode(text.as_py()) + end)
-                size += len(texts[-1]) // 4
-                if size >= file_ids:
+                raw = encoder.encode(text.as_py()) + end
+                held += raw
+                lengths.append(len(raw) // 4)
+                if len(held) >= 4 * file_ids:
                     yield file()
-                    doc_ids, texts, size, seq = [], [], 0, seq + 1
+                    doc_ids, lengths, held, seq = [], [], bytearray(), seq + 1
         if doc_ids:
             yield file()
 
@@ -264,7 +264,7 @@ def written_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID
     """The files of ``docs`` as a written table in the shared folder, which outlives executors."""
     spark = ready(docs.sparkSession)
     place = scratch(spark, "codes")
-    token_files(docs, path, end_id, id_col=id_col, text_col=text_col).write.option("compression", "none").parquet(place)
+    token_files(docs, path, end_id, id_col=id_col, text_col=text_col).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).parquet(place)
     return spark.read.schema(FILES).parquet(place)
 
 
