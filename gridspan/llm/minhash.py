@@ -398,13 +398,14 @@ def with_partners(named: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Pairs of two ``upper`` texts belong to the next band.
     """
-    of = lambda f, c, upper: f(F.when(F.col("upper") == F.lit(upper), F.col(c)))
-    ends = named.groupBy("key", "band").agg(*[of(f, c, u).alias(f"{n}_{c}_{'up' if u else 'low'}") for n, f in (("min", F.min), ("max", F.max)) for c in ("label", "size") for u in (False, True)])
+    bucket = Window.partitionBy("key", "band")
+    of = lambda f, c, upper: f(F.when(F.col("upper") == F.lit(upper), F.col(c))).over(bucket)
+    ends = {f"{n}_{c}_{'up' if u else 'low'}": of(f, c, u) for n, f in (("min", F.min), ("max", F.max)) for c in ("label", "size") for u in (False, True)}
     differs = lambda part: (F.col(f"min_label_{part}") != F.col("label")) | (F.col(f"max_label_{part}") != F.col("label"))
     fits = F.lit(least - 1e-9)
     low = differs("low") | (differs("up") & (F.col("size") >= fits * F.col("min_size_up")))
     up = differs("low") & (F.col("max_size_low") >= fits * F.col("size"))
-    return named.join(ends, ["key", "band"]).filter(F.when(F.col("upper"), up).otherwise(low)).select(*named.columns)
+    return named.withColumns(ends).filter(F.when(F.col("upper"), up).otherwise(low)).select(*named.columns)
 
 
 def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
