@@ -124,11 +124,11 @@ def unpivot_grid(grid: DataFrame, lanes: list[str]) -> DataFrame:
     return long.select(*SCHEDULE, parts[0].alias("education"), parts[1].cast("int").alias("credits"), "step", "salary")
 
 
-def suppress_calculated(cells: DataFrame) -> DataFrame:
-    """Drops lanes that are calculated throughout, then steps that are in the lanes left."""
+def suppress_calculated(cells: DataFrame, dealt: bool = False) -> DataFrame:
+    """Drops lanes that are calculated throughout, then steps that are in the lanes left; cells ``dealt`` by district are not shuffled."""
     lane_real = F.max((~F.col("is_calculated")).cast("int")).over(Window.partitionBy(*SCHEDULE, *LANE))
     step_real = F.max((~F.col("is_calculated")).cast("int")).over(Window.partitionBy(*SCHEDULE, "step"))
-    return cells.repartition(*SCHEDULE).withColumn("__real", lane_real).filter("__real = 1").withColumn("__real", step_real).filter("__real = 1").drop("__real")
+    return (cells if dealt else cells.repartition(*SCHEDULE)).withColumn("__real", lane_real).filter("__real = 1").withColumn("__real", step_real).filter("__real = 1").drop("__real")
 
 
 def highlight(filled: DataFrame, education: str, credits: int, step: int) -> DataFrame:

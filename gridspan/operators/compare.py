@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import COMPARED_TYPES, EDUCATION_ORDER
 from .cells import education_order
+from .ranking import numbered
 
 
 def resolve_lane(combos: Iterable[str], education: str, credits: int, include_fallback: bool = True) -> tuple[str, int, bool]:
@@ -62,7 +63,8 @@ def compare(cells: DataFrame, districts: DataFrame, education: str, credits: int
     Of a district's years and periods one is shown, the oldest or the latest. Ranks follow
     either the place of a district's best row in the order of falling salaries
     (``first_seen``) or the shown salary (``salary``). Districts of other types are left out.
-    The filter reaches the scan; one shuffle by district; the ranking sees a row per district.
+    The filter reaches the scan; cells stored by district need no shuffle up to the ranking, which deals
+    a row per district out by ranges.
     """
     at = cells.filter((F.col("education") == education) & (F.col("credits") == credits) & (F.col("step") == step) & F.col("district_id").isNotNull())
     if year is not None:
@@ -75,7 +77,7 @@ def compare(cells: DataFrame, districts: DataFrame, education: str, credits: int
     if district_type is not None:
         named = named.filter(kind == district_type)
     order = [F.col("seen")] if rank_by == "first_seen" else [F.col("salary").desc(), F.col("school_year"), F.col("district_id"), F.col("period")]
-    return named.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "district_id", F.col("name").alias("district_name"), "district_type", "towns", "school_year", "period", "education", "credits", "step", "salary")
+    return numbered(named, *order).select("rank", "district_id", F.col("name").alias("district_name"), "district_type", "towns", "school_year", "period", "education", "credits", "step", "salary")
 
 
 def spread_of(ranked: DataFrame) -> DataFrame:
@@ -107,9 +109,12 @@ LOW, MIDDLE, HIGH = (239, 68, 68), (250, 204, 21), (34, 197, 94)
 
 
 def colours(ranked: DataFrame) -> DataFrame:
-    """Position in [0, 1], best first, and its colour on a scale of two parts; a single row gets 1."""
-    at = 1 - F.percent_rank().over(Window.orderBy("rank"))
-    out = ranked.withColumn("position", at)
+    """Position in [0, 1], best first, and its colour on a scale of two parts; a single row gets 1.
+
+    Ranks run from 1 to the number of rows, as ``compare`` gives them and ``reranked`` makes them.
+    """
+    last = ranked.agg(F.max("rank").alias("n")).scalar()
+    out = ranked.withColumn("position", 1 - F.when(last > 1, (F.col("rank") - 1) / (last - 1)).otherwise(0.0))
     low = F.col("position") < 0.5
     part = F.when(low, F.col("position") * 2).otherwise((F.col("position") - 0.5) * 2)
     for k, channel in enumerate(("red", "green", "blue")):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TYPE_ORDER
+from .ranking import numbered
 
 LEAST_TOKEN = 3
 
@@ -102,7 +103,7 @@ def custom_filter(rows: DataFrame, types: list[str] | None = None, ids: list | N
 
 def reranked(rows: DataFrame) -> DataFrame:
     """Ranks closed up after a filter."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy("rank")))
+    return numbered(rows.withColumnRenamed("rank", "__old"), "__old").select(*rows.columns)
 
 
 def towns_changed(old: Column, new: Column) -> Column:

@@ -13,11 +13,11 @@ from ..schemas import EDUCATION_ORDER, SCHEDULE
 from .cells import education_order
 
 
-def lanes_by_schedule(cells: DataFrame) -> DataFrame:
-    """``lanes``: each real lane with its steps in order. Both aggregations follow one exchange."""
+def lanes_by_schedule(cells: DataFrame, dealt: bool = False) -> DataFrame:
+    """``lanes``: each real lane with its steps in order. Both aggregations follow one exchange, or none where cells are ``dealt`` by district, as stored ones are."""
     steps = F.array_sort(F.collect_list(F.struct("step", "salary")))
     return (
-        cells.repartition(*SCHEDULE)
+        (cells if dealt else cells.repartition(*SCHEDULE))
         .groupBy(*SCHEDULE, "education", "credits")
         .agg(steps.alias("steps"))
         .groupBy(*SCHEDULE)
@@ -92,14 +92,14 @@ def spread(schedules: DataFrame, max_step: int) -> DataFrame:
     )
 
 
-def fill_down(cells: DataFrame, max_step: int) -> DataFrame:
+def fill_down(cells: DataFrame, max_step: int, dealt: bool = False) -> DataFrame:
     """Calculated cells of the lanes that a schedule has."""
-    return spread(lanes_by_schedule(cells), max_step)
+    return spread(lanes_by_schedule(cells, dealt), max_step)
 
 
-def fill_grid(cells: DataFrame, max_step: int, combos: dict[str, list[int]]) -> DataFrame:
+def fill_grid(cells: DataFrame, max_step: int, combos: dict[str, list[int]], dealt: bool = False) -> DataFrame:
     """Calculated cells of all lanes: those a schedule has and those it lacks."""
-    return spread(with_missing_lanes(lanes_by_schedule(cells), combos), max_step)
+    return spread(with_missing_lanes(lanes_by_schedule(cells, dealt), combos), max_step)
 
 
 def complete(cells: DataFrame, max_step: int, combos: dict[str, list[int]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.layout import bucket_number, mark_of, store_cells, store_districts, stored_once
+
 #: Names of an interim town list: customers of the district's nation, so many a district.
 TOWNS = 6
 
@@ -14,6 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells as they are stored: made from ``lineitem`` once, then read by key."""
+    found = stored_once(spark, "cells", [f"{sf_dir}/lineitem.parquet"], lambda name, n: store_cells(cells_of_lines(spark, sf_dir), name, n))
+    return found.select("district_id", "school_year", "period", "education", "credits", "step", "salary")
+
+
+def cells_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One real cell per district, school year, period, lane and step."""
     line = read(spark, sf_dir, "lineitem")
     year = F.year("l_shipdate") - F.when(F.month("l_shipdate") >= 7, 0).otherwise(1)
@@ -49,6 +57,13 @@ SPARSE = "(district_id * 7 + credits div 5 * 3 + ascii(education) + CAST(substr(
 
 
 def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The districts as they are stored, dealt as the cells are."""
+    line = mark_of(spark, f"{sf_dir}/lineitem.parquet")[1]
+    made = lambda name, _: store_districts(districts_of_suppliers(spark, sf_dir), name, bucket_number(line))
+    return stored_once(spark, "districts", [f"{sf_dir}/{t}.parquet" for t in ("supplier", "nation", "customer")], made).select("district_id", "name", "district_type", "towns")
+
+
+def districts_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District dimension: a supplier with the first customers, by name, of its nation as towns."""
     nation = read(spark, sf_dir, "nation")
     kinds = F.element_at(F.array(*map(F.lit, ("municipal", "regional_academic", "regional_vocational", "county_agricultural", "charter"))), F.col("n_regionkey") + 1)

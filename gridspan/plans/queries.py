@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, lanes, scalars
 from ..operators import cells as grid
-from ..operators import compare, coverage, districts, fill, parsing, records, tables
+from ..operators import compare, coverage, districts, fill, parsing, ranking, records, tables
 from ..streaming import jobs, windows
 from . import apply, fixtures
 from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
@@ -42,12 +42,13 @@ def joined(c: str, sep: str = ","):
 
 @query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells")
 def cells_base(spark, sf_dir):
-    return fixtures.cells(spark, sf_dir).withColumn("salary", money())
+    """The grid made from ``lineitem``; all other queries read it where it is stored."""
+    return fixtures.cells_of_lines(spark, sf_dir).withColumn("salary", money())
 
 
 @query(f"WITH {DISTRICTS} SELECT district_id, name, district_type, array_to_string(towns, ',') AS towns FROM districts")
 def district_dim(spark, sf_dir):
-    return fixtures.districts(spark, sf_dir).withColumn("towns", joined("towns"))
+    return fixtures.districts_of_suppliers(spark, sf_dir).withColumn("towns", joined("towns"))
 
 
 @query(f"WITH {DISTRICTS} SELECT district_id, name AS district_name, unnest(towns) AS town FROM districts")
@@ -171,12 +172,12 @@ def _filled(rows):
 def fill_down(spark, sf_dir):
     cells = fixtures.cells(spark, sf_dir)
     top, _ = fill.combos_of(cells)
-    return _filled(fill.fill_down(cells, top))
+    return _filled(fill.fill_down(cells, top, dealt=True))
 
 
 def _grid_fill(spark, sf_dir):
     cells = fixtures.cells(spark, sf_dir)
-    return cells, fill.fill_grid(cells, *fill.combos_of(cells))
+    return cells, fill.fill_grid(cells, *fill.combos_of(cells), dealt=True)
 
 
 @query(f"WITH {CELLS}, {_DOWN.format(source='cells')}, {_ROOTS} {_SHOW.format(e='root_e', c='root_c', source='filled')}")
@@ -220,10 +221,8 @@ def schedule_of_district(spark, sf_dir):
 
 @query(f"WITH {CELLS}, s AS (SELECT DISTINCT school_year, period FROM cells) SELECT school_year, period, CAST(row_number() OVER (ORDER BY CAST(substr(school_year, 1, 4) AS INTEGER), period DESC) AS INTEGER) AS place FROM s")
 def schedule_catalogue(spark, sf_dir):
-    from pyspark.sql import Window
-
     found = fixtures.cells(spark, sf_dir).select("school_year", "period").distinct()
-    return found.withColumn("place", F.row_number().over(Window.orderBy(*grid.schedule_order())))
+    return ranking.numbered(found, *grid.schedule_order(), name="place")
 
 
 @query(f"WITH {CELLS} SELECT district_id, CAST(min(salary) AS DOUBLE) AS min_salary, CAST(max(salary) AS DOUBLE) AS max_salary, max(school_year) AS latest_year, array_to_string(list_sort(list(DISTINCT school_year)), ',') AS years, count(DISTINCT (school_year, period)) AS n_schedules FROM cells GROUP BY 1")
@@ -287,7 +286,7 @@ _CALC = "(district_id + credits + step) % 3 > 0"
 s AS (SELECT *, min(calc) OVER (PARTITION BY district_id, school_year, period, step) AS step_calc FROM l WHERE NOT lane_calc) SELECT district_id, school_year, period, education, credits, step FROM s WHERE NOT step_calc""")
 def suppress_calculated(spark, sf_dir):
     flagged = fixtures.cells(spark, sf_dir).withColumn("is_calculated", F.expr(_CALC))
-    return grid.suppress_calculated(flagged).select("district_id", "school_year", "period", "education", "credits", "step")
+    return grid.suppress_calculated(flagged, dealt=True).select("district_id", "school_year", "period", "education", "credits", "step")
 
 
 # -- districts --------------------------------------------------------------------------------

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -13,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -36,3 +39,23 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [*paths, root] if p)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where it is unset, a local session gets a temporary one.
+
+    A cluster without it is an error: what one machine writes to its own disk the others don't see.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridspan-"))
+        named = sc.getCheckpointDir()
+    return named
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for a written table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
