@@ -105,6 +105,13 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").cast("int").alias("succeeded"), (F.col("event_type") == "error").cast("int").alias("failed"))
 
 
+def queue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with when they were sent and, of some, when their work ended: so many minutes later as their value says."""
+    minutes = F.floor(F.col("value") * 7 % 60)
+    sent = F.col("ts").cast("timestamp")
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("message_id"), sent.alias("sent"), F.when(F.col("event_type") != "error", F.timestamp_micros(F.unix_micros(sent) + minutes * 60_000_000)).alias("done"))
+
+
 JOB_EVENTS = """
 job_events AS (
   SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'pending' END AS status, ts,

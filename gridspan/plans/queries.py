@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, lanes, scalars
 from ..operators import cells as grid
 from ..operators import compare, coverage, districts, fill, parsing, ranking, records, tables
-from ..streaming import jobs, windows
+from ..streaming import jobs, state, windows
 from . import apply, fixtures
 from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
 
@@ -668,6 +668,35 @@ def rate_limit_windows(spark, sf_dir):
     return windows.rate_windows(fixtures.requests(spark, sf_dir)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("""WITH v AS (SELECT event_id, user_id AS client, event_type AS route_class, ts, time_bucket(INTERVAL '1 day', ts) AS window_start, row_number() OVER (PARTITION BY user_id, event_type, time_bucket(INTERVAL '1 day', ts) ORDER BY ts, event_id) AS place FROM events),
+l AS (SELECT *, CASE route_class WHEN 'view' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS most FROM v)
+SELECT event_id, client, route_class, window_start, place, place <= most AS admitted, greatest(most - place, 0) AS "left" FROM l""")
+def rate_verdicts(spark, sf_dir):
+    """Every request admitted or not, by limits a day that the test data reach."""
+    out = state.rate_verdicts(fixtures.requests(spark, sf_dir), {"view": 3, "click": 2}, 1, 86_400)
+    return out.drop("ts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""WITH m AS (SELECT event_id, ts AS sent, CASE WHEN event_type <> 'error' THEN ts + to_minutes(CAST(floor(value * 7 % 60) AS INTEGER)) END AS done, (SELECT max(ts) FROM events) AS upto FROM events),
+w AS (SELECT *, (epoch_us(least(coalesce(done, upto), upto)) - epoch_us(sent)) // 900000000 AS waits FROM m)
+SELECT event_id AS message_id, CAST(least(waits + 1, 3) AS INTEGER) AS attempts, CASE WHEN done IS NOT NULL AND done <= upto AND waits < 3 THEN 'done' WHEN waits >= 3 THEN 'dead' ELSE 'under way' END AS state FROM w""")
+def queue_receipts(spark, sf_dir):
+    """Every message's receipts and end as of the last time in the table."""
+    messages = fixtures.queue_messages(spark, sf_dir)
+    return state.receipts_of(messages, messages.agg(F.max("sent")).scalar())
+
+
+@query(f"""WITH RECURSIVE {JOB_EVENTS}, e AS (SELECT *, CASE job_id % 3 WHEN 0 THEN 7 ELSE 30 END AS days FROM job_events),
+lives AS (SELECT job_id, 1 AS life, min(ts) AS began, min(ts) + to_days(any_value(days)) AS ends FROM e GROUP BY job_id
+  UNION ALL SELECT l.job_id, l.life + 1, min(e.ts), min(e.ts) + to_days(any_value(e.days)) FROM lives l JOIN e ON e.job_id = l.job_id AND e.ts >= l.ends GROUP BY l.job_id, l.life)
+SELECT l.job_id, CAST(life AS INTEGER) AS life, arg_max(status, seq) AS status, count(*) AS processed, CAST(sum(succeeded) AS BIGINT) AS succeeded, CAST(sum(failed) AS BIGINT) AS failed, date_trunc('millisecond', any_value(began)) AS began
+FROM lives l JOIN e ON e.job_id = l.job_id AND e.ts >= l.began AND e.ts < l.ends GROUP BY l.job_id, l.life""")
+def job_lives(spark, sf_dir):
+    """Jobs that start anew once their days are over."""
+    events = fixtures.job_events(spark, sf_dir).withColumn("kind", F.when(F.col("job_id") % 3 == 0, "reapply").otherwise("extract"))
+    return state.lives_of(events).drop("ends").withColumn("began", F.col("began").cast("timestamp_ntz"))
+
+
 def _ntz(rows):
     """Window bounds as the tables have times, without a zone."""
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")} | {"total": F.round("total", 2)})

@@ -12,8 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import importable
 
 TERMINAL = ("completed", "failed", "deleted")
-#: Days that finished jobs are remembered.
-KEEP_DAYS = 30
 
 
 def latest(events: DataFrame) -> DataFrame:
