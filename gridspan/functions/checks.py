@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import TYPE_ORDER
 
-TEXT = r"^[A-Za-z0-9 .,'&()\-]+$"
-ID = r"^[A-Za-z0-9_\-]+$"
+TEXT = r"^[A-Za-z0-9\s.,:'&()\-]+$"
+# An id is letters, digits and dashes, or such with a kind and a # (or its escape) before.
+ID = r"^([A-Z]+(#|%23))?[A-Za-z0-9\-]+$"
 
 
 def errors(*rules: tuple[str, Column]) -> Column:
@@ -22,6 +23,12 @@ def clean_text(text: Column, most: int = 100) -> Column:
     return F.struct(value.alias("value"), (value.isNull() | ((F.length(value) <= most) & value.rlike(TEXT))).alias("ok"))
 
 
+def id_errors(id_: Column, most: int = 100) -> Column:
+    """The rules for an id that comes from outside."""
+    bare = F.trim(id_)
+    return errors(("id_missing", id_.isNull() | (bare == "")), ("id_long", F.length(bare) > most), ("id", (bare != "") & ~bare.rlike(ID)))
+
+
 def district_errors() -> Column:
     towns = F.filter(F.coalesce("towns", F.array().cast("array<string>")), lambda t: F.trim(t) != "")
     return errors(

@@ -84,14 +84,15 @@ def by_type_and_name(districts: DataFrame) -> DataFrame:
 def custom_filter(rows: DataFrame, types: list[str] | None = None, ids: list | None = None, towns: list[str] | DataFrame | None = None) -> DataFrame:
     """Rows of a type that are picked by id or by a town; without picks all of the type.
 
-    Many towns come as a table with a column ``town``, to be joined.
+    Many towns come as a table with a column ``town``, to be joined; an empty one picks nothing, as an empty list does.
     """
     out = rows.filter(F.col("district_type").isin(*types)) if types else rows
     if isinstance(towns, DataFrame):
         wanted = towns.select(fold("town").alias("__key")).distinct()
         hit = out.select("district_id", F.explode("towns").alias("__town")).withColumn("__key", fold("__town")).join(wanted, "__key", "left_semi").select("district_id").distinct().withColumn("__hit", F.lit(True))
         found = out.join(hit, "district_id", "left")
-        return found.filter(F.col("__hit").isNotNull() | (F.col("district_id").isin(*ids) if ids else F.lit(False))).select(*rows.columns)
+        picked = F.col("district_id").isin(*ids) if ids else wanted.agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+        return found.filter(F.col("__hit").isNotNull() | picked).select(*rows.columns)
     if not ids and not towns:
         return out
     picked = F.col("district_id").isin(*ids) if ids else F.lit(False)

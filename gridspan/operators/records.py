@@ -111,9 +111,9 @@ def match_totals(matches: DataFrame) -> DataFrame:
 
 
 def import_districts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert by folded name; of incoming rows with one name the first counts. ``status`` says what happens to each."""
+    """Upsert by folded name; of incoming rows with one name the first counts, of existing districts with one the smallest id. ``status`` says what happens to each."""
     key = lambda d: d.withColumn("key", F.lower(F.trim("name")))
     named = key(incoming).filter("key <> ''")
     numbered = named.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("pos")))
-    old = key(existing).select("key", F.col("district_id").alias("existing_id"))
+    old = key(existing).groupBy("key").agg(F.min("district_id").alias("existing_id"))
     return numbered.join(old, "key", "left").select("name", "pos", "existing_id", F.when(F.col("n") > 1, "duplicate").when(F.col("existing_id").isNotNull(), "updated").otherwise("created").alias("status"))

@@ -134,10 +134,10 @@ def lane_resolution_all(spark, sf_dir):
 
 _DOWN = """
 top AS (SELECT max(step) AS top FROM cells),
-lanes AS (SELECT DISTINCT district_id, school_year, period, education, credits FROM {source}),
+lanes AS MATERIALIZED (SELECT DISTINCT district_id, school_year, period, education, credits FROM {source}),
 slots AS (SELECT l.*, CAST(s AS INTEGER) AS step FROM lanes l, top, unnest(range(1, top + 1)) u(s)),
 placed AS (SELECT s.*, c.salary, CASE WHEN c.salary IS NOT NULL THEN s.step END AS own FROM slots s LEFT JOIN {source} c USING (district_id, school_year, period, education, credits, step)),
-down AS (SELECT *,
+down AS MATERIALIZED (SELECT *,
   coalesce(last_value(salary IGNORE NULLS) OVER w, first_value(salary IGNORE NULLS) OVER v) AS value,
   coalesce(last_value(own IGNORE NULLS) OVER w, first_value(own IGNORE NULLS) OVER v) AS root_step
   FROM placed WINDOW w AS (PARTITION BY district_id, school_year, period, education, credits ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -146,19 +146,19 @@ _ROOTS = """
 levels AS (SELECT * FROM (VALUES ('B', 1), ('M', 2), ('D', 3)) t(education, place)),
 combos AS (SELECT DISTINCT education, credits FROM cells),
 keys AS (SELECT DISTINCT district_id, school_year, period FROM cells),
-reals AS (SELECT l.*, place FROM lanes l JOIN levels USING (education)),
-gaps AS (SELECT k.*, c.education, c.credits, v.place FROM keys k, combos c JOIN levels v USING (education) ANTI JOIN lanes l ON l.district_id = k.district_id AND l.school_year = k.school_year AND l.period = k.period AND l.education = c.education AND l.credits = c.credits),
+reals AS MATERIALIZED (SELECT l.*, place FROM lanes l JOIN levels USING (education)),
+gaps AS MATERIALIZED (SELECT k.*, c.education, c.credits, v.place FROM keys k, combos c JOIN levels v USING (education) ANTI JOIN lanes l ON l.district_id = k.district_id AND l.school_year = k.school_year AND l.period = k.period AND l.education = c.education AND l.credits = c.credits),
 same AS (SELECT g.*, r.education AS root_e, r.credits AS root_c, row_number() OVER (PARTITION BY g.district_id, g.school_year, g.period, g.education, g.credits ORDER BY r.credits < g.credits DESC, CASE WHEN r.credits < g.credits THEN -r.credits ELSE r.credits END) AS n
   FROM gaps g JOIN reals r ON g.district_id = r.district_id AND g.school_year = r.school_year AND g.period = r.period AND g.education = r.education),
-b AS (SELECT district_id, school_year, period, education, credits, place, root_e, root_c, 1 AS filled FROM same WHERE n = 1
+b AS MATERIALIZED (SELECT district_id, school_year, period, education, credits, place, root_e, root_c, 1 AS filled FROM same WHERE n = 1
   UNION ALL SELECT district_id, school_year, period, education, credits, place, education, credits, 0 FROM reals),
 m_root AS (SELECT district_id, school_year, period, root_e, root_c FROM (SELECT *, row_number() OVER (PARTITION BY district_id, school_year, period ORDER BY credits DESC, filled, place) AS n FROM b WHERE place < 2) WHERE n = 1),
 m AS (SELECT g.district_id, g.school_year, g.period, g.education, g.credits, g.place, r.root_e, r.root_c, 1 AS filled FROM gaps g JOIN m_root r USING (district_id, school_year, period)
-  WHERE g.education = 'M' AND NOT EXISTS (SELECT 1 FROM reals x WHERE x.district_id = g.district_id AND x.school_year = g.school_year AND x.period = g.period AND x.education = 'M')),
-bm AS (SELECT * FROM b UNION ALL SELECT * FROM m),
+  ANTI JOIN (SELECT DISTINCT district_id, school_year, period FROM reals WHERE education = 'M') x ON x.district_id = g.district_id AND x.school_year = g.school_year AND x.period = g.period WHERE g.education = 'M'),
+bm AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT * FROM m),
 d_root AS (SELECT district_id, school_year, period, root_e, root_c FROM (SELECT *, row_number() OVER (PARTITION BY district_id, school_year, period ORDER BY credits DESC, filled, place) AS n FROM bm WHERE place < 3) WHERE n = 1),
 d AS (SELECT g.district_id, g.school_year, g.period, g.education, g.credits, g.place, r.root_e, r.root_c, 1 AS filled FROM gaps g JOIN d_root r USING (district_id, school_year, period)
-  WHERE g.education = 'D' AND NOT EXISTS (SELECT 1 FROM reals x WHERE x.district_id = g.district_id AND x.school_year = g.school_year AND x.period = g.period AND x.education = 'D')),
+  ANTI JOIN (SELECT DISTINCT district_id, school_year, period FROM reals WHERE education = 'D') x ON x.district_id = g.district_id AND x.school_year = g.school_year AND x.period = g.period WHERE g.education = 'D'),
 filled AS (SELECT f.district_id, f.school_year, f.period, f.education, f.credits, down.step, down.value, f.root_e, f.root_c, down.root_step FROM (SELECT * FROM bm UNION ALL SELECT * FROM d) f
   JOIN down ON down.district_id = f.district_id AND down.school_year = f.school_year AND down.period = f.period AND down.education = f.root_e AND down.credits = f.root_c WHERE f.filled = 1)"""
 _SHOW = "SELECT district_id, school_year, period, education, credits, step, CAST(value AS DOUBLE) AS salary, {e} AS root_education, {c} AS root_credits, CAST(root_step AS INTEGER) AS root_step FROM {source}"
@@ -265,7 +265,7 @@ def lane_options(spark, sf_dir):
     return grid.lane_options(fixtures.cells(spark, sf_dir)).withColumn("credits", joined("credits"))
 
 
-_LANES = [f"{e}+{c}" for e in "BMD" for c in (0, 15, 30)]
+_LANES = [f"{e}+{c}" for e in "BMD" for c in range(0, 45, 5)]
 
 
 @query(f"WITH {CELLS} SELECT district_id, school_year, period, step, " + ", ".join(f"CAST(max(salary) FILTER (education || '+' || credits = '{x}') AS DOUBLE) AS \"{x}\"" for x in _LANES) + " FROM cells GROUP BY ALL")
@@ -274,7 +274,7 @@ def grid_pivot(spark, sf_dir):
     return out.select("district_id", "school_year", "period", "step", *[F.col(f"`{x}`").cast("double").alias(x) for x in _LANES])
 
 
-@query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells WHERE credits IN (0, 15, 30)")
+@query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells")
 def grid_unpivot(spark, sf_dir):
     return grid.unpivot_grid(grid.pivot_grid(fixtures.cells(spark, sf_dir), _LANES), _LANES).withColumn("salary", money())
 
@@ -619,11 +619,22 @@ def schedules_to_add(spark, sf_dir):
     return grid.new_schedules(wanted, fixtures.cells(spark, sf_dir))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'number' WHEN 2 THEN '' WHEN 3 THEN 'high' ELSE 'number' END AS errors FROM part")
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || '.5' WHEN 1 THEN p_partkey || '.' || lpad(CAST(p_size AS VARCHAR), 3, '0') WHEN 2 THEN (p_size * 1000) || '.25' WHEN 3 THEN CAST(p_size * 20000 AS VARCHAR) WHEN 4 THEN '$' || p_size ELSE '' END AS x FROM part),
+e AS (SELECT p_partkey, NOT regexp_full_match(x, '\d+(\.\d{1,2})?') AS bad, TRY_CAST(x AS DECIMAL(14, 2)) AS v FROM t)
+SELECT p_partkey, concat_ws(',', CASE WHEN bad THEN 'number' END, CASE WHEN v < 1000 THEN 'low' END, CASE WHEN v > 500000 THEN 'high' END) AS errors FROM e""")
 def edit_checks(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    text = F.when(k == 0, "999.5").when(k == 1, "12.345").when(k == 2, "50000.25").when(k == 3, "600000").otherwise("abc")
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", F.filter(checks.edit_errors(text), lambda e: ~((k == 1) & (e != "number")))).alias("errors"))
+    """Edited texts made of two columns: too low, with three decimals, in range, too high, no number, empty."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(size, F.lit(".5"))).when(k == 1, F.concat(F.col("p_partkey").cast("string"), F.lit("."), F.lpad(size, 3, "0"))).when(k == 2, F.concat((F.col("p_size") * 1000).cast("string"), F.lit(".25"))).when(k == 3, (F.col("p_size") * 20000).cast("string")).when(k == 4, F.concat(F.lit("$"), size)).otherwise("")
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", checks.edit_errors(text)).alias("errors"))
+
+
+@query(r"""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name WHEN 2 THEN ' DISTRICT%23' || c_nationkey || '-' || c_custkey WHEN 3 THEN c_mktsegment || ' ' || c_nationkey WHEN 4 THEN repeat(c_mktsegment, c_nationkey) ELSE ' ' END AS x FROM customer)
+SELECT c_custkey, concat_ws(',', CASE WHEN trim(x) = '' THEN 'id_missing' END, CASE WHEN length(trim(x)) > 100 THEN 'id_long' END, CASE WHEN trim(x) <> '' AND NOT regexp_full_match(trim(x), '([A-Z]+(#|%23))?[A-Za-z0-9\-]+') THEN 'id' END) AS errors FROM t""")
+def id_checks(spark, sf_dir):
+    k, c = F.col("c_custkey") % 6, F.col
+    text = F.when(k == 0, F.upper("c_name")).when(k == 1, c("c_name")).when(k == 2, F.concat(F.lit(" DISTRICT%23"), c("c_nationkey").cast("string"), F.lit("-"), c("c_custkey").cast("string"))).when(k == 3, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).when(k == 4, F.repeat("c_mktsegment", c("c_nationkey").cast("int"))).otherwise(" ")
+    return read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(",", checks.id_errors(text)).alias("errors"))
 
 
 @query("WITH r AS (SELECT l_suppkey AS doc_id, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem) SELECT doc_id, l_orderkey, l_linenumber, l_partkey FROM r WHERE n <= 3")

@@ -221,3 +221,47 @@ def test_names_of_any_length(spark):
     names = spark.createDataFrame([("hills",), ("the xy town",), ("a",), ("q",), ("",), (None,), ("AB",)], "name string")
     got = {r.name: (r.district_id, r.match) for r in records.match_names(names, have).collect()}
     assert got["hills"] == (2, "partial") and got["the xy town"] == (3, "partial") and got["a"] == (1, "partial") and got["AB"] == (1, "exact") and got["q"] == (None, "none")
+
+
+def test_years_by_what_stands_around_them(spark):
+    """Texts with every rule, and with what looks like one but isn't."""
+    cases = {
+        "2024-2025": ("2024-2025", "2024-2025"),
+        "July 1, 2024 - June 30, 2025": ("2024-2025", "2025-2026"),
+        "2024 , — about 2025": ("2024-2025", "2025-2026"),
+        "2024 - a long way off from here 2025": ("2025-2026", "2025-2026"),
+        "2023-2025 and 2024-2025": ("2025-2026", "2023-2025"),
+        "Effective\n July 1 2027 or FY30": ("2027-2028", "2027-2028"),
+        "EFFECTIVE march 31, 1999; 2020": ("1999-2000", "1999-2000"),
+        "effective 2019, July 2018": ("2018-2019", "2018-2019"),
+        "(July 2024)": ("2024-2025", "2024-2025"),
+        "July, 2024 then 2021": ("2024-2025", "2024-2025"),
+        "FY 2026": ("2025-2026", "2026-2027"),
+        "fy26": ("2025-2026", None),
+        "FY 9": ("unknown", None),
+        "x2021y 2022": ("2022-2023", "2022-2023"),
+        "12 of 345": ("2012-2013", None),
+        "1066 - 1492": ("unknown", "1066-1492"),
+        "": ("unknown", None),
+        None: ("unknown", None),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").select("text", scalars.school_year(F.col("text")).alias("year"), scalars.school_year_or_null(F.col("text")).alias("older"))
+    assert {r.text: (r.year, r.older) for r in rows.collect()} == cases
+    effect = spark.createDataFrame([(t,) for t in ("Effective July 1, 2020", "effective september 30 2021", "Effective August 1, 2020", "July 1, 2020")], "text string").select(scalars.effective_year(F.col("text")).alias("y"))
+    assert [r.y for r in effect.collect()] == ["2020-2021", "2021-2022", None, None]
+
+
+def test_custom_filter_without_towns_is_inactive(spark):
+    rows = spark.createDataFrame([(1, "charter", ["A "]), (2, "charter", ["b"]), (3, "municipal", ["A"])], "district_id long, district_type string, towns array<string>")
+    towns = lambda *names: spark.createDataFrame([(n,) for n in names], "town string")
+    ids = lambda d: sorted(r.district_id for r in d.collect())
+    assert ids(districts.custom_filter(rows, ["charter"], None, towns())) == ids(districts.custom_filter(rows, ["charter"], None, [])) == [1, 2]
+    assert ids(districts.custom_filter(rows, ["charter"], [2], towns())) == [2]
+    assert ids(districts.custom_filter(rows, None, None, towns("a"))) == [1, 3] and ids(districts.custom_filter(rows, None, [2], towns("a"))) == [1, 2, 3]
+
+
+def test_import_beside_two_districts_of_one_name(spark):
+    old = spark.createDataFrame([(9, "Ashby "), (4, "ASHBY"), (5, "Berlin")], "district_id long, name string")
+    new = spark.createDataFrame([("ashby", 1), ("Ashby", 2), ("Canton", 3), (" ", 4)], "name string, pos long")
+    got = sorted((r.pos, r.existing_id, r.status) for r in records.import_districts(old, new).collect())
+    assert got == [(1, 4, "updated"), (2, 4, "duplicate"), (3, None, "created")]
