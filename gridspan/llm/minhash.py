@@ -396,7 +396,7 @@ def links_of(members: list[Member], bucket: int, blocks: tuple[int, int], least:
 def with_partners(named: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``named`` that some other of their bucket and band can be near to: of another class, and long or short enough.
 
-    Pairs of two ``upper`` texts belong to the next band.
+    Pairs of two ``upper`` texts belong to the next band. ``blocks`` is how many blocks the bucket is dealt in.
     """
     bucket = Window.partitionBy("key", "band")
     of = lambda f, c, upper: f(F.when(F.col("upper") == F.lit(upper), F.col(c))).over(bucket)
@@ -405,30 +405,29 @@ def with_partners(named: DataFrame, least: float = SIMILARITY) -> DataFrame:
     fits = F.lit(least - 1e-9)
     low = differs("low") | (differs("up") & (F.col("size") >= fits * F.col("min_size_up")))
     up = differs("low") & (F.col("max_size_low") >= fits * F.col("size"))
-    return named.withColumns(ends).filter(F.when(F.col("upper"), up).otherwise(low)).select(*named.columns)
+    size, n = F.sum(F.col("size").cast("long") * 8).over(bucket), F.count(F.lit(1)).over(bucket)
+    blocks = F.greatest(F.ceil(size / F.lit(BLOCK_BYTES)), F.ceil(n / F.lit(BLOCK_TEXTS))).cast("int")
+    return named.withColumns({**ends, "blocks": blocks}).filter(F.when(F.col("upper"), up).otherwise(low)).select(*named.columns, "blocks")
 
 
 def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a, b``: links between texts of different classes that share a bucket and a band.
 
-    Of buckets with the same texts one is looked at. A bucket's texts are dealt out in blocks of
-    about BLOCK_BYTES and BLOCK_TEXTS; a task compares two blocks.
+    A bucket's texts are dealt out in blocks of about BLOCK_BYTES and BLOCK_TEXTS; a task
+    compares two blocks. A text is fetched once, with the list of its buckets, whose number the
+    sketches bound, and only then copied to them.
     """
     spark = members.sparkSession
     place = scratch(spark, "open")
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    with_partners(labelled, least).select(F.xxhash64("key", "band").alias("bucket"), "upper", "node", "size", "label").write.parquet(f"{place}/named")
-    named = spark.read.schema("bucket long, upper boolean, node long, size int, label long").parquet(f"{place}/named")
-    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("s"), F.bit_xor(F.xxhash64("node", "upper")).alias("x"))
-    groups = named.groupBy("bucket").agg(mark.alias("mark"), F.sum(F.col("size").cast("long") * 8).alias("bytes"), F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES)), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS))).cast("int")
-    some = groups.groupBy("mark").agg(F.min(F.struct("bucket", "n", "bytes")).alias("g")).select("g.*").select("bucket", blocks.alias("blocks"))
-    named.join(some, "bucket").select("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "upper", "node", "label").write.parquet(f"{place}/dealt")
-    dealt = spark.read.schema("bucket long, blocks int, block int, upper boolean, node long, label long").parquet(f"{place}/dealt")
-    of_band = lambda upper: F.collect_set(F.when(F.col("upper") == F.lit(upper), F.col("bucket")))
-    in_buckets = dealt.groupBy("node").agg(of_band(False).alias("own"), of_band(True).alias("above")).join(texts, "node")
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    with_partners(labelled, least).select(F.xxhash64("key", "band").alias("bucket"), "blocks", block.alias("block"), "upper", "node", "label").write.parquet(place)
+    dealt = spark.read.schema("bucket long, blocks int, block int, upper boolean, node long, label long").parquet(place)
+    of_band = lambda upper: F.transform(F.filter("places", lambda p: p["upper"] == F.lit(upper)), lambda p: p["bucket"])
+    by_text = dealt.groupBy("node", "label").agg(F.collect_list(F.struct("bucket", "blocks", "block", "upper")).alias("places")).join(texts, "node")
+    each = by_text.select("node", "label", of_band(False).alias("own"), of_band(True).alias("above"), "text", F.explode("places").alias("p")).select("p.*", "node", "label", "own", "above", "text")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    parts = dealt.hint("merge").join(in_buckets, "node").select("bucket", F.explode(others).alias("at"), "node", "label", "block", "upper", "own", "above", "text").select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "own", "above", "text")
+    parts = each.withColumn("at", F.explode(others)).select("bucket", "at.i", "at.j", "node", "label", "block", "upper", "own", "above", "text")
 
     def run(batches):
         own, rows = None, []
