@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import COMPARED_TYPES, EDUCATION_ORDER
 from .cells import education_order
+from .quantiles import exact_medians
 from .ranking import numbered
 
 
@@ -86,8 +87,11 @@ def spread_of(ranked: DataFrame) -> DataFrame:
 
 
 def statistics(cells: DataFrame, *by: str) -> DataFrame:
-    """Least, greatest, mean and median salary of each group."""
-    return cells.groupBy(*by).agg(F.min("salary").alias("min_salary"), F.max("salary").alias("max_salary"), F.avg(F.col("salary").cast("double")).alias("avg_salary"), F.median(F.col("salary").cast("double")).alias("median_salary"), F.count(F.lit(1)).alias("n"))
+    """Least, greatest, mean and median salary of each group, which may be of any size."""
+    plain = cells.groupBy(*by).agg(F.min("salary").alias("min_salary"), F.max("salary").alias("max_salary"), F.avg(F.col("salary").cast("double")).alias("avg_salary"), F.count(F.lit(1)).alias("n"))
+    medians = exact_medians(cells, list(by), "salary").select(*[F.col(c).alias(f"__{c}") for c in by], F.col("median").alias("median_salary"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return plain.join(medians, same, "left").select(*by, "min_salary", "max_salary", "avg_salary", "median_salary", "n")
 
 
 def top(cells: DataFrame, k: int) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, lanes, scalars
 from ..operators import cells as grid
-from ..operators import compare, coverage, districts, fill, parsing, ranking, records, tables
-from ..streaming import jobs, state, windows
+from ..operators import compare, coverage, districts, fill, paging, parsing, quantiles, ranking, records, tables
+from ..streaming import jobs, metadata, state, windows
+from ..session import scratch
 from . import apply, fixtures
 from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
 
@@ -260,6 +261,34 @@ def availability(spark, sf_dir):
     return grid.availability(fixtures.cells(spark, sf_dir)).select("school_year", "period", "district_id", F.explode("lanes").alias("combo", "max_step"))
 
 
+_KEPT = f"WITH {CELLS}, kept AS (SELECT * FROM cells WHERE district_id % 5 <> 3 AND (district_id % 2 = 0 OR education <> 'D')), facts AS (SELECT school_year, period, district_id, education || '+' || credits AS combo, max(step) AS max_step FROM kept GROUP BY ALL)"
+
+
+def _kept_up(spark, sf_dir):
+    """A first load and three changes: other cells for every second district, back to the first for some, every fifth removed; the second comes twice."""
+    root, cells = scratch(spark, "metadata"), fixtures.cells(spark, sf_dir)
+    odd = cells.filter("district_id % 2 = 1")
+    changes = [metadata.changes_of(cells, 0), metadata.changes_of(odd.filter("education = 'B'"), 1), metadata.changes_of(odd.filter("education <> 'D'"), 2), metadata.removals_of(cells.filter("district_id % 5 = 3").select("district_id").distinct(), 3)]
+    for version in (0, 1, 1, 2, 3):
+        metadata.apply_changes(changes[version], version, root)
+    return root
+
+
+@query(f"{_KEPT} SELECT * FROM facts")
+def availability_kept_up(spark, sf_dir):
+    return metadata.availability_now(spark, _kept_up(spark, sf_dir))
+
+
+@query(f"{_KEPT} SELECT school_year, period, count(DISTINCT district_id) AS n_districts FROM facts GROUP BY ALL")
+def catalogue_kept_up(spark, sf_dir):
+    return metadata.catalogue_now(spark, _kept_up(spark, sf_dir))
+
+
+@query(f"{_KEPT} SELECT max(max_step) AS max_step, array_to_string(list_sort(list(DISTINCT combo)), ',') AS combos FROM facts")
+def maxima_kept_up(spark, sf_dir):
+    return metadata.maxima_now(spark, _kept_up(spark, sf_dir)).withColumn("combos", joined("combos"))
+
+
 @query(f"WITH {CELLS} SELECT education, array_to_string(list_sort(list(DISTINCT credits)), ',') AS credits FROM cells GROUP BY 1")
 def lane_options(spark, sf_dir):
     return grid.lane_options(fixtures.cells(spark, sf_dir)).withColumn("credits", joined("credits"))
@@ -319,6 +348,26 @@ def list_page(spark, sf_dir):
     return districts.page(districts.listed(fixtures.districts(spark, sf_dir)), 5, 10).select("district_id", "name", "total")
 
 
+@query(f"WITH {DISTRICTS} SELECT district_id, name, district_type FROM districts ORDER BY district_type DESC, lower(name), district_id LIMIT 3 OFFSET 6")
+def page_by_key(spark, sf_dir):
+    """The third page, reached by the tokens of the first two."""
+    rows, token = fixtures.districts(spark, sf_dir).withColumn("folded", F.lower("name")), None
+    keys = [paging.Key("district_type", falls=True), paging.Key("folded"), paging.Key("district_id")]
+    for _ in range(2):
+        _, token = paging.page_and_token(rows, keys, 3, token)
+    return paging.page(rows, keys, 3, token).select("district_id", "name", "district_type")
+
+
+@query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells WHERE district_id = 7 ORDER BY school_year, period, education, credits, step LIMIT 50 OFFSET 100")
+def schedule_page(spark, sf_dir):
+    """A district's cells, a page of 50 at a time: the third."""
+    rows, token = grid.schedule_of(fixtures.cells(spark, sf_dir), 7), None
+    keys = [paging.Key(c) for c in ("school_year", "period", "education", "credits", "step")]
+    for _ in range(2):
+        _, token = paging.page_and_token(rows, keys, 50, token)
+    return paging.page(rows, keys, 50, token).withColumn("salary", money())
+
+
 @query(f"WITH {DISTRICTS} SELECT district_id, name, district_type, CAST(CASE district_type WHEN 'municipal' THEN 1 WHEN 'regional_academic' THEN 2 WHEN 'regional_vocational' THEN 3 WHEN 'county_agricultural' THEN 4 WHEN 'charter' THEN 5 ELSE 99 END AS INTEGER) AS place FROM districts")
 def sort_type_name(spark, sf_dir):
     return districts.by_type_and_name(fixtures.districts(spark, sf_dir)).select("district_id", "name", "district_type", "place")
@@ -565,6 +614,15 @@ def heat_stats_median(spark, sf_dir):
     return out.select("education", "credits", "step", money("min_salary"), money("max_salary"), F.round(F.col("avg_salary") * F.col("n") * 100).cast("long").alias("total_cents"), F.round(F.col("median_salary") * 200).cast("long").alias("median_half_cents"), "n")
 
 
+@query(f"WITH {CELLS} SELECT education, count(*) AS n, true AS near FROM cells GROUP BY 1")
+def heat_stats_sketch(spark, sf_dir):
+    """Medians by education, merged from sketches by year: whether the rank of what they give is within the stated error."""
+    cells = fixtures.cells(spark, sf_dir)
+    medians = quantiles.merged_medians(quantiles.median_sketches(cells, ["education", "school_year"], "salary"), ["education"])
+    below = cells.join(F.broadcast(medians), "education").groupBy("education").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("salary").cast("double") < F.col("median")).alias("less"), F.count_if(F.col("salary").cast("double") <= F.col("median")).alias("upto"))
+    return below.select("education", "n", ((F.col("less") <= (0.5 + quantiles.RANK_ERROR) * F.col("n")) & (F.col("upto") >= (0.5 - quantiles.RANK_ERROR) * F.col("n"))).alias("near"))
+
+
 @query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells ORDER BY cells.salary DESC, school_year, district_id, period, education, credits, step LIMIT 25")
 def top_k(spark, sf_dir):
     return compare.top(fixtures.cells(spark, sf_dir), 25).withColumn("salary", money())
