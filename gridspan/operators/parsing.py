@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lanes import BARE, LABEL, LANES, NUMBERED, SIGNED, WRITTEN
@@ -190,3 +190,33 @@ def parse_each(docs: DataFrame, parser: Callable[[str], Iterator[tuple[str, int,
 def batch_results(parsed: DataFrame) -> DataFrame:
     """A row per document of a batch: ``doc_id, records, success, error``."""
     return parsed.groupBy("doc_id").agg(F.count("lane").alias("records"), F.max("error").alias("error")).select("doc_id", "records", (F.col("error").isNull() & (F.col("records") > 0)).alias("success"), "error")
+
+
+# -- in SQL -----------------------------------------------------------------------------------
+
+
+class _TableFunction:
+    """One text to its records, for a lateral join; a text that the parser fails on gives one row with ``error``, one without records none."""
+
+    parser: Callable[[str], Iterator[tuple[str, int, float]]]
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        pos = -1
+        try:
+            for pos, (lane, step, salary) in enumerate(type(self).parser(text)):
+                yield lane, step, salary, pos, None
+        except Exception as e:  # noqa: BLE001  the error is data: it belongs to this document only
+            yield None, None, None, pos + 1, f"{type(e).__name__}: {e}"
+
+
+def table_function(parser: Callable[[str], Iterator[tuple[str, int, float]]]):
+    """A parser as a table function of one text: ``lane, step, salary, pos, error``."""
+    made = type("Records", (_TableFunction,), {"parser": staticmethod(parser)})
+    return F.udtf(made, returnType="lane string, step int, salary double, pos int, error string")
+
+
+def register_functions(spark: SparkSession, **more: Callable[[str], Iterator[tuple[str, int, float]]]) -> None:
+    """``table_in_rows(text)``, ``table_in_columns(text)`` and ``pasted_grid(text)`` in SQL, and what else is named."""
+    importable(spark)
+    for name, parser in {"table_in_rows": rows_of, "table_in_columns": columns_of, "pasted_grid": grid_of, **more}.items():
+        spark.udtf.register(name, table_function(parser))
