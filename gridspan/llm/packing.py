@@ -20,8 +20,8 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and parts of chunks, whose ids a worker keeps.
 CACHED = 400_000
-#: The program is solved to this gap between its value and a dual bound, or in so many rounds, or until so many have brought no better value.
-GAP, ROUNDS, PATIENCE = 0.01, 30, 6
+#: The program is solved to this gap between its value and a dual bound, or in so many rounds, or until so many have brought neither a better value nor a better bound.
+GAP, ROUNDS, PATIENCE = 0.005, 40, 8
 #: Steps of the weights: for what a round leaves behind, and for what the best pattern with a length lacks; what patterns may lack.
 STEP, ASCENT, NEAR_BEST = 0.01, 0.5, 0.003
 #: How far a round covers lengths ahead, in rounds: as a rule, and where nothing else fills a pattern.
@@ -139,18 +139,35 @@ def _price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
 
 @dataclass
 class Cover:
-    """A solution of the configuration program: numbers of patterns that cover every count, their sum, and a bound on any such sum."""
+    """A solution of the configuration program: numbers of patterns that cover every count, their sum, and a bound on any such sum.
+
+    ``mean`` is the best cover that the rounds themselves came to, if there were any.
+    """
 
     patterns: dict[tuple[tuple[int, int], ...], float]
     value: float
     bound: float
     rounds: int
+    mean: dict[tuple[tuple[int, int], ...], float]
+
+
+def _key(pattern: dict[int, int]) -> tuple[tuple[int, int], ...]:
+    return tuple(sorted(pattern.items()))
+
+
+def first_cover(counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """The patterns that the program begins with: those of best fit, as often as it uses them."""
+    out: dict[tuple[tuple[int, int], ...], float] = {}
+    for pattern, n in best_fit(counts, capacity):
+        out[_key(pattern)] = out.get(_key(pattern), 0.0) + n
+    return out
 
 
 def fractional_cover(counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP, rounds: int = ROUNDS) -> Cover:
     """The configuration program by multiplicative weights: the fewest patterns, in fractions, that hold all counts.
 
-    Each length has a weight, at first its share of the capacity. A round prices all patterns
+    The program begins with the patterns of best fit, a cover whose value may be far from the
+    bound or at it. Each length has a weight, at first its share of the capacity. A round prices all patterns
     by one knapsack over the weights. The counts, divided by the best price, are a bound: no
     solution is less. Then the round covers every count once more, with patterns that hold a
     length not yet covered and are filled at nearly the best price, by the lengths least
@@ -158,21 +175,28 @@ def fractional_cover(counts: np.ndarray, capacity: int = CAPACITY, gap: float =
     the rounds, a cover itself, gets better. Weights are multiplied up for lengths that no
     round's patterns fill up by themselves, and for those whose best pattern is below the best
     price, which raises the bound. It ends when value and bound are within ``gap``, or
-    after ``rounds``, or PATIENCE of them without a better value; the solution says how far they are apart.
+    after ``rounds``, or PATIENCE of them without a better value or bound; the solution says how far they are apart.
     """
     lengths = np.flatnonzero(counts[: capacity + 1])
     lengths = lengths[lengths > 0]
     if not len(lengths):
-        return Cover({}, 0.0, 0.0, 0)
+        return Cover({}, 0.0, 0.0, 0, {})
     need = counts[lengths].astype(float)
     log, covered = np.zeros(len(lengths)), np.zeros(len(lengths))
     found: dict[tuple[tuple[int, int], ...], float] = {}
-    mass, bound, best_cover = 0.0, 0.0, Cover({}, np.inf, 0.0, 0)
+    start = first_cover(counts, capacity)
+    mass, bound, least, moved = 0.0, 0.0, np.inf, 0
+    best_cover = Cover(start, float(sum(start.values())), 0.0, 0, {})
     for t in range(1, rounds + 1):
         weight = lengths / capacity * np.exp(log)
         best = _price(lengths, weight, capacity)
         top = best[capacity]
-        bound = max(bound, float((need * weight).sum() / top))
+        now = float((need * weight).sum() / top)
+        if now > bound * 1.0001:
+            moved = t
+        bound = best_cover.bound = max(bound, now)
+        if best_cover.value <= (1 + gap) * bound:
+            break
         behind = covered.copy()
         for i in range(len(lengths) - 1, -1, -1):
             behind[i] = covered[i]
@@ -185,10 +209,12 @@ def fractional_cover(counts: np.ndarray, capacity: int = CAPACITY, gap: float =
                 for j, m in pattern.items():
                     covered[j] += m * much / need[j]
         value = mass / covered.min()
+        if value < least:
+            least, best_cover.rounds, moved = value, t, t
+            best_cover.mean = {p: x / covered.min() for p, x in found.items()}
         if value < best_cover.value:
-            best_cover = Cover({p: x / covered.min() for p, x in found.items()}, value, bound, t)
-        best_cover.bound = bound
-        if best_cover.value <= (1 + gap) * bound or t - best_cover.rounds >= PATIENCE:
+            best_cover.patterns, best_cover.value = best_cover.mean, value
+        if best_cover.value <= (1 + gap) * bound or t - moved >= PATIENCE:
             break
         log += STEP * np.clip(t - behind, -1, 1) + ASCENT * np.minimum((top - weight - best[capacity - lengths]) / weight, 1)
     return best_cover
@@ -273,14 +299,14 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY) -> Packing:
     """The program's solution in whole sequences, and what rounding leaves by best fit.
 
     Rounding loses where short pieces are spent on each other that long ones will need. So
-    several shares of the solution are taken, with all patterns and with those only that hold
-    a long piece; the fewest sequences win, and of equals those with most from the program.
-    Best fit alone is among them.
+    several shares of what the rounds came to are taken, with all patterns and with those only that hold
+    a long piece, beside the whole parts of the best cover; the fewest sequences win, and of equals those with most from the program.
     """
     cover = fractional_cover(counts, capacity)
     best: Packing | None = None
-    for share, up, least in [*((s, u, x) for s in (np.inf, 1.0, 0.5, 0.25) for u in (1.0, 0.5, 1e-6) for x in (1, capacity // 2)), (0.0, 1.0, 1)]:
-        out, left = rounded(cover.patterns, counts, share, up, least)
+    ways = [(s, u, x) for s in (1.0, np.inf, 0.5) for u in (1.0, 0.5) for x in (1, capacity // 2)]
+    for patterns, (share, up, least) in [(cover.patterns, ways[0]), *((cover.mean, way) for way in ways if cover.mean)]:
+        out, left = rounded(patterns, counts, share, up, least)
         own = sum(n for _, n in out)
         out += best_fit(left, capacity)
         total = sum(n for _, n in out)
@@ -315,16 +341,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             begun[length] = begun.get(length, 0) + n * m
             at += length * m
         first += n
-    slots = spark.createDataFrame(rows, "__length long, __from long, __n long, __m long, __first long, __at long")
-    # each length's slots as one array, in which a rank finds its own without a range join; patterns, and so slots, are bounded by lengths and rounds
-    by_length = slots.groupBy("__length").agg(F.sort_array(F.collect_list(F.struct("__from", "__n", "__m", "__first", "__at"))).alias("__slots"))
+    # each length's slots, dealt by ranks into as many cells as there are slots, so that a rank looks at those of its cell only; patterns, and so slots, are bounded by lengths and rounds
+    by_length = spark.createDataFrame(slot_cells(rows), "__length long, __step long, __cells array<array<struct<__from:long,__n:long,__m:long,__first:long,__at:long>>>")
     within = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = bucketed.withColumn("__rank", F.row_number().over(within) - 1).join(sizes, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("before"))
-    found = ranked.join(F.broadcast(by_length), F.col("length") == F.col("__length")).withColumn("__slot", F.filter("__slots", lambda s: (s["__from"] <= F.col("__rank")) & (F.col("__rank") < s["__from"] + s["__n"]))[0])
+    found = ranked.join(F.broadcast(by_length), F.col("length") == F.col("__length")).withColumn("__slot", F.filter(F.get("__cells", F.floor(F.col("__rank") / F.col("__step")).cast("int")), lambda s: (s["__from"] <= F.col("__rank")) & (F.col("__rank") < s["__from"] + s["__n"]))[0])
     place = F.col("__rank") - F.col("__slot.__from")
     return found.select(*[F.col(c) for c in pieces.columns], (F.col("__slot.__first") + F.floor(place / F.col("__slot.__m"))).cast("long").alias("sequence_id"), (F.col("__slot.__at") + F.pmod(place, F.col("__slot.__m")) * F.col("length")).cast("long").alias("offset"))
 
 
+def slot_cells(rows: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, list[list[tuple]]]]:
+    """``(length, step, cells)`` from slots ``(length, from, n, m, first, at)``: cell k has the slots with a rank from k * step to before (k + 1) * step."""
+    by_length: dict[int, list[tuple]] = {}
+    for length, *slot in rows:
+        by_length.setdefault(length, []).append(tuple(slot))
+    out = []
+    for length, slots in by_length.items():
+        ranks = max(begin + n for begin, n, *_ in slots)
+        step = -(-ranks // len(slots))
+        cells: list[list[tuple]] = [[] for _ in range(-(-ranks // step))]
+        for slot in slots:
+            for k in range(slot[0] // step, (slot[0] + slot[1] - 1) // step + 1):
+                cells[k].append(slot)
+        out.append((length, step, cells))
+    return out
+
+
 def _buckets(pieces: DataFrame) -> int:
     """Hash buckets for ranks: as many as the shuffle has partitions, BUCKETS at least."""
     return max(BUCKETS, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -438,10 +438,17 @@ def check_solution(counts, capacity=2048):
     return found
 
 
-@pytest.mark.parametrize("least, most, n, gap", [(1, 1500, 20_000, 0.015), (700, 1400, 20_000, 0.01), (30, 2048, 3_000, 0.011)])
-def test_program_is_solved(least, most, n, gap):
-    """The fractional solution covers all counts; its value lies within the gap of its dual bound."""
-    counts = histogram(np.random.default_rng(3).integers(least, most, n))
+def lengths_of(kind):
+    rng = np.random.default_rng(3)
+    if kind == "log-normal":
+        return np.clip(rng.lognormal(6, 1, 60_000).astype(int), 1, 2048)
+    return rng.integers(*kind)
+
+
+@pytest.mark.parametrize("kind, gap", [("log-normal", 0.005), ((1, 1500, 20_000), 0.005), ((700, 1400, 20_000), 0.007), ((30, 2048, 3_000), 0.02), ((400, 1200, 20_000), 0.025)])
+def test_program_is_solved(kind, gap):
+    """The fractional solution covers all counts; its value lies within the gap of its dual bound, and most sequences are the program's."""
+    counts = histogram(lengths_of(kind))
     cover = packing.fractional_cover(counts)
     held = np.zeros(2049)
     for pattern, x in cover.patterns.items():
@@ -454,6 +461,19 @@ def test_program_is_solved(least, most, n, gap):
     assert sum(cover.patterns.values()) == pytest.approx(cover.value)
     found = check_solution(counts)
     assert cover.bound - 1e-6 <= found.sequences <= sum(n for _, n in packing.best_fit(counts))
+    assert found.from_program > 0.5 * found.sequences
+
+
+def test_slots_in_cells():
+    """Every rank finds its one slot in its cell, and cells are short."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        sizes = rng.integers(1, 40, rng.integers(1, 30)).tolist()
+        rows = [(7, sum(sizes[:k]), n, 1, k, 0) for k, n in enumerate(sizes)]
+        ((length, step, cells),) = packing.slot_cells(rows)
+        assert length == 7 and sum(map(len, cells)) <= 3 * len(sizes)
+        for rank in range(sum(sizes)):
+            assert [s[3] for s in cells[rank // step] if s[0] <= rank < s[0] + s[1]] == [next(k for k in range(len(sizes)) if rank < sum(sizes[: k + 1]))]
 
 
 def test_program_beats_best_fit():
