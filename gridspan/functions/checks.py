@@ -51,6 +51,11 @@ def record_errors() -> Column:
     )
 
 
+def known_education(education: Column) -> Column:
+    """The education itself; a row of any other than B, M and D, or of none, fails the job that loads it."""
+    return F.when(education.isin("B", "M", "D"), education).otherwise(F.raise_error(F.concat(F.lit("no such education: "), F.coalesce(education, F.lit("none")))))
+
+
 def edit_errors(text: Column) -> Column:
     """The rules for an edited cell: a number with two decimals at most, in range."""
     value = text.try_cast("decimal(14,2)")

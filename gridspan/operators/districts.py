@@ -138,3 +138,10 @@ def tooltip(towns: DataFrame, districts: DataFrame, shown: int = 5) -> DataFrame
 def match_count(rows: DataFrame, types: list[str] | None = None, ids: list | None = None, towns: list[str] | None = None) -> DataFrame:
     """How many districts a custom filter leaves."""
     return custom_filter(rows, types, ids, towns).agg(F.count_distinct("district_id").alias("n"))
+
+
+def described(rows: DataFrame, districts: DataFrame) -> DataFrame:
+    """``rows`` with their district's type, contract and towns: ``unknown``, null and none where there is no such district, or it lacks them."""
+    held = set(rows.columns)
+    plain = rows.drop(*[c for c in ("district_type", "contract_pdf", "towns") if c in held])
+    return plain.join(districts.select("district_id", "district_type", "contract_pdf", "towns"), "district_id", "left").withColumns({"district_type": F.coalesce("district_type", F.lit("unknown")), "towns": F.coalesce("towns", F.array().cast("array<string>"))})

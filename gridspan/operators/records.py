@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CELL_KEY
 from .cells import lane_key
+from .ranking import numbered
 
 
 def first_of_key(records: DataFrame, keys: list[str] | None = None, position: str = "pos") -> DataFrame:
@@ -51,6 +52,22 @@ def without(records: DataFrame, steps: list[int] | None = None, lanes: list[str]
     return out.filter(~short.isin(*lanes) & ~lane_key().isin(*lanes)) if lanes else out
 
 
+def load_batches(records: DataFrame, errors: Column, *order: Column | str, size: int = 25) -> DataFrame:
+    """``batch, n, written, failed, codes`` of a load in batches of ``size``: a batch with a faulty record fails as a whole.
+
+    ``errors`` are a record's error codes. Batches follow ``order``, which should leave no
+    ties; records are numbered by ranges of it, and a batch is a number of records at most ``size``.
+    """
+    placed = numbered(records.withColumn("__errors", errors), *order, name="__place", kind="long")
+    batches = placed.groupBy(F.floor((F.col("__place") - 1) / size).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__errors")))).alias("codes"))
+    bad = F.size("codes") > 0
+    return batches.select("batch", "n", F.when(bad, 0).otherwise(F.col("n")).cast("long").alias("written"), F.when(bad, F.col("n")).otherwise(0).cast("long").alias("failed"), "codes")
+
+
+def load_totals(batches: DataFrame) -> DataFrame:
+    return batches.agg(F.sum("written").alias("written"), F.sum("failed").alias("failed"), F.count_if(F.col("failed") > 0).alias("failed_batches"))
+
+
 def preview(records: DataFrame, n: int, by: str | None = None) -> DataFrame:
     """The first n records, or the first n of each group."""
     if by is None:

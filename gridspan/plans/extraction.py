@@ -228,3 +228,44 @@ def job_delete(spark, sf_dir):
     gone = ids.filter("job_id % 3 = 0").unionByName(spark.createDataFrame([(-1,)], "job_id long").select(F.col("job_id").cast(dict(ids.dtypes)["job_id"])))
     after, files = jobs.delete_jobs(events, gone, ids.select("job_id", F.concat(F.lit("jobs/"), F.col("job_id").cast("string"), F.lit(".pdf")).alias("path")))
     return jobs.latest(after).join(files, "job_id", "left").select("job_id", "status", F.col("path").alias("removed"))
+
+
+# -- loads and results ------------------------------------------------------------------------
+
+_FAULTS = "CASE WHEN l_quantity = 50 AND l_returnflag = 'A' THEN 'education' END, CASE WHEN l_discount = 0.1 AND l_quantity > 45 THEN 'salary' END"
+
+
+@query(f"""WITH r AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) // 25 AS batch, list_filter([{_FAULTS}], lambda x: x IS NOT NULL) AS e FROM lineitem),
+b AS (SELECT batch, count(*) AS n, array_to_string(list_sort(list_distinct(flatten(list(e)))), ',') AS codes FROM r GROUP BY 1)
+SELECT batch, n, CASE WHEN codes = '' THEN n ELSE 0 END AS written, CASE WHEN codes <> '' THEN n ELSE 0 END AS failed, codes FROM b""")
+def load_in_batches(spark, sf_dir):
+    """Records of all lines, written 25 at a time; some have an education or a salary that they can't have."""
+    line = read(spark, sf_dir, "lineitem")
+    faulty = F.when((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "A"), "X").otherwise("M")
+    salary = F.when((F.col("l_discount") == 0.1) & (F.col("l_quantity") > 45), F.lit(0.0)).otherwise(F.col("l_extendedprice").cast("double"))
+    rows = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit("2020-2021").alias("school_year"), F.lit("Full Year").alias("period"), faulty.alias("education"), F.lit(0).alias("credits"), F.lit(1).alias("step"), salary.alias("salary"))
+    return records.load_batches(rows, checks.record_errors(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").withColumn("codes", F.concat_ws(",", "codes"))
+
+
+@query(f"WITH {CELLS}, {DISTRICTS}, r AS (SELECT district_id + 1 AS district_id, max(salary) AS salary FROM cells GROUP BY 1) SELECT r.district_id, CAST(salary AS DOUBLE) AS salary, coalesce(district_type, 'unknown') AS district_type, CASE WHEN r.district_id % 3 = 0 AND name IS NOT NULL THEN 'contracts/' || name || '.pdf' END AS contract_pdf, coalesce(array_to_string(towns, ','), '') AS towns FROM r LEFT JOIN districts USING (district_id)")
+def described_results(spark, sf_dir):
+    """Results with type, contract and towns; the last is of no known district."""
+    rows = fixtures.cells(spark, sf_dir).groupBy((F.col("district_id") + 1).alias("district_id")).agg(F.max("salary").cast("double").alias("salary"))
+    dim = fixtures.districts(spark, sf_dir).withColumn("contract_pdf", F.when(F.col("district_id") % 3 == 0, F.concat(F.lit("contracts/"), "name", F.lit(".pdf"))))
+    return districts.described(rows, dim).withColumn("towns", F.concat_ws(",", "towns"))
+
+
+@query(f"WITH {CELLS}, o AS (SELECT education, list_sort(list(DISTINCT credits)) AS c FROM cells WHERE credits % 10 = 5 GROUP BY 1), w AS (SELECT c_custkey, c_custkey % 50 AS wanted, CASE c_nationkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'M' WHEN 2 THEN 'D' ELSE 'X' END AS education FROM customer) SELECT c_custkey, education, CAST(CASE WHEN c IS NULL OR list_contains(c, wanted) THEN wanted ELSE c[1] END AS INTEGER) AS credits FROM w LEFT JOIN o USING (education)")
+def picked_credits(spark, sf_dir):
+    """What a comparison falls back to when its education doesn't have the credits that were chosen."""
+    options = grid.lane_options(fixtures.cells(spark, sf_dir).filter("credits % 10 = 5")).withColumnRenamed("credits", "options")
+    k = F.col("c_nationkey") % 4
+    wanted = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50).cast("int").alias("wanted"), F.when(k == 0, "B").when(k == 1, "M").when(k == 2, "D").otherwise("X").alias("education"))
+    return wanted.join(options, "education", "left").select("c_custkey", "education", scalars.pick_credits(F.col("wanted"), F.coalesce("options", F.array().cast("array<int>"))).cast("int").alias("credits"))
+
+
+@query(f"WITH {JOB_EVENTS}, s AS (SELECT job_id, arg_max(status, seq) AS status FROM job_events GROUP BY 1) SELECT job_id, status, status NOT IN ('completed', 'failed') AS running FROM s")
+def job_status(spark, sf_dir):
+    """The state of every job, found as a single one is: running ones first, then archived ones."""
+    events = fixtures.job_events(spark, sf_dir)
+    return jobs.running(events).withColumn("running", F.lit(True)).unionByName(jobs.archived(events).withColumn("running", F.lit(False))).select("job_id", "status", "running")

@@ -265,3 +265,50 @@ def test_import_beside_two_districts_of_one_name(spark):
     new = spark.createDataFrame([("ashby", 1), ("Ashby", 2), ("Canton", 3), (" ", 4)], "name string, pos long")
     got = sorted((r.pos, r.existing_id, r.status) for r in records.import_districts(old, new).collect())
     assert got == [(1, 4, "updated"), (2, 4, "duplicate"), (3, None, "created")]
+
+
+def test_load_fails_by_batches(spark):
+    rows = spark.createDataFrame([(i, "2020-2021", "Full Year", "X" if i in (7, 8, 30) else "M", 0, 1, 0.0 if i == 30 else 5.0) for i in range(1, 61)], "pos int, school_year string, period string, education string, credits int, step int, salary double")
+    batches = records.load_batches(rows.repartition(5), checks.record_errors(), "pos", size=25)
+    assert sorted((r.batch, r.n, r.written, r.failed, r.codes) for r in batches.collect()) == [(0, 25, 0, 25, ["education"]), (1, 25, 0, 25, ["education", "salary"]), (2, 10, 10, 0, [])]
+    assert tuple(records.load_totals(batches).first()) == (10, 50, 2)
+    assert records.load_batches(rows.limit(0), checks.record_errors(), "pos").count() == 0
+
+
+def test_an_unknown_education_fails_the_load(spark):
+    loaded = lambda *names: [r.e for r in spark.createDataFrame([(n,) for n in names], "education string").select(checks.known_education(F.col("education")).alias("e")).collect()]
+    assert loaded("B", "D") == ["B", "D"]
+    for bad in ("b", None):
+        with pytest.raises(Exception, match=f"no such education: {bad or 'none'}"):
+            loaded("B", bad)
+
+
+def test_described_results_have_defaults(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "district_id long, towns string")
+    dim = spark.createDataFrame([(1, "charter", "c.pdf", ["A"]), (2, None, None, None)], "district_id long, district_type string, contract_pdf string, towns array<string>")
+    got = sorted((r.district_id, r.district_type, r.contract_pdf, r.towns) for r in districts.described(rows, dim).collect())
+    assert got == [(1, "charter", "c.pdf", ["A"]), (2, "unknown", None, []), (3, "unknown", None, [])]
+
+
+def test_rows_as_json_and_status_of_a_job(spark):
+    import json
+    from decimal import Decimal
+
+    from gridspan.operators import cells
+    from gridspan.streaming import jobs
+
+    rows = spark.createDataFrame([("d1", Decimal("50000.50"), None, ["a"])], "id string, salary decimal(12,2), note string, towns array<string>")
+    assert [json.loads(r.json) for r in cells.as_json(rows).collect()] == [{"id": "d1", "salary": 50000.50, "towns": ["a"]}]
+    events = spark.createDataFrame([(1, 1, "pending"), (1, 2, "processing"), (2, 1, "completed"), (3, 1, "completed"), (3, 2, "deleted")], "job_id long, seq long, status string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert [[r.status for r in jobs.status_of(events, j).collect()] for j in (1, 2, 3, 4)] == [["processing"], ["completed"], [], []]
+
+
+def test_picked_credits(spark):
+    rows = spark.createDataFrame([(15, [0, 15, 30]), (20, [30, 15]), (20, []), (20, None)], "wanted int, options array<int>")
+    assert [r.c for r in rows.select(scalars.pick_credits(F.col("wanted"), F.col("options")).alias("c")).collect()] == [15, 15, 20, 20]
+
+
+def test_ids_from_outside(spark):
+    cases = {"0f60fef3-cee7": [], "DISTRICT#abc-1": [], " DISTRICT%23a ": [], "district#a": ["id"], "a b": ["id"], "DISTRICT#": ["id"], "": ["id_missing"], None: ["id_missing"], "a" * 101: ["id_long"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "id string").select("id", checks.id_errors(F.col("id")).alias("e"))
+    assert {r.id: r.e for r in rows.collect()} == cases

@@ -103,7 +103,10 @@ def test_files(spark, tmp_path):
     assert after.filter("school_year <> '1998-1999'").count() == cells.filter("school_year <> '1998-1999'").count()
     writers.write_backups(cells, str(tmp_path / "backups"), "2024-01-01")
     assert readers.backups(spark, str(tmp_path / "backups")).count() == cells.count()
-    assert readers.listing(spark, str(tmp_path / "backups"), ".json").count() >= 1
+    listed = readers.listing(spark, str(tmp_path / "backups"), ".json").collect()
+    on_disk = {str(p): p.stat().st_size for p in (tmp_path / "backups").rglob("*.json") if not p.name.startswith((".", "_"))}
+    assert {r.path.removeprefix("file:"): r.length for r in listed} == on_disk and on_disk
+    assert readers.listing(spark, str(tmp_path / "backups"), ".pdf").count() == 0
     assert readers.texts(spark, str(tmp_path / "districts.json")).count() == 1
 
 
