@@ -13,12 +13,12 @@ from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
 from .queries import _tables, joined, money, query
 
 # A part's price as the salaries of a table: a row per document and step, and SQL for the same.
-_PART = "p AS (SELECT p_partkey % 20 AS doc_id, p_size AS step, max(p_retailprice) AS v FROM part GROUP BY ALL)"
+_PART = "p AS (SELECT p_partkey // 40 AS doc_id, p_size AS step, max(p_retailprice) AS v FROM part GROUP BY ALL)"
 
 
 def _steps(spark, sf_dir):
     """``doc_id, rows``: steps in order, each with its four salaries as text, made of the price of parts."""
-    part = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_size").alias("step")).agg(F.max("p_retailprice").alias("v"))
+    part = read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("doc_id"), F.col("p_size").alias("step")).agg(F.max("p_retailprice").alias("v"))
     values = F.array(*[F.concat(F.lit("$"), F.format_number(F.floor(F.col("v") * 30) + k * 500, 0)) for k in range(4)])
     return part.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("step", values.alias("v")))).alias("rows"))
 
@@ -62,7 +62,7 @@ def clipboard_grid(spark, sf_dir):
     return parsing.parse_tables(_steps(spark, sf_dir).select("doc_id", text.alias("text")), parsing.grid_of).drop("pos")
 
 
-@query("""WITH p AS (SELECT p_partkey % 20 AS doc_id, p_size, max(p_retailprice) AS v FROM part WHERE p_size <= 35 GROUP BY ALL),
+@query("""WITH p AS (SELECT p_partkey // 40 AS doc_id, p_size, max(p_retailprice) AS v FROM part WHERE p_size <= 35 GROUP BY ALL),
 t(label, education, credits, k) AS (VALUES ('BA', 'B', 0, 0), ('BA+15', 'M', -1, 1), ('MA', 'M', 0, 2))
 SELECT doc_id, CASE WHEN k = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'M' ELSE 'B' END ELSE education END AS education, CAST(CASE WHEN k = 1 THEN doc_id % 3 * 15 ELSE credits END AS INTEGER) AS credits, p_size AS step, floor(v * 30 + k * 500 + 0.5) AS salary
 FROM p, t WHERE floor(v * 30 + k * 500 + 0.5) BETWEEN 20000 AND 200000""")
@@ -75,34 +75,35 @@ def aliased_records(spark, sf_dir):
     return tables.to_records(renamed, tables.alias_pairs(made.select("doc_id", text.alias("text")))).drop("pos").withColumn("salary", money())
 
 
-# Labels, their one spelling and their lane; None for those that name none.
-_LABELS = [
-    ("B.A.", "BA", "B", 0), ("ba15", "BA+15", "B", 15), ("BA + (30)", "BA+30", "B", 30), ("Bachelor's +45", "BA+45", "B", 45), ("B+L5", "BA+15", "B", 15), ("M+I0", "MA+10", "M", 10), ("MASTERS – 60", "MA+60", "M", 60), ("Master's Degree + 30", "MA+30", "M", 30), ("M:36", "MA+36", "M", 36), ("CAGS", "CAGS", "M", 60), ("Doctorate", "DOC", "D", 0), ("PhD", "DOC", "D", 0),
-    ("Lane 3", "LANE3", "B", 30), ("PAY SCALE 5", "LANE5", "M", 15), ("Level 8", "LANE8", "M", 60), ("IV", "LANE4", "M", 0), ("(VII)", "LANE7", "M", 45), ("BA (II)", "LANE2", "B", 15), ("MULTIPLIER", None, None, None), ("Notes", None, None, None), ("Lane 12", "LANE12", None, None),
-]
+# Labels of parts: the education by size, the credits by key, the spelling by key too.
+_LABELLED = """l AS (SELECT p_partkey, p_size % 3 AS e, p_partkey % 5 * 15 AS c, p_partkey // 5 % 6 AS spelling, p_size % 12 + 1 AS n FROM part),
+k AS (SELECT p_partkey, CASE WHEN spelling = 5 THEN NULL WHEN spelling = 4 THEN 'LANE' || n WHEN e = 2 THEN 'DOC' ELSE CASE e WHEN 0 THEN 'BA' ELSE 'MA' END || CASE WHEN c > 0 THEN '+' || c ELSE '' END END AS key,
+  CASE WHEN spelling = 5 OR spelling = 4 AND n > 8 THEN NULL WHEN spelling = 4 THEN CASE WHEN n < 4 THEN 'B' ELSE 'M' END ELSE CASE e WHEN 0 THEN 'B' WHEN 1 THEN 'M' ELSE 'D' END END AS education,
+  CASE WHEN spelling = 5 OR spelling = 4 AND n > 8 THEN NULL WHEN spelling = 4 THEN CASE WHEN n < 4 THEN n - 1 ELSE n - 4 END * 15 WHEN e = 2 THEN 0 ELSE c END AS credits FROM l)"""
 
 
-def _quoted(x) -> str:
-    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
-@query("WITH l(i, label, key, education, credits) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_quoted, x))})" for i, x in enumerate(_LABELS)) + f") SELECT p_partkey, key, education, CAST(credits AS INTEGER) AS credits, CASE WHEN education IS NULL THEN 'none' ELSE CASE education WHEN 'B' THEN 'Bachelor''s' WHEN 'M' THEN 'Master''s' ELSE 'Doctorate' END || CASE WHEN credits > 0 THEN ' +' || credits ELSE '' END END AS text FROM part JOIN l ON p_partkey % {len(_LABELS)} = i")
+@query(f"WITH {_LABELLED} SELECT p_partkey, key, education, CAST(credits AS INTEGER) AS credits, CASE WHEN education IS NULL THEN 'none' ELSE CASE education WHEN 'B' THEN 'Bachelor''s' WHEN 'M' THEN 'Master''s' ELSE 'Doctorate' END || CASE WHEN credits > 0 THEN ' +' || credits ELSE '' END END AS text FROM k")
 def lane_labels(spark, sf_dir):
-    label = F.element_at(F.array(*[F.lit(x[0]) for x in _LABELS]), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
+    """Labels in six spellings of every education and number of credits, numbered lanes up to 12, and texts that name no lane."""
+    e, c, spelling, n = F.col("p_size") % 3, (F.col("p_partkey") % 5 * 15).cast("int"), F.floor(F.col("p_partkey") / 5) % 6, (F.col("p_size") % 12 + 1).cast("string")
+    named = lambda b, m, d, plus: F.concat(F.when(e == 0, b).when(e == 1, m).otherwise(d), F.when((e < 2) & (c > 0), F.format_string(plus, c)).otherwise(""))
+    label = F.when(spelling == 0, named("BA", "MA", "DOC", "+%d")).when(spelling == 1, named("ba", "ma", "phd", "%d")).when(spelling == 2, named("Bachelor's", "Master's Degree", "Doctorate", " + %d")).when(spelling == 3, named("B.A.", "M.A.", "Doctorate", " + (%d)")).when(spelling == 4, F.concat(F.lit("Pay Scale "), n)).otherwise("Notes")
     lane = lanes.lane_of(label)
     text = F.coalesce(lanes.lane_text(lane["education"], lane["credits"]), F.lit("none"))
     return read(spark, sf_dir, "part").select("p_partkey", lanes.lane_key(label).alias("key"), lane["education"].alias("education"), lane["credits"].alias("credits"), text.alias("text"))
 
 
-# Texts, and the school year that either reading finds in them.
-_YEARS = [
-    ("2022 - 2023", "2022-2023", "2022-2023"), ("1999-2005 report", "2005-2006", "1999-2005"), ("2022 – June 2024", "2024-2025", "2024-2025"), ("2021, - fall 2022", "2021-2022", "2022-2023"), ("effective September 1, 2019", "2019-2020", "2019-2020"), ("as of July 2018", "2018-2019", "2018-2019"), ("FY21 budget", "2020-2021", None), ("FY 2021", "2020-2021", "2021-2022"), ("2017 or 2019", "2019-2020", "2019-2020"), ("room 15", "2015-2016", None), ("no year", "unknown", None),
-]
-
-
-@query("WITH y(i, text, year, older) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_quoted, x))})" for i, x in enumerate(_YEARS)) + f") SELECT o_orderkey, year, older FROM orders JOIN y ON o_orderkey % {len(_YEARS)} = i")
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 9 AS k, year(o_orderdate) + 20 AS y, o_custkey % 3 AS more FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (4, 5) THEN (y - 1) || '-' || y WHEN k = 6 THEN (y + more) || '-' || (y + more + 1) WHEN k = 8 THEN 'unknown' ELSE y || '-' || (y + 1) END AS year,
+CASE WHEN k = 1 THEN (y + 1) || '-' || (y + 2) WHEN k IN (4, 7, 8) THEN NULL WHEN k = 6 THEN (y + more) || '-' || (y + more + 1) ELSE y || '-' || (y + 1) END AS older FROM t""")
 def school_year_readings(spark, sf_dir):
-    text = F.element_at(F.array(*[F.lit(x[0]) for x in _YEARS]), (F.col("o_orderkey") % len(_YEARS) + 1).cast("int"))
+    """Both readings of texts made of an order's date, month and day: ranges, dates, fiscal years, several years, two digits, none."""
+    y, k = F.year("o_orderdate") + 20, F.col("o_orderkey") % 9
+    s, after, two = y.cast("string"), (y + 1).cast("string"), F.lpad((y % 100).cast("string"), 2, "0")
+    month, day = F.element_at(F.array(*[F.lit(m.title()) for m in scalars.MONTHS]), (F.col("o_custkey") % 12 + 1).cast("int")), (F.col("o_custkey") % 28 + 1).cast("string")
+    date = F.concat(month, F.lit(" "), day, F.lit(", "), s)
+    text = F.when(k == 0, F.concat(F.lit("Schedule "), s, F.lit(" – "), after)).when(k == 1, F.concat(date, F.lit(" - June 30, "), after)).when(k == 2, F.concat(F.lit("effective "), date)).when(k == 3, F.concat(F.lit("as of "), month, F.lit(" "), s, F.lit(", not 1999")))
+    text = text.when(k == 4, F.concat(F.lit("FY"), two, F.lit(" budget"))).when(k == 5, F.concat(F.lit("FY "), s)).when(k == 6, F.concat(s, F.lit(" or "), (y + F.col("o_custkey") % 3).cast("string"))).when(k == 7, F.concat(F.lit("room "), two)).otherwise("no year")
     return read(spark, sf_dir, "orders").select("o_orderkey", scalars.school_year(text).alias("year"), scalars.school_year_or_null(text).alias("older"))
 
 

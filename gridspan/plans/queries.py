@@ -632,15 +632,15 @@ def top_k(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    """Twenty tables: a header of lanes, then a row per part size with three salaries; steps over 35 are for the parser to drop."""
-    part = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 20).alias("doc_id"), "p_size").agg(F.max("p_retailprice").alias("v"))
+    """A table for every 40 parts: a header of lanes, then a row per part size with three salaries; steps over 35 are for the parser to drop."""
+    part = read(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("doc_id"), "p_size").agg(F.max("p_retailprice").alias("v"))
     cell = lambda k: F.concat(F.lit("$"), F.format_number(F.col("v") * 30 + k * 500, 0))
     row = F.struct("p_size", F.array(F.concat(F.lit("Step "), F.col("p_size").cast("string")), cell(0), cell(1), cell(2)).alias("r"))
     body = part.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("body"))
     return body.select("doc_id", F.concat(F.array(F.array(*map(F.lit, ("STEP", "BA", "BA+15", "MA")))), "body").alias("rows"))
 
 
-@query("""WITH p AS (SELECT p_partkey % 20 AS doc_id, p_size, max(p_retailprice) AS v FROM part WHERE p_size <= 35 GROUP BY ALL), r AS (SELECT doc_id, p_size AS step, e AS education, c AS credits, floor(v * 30 + k * 500 + 0.5) AS salary FROM p, (VALUES ('B', 0, 0), ('B', 15, 1), ('M', 0, 2)) t(e, c, k))
+@query("""WITH p AS (SELECT p_partkey // 40 AS doc_id, p_size, max(p_retailprice) AS v FROM part WHERE p_size <= 35 GROUP BY ALL), r AS (SELECT doc_id, p_size AS step, e AS education, c AS credits, floor(v * 30 + k * 500 + 0.5) AS salary FROM p, (VALUES ('B', 0, 0), ('B', 15, 1), ('M', 0, 2)) t(e, c, k))
 SELECT doc_id, education, credits, step, salary FROM r WHERE salary BETWEEN 20000 AND 200000""")
 def table_unpivot(spark, sf_dir):
     return tables.to_records(tables.split_on_steps(_tables(spark, sf_dir))).drop("pos").withColumn("salary", money())
