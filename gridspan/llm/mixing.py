@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import WORD_PATTERN, by_place, ready, scratch, table
 
@@ -28,11 +29,12 @@ def numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` with ``number``: 0, 1, 2, ... among rows that are equal in ``keys``.
 
     Few rows are: which keys several rows have is a written table, and rows without one stay
-    where they are. The others are numbered within each partition that they are read in, and
-    partitions follow one another, so that no task meets all rows of a key.
+    where they are. The others are written with the partition that they were read in, numbered
+    within it, and partitions follow one another, so that no task meets all rows of a key; as
+    what is written stays so, it doesn't matter whether ``rows`` are dealt alike when they are read again.
     """
     spark = ready(rows.sparkSession)
-    place = scratch(spark, "repeats")
+    place, held = scratch(spark, "repeats"), scratch(spark, "repeated")
     several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(k).alias(f"{k}_") for k in keys])
     several.write.parquet(place)
     known = spark.read.schema(several.schema).parquet(place)
@@ -41,14 +43,14 @@ def numbered(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    dealt = rows.withColumn("part", F.spark_partition_id())
-    again = dealt.join(known, same, "left_semi")
+    rows.withColumn("part", F.spark_partition_id()).join(known, same, "left_semi").write.parquet(held)
+    again = spark.read.schema(StructType([*rows.schema.fields, StructField("part", IntegerType())])).parquet(held)
     by_part = again.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n"))
     offsets = by_part.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("part").alias("part_"), "before")
     within = again.withColumn("number", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("part")) - 1)
     counted = within.join(offsets, same & (F.col("part") == F.col("part_"))).withColumn("number", (F.col("number") + F.col("before")).cast("long"))
     names = [*rows.columns, "number"]
-    return dealt.join(known, same, "left_anti").withColumn("number", F.lit(0).cast("long")).select(*names).unionByName(counted.select(*names))
+    return rows.join(known, same, "left_anti").withColumn("number", F.lit(0).cast("long")).select(*names).unionByName(counted.select(*names))
 
 
 def source_targets(sized: DataFrame, share: float = SHARE, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:

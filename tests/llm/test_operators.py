@@ -630,6 +630,15 @@ def test_mixing_comes_near_its_targets_without_ids(spark, ids):
     assert sorted(map(repr, mixing.mix_sources(docs).collect())) == sorted(map(repr, mixing.mix_sources(docs.repartition(3)).collect()))
 
 
+def test_numbers_of_equal_rows_that_are_dealt_anew(spark):
+    """Rows from a shuffle whose partitions may differ each time they are made: none is lost, and numbers have no gap."""
+    rows = spark.range(3000).select((F.col("id") % 40).alias("k"), F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.lit(-1)).alias("v")).repartition(6, F.rand())
+    held = {}
+    for r in mixing.numbered(rows, ["k", "v"]).collect():
+        held.setdefault((r.k, r.v), []).append(r.number)
+    assert sum(map(len, held.values())) == 3000 and all(sorted(n) == list(range(len(n))) for n in held.values())
+
+
 def test_ogg(spark, texts):
     out = {r.doc_id: r for r in ogg.media_digests(ogg.stored_texts(frame(spark, texts))).collect()}
     for doc, text in texts:
