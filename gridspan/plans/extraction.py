@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, lanes, scalars
 from ..operators import cells as grid
 from ..operators import compare, coverage, districts, parsing, records, tables
+from ..sources import pdf
 from ..streaming import jobs
 from . import fixtures
 from .fixtures import CELLS, DISTRICTS, JOB_EVENTS, read
@@ -270,3 +271,33 @@ def job_status(spark, sf_dir):
     """The state of every job, found as a single one is: running ones first, then archived ones."""
     events = fixtures.job_events(spark, sf_dir)
     return jobs.running(events).withColumn("running", F.lit(True)).unionByName(jobs.archived(events).withColumn("running", F.lit(False))).select("job_id", "status", "running")
+
+
+def _as_pdf(cells):
+    """``path, content``: a file for each district, a page for each schedule, a title, and a table of steps by lanes, written as the format's plain text."""
+    lane = F.concat(F.when(F.col("education") == "B", "BA").otherwise("MA"), F.when(F.col("credits") > 0, F.concat(F.lit("+"), F.col("credits").cast("string"))).otherwise(""))
+    column = F.when(F.col("education") == "B", 0).otherwise(9) + F.floor(F.col("credits") / 5)
+    shown = lambda x, y, text: F.concat(F.lit("1 0 0 1 "), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(" Tm ("), text, F.lit(") Tj\n"))
+    x = 120 + 80 * column
+    heads = F.array_join(F.array_sort(F.collect_set(shown(x, F.lit(740), lane))), "")
+    steps = F.array_join(F.array_sort(F.collect_set(shown(F.lit(40), 740 - 15 * F.col("step"), F.col("step").cast("string")))), "")
+    values = F.array_join(F.array_sort(F.collect_list(shown(x, 740 - 15 * F.col("step"), F.concat(F.lit("$"), F.format_number("salary", 2))))), "")
+    pages = cells.groupBy("district_id", "school_year", "period").agg(heads.alias("h"), steps.alias("s"), values.alias("v"))
+    title = shown(F.lit(40), F.lit(770), F.concat_ws(" ", "school_year", "period"))
+    body = F.concat(F.lit("BT /F1 10 Tf\n"), title, F.lit("1 0 0 1 40 740 Tm (STEP) Tj\n"), "h", "s", "v", F.lit("ET"))
+    files = pages.groupBy("district_id").agg(F.array_sort(F.collect_list(F.struct("school_year", "period", body.alias("body")))).alias("p"))
+    number = lambda k, first: (F.lit(first) + 2 * k).cast("string")
+    own = F.transform("p", lambda q, k: F.concat(number(k, 10), F.lit(" 0 obj <</Type/Page/Contents "), number(k, 11), F.lit(" 0 R>> endobj\n"), number(k, 11), F.lit(" 0 obj <</Length "), F.octet_length(q["body"]).cast("string"), F.lit(">>\nstream\n"), q["body"], F.lit("\nendstream endobj\n")))
+    kids = F.array_join(F.transform("p", lambda q, k: F.concat(number(k, 10), F.lit(" 0 R"))), " ")
+    text = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/MediaBox[0 0 1600 800]/Kids["), kids, F.lit("]>> endobj\n"), F.array_join(own, ""), F.lit("trailer <</Root 1 0 R>>"))
+    return files.select(F.col("district_id").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query(f"WITH {CELLS} SELECT district_id, school_year, period, education, credits, step, CAST(salary AS DOUBLE) AS salary FROM cells WHERE education <> 'D' AND salary BETWEEN 20000 AND 200000")
+def pdf_tables(spark, sf_dir):
+    """Cells written as PDF files, a page for each schedule, and read back from their bytes."""
+    pages = pdf.pages(_as_pdf(fixtures.cells(spark, sf_dir).filter("education <> 'D'")))
+    found = pdf.tables(pages).select(F.concat_ws("|", "path", F.split("text", "\n")[0]).alias("doc_id"), "rows")
+    read_back = tables.to_records(tables.split_on_steps(found))
+    where = F.split("doc_id", "\\|")
+    return read_back.select(where[0].cast("long").alias("district_id"), F.substring(where[1], 1, 9).alias("school_year"), F.substr(where[1], F.lit(11)).alias("period"), "education", "credits", "step", money())

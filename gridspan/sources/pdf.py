@@ -44,5 +44,5 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tables(page_rows: DataFrame) -> DataFrame:
-    """``path, page_no, table_no, rows``: the tables of pages, as the parsers of tables take them."""
-    return page_rows.select("path", "page_no", F.posexplode("tables").alias("table_no", "rows"))
+    """``path, page_no, text, table_no, rows``: the tables of pages, as the parsers of tables take them."""
+    return page_rows.select("path", "page_no", "text", F.posexplode("tables").alias("table_no", "rows"))
