@@ -122,3 +122,24 @@ def unmapped_labels(tables: DataFrame, aliases: DataFrame | None = None) -> Data
     """Header labels that stand for no lane, ``doc_id, pos, label``: what to_records leaves out, for a reviewer."""
     labels = tables.select("doc_id", F.posexplode(F.col("rows")[0]).alias("pos", "label")).filter("pos > 0").withColumn("label", F.upper(F.trim("label")))
     return _resolved(labels.filter("label <> ''"), aliases).filter("lane IS NULL").select("doc_id", "pos", "label")
+
+
+# What a label held to count as one of a lane, in the older reading.
+OLDER_KEYS = ("BA", "MA", "DOC", "CAGS", "B+", "M+")
+OLDER_STEPS = 20
+
+
+def older_cells(tables: DataFrame) -> DataFrame:
+    """``doc_id, label, step, salary`` as the older reading had them, for results that must agree with it.
+
+    Labels are kept if they hold one of a few letters, without blanks and in capitals; all
+    others are dropped before values are matched to labels by place, so that behind a dropped one each
+    value stands under the label before its own. ``to_records`` matches by the column itself.
+    """
+    bare = F.transform(F.col("rows")[0], lambda c: F.replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit("")))
+    holds = lambda c: F.exists(F.array(*map(F.lit, OLDER_KEYS)), lambda k: c.contains(k))
+    labels = F.filter(bare, lambda c: ~c.isin("", "STEP", "STEPS") & holds(c))
+    rows = tables.select("doc_id", labels.alias("labels"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_no", "row"))
+    cells = rows.select("doc_id", extract_step(F.col("row")[0]).alias("step"), "row", F.posexplode("labels").alias("k", "label"))
+    found = cells.select("doc_id", "label", "step", parse_salary(F.get("row", F.col("k") + 1)).alias("salary"))
+    return found.filter((F.col("step").between(1, OLDER_STEPS)) & F.col("salary").isNotNull())
