@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -15,7 +17,8 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "rank", kind: st
     """``rows`` with their places from 1 on in ``order``, which should leave no ties.
 
     Rows are dealt out by ranges of the order and sorted there; each partition numbers its own,
-    and the sizes of the partitions before, of which there is one row each, are added. The
+    and the sizes of the partitions before are added, of which there is one number each: they go
+    through the driver, and back as a table of as many rows as a shuffle has partitions. The
     numbered rows are a written table, for ranges that are found twice may differ.
     """
     spark = rows.sparkSession
@@ -23,6 +26,8 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "rank", kind: st
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     dealt.write.parquet(place)
     held = spark.read.schema(dealt.schema).parquet(place).withColumn("__part", F.shiftright("__at", _BITS))
-    sizes = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    sizes = sorted(tuple(r) for r in held.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    starts = spark.createDataFrame([(part, b) for (part, _), b in zip(sizes, before, strict=False)], "__part long, __before long")
     at = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << _BITS) - 1)) + 1
-    return held.join(F.broadcast(sizes), "__part").withColumn(name, at.cast(kind)).drop("__part", "__at", "__before")
+    return held.join(F.broadcast(starts), "__part").withColumn(name, at.cast(kind)).drop("__part", "__at", "__before")

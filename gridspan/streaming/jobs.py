@@ -84,10 +84,10 @@ def live_state(events: DataFrame, keep: str = "30 days") -> DataFrame:
             return
         status, last, processed, succeeded, failed = state.get if state.exists else ("pending", -1, 0, 0, 0)
         for frame in frames:
-            for row in frame.sort_values("seq").itertuples():
-                if row.seq > last:  # as in latest(): the event of the highest number counts
-                    status, last = row.status, int(row.seq)
-                processed, succeeded, failed = processed + 1, succeeded + int(row.succeeded), failed + int(row.failed)
+            top = frame["seq"].idxmax()
+            if frame["seq"][top] > last:  # as in latest(): the event of the highest number counts
+                status, last = frame["status"][top], int(frame["seq"][top])
+            processed, succeeded, failed = processed + len(frame), succeeded + int(frame["succeeded"].sum()), failed + int(frame["failed"].sum())
         state.update((status, last, processed, succeeded, failed))
         state.setTimeoutDuration(ms)
         yield pd.DataFrame([(key[0], status, processed, succeeded, failed)], columns=["job_id", "status", "processed", "succeeded", "failed"])
