@@ -919,4 +919,4 @@ def result_append(spark, sf_dir):
     return jobs.append_result(rows, "1-URGENT", F.lit("done")).select("o_orderkey", F.concat_ws(",", "results").alias("results"))
 
 
-from . import extraction  # noqa: E402, F401  its queries are added to QUERIES and SQL
+from . import extraction, files  # noqa: E402, F401  their queries are added to QUERIES and SQL
