@@ -36,8 +36,10 @@ SHORT, SHORT_SKETCHES, SHORT_TOGETHER = 80, 20, 3
 BLOCK_BYTES, BLOCK_TEXTS = 4 << 20, 1000
 #: Counters that the words of a text are hashed to, for a first bound on what two texts have in common.
 COUNTERS = 256
-#: A text counts as hot if this share of all rows or more have it, which 1 / HOT_SHARE texts can at most; its rows are joined in so many parts.
+#: A text, or a node of edges, counts as hot if this share of all rows or more have it, which 1 / HOT_SHARE can at most; its rows are joined in so many parts.
 HOT_SHARE, HOT_PARTS = 0.001, 64
+#: Rows that are not worth dealing, whatever their share.
+FEW = 1000
 
 NO_ID = -(1 << 62)
 
@@ -469,6 +471,20 @@ def linked_buckets(sketches: DataFrame, rows: DataFrame, least: float = SIMILARI
     return edges, components(edges)
 
 
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """``rows`` joined to ``facts``, which has a row for a ``node`` at most, on ``key``; the rows of a hot key are dealt out by ``spread``.
+
+    Hot keys are bounded by their share of ``total``; only their facts are copied, one to each part.
+    """
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(HOT_SHARE * total, FEW)).select(key).collect()]
+    if not hot:
+        return rows.join(facts, F.col(key) == F.col("node"))
+    part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    parts = F.when(F.col("node").isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = facts.withColumn("__at", F.explode(parts))
+    return rows.withColumn("__part", part).join(copied, (F.col(key) == F.col("node")) & (F.col("__part") == F.col("__at"))).drop("__part", "__at")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
@@ -476,7 +492,8 @@ def components(edges: DataFrame) -> DataFrame:
     one are linked to the least of those too, then each node's smaller neighbours and itself to
     the smallest of them. Edges soon are about as many as nodes; it ends when nothing
     changes, and every node is then linked to the smallest of its component. What is linked
-    to one smallest node already goes through no join. Every turn is a written table.
+    to one smallest node already matches in no join, and the rows of a node with very many
+    neighbours are dealt out in parts. Every turn is a written table.
     """
     spark = edges.sparkSession
     place = scratch(spark, "components")
@@ -489,11 +506,12 @@ def components(edges: DataFrame) -> DataFrame:
             roots = kept.select(F.col("low").alias("node"), F.col("low").alias("label")).distinct()
             return kept.select(F.col("high").alias("node"), F.col("low").alias("label")).unionByName(roots)
         least = kept.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "node")
-        raised = kept.join(least, F.col("low") == F.col("node")).select("high", F.col("least").alias("low"))
+        raised = dealt_join(kept, least, "low", "high", now[0]).select("high", F.col("least").alias("low"))
         kept.unionByName(raised).distinct().write.parquet(f"{place}/{k}-raised")
         large = spark.read.schema("high long, low long").parquet(f"{place}/{k}-raised")
         first = large.groupBy("high").agg(F.min("low").alias("least"), F.max("low").alias("most"))
-        linked = large.join(first.filter("least < most"), "high").filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+        several = first.filter("least < most").select(F.col("high").alias("node"), "least")
+        linked = dealt_join(large, several, "high", "low", now[0]).filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"))
         kept = linked.unionByName(first.select("high", F.col("least").alias("low"))).distinct()
         before, k = now, k + 1
 

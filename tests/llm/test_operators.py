@@ -367,8 +367,10 @@ def test_components(spark):
     assert minhash.components(edges.limit(0)).count() == 0
 
 
-def test_components_of_random_graphs(spark):
-    """Against networks of all kinds, with numbers in no order along them."""
+@pytest.mark.parametrize("few", [1000, 3])
+def test_components_of_random_graphs(spark, monkeypatch, few):
+    """Against networks of all kinds, with numbers in no order along them; nodes of many neighbours dealt out or not."""
+    monkeypatch.setattr(minhash, "FEW", few)
     for seed in range(6):
         rng = random.Random(seed)
         nodes = rng.sample(range(10_000), 150)
@@ -383,8 +385,26 @@ def test_components_of_random_graphs(spark):
 
 def test_components_of_a_large_star(spark):
     edges = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
-    got = minhash.components(edges).collect()
-    assert len(got) == 3000 and all(r.label == 0 for r in got)
+    for made in (edges, edges.select(F.lit(5000).cast("long").alias("a"), "b"), edges.unionByName(edges.select(F.lit(-1).cast("long").alias("a"), (F.col("b") * 0).alias("b")))):
+        got = minhash.components(made).collect()
+        least = min(r.node for r in got)
+        assert len(got) == made.select(F.explode(F.array("a", "b"))).distinct().count() and all(r.label == least for r in got)
+
+
+def test_rows_of_a_hub_are_dealt(spark):
+    """A hub that is no root: its rows go to many parts, and each is matched once."""
+    rows = spark.range(1, 5001).select(F.col("id").alias("high"), F.lit(0).cast("long").alias("low"))
+    facts = spark.createDataFrame([(0, -7), (1, 2)], "node long, least long")
+    joined = minhash.dealt_join(rows, facts, "low", "high", 5000)
+    assert joined.count() == 5000 and joined.filter("least = -7").count() == 5000 and joined.columns == ["high", "low", "node", "least"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = minhash.dealt_join(rows, facts, "low", "high", 5000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) == 4 and max(r["count"] for r in held) < 2500
 
 
 def check_packing(rows, capacity=2048):
