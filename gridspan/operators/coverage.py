@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_period
-from ..schemas import COMPARED_TYPES
+from ..schemas import COMPARED_TYPES, SCHEDULE
 
 
 def missing_contracts(districts: DataFrame, cells: DataFrame, year: str, period: str | None = None, types: tuple[str, ...] = COMPARED_TYPES) -> DataFrame:
@@ -15,6 +15,17 @@ def missing_contracts(districts: DataFrame, cells: DataFrame, year: str, period:
     return districts.filter(F.lower(F.coalesce("district_type", F.lit("unknown"))).isin(*types)).join(have, "district_id", "left_anti")
 
 
+def missing_by_schedule(districts: DataFrame, cells: DataFrame, types: tuple[str, ...] = COMPARED_TYPES) -> DataFrame:
+    """Every schedule (year, period) that some district has and an eligible district lacks: a row for each of these.
+
+    The schedules, some dozens, come as one array that each district unfolds, so that there is no theta join.
+    """
+    known = cells.agg(F.array_sort(F.collect_set(F.struct("school_year", "period"))).alias("s")).scalar()
+    eligible = districts.filter(F.lower(F.coalesce("district_type", F.lit("unknown"))).isin(*types))
+    each = eligible.withColumn("__s", F.explode(known)).withColumns({"school_year": F.col("__s.school_year"), "period": F.col("__s.period")}).drop("__s")
+    return each.join(cells.select(*SCHEDULE).distinct(), SCHEDULE, "left_anti")
+
+
 def present(districts: DataFrame, cells: DataFrame, year: str, period: str) -> DataFrame:
     return districts.join(cells.filter((F.col("school_year") == year) & (F.col("period") == period)).select("district_id"), "district_id", "left_semi")
 

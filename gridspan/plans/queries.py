@@ -237,20 +237,21 @@ def global_maxima(spark, sf_dir):
     return grid.global_maxima(fixtures.cells(spark, sf_dir)).withColumn("combos", joined("combos"))
 
 
-@query(f"WITH {CELLS} SELECT max(step) AS max_step, array_to_string(list_sort(list(DISTINCT education || '+' || credits)), ',') AS combos FROM cells WHERE school_year < '1998' OR education = 'M'")
+@query(f"WITH {CELLS} SELECT max(step) AS max_step, array_to_string(list_sort(list(DISTINCT education || '+' || credits)), ',') AS combos FROM cells")
 def maxima_merge(spark, sf_dir):
+    """Maxima of the earlier years and of the later ones, together."""
     cells = fixtures.cells(spark, sf_dir)
-    merged = grid.merged_maxima(grid.global_maxima(cells.filter("school_year < '1998'")), grid.global_maxima(cells.filter("education = 'M'")))
+    merged = grid.merged_maxima(grid.global_maxima(cells.filter("school_year < '1996'")), grid.global_maxima(cells.filter("school_year >= '1996'")))
     return merged.withColumn("combos", joined("combos"))
 
 
-@query(f"""WITH {CELLS}, g AS (SELECT list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells WHERE credits < 20 AND step < 5),
-d AS (SELECT district_id, list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells WHERE credits < 25 AND step < 6 GROUP BY 1)
+@query(f"""WITH {CELLS}, g AS (SELECT list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells WHERE school_year < '1993'),
+d AS (SELECT district_id, list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells GROUP BY 1)
 SELECT district_id, d.top > g.top OR len(list_filter(d.combos, lambda x: NOT list_contains(g.combos, x))) > 0 AS changed FROM d, g""")
 def metadata_change(spark, sf_dir):
     cells = fixtures.cells(spark, sf_dir)
-    old = grid.global_maxima(cells.filter("credits < 20 AND step < 5")).first()
-    new = cells.filter("credits < 25 AND step < 6").groupBy("district_id").agg(F.max("step").alias("top"), F.collect_set(grid.lane_key()).alias("combos"))
+    old = grid.global_maxima(cells.filter("school_year < '1993'")).first()
+    new = cells.groupBy("district_id").agg(F.max("step").alias("top"), F.collect_set(grid.lane_key()).alias("combos"))
     change = grid.metadata_change(F.lit(old["max_step"]), F.array(*map(F.lit, old["combos"])), F.col("top"), F.col("combos"))
     return new.select("district_id", change["changed"].alias("changed"))
 
@@ -398,6 +399,12 @@ def missing_contracts(spark, sf_dir):
     return coverage.missing_contracts(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1995-1996", "10-month").select("district_id", "name", "district_type")
 
 
+@query(f"WITH {CELLS}, {DISTRICTS}, s AS (SELECT DISTINCT school_year, period FROM cells) SELECT d.district_id, name, s.school_year, s.period FROM districts d, s ANTI JOIN cells c ON c.district_id = d.district_id AND c.school_year = s.school_year AND c.period = s.period WHERE district_type IN ('municipal', 'regional_academic')")
+def missing_by_schedule(spark, sf_dir):
+    """What eligible districts lack of all schedules that there are."""
+    return coverage.missing_by_schedule(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir)).select("district_id", "name", "school_year", "period")
+
+
 @query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name FROM districts WHERE district_id IN (SELECT district_id FROM cells WHERE school_year = '1996-1997' AND period = 'Full Year')")
 def available_semi(spark, sf_dir):
     return coverage.present(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1996-1997", "Full Year").select("district_id", "name")
@@ -418,9 +425,9 @@ def record_counts(spark, sf_dir):
     return coverage.record_counts(fixtures.cells(spark, sf_dir)).withColumn("years", joined("years"))
 
 
-@query("SELECT count(*) AS found, 156 - count(*) AS missing FROM supplier WHERE s_acctbal > 0")
+@query("SELECT count(*) AS found, 156 - count(*) AS missing FROM supplier")
 def backup_completeness(spark, sf_dir):
-    return coverage.completeness(read(spark, sf_dir, "supplier").filter("s_acctbal > 0"), 156)
+    return coverage.completeness(read(spark, sf_dir, "supplier"), 156)
 
 
 @query("SELECT event_type AS method, count(*) AS total, CAST(count_if(value > 20) AS BIGINT) AS successful, CAST(count_if(NOT value > 20) AS BIGINT) AS failed FROM events GROUP BY 1")
@@ -490,11 +497,14 @@ def dedupe_first(spark, sf_dir):
     return records.first_of_key(rows, ["district_id", "step"]).drop("pos")
 
 
-@query(f"""WITH {CELLS}, p AS (SELECT *, CAST(substr(school_year, 1, 4) AS INTEGER) AS y FROM cells WHERE district_id % 3 < 2 OR school_year < '1998'), f AS (SELECT *, max(y >= 1999) OVER (PARTITION BY district_id) AS now, max(y) OVER (PARTITION BY district_id) AS latest FROM p)
-SELECT district_id, school_year, count(*) AS n FROM f WHERE CASE WHEN now THEN y >= 1999 ELSE y = latest END GROUP BY ALL""")
+@query(f"""WITH {CELLS}, p AS (SELECT * EXCLUDE (school_year), CAST(substr(school_year, 1, 4) AS INTEGER) - CASE WHEN district_id % 3 = 2 THEN 10 ELSE 0 END AS y FROM cells), f AS (SELECT *, max(y >= 1997) OVER (PARTITION BY district_id) AS now, max(y) OVER (PARTITION BY district_id) AS latest FROM p)
+SELECT district_id, y || '-' || (y + 1) AS school_year, count(*) AS n FROM f WHERE CASE WHEN now THEN y >= 1997 ELSE y = latest END GROUP BY ALL""")
 def relevant_years(spark, sf_dir):
-    rows = fixtures.cells(spark, sf_dir).filter("district_id % 3 < 2 OR school_year < '1998'")
-    return records.relevant_years(rows, 1999, ["district_id"]).groupBy("district_id", "school_year").agg(F.count(F.lit(1)).alias("n"))
+    """Every third district's years lie ten years back, so that none of its is current."""
+    cells = fixtures.cells(spark, sf_dir)
+    y = F.substring("school_year", 1, 4).cast("int") - F.when(F.col("district_id") % 3 == 2, 10).otherwise(0)
+    rows = cells.withColumn("school_year", F.concat_ws("-", y.cast("string"), (y + 1).cast("string")))
+    return records.relevant_years(rows, 1997, ["district_id"]).groupBy("district_id", "school_year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT l_suppkey AS doc_id, l_linenumber AS tier, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT doc_id, coalesce(min(CASE WHEN n >= 70 THEN tier END), max(tier)) AS tier FROM t GROUP BY 1)
