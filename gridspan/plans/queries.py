@@ -245,12 +245,12 @@ def maxima_merge(spark, sf_dir):
     return merged.withColumn("combos", joined("combos"))
 
 
-@query(f"""WITH {CELLS}, g AS (SELECT list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells WHERE school_year < '1993'),
+@query(f"""WITH {CELLS}, g AS (SELECT list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells WHERE school_year < '1996' AND step < 6),
 d AS (SELECT district_id, list(DISTINCT education || '+' || credits) AS combos, max(step) AS top FROM cells GROUP BY 1)
 SELECT district_id, d.top > g.top OR len(list_filter(d.combos, lambda x: NOT list_contains(g.combos, x))) > 0 AS changed FROM d, g""")
 def metadata_change(spark, sf_dir):
     cells = fixtures.cells(spark, sf_dir)
-    old = grid.global_maxima(cells.filter("school_year < '1993'")).first()
+    old = grid.global_maxima(cells.filter("school_year < '1996' AND step < 6")).first()
     new = cells.groupBy("district_id").agg(F.max("step").alias("top"), F.collect_set(grid.lane_key()).alias("combos"))
     change = grid.metadata_change(F.lit(old["max_step"]), F.array(*map(F.lit, old["combos"])), F.col("top"), F.col("combos"))
     return new.select("district_id", change["changed"].alias("changed"))
