@@ -9,6 +9,7 @@ table have the same number, so that the two are joined in place.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,10 @@ from ..session import scratch
 #: Bytes of input to a bucket, and the least and greatest number of buckets.
 BUCKET_BYTES, BUCKETS = 64 << 20, (8, 8192)
 
+#: Where the tables of this application lie.
+_places: dict[str, str] = {}
+_making = threading.Lock()
+
 
 def bucket_number(size: int) -> int:
     """How many buckets an input of so many bytes is dealt into."""
@@ -34,7 +39,8 @@ def store(rows: DataFrame, name: str, key: str, buckets: int, sort: list[str], p
     writer = rows.repartition(buckets, key).sortWithinPartitions(*(parts or []), *sort).write.bucketBy(buckets, key).sortBy(*sort)
     if parts:
         writer = writer.partitionBy(*parts)
-    writer.option("path", scratch(spark, name)).mode("overwrite").saveAsTable(name)
+    _places[name] = scratch(spark, name)
+    writer.option("path", _places[name]).mode("overwrite").saveAsTable(name)
     return spark.table(name)
 
 
@@ -58,9 +64,16 @@ def mark_of(spark: SparkSession, *paths: str) -> tuple[str, int]:
 
 
 def stored_once(spark: SparkSession, name: str, paths: list[str], make) -> DataFrame:
-    """The table that ``make(name, buckets)`` stores, made once an application and for each state of the files it comes from."""
+    """The table that ``make(name, buckets)`` stores, made once an application and for each state of the files it comes from.
+
+    One whose files are gone is made again.
+    """
     mark, size = mark_of(spark, *paths)
     own = f"{name}_{mark}_{hashlib.md5(spark.sparkContext.applicationId.encode()).hexdigest()[:8]}"
-    if not spark.catalog.tableExists(own):
+    with _making:
+        if spark.catalog.tableExists(own):
+            place = spark._jvm.org.apache.hadoop.fs.Path(_places.get(own, "/nowhere"))
+            if own in _places and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+                return spark.table(own)
+            spark.sql(f"DROP TABLE {own}")
         return make(own, bucket_number(size))
-    return spark.table(own)

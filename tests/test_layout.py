@@ -85,6 +85,10 @@ def test_tables_are_stored_once(spark, tmp_path):
         assert layout.stored_once(spark, "some", [str(tmp_path / "in")], make).count() == 1
     rows.withColumn("step", F.lit(2)).write.mode("append").parquet(str(tmp_path / "in"))
     assert layout.stored_once(spark, "some", [str(tmp_path / "in")], make).count() == 2 and made == [8, 8]
+    found = layout.stored_once(spark, "some", [str(tmp_path / "in")], make)
+    place = spark._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]).getParent().getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    assert layout.stored_once(spark, "some", [str(tmp_path / "in")], make).count() == 2 and made == [8, 8, 8]
     assert [layout.bucket_number(n) for n in (0, 1 << 30, 1 << 50)] == [8, 16, 8192]
 
 
