@@ -92,7 +92,9 @@ def test_tables_are_stored_once(spark, tmp_path):
     assert [layout.bucket_number(n) for n in (0, 1 << 30, 1 << 50)] == [8, 16, 8192]
 
 
-def test_numbers_follow_the_order(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 30])
+def test_numbers_follow_the_order(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK", one_task)
     rng = random.Random(0)
     rows = [(rng.randrange(10**6), f"n{i}", rng.choice([None, "a", "b"])) for i in range(5000)]
     got = ranking.numbered(spark.createDataFrame(rows, "v long, name string, k string").repartition(7), F.col("k").desc(), F.col("v"), "name", kind="long").collect()
@@ -102,8 +104,9 @@ def test_numbers_follow_the_order(spark):
     assert ranking.numbered(spark.createDataFrame([], "v long"), "v").count() == 0
 
 
-def test_no_task_ranks_all_districts(spark):
-    """With as many districts as rows, ranges of them stand in several files and are numbered there."""
+def test_no_task_ranks_all_districts(spark, monkeypatch):
+    """With as many districts as rows, more than one task is to take, ranges of them stand in several files and are numbered there."""
+    monkeypatch.setattr(ranking, "ONE_TASK", 1000)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
     try:
