@@ -89,9 +89,9 @@ def lane_labels(spark, sf_dir):
     e, c, spelling, n = F.col("p_size") % 3, (F.col("p_partkey") % 5 * 15).cast("int"), F.floor(F.col("p_partkey") / 5) % 6, (F.col("p_size") % 12 + 1).cast("string")
     named = lambda b, m, d, plus: F.concat(F.when(e == 0, b).when(e == 1, m).otherwise(d), F.when((e < 2) & (c > 0), F.format_string(plus, c)).otherwise(""))
     label = F.when(spelling == 0, named("BA", "MA", "DOC", "+%d")).when(spelling == 1, named("ba", "ma", "phd", "%d")).when(spelling == 2, named("Bachelor's", "Master's Degree", "Doctorate", " + %d")).when(spelling == 3, named("B.A.", "M.A.", "Doctorate", " + (%d)")).when(spelling == 4, F.concat(F.lit("Pay Scale "), n)).otherwise("Notes")
-    lane = lanes.lane_of(label)
-    text = F.coalesce(lanes.lane_text(lane["education"], lane["credits"]), F.lit("none"))
-    return read(spark, sf_dir, "part").select("p_partkey", lanes.lane_key(label).alias("key"), lane["education"].alias("education"), lane["credits"].alias("credits"), text.alias("text"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumns({"key": lanes.lane_key(F.col("label")), "lane": lanes.lane_of(F.col("label"))})
+    text = F.coalesce(lanes.lane_text(F.col("lane.education"), F.col("lane.credits")), F.lit("none"))
+    return rows.select("p_partkey", "key", "lane.education", "lane.credits", text.alias("text"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_orderkey % 9 AS k, year(o_orderdate) + 20 AS y, o_custkey % 3 AS more FROM orders)
@@ -105,7 +105,7 @@ def school_year_readings(spark, sf_dir):
     date = F.concat(month, F.lit(" "), day, F.lit(", "), s)
     text = F.when(k == 0, F.concat(F.lit("Schedule "), s, F.lit(" – "), after)).when(k == 1, F.concat(date, F.lit(" - June 30, "), after)).when(k == 2, F.concat(F.lit("effective "), date)).when(k == 3, F.concat(F.lit("as of "), month, F.lit(" "), s, F.lit(", not 1999")))
     text = text.when(k == 4, F.concat(F.lit("FY"), two, F.lit(" budget"))).when(k == 5, F.concat(F.lit("FY "), s)).when(k == 6, F.concat(s, F.lit(" or "), (y + F.col("o_custkey") % 3).cast("string"))).when(k == 7, F.concat(F.lit("room "), two)).otherwise("no year")
-    return read(spark, sf_dir, "orders").select("o_orderkey", scalars.school_year(text).alias("year"), scalars.school_year_or_null(text).alias("older"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", scalars.school_year(F.col("text")).alias("year"), scalars.school_year_or_null(F.col("text")).alias("older"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(CAST(l_extendedprice AS DECIMAL(14, 4)), 2) <> round(CAST(l_extendedprice + l_discount / 10 AS DECIMAL(14, 4)), 2) AS changed FROM lineitem")

@@ -407,10 +407,11 @@ def missing_contracts(spark, sf_dir):
     return coverage.missing_contracts(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir), "1995-1996", "10-month").select("district_id", "name", "district_type")
 
 
-@query(f"WITH {CELLS}, {DISTRICTS}, s AS (SELECT DISTINCT school_year, period FROM cells) SELECT d.district_id, name, s.school_year, s.period FROM districts d, s ANTI JOIN cells c ON c.district_id = d.district_id AND c.school_year = s.school_year AND c.period = s.period WHERE district_type IN ('municipal', 'regional_academic')")
+@query(f"WITH {CELLS}, {DISTRICTS}, l AS (SELECT DISTINCT district_id, school_year, education || '+' || credits AS period FROM cells), s AS (SELECT DISTINCT school_year, period FROM l) SELECT d.district_id, name, s.school_year, s.period FROM districts d, s ANTI JOIN l c ON c.district_id = d.district_id AND c.school_year = s.school_year AND c.period = s.period WHERE district_type IN ('municipal', 'regional_academic')")
 def missing_by_schedule(spark, sf_dir):
-    """What eligible districts lack of all schedules that there are."""
-    return coverage.missing_by_schedule(fixtures.districts(spark, sf_dir), fixtures.cells(spark, sf_dir)).select("district_id", "name", "school_year", "period")
+    """What eligible districts lack of all schedules that there are, a lane standing for a period."""
+    lanes_ = fixtures.cells(spark, sf_dir).withColumn("period", grid.lane_key())
+    return coverage.missing_by_schedule(fixtures.districts(spark, sf_dir), lanes_).select("district_id", "name", "school_year", "period")
 
 
 @query(f"WITH {CELLS}, {DISTRICTS} SELECT district_id, name FROM districts WHERE district_id IN (SELECT district_id FROM cells WHERE school_year = '1996-1997' AND period = 'Full Year')")
