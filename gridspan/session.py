@@ -56,6 +56,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Folders of written tables.
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, for a written table."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the tables that operators have written so far, when their results are no longer needed; how many folders went.
+
+    Stored tables go too, and are made again when they are next read.
+    """
+    gone = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone

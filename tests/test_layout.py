@@ -126,3 +126,12 @@ def test_no_task_ranks_all_districts(spark, monkeypatch):
 def test_reranked_closes_up(spark):
     rows = spark.createDataFrame([(r, f"d{r}") for r in (2, 3, 7, 40)], "rank int, name string")
     assert sorted((r.rank, r.name) for r in districts.reranked(rows).collect()) == [(1, "d2"), (2, "d3"), (3, "d7"), (4, "d40")]
+
+
+def test_written_tables_go_when_told_to(spark):
+    from gridspan.session import drop_scratch
+
+    cells, dim = stored(spark)
+    before = compare.compare(cells, dim, "M", 30, 5).count()
+    assert drop_scratch(spark) >= 3 and drop_scratch(spark) == 0
+    assert compare.compare(*stored(spark), "M", 30, 5).count() == before > 0
