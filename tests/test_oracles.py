@@ -63,3 +63,11 @@ def test_fill_of_a_sparse_grid(spark, sql, monkeypatch, name):
     want = sql.sql(text)
     rows = [tuple(plain(r[c]) for c in want.columns) for r in QUERIES[name](spark, SF).collect()]
     assert rows and sorted(rows, key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
+
+
+def test_lane_labels_read_listed_labels_beside_made_ones(spark):
+    """Each part has a label of either kind: none of the spellings, signs and numbers of the list is left out."""
+    rows = QUERIES["lane_labels"](spark, SF).collect()
+    assert len(rows) == 2 * spark.read.parquet(f"{SF}/part.parquet").count()
+    found = {(r.key, r.education, r.credits) for r in rows}
+    assert {("CAGS", "M", 60), ("MA+36", "M", 36), ("MA+10", "M", 10), ("MA+60", "M", 60), ("LANE12", None, None), (None, None, None)} <= found
