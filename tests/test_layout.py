@@ -92,6 +92,13 @@ def test_tables_are_stored_once(spark, tmp_path):
     assert [layout.bucket_number(n) for n in (0, 1 << 30, 1 << 50)] == [8, 16, 8192]
 
 
+def test_buckets_of_cells_stay_small_and_are_dealt_once(spark):
+    """A bucket holds a bounded part of the lines, and they are grouped where they are dealt."""
+    assert [layout.bucket_number(n, fixtures.LINE_BYTES) for n in (10 << 20, 640 << 20, 3840 << 20)] == [8, 80, 480]
+    plan = plan_of(fixtures.cells_of_lines(spark, SF, 8).repartition(8, "district_id").sortWithinPartitions("education"))
+    assert plan.count("Exchange") == 1 and "hashpartitioning(district_id" in plan, plan
+
+
 @pytest.mark.parametrize("one_task", [0, 1 << 30])
 def test_numbers_follow_the_order(spark, monkeypatch, one_task):
     monkeypatch.setattr(ranking, "ONE_TASK", one_task)
