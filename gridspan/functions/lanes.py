@@ -54,7 +54,7 @@ def lane_key(label: Column) -> Column:
 def _number(label: Column) -> Column:
     upper = F.upper(label)
     text = F.coalesce(*[F.nullif(F.regexp_extract(upper, NUMBER, k), F.lit("")) for k in (1, 2, 3)])
-    return F.coalesce(text.try_cast("int"), roman(text))
+    return F.get(F.transform(F.array(text), lambda t: F.coalesce(t.try_cast("int"), roman(t))), F.lit(0))
 
 
 def normalize_education(label: Column) -> Column:
@@ -68,13 +68,18 @@ def _lane(education: str, credits: int) -> Column:
 
 def lane_of(label: Column) -> Column:
     """struct(education, credits) of one label, or null."""
-    name = _education(F.get(F.regexp_extract_all(F.upper(label), F.lit(LABEL), F.lit(0)), F.lit(0)))
-    credits = _credits(F.upper(label)).try_cast("int")
-    named = F.lit(None)
-    for known, (education, own) in LANES.items():
-        named = F.when(name == known, F.struct(F.lit(education).alias("education"), F.coalesce(credits, F.lit(own)).cast("int").alias("credits"))).otherwise(named)
-    number = _number(label)
-    return F.coalesce(F.when(number.isNotNull(), F.get(F.array(*[_lane(*x) for x in NUMBERED]), number - 1)), F.when(number.isNull(), named))
+    # through arrays of one element, for what is used several times would be worked out each time
+    first = F.get(F.regexp_extract_all(F.upper(label), F.lit(LABEL), F.lit(0)), F.lit(0))
+    parts = F.array(F.struct(first.alias("first"), _credits(F.upper(label)).try_cast("int").alias("credits"), _number(label).alias("number")))
+    read = F.transform(parts, lambda x: F.struct(_education(x["first"]).alias("name"), x["credits"].alias("credits"), x["number"].alias("number")))
+
+    def lane(x: Column) -> Column:
+        named = F.lit(None)
+        for known, (education, own) in LANES.items():
+            named = F.when(x["name"] == known, F.struct(F.lit(education).alias("education"), F.coalesce(x["credits"], F.lit(own)).cast("int").alias("credits"))).otherwise(named)
+        return F.coalesce(F.when(x["number"].isNotNull(), F.get(F.array(*[_lane(*y) for y in NUMBERED]), x["number"] - 1)), F.when(x["number"].isNull(), named))
+
+    return F.get(F.transform(read, lane), F.lit(0))
 
 
 def lane_text(education: Column, credits: Column) -> Column:

@@ -53,10 +53,13 @@ def to_records(tables: DataFrame, aliases: DataFrame | None = None) -> DataFrame
     alias of its document names (``aliases``: doc_id, alias, lane), else for its own; unknown
     labels and values out of range are dropped.
     """
-    rows = tables.select("doc_id", F.col("rows")[0].alias("header"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_no", "row"))
-    cells = rows.select("doc_id", "row_no", F.col("row")[0].alias("step_text"), F.posexplode(F.arrays_zip(F.col("header").alias("label"), F.col("row").alias("value"))).alias("col_no", "cell")).filter("col_no > 0")
-    parsed = cells.select("doc_id", "row_no", "col_no", extract_step(F.col("step_text")).alias("step"), F.upper(F.trim("cell.label")).alias("label"), parse_salary(F.col("cell.value")).alias("salary"))
-    return _resolved(parsed.filter("step IS NOT NULL AND salary IS NOT NULL"), aliases).filter("lane IS NOT NULL").select("doc_id", "lane.education", "lane.credits", "step", "salary", F.struct("row_no", "col_no").alias("pos"))
+    columns = tables.select("doc_id", "rows", F.posexplode(F.col("rows")[0]).alias("col_no", "label")).filter("col_no > 0")
+    values = F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda row: F.struct(F.get(row, F.lit(0)).alias("step_text"), F.get(row, F.col("col_no")).alias("value")))
+    # a label's lane is found once a column, not once a cell
+    labels = _resolved(columns.select("doc_id", "col_no", F.upper(F.trim("label")).alias("label"), values.alias("values")), aliases).filter("lane IS NOT NULL")
+    cells = labels.select("doc_id", "lane", "col_no", F.posexplode("values").alias("row_no", "cell"))
+    parsed = cells.select("doc_id", "lane", "row_no", "col_no", extract_step(F.col("cell.step_text")).alias("step"), parse_salary(F.col("cell.value")).alias("salary"))
+    return parsed.filter("step IS NOT NULL AND salary IS NOT NULL").select("doc_id", "lane.education", "lane.credits", "step", "salary", F.struct("row_no", "col_no").alias("pos"))
 
 
 def block_grids(blocks: DataFrame, least_cells: int = 10) -> DataFrame:
