@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cells import availability_rows
+from ..operators.cells import lane_key
 
 BUCKETS = 64
+#: Into how many parts a bucket's districts are dealt when it is written.
+SLICES = 8
 CHANGE = "district_id long, seq long, cells array<struct<school_year:string,period:string,education:string,credits:int,step:int>>"
 FACTS = "school_year string, period string, district_id long, combo string, max_step int"
 COUNTS = "kind string, key string, n long"
@@ -54,9 +56,10 @@ def _facts(spark: SparkSession, root: str, held: dict[int, int]) -> DataFrame:
 def counted(facts: DataFrame) -> DataFrame:
     """``kind, key, n``: districts of each schedule, and facts of each lane and each highest step."""
     schedules = facts.select("district_id", "school_year", "period").distinct().groupBy(F.concat_ws("#", "school_year", "period").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("schedule").alias("kind"), "key", "n")
-    lanes = facts.groupBy(F.col("combo").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("lane").alias("kind"), "key", "n")
-    steps = facts.groupBy(F.col("max_step").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("step").alias("kind"), "key", "n")
-    return schedules.unionByName(lanes).unionByName(steps)
+    pairs = facts.groupBy("combo", "max_step").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array(F.struct(F.lit("lane").alias("kind"), F.col("combo").alias("key")), F.struct(F.lit("step").alias("kind"), F.col("max_step").cast("string").alias("key")))
+    others = pairs.select("n", F.inline(kinds)).groupBy("kind", "key").agg(F.sum("n").alias("n")).select("kind", "key", "n")
+    return schedules.unionByName(others)
 
 
 def apply_changes(changes: DataFrame, version: int, root: str, buckets: int = BUCKETS) -> bool:
@@ -78,12 +81,14 @@ def apply_changes(changes: DataFrame, version: int, root: str, buckets: int = BU
     latest = spark.read.schema(latest.schema).parquet(place)
     touched = sorted(r[0] for r in latest.select("bucket").distinct().collect())
     old = _facts(spark, root, {b: held[b] for b in touched if b in held})
-    gone = old.join(latest.select("district_id"), "district_id", "left_semi").select(*old.columns)
     stay = old.join(latest.select("district_id"), "district_id", "left_anti").select(*old.columns)
-    new = availability_rows(latest.select("district_id", F.inline("cells"))).select(*old.columns)
-    by_bucket = stay.unionByName(new).withColumn("bucket", F.pmod(F.xxhash64("district_id"), F.lit(buckets)).cast("int"))
-    by_bucket.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/facts/version={version}")
-    change = counted(new).unionByName(counted(gone).withColumn("n", -F.col("n")))
+    new = latest.select("district_id", F.inline("cells")).select("school_year", "period", "district_id", lane_key().alias("combo"), F.col("step").alias("max_step"))
+    # what stays and the new cells are dealt once, a bucket to several tasks, grouped there and written
+    parted = stay.unionByName(new).withColumns({"bucket": F.pmod(F.xxhash64("district_id"), F.lit(buckets)).cast("int"), "slice": F.pmod(F.xxhash64("district_id", F.lit("slice")), F.lit(SLICES))})
+    facts = parted.repartition("bucket", "slice").groupBy("bucket", "slice", "school_year", "period", "district_id", "combo").agg(F.max("max_step").alias("max_step"))
+    facts.select(*old.columns, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{root}/facts/version={version}")
+    # the touched buckets as they were and as they lie there now: districts that stay cancel out
+    change = counted(_facts(spark, root, dict.fromkeys(touched, version))).unionByName(counted(old).withColumn("n", -F.col("n")))
     if last is not None:
         change = change.unionByName(spark.read.schema(COUNTS).parquet(f"{root}/counts/version={last}"))
     change.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter("n <> 0").write.mode("overwrite").parquet(f"{root}/counts/version={version}")

@@ -82,3 +82,16 @@ def test_stream_of_changes(spark, tmp_path):
         assert query.awaitTermination(120)
         same(spark, root, state)
     assert metadata.versions(spark, root) == [0, 1, 2, 3]
+
+
+def test_a_change_groups_its_cells_once(spark, tmp_path, monkeypatch):
+    """Facts are grouped for the write alone: counts are of what was written before and now, not of cells grouped again."""
+    seen, counted = [], metadata.counted
+    monkeypatch.setattr(metadata, "counted", lambda facts: seen.append(facts._jdf.queryExecution().optimizedPlan().toString()) or counted(facts))
+    rng, root = random.Random(6), str(tmp_path / "m")
+    state = {d: cells_of(rng, d) for d in range(30)}
+    metadata.apply_changes(changes(spark, list(state.items())), 0, root, 4)
+    second = {d: cells_of(rng, d) for d in range(0, 30, 2)}
+    metadata.apply_changes(changes(spark, list(second.items())), 1, root, 4)
+    assert len(seen) == 4 and not any("Aggregate" in x or "Join" in x for x in seen), seen
+    same(spark, root, state | second)
