@@ -13,9 +13,9 @@ from .queries import money, query
 
 
 def _texts(rows, name: str) -> str:
-    """A folder with a file for each row of one text column."""
+    """A folder with a file for each row of one text column; tasks put their own files there."""
     place = scratch(rows.sparkSession, name)
-    rows.write.option("maxRecordsPerFile", 1).text(place)
+    rows.write.options(**writers.MANY_FILES).option("maxRecordsPerFile", 1).text(place)
     return place
 
 
@@ -47,7 +47,8 @@ def mixed_items_read(spark, sf_dir):
 def record_files(spark, sf_dir):
     """A JSON file of records for each district."""
     record = F.struct(F.col("district_id").cast("string").alias("district_id"), F.lit("x").alias("district_name"), "school_year", "period", "education", "credits", "step", F.col("salary").cast("double").alias("salary"))
-    files = fixtures.cells(spark, sf_dir).groupBy("district_id").agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+    lines = fixtures.cells(spark, sf_dir).select("district_id", F.to_json(record).alias("r"))
+    files = lines.groupBy("district_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")).select("value")
     return readers.records(spark, _texts(files, "records")).drop("district_name").withColumn("salary", money())
 
 
@@ -74,7 +75,7 @@ def listed_files(spark, sf_dir):
     """Backups, a folder for each district, by a listing that reads none of them."""
     place = scratch(spark, "backups")
     named = fixtures.cells(spark, sf_dir).withColumns({"district_name": F.concat(F.lit("d"), F.col("district_id").cast("string")), "district_id": F.col("district_id").cast("string")})
-    writers.write_backups(named, place, "2024-01-01")
+    writers.write_backups(named, place, "2024-01-01", mode="error")
     listed = readers.listing(spark, place, ".json").withColumn("folder", F.regexp_extract("path", "/folder=([^/]+)/", 1))
     return listed.groupBy("folder").agg(F.count(F.lit(1)).cast("int").alias("files"), (F.min("length") > 0).alias("filled"))
 

@@ -10,6 +10,9 @@ from ..schemas import BACKUPS, OCR_BLOCKS, RECORDS, SOURCE_DISTRICT
 # The categories of the district source file and the type that each stands for.
 CATEGORIES = {"municipal": "municipal", "regional_academic": "regional_academic", "regional_vocational": "regional_vocational", "county_agricultural": "county_agricultural", "charter": "charter"}
 
+#: Tasks to a core that list folders.
+LISTERS = 4
+
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of extracted records; salary as decimal."""
@@ -48,7 +51,15 @@ def mixed_items(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """Files below a folder with their size and time; their content is not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    # many folders to a task, for otherwise each has one of its own
+    spark.conf.set(tasks, str(min(int(before), LISTERS * spark.sparkContext.defaultParallelism)))
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(path)
+    finally:
+        spark.conf.set(tasks, before)
+    return found.select("path", "length", "modificationTime")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:

@@ -142,3 +142,13 @@ def test_written_tables_go_when_told_to(spark):
     before = compare.compare(cells, dim, "M", 30, 5).count()
     assert drop_scratch(spark) >= 3 and drop_scratch(spark) == 0
     assert compare.compare(*stored(spark), "M", 30, 5).count() == before > 0
+
+
+def test_many_small_files_are_written_by_their_tasks_and_listed_by_few(spark, tmp_path):
+    from gridspan.sources import readers, writers
+
+    rows = fixtures.cells(spark, SF).withColumn("district_name", F.concat(F.lit("d"), "district_id"))
+    writers.write_backups(rows, str(tmp_path / "new"), "2024-01-01", mode="error")
+    name, before = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert readers.listing(spark, str(tmp_path / "new"), ".json").count() == rows.select("district_id").distinct().count()
+    assert spark.conf.get(name) == before and (tmp_path / "new/_SUCCESS").exists()
