@@ -144,6 +144,14 @@ def test_written_tables_go_when_told_to(spark):
     assert compare.compare(*stored(spark), "M", 30, 5).count() == before > 0
 
 
+def test_fill_of_missing_lanes_is_that_of_the_grid_without_lanes_there(spark):
+    cells, lane = stored(spark)[0], ["district_id", "school_year", "period", "education", "credits"]
+    every = fill.fill_grid(cells, *fill.combos_of(cells), dealt=True).join(cells.select(*lane).distinct(), lane, "left_anti")
+    missing = fill.fill_missing(cells, *fill.combos_of(cells), dealt=True)
+    assert sorted(map(repr, missing.collect())) == sorted(map(repr, every.select(missing.columns).collect()))
+    assert "Join" not in plan_of(missing)
+
+
 def test_many_small_files_are_written_by_their_tasks_and_listed_by_few(spark, tmp_path):
     from gridspan.sources import readers, writers
 
