@@ -70,13 +70,15 @@ def block_grids(blocks: DataFrame, least_cells: int = 10) -> DataFrame:
     """
     child = blocks.select("Id", "BlockType", "RowIndex", "ColumnIndex", F.explode("Relationships").alias("r")).filter("r.Type = 'CHILD'").select(F.col("Id").alias("parent"), "BlockType", "RowIndex", "ColumnIndex", F.posexplode("r.Ids").alias("pos", "child"))
     words = blocks.filter("BlockType IN ('WORD', 'LINE')").select(F.col("Id").alias("child"), "Text")
-    text = child.filter("BlockType = 'CELL'").join(words, "child").groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "Text"))), lambda x: x["Text"]), " ").alias("text"))
+    text = child.filter("BlockType = 'CELL'").join(words, "child").groupBy("parent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "Text"))), lambda x: x["Text"]), " ").alias("text"))
     cells = blocks.filter("BlockType = 'CELL'").select(F.col("Id").alias("child"), "RowIndex", "ColumnIndex").join(text.withColumnRenamed("parent", "child"), "child", "left")
     placed = child.filter("BlockType = 'TABLE'").select(F.col("parent").alias("table_id"), "child").join(cells, "child")
-    sized = placed.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.max("ColumnIndex").alias("width")).filter(F.col("n") >= least_cells)
-    rows = placed.join(sized, "table_id").groupBy("table_id", "width", "RowIndex").agg(F.map_from_entries(F.collect_list(F.struct("ColumnIndex", F.coalesce(F.trim("text"), F.lit(""))))).alias("at"))
+    # a table's cells are brought together once: they are bounded, and what follows needs no other shuffle
+    held = placed.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.max("ColumnIndex").alias("width"), F.collect_list(F.struct("RowIndex", "ColumnIndex", F.coalesce(F.trim("text"), F.lit("")).alias("text"))).alias("cells"))
+    sized = held.filter(F.col("n") >= least_cells).select("table_id", "width", F.inline("cells"))
+    rows = sized.groupBy("table_id", "width", "RowIndex").agg(F.map_from_entries(F.collect_list(F.struct("ColumnIndex", "text"))).alias("at"))
     full = rows.withColumn("row", F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.coalesce(F.element_at(F.col("at"), i), F.lit(""))))
-    return full.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("RowIndex", "row"))), lambda x: x["row"]).alias("rows"))
+    return full.groupBy("table_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("RowIndex", "row"))), lambda x: x["row"]).alias("rows"))
 
 
 def deduped_headers(headers: DataFrame) -> DataFrame:

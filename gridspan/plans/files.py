@@ -98,10 +98,11 @@ def block_tables(spark, sf_dir):
     own = F.array(block(word(1), "WORD", no, no, F.col("v"), none), block(word(0), "WORD", no, no, F.lit("$"), none), block(F.col("c"), "CELL", F.col("RowIndex"), F.col("ColumnIndex"), nil, children(F.array(word(0), word(1)))))
     heads = cells.groupBy("t").agg(F.collect_list("c").alias("ids")).select(block(F.col("t"), "TABLE", no, no, nil, children(F.col("ids"))).alias("b"))
     rows = tables.block_grids(cells.select(F.explode(own).alias("b")).unionByName(heads).select("b.*"))
-    at = rows.select("table_id", F.posexplode("rows").alias("r", "row")).select("table_id", "r", F.posexplode("row").alias("k", "text")).filter("text <> ''")
-    # rows without a cell are not in the grid: a row's number is its place among the steps that its table has
+    # rows without a cell are not in the grid: a row's number is its place among the steps that its table has; whole tables are joined, not their cells
     steps = cells.groupBy("t").agg(F.array_sort(F.collect_set("RowIndex")).alias("steps"))
-    return at.join(steps, F.col("table_id") == F.col("t")).select("table_id", F.get("steps", F.col("r")).alias("row_no"), (F.col("k") + 1).cast("int").alias("col_no"), "text")
+    lines = rows.join(steps, F.col("table_id") == F.col("t")).select("table_id", "steps", F.posexplode("rows").alias("r", "row"))
+    at = lines.select("table_id", F.get("steps", F.col("r")).alias("row_no"), F.posexplode("row").alias("k", "text")).filter("text <> ''")
+    return at.select("table_id", "row_no", (F.col("k") + 1).cast("int").alias("col_no"), "text")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN 'j' || o_custkey END AS job_id, CASE WHEN o_orderkey % 4 > 1 THEN CAST(o_custkey % 50 AS VARCHAR) WHEN o_orderkey % 4 = 1 THEN 'x' END AS district_id, o_orderkey % 4 > 1 AS ok FROM orders""")

@@ -144,6 +144,16 @@ def test_written_tables_go_when_told_to(spark):
     assert compare.compare(*stored(spark), "M", 30, 5).count() == before > 0
 
 
+def test_tables_of_blocks_are_brought_together_once(spark):
+    """Blocks are joined by their ids; a table's size and rows come from one grouping of its cells."""
+    from gridspan.operators import tables
+    from gridspan.schemas import OCR_BLOCKS
+
+    blocks = spark.createDataFrame([], ", ".join(x.replace(":", " ", 1) for x in OCR_BLOCKS.split(", ")))
+    plan = tables.block_grids(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in x for x in plan.split("\n")) == 3, plan
+
+
 def test_fill_of_missing_lanes_is_that_of_the_grid_without_lanes_there(spark):
     cells, lane = stored(spark)[0], ["district_id", "school_year", "period", "education", "credits"]
     every = fill.fill_grid(cells, *fill.combos_of(cells), dealt=True).join(cells.select(*lane).distinct(), lane, "left_anti")
